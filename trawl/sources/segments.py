@@ -1,0 +1,69 @@
+"""Index tables: Parquet folders ``segment=<n>/<bucket>=<b>/``, newest segment wins per key.
+
+Segment 0 is the full build. A refresh adds a segment with all rows of the changed keys, and
+reading drops the rows that an older segment holds for them, so a refresh writes in proportion
+to the change and a replayed refresh replaces its own segment.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def segments(spark: SparkSession, path: str) -> list[int]:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listing = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    names = [status.getPath().getName() for status in listing]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("segment="))
+
+
+def bucket_of(columns: list, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+
+
+def write_segment(rows: DataFrame, path: str, bucket: str, order: list[str], segment: int) -> None:
+    """Write one segment, sorted inside its bucket folders.
+
+    The rebalance brings a bucket together to keep files few, and splits it again where a
+    frequent entry makes it large, so no task or file grows with the frequency of one entry.
+    """
+    (rows.hint("rebalance", bucket).sortWithinPartitions(bucket, *order)
+     .write.partitionBy(bucket).mode("errorifexists" if segment == 0 else "overwrite")
+     .parquet(f"{path}/segment={segment}"))
+
+
+def build_once(rows: DataFrame, path: str, bucket: str, order: list[str]) -> None:
+    """The full build; a target that is already complete is left as it is."""
+    if not path_exists(rows.sparkSession, f"{path}/segment=0/_SUCCESS"):
+        write_segment(rows, path, bucket, order, 0)
+
+
+def read_live(spark: SparkSession, path: str, schema: T.StructType, bucket: str, key: str,
+              wanted: Column | None, registry: Column) -> DataFrame:
+    """Rows for which ``wanted`` holds, without those replaced by a later segment.
+
+    ``registry`` selects the one row that every key has in each segment it was written to.
+    """
+    layout = T.StructType([*schema.fields, T.StructField("segment", T.IntegerType()),
+                           T.StructField(bucket, T.IntegerType())])
+    table = spark.read.schema(layout).parquet(path)
+    rows = table if wanted is None else table.where(wanted)
+    if len(segments(spark, path)) > 1:
+        later = (table.where(registry & (F.col("segment") > 0))
+                 .select(F.col(key).alias("_key"), F.col("segment").alias("_segment")))
+        rows = rows.join(later, (F.col(key) == F.col("_key"))
+                         & (F.col("segment") < F.col("_segment")), "left_anti")
+    return rows.select(*[f.name for f in schema.fields])
+
+
+def compact(spark: SparkSession, live: DataFrame, path: str, bucket: str, column: Column,
+            order: list[str]) -> None:
+    """Write the live rows of an index as the full build of a new one."""
+    build_once(live.withColumn(bucket, column), path, bucket, order)
