@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.stemming import stem_all
+from trawl.session import ship_package
 
 # Runs of letters and digits, optionally joined by hyphens.
 WORD = r"[\p{L}\p{N}]++(?:-[\p{L}\p{N}]++)*+"
@@ -69,6 +70,8 @@ def with_entries(df: DataFrame, fields: list[tuple[str, str]], config: str,
     """
     if config not in CONFIGS:
         raise ValueError(f"config must be one of {CONFIGS}, not {config!r}")
+    if config == "english":
+        ship_package(df.sparkSession)
     columns = [f"_{to}_{n}" for n in range(len(fields))]
     for column, (field, weight) in zip(columns, fields):
         entries = _entries(F.col(field), weight)
@@ -114,6 +117,7 @@ def lexemes(df: DataFrame, raw: Column, config: str, to: str) -> DataFrame:
     """Add the lexeme of each word of a string array, in place: a stop word becomes ``''``."""
     lowered = F.transform(raw, lambda w: F.lower(w))
     if config == "english":
+        ship_package(df.sparkSession)
         kept = F.transform(lowered, lambda w: F.when(w.isin(STOP_WORDS), "").otherwise(w))
         return df.withColumn(to, stem_all(kept))
     return df.withColumn(to, lowered)

@@ -16,6 +16,8 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trawl.functions.analysis import let
+
 OBJECT = "map<string,variant>"
 ARRAY = "array<variant>"
 NUMBER_TYPES = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
@@ -37,9 +39,12 @@ def number_text(value: Column) -> Column:
     text = F.when(stored.rlike(r"^(FLOAT|DOUBLE)"), F.coalesce(
         as_decimal(18), as_decimal(0), as_decimal(37), double.cast("string"))) \
         .otherwise(F.try_variant_get(value, "$", "string"))
-    trimmed = F.when(text.rlike(r"^-?\d+\.\d+$"), F.regexp_replace(text, r"\.?0+$", "")) \
-        .otherwise(text)
-    return F.when(stored.rlike(NUMBER_TYPES), trimmed)
+
+    def trimmed(t):
+        plain = t.rlike(r"^-?\d+\.\d+$")
+        return F.when(plain, F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+
+    return F.when(stored.rlike(NUMBER_TYPES), let(text, trimmed))
 
 
 def _path(base: str, key: str) -> str | None:

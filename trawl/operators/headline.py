@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.analysis import lexemes, let
-from trawl.plans.requests import Requests, item_terms
+from trawl.plans.requests import Requests
 from trawl.session import join_requests
 
 WORD_AND_GAP = r"([\p{L}\p{N}]+)([^\p{L}\p{N}]*)"
@@ -22,7 +22,7 @@ def headlines(requests: Requests, matched: DataFrame, df: DataFrame, key: str, t
     """
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
     rows = matched.select("query_id", "doc_id").join(docs, "doc_id")
-    rows = join_requests(rows, requests.rows.select("query_id", item_terms("items").alias("_terms")),
+    rows = join_requests(rows, requests.rows.select("query_id", F.col("terms").alias("_terms")),
                          ["query_id"], F.col("doc_id"), requests.small)
     rows = (rows.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD_AND_GAP), 1))
             .withColumn("_gaps", F.regexp_extract_all("_text", F.lit(WORD_AND_GAP), 2)))

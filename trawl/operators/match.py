@@ -1,53 +1,107 @@
-"""Boolean and phrase matching of many requests against postings, in one job."""
+"""Boolean and phrase matching of many requests at once.
+
+Matching works on one row per document that holds the requested terms found in it. A scan makes
+that row in place, so matching a scan shuffles nothing; an index lookup groups the postings of
+the requested terms by document, each posting once however many requests share it.
+
+Every clause of a request has one lead term that its documents must contain. Documents meet
+requests on lead terms only, by an equi-join, and each pair is then decided inside its row.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.operators.postings import text_postings
+from trawl.functions.analysis import ANY_DOCUMENT, grouped, with_entries
 from trawl.plans.requests import Requests
-from trawl.session import join_requests
+from trawl.session import join_requests, spread, stored
 from trawl.sources.term_index import TermIndex, read_postings
 
 
-def scan_postings(requests: Requests, df: DataFrame, key: str,
-                  fields: list[tuple[str, str]]) -> DataFrame:
-    """Postings of the requested terms, made in flight from the text columns."""
-    only = None
-    if requests.small:
-        def only(entries):
-            return F.filter(entries, lambda e: e["term"].isin(list(requests.terms)))
-    return text_postings(df, key, fields, requests.config, only, with_documents=True)
-
-
-def index_postings(requests: Requests, index: TermIndex) -> DataFrame:
-    """Postings of the requested terms, read from the buckets of a term index that hold them."""
-    if index.config != requests.config:
-        raise ValueError(f"the index was built with {index.config!r}, the requests with "
-                         f"{requests.config!r}")
-    return read_postings(requests.asked.sparkSession, index, requests.terms)
-
-
-def matches(requests: Requests, postings: DataFrame, detail: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Scan:
+    """Search the text columns themselves."""
+
+    df: DataFrame
+    key: str
+    fields: list[tuple[str, str]]
+
+    def documents(self, requests: Requests, positions: bool) -> DataFrame:
+        columns = [name for name, _ in self.fields]
+        df = with_entries(spread(self.df.select(self.key, *columns), self.key), self.fields,
+                          requests.config)
+        entries = F.col("entries")
+        if requests.small:
+            entries = F.filter(entries, lambda e: e["term"].isin(list(requests.terms)))
+        if positions:
+            found = F.concat(grouped(entries), F.array(F.struct(
+                F.lit(ANY_DOCUMENT).alias("term"), F.lit("D").alias("weight"),
+                F.array(F.lit(0)).alias("positions"))))
+        else:
+            terms = F.array_append(F.transform(entries, lambda e: e["term"]), ANY_DOCUMENT)
+            found = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term")))
+        return df.select(F.col(self.key).alias("doc_id"), found.alias("found"))
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """Search a term index; only the buckets of the requested terms are read."""
+
+    index: TermIndex
+
+    def documents(self, requests: Requests, positions: bool) -> DataFrame:
+        if self.index.config != requests.config:
+            raise ValueError(f"the index was built with {self.index.config!r}, the requests "
+                             f"with {requests.config!r}")
+        postings = read_postings(requests.asked.sparkSession, self.index, requests.terms)
+        columns = ["term", "weight", "positions"] if positions else ["term"]
+        # Grouping by document shares out a frequent term. Nothing can be combined ahead of it.
+        return (postings.select("doc_id", F.struct(*columns).alias("posting"))
+                .repartition("doc_id").groupBy("doc_id")
+                .agg(F.collect_list("posting").alias("found")))
+
+
+def matches(requests: Requests, corpus: Scan | Lookup, detail: bool = False) -> DataFrame:
     """(query_id, doc_id) of every request and the documents it holds for.
 
     With ``detail`` the rows also carry the request and its terms' occurrences in the document,
-    for ranking. Postings meet requests on the term; the only shuffle brings the few matched
-    postings of a (request, document) pair together, so a frequent term is shared out by
-    document.
+    for ranking.
     """
     positions = detail or requests.phrases
-    columns = ["term", "weight", "positions"] if positions else ["term"]
-    hits = join_requests(postings.select("doc_id", *columns), requests.wanted, ["term"],
-                         F.col("doc_id"), requests.small)
-    found = (hits.repartition("query_id", "doc_id").groupBy("query_id", "doc_id")
-             .agg(F.collect_list(F.struct(*columns)).alias("found")))
-    judged = join_requests(found, requests.rows, ["query_id"], F.col("doc_id"), requests.small)
-    kept = judged.where(_holds(positions))
+    documents = corpus.documents(requests, positions).withColumn(
+        "here", F.array_distinct(F.col("found.term")))
+    pairs = _broadcast_pairs(requests, documents) if requests.small \
+        else _shuffled_pairs(requests, documents)
+    # A document may hold several leads of a request; the pair is taken at the first of them.
+    first = F.get(F.filter("leads", lambda t: F.array_contains("here", t)), F.lit(0))
+    pairs = pairs.where(F.col("term") == first).withColumn(
+        "here", F.array_intersect("terms", "here"))
+    if positions:
+        pairs = pairs.withColumn("found", F.filter(
+            "found", lambda f: F.array_contains("here", f["term"])))
+    kept = pairs.where(_holds(positions))
     return kept if detail else kept.select("query_id", "doc_id")
 
 
+def _broadcast_pairs(requests: Requests, documents: DataFrame) -> DataFrame:
+    leads = F.filter("here", lambda t: t.isin(list(requests.leads)))
+    return documents.withColumn("term", F.explode(leads)).join(
+        F.broadcast(requests.by_lead), "term")
+
+
+def _shuffled_pairs(requests: Requests, documents: DataFrame) -> DataFrame:
+    """For request sets too large to broadcast: pair keys first, then bring both sides in."""
+    documents = stored(documents, "documents")
+    keys = join_requests(documents.select("doc_id", F.explode("here").alias("term")),
+                         requests.by_lead.select("term", "query_id"), ["term"],
+                         F.col("doc_id"), small=False)
+    return join_requests(keys.join(documents, "doc_id"), requests.rows, ["query_id"],
+                         F.col("doc_id"), small=False)
+
+
 def _holds(positions: bool) -> Column:
     present = F.transform(F.filter("items", _present if positions else _word_present),
                           lambda i: i["item_id"])
@@ -56,7 +110,7 @@ def _holds(positions: bool) -> Column:
 
 
 def _word_present(item: Column) -> Column:
-    return F.exists("found", lambda f: f["term"] == item["terms"][0]["term"])
+    return F.array_contains("here", item["terms"][0]["term"])
 
 
 def _present(item: Column) -> Column:
@@ -67,9 +121,10 @@ def _present(item: Column) -> Column:
             lambda f: F.transform(f["positions"], lambda p: p - term["offset"])))
 
     terms = item["terms"]
+    every_word = F.forall(terms, lambda t: F.array_contains("here", t["term"]))
     common = F.aggregate(F.slice(terms, 2, F.size(terms)), starts(terms[0]),
                          lambda at, term: F.array_intersect(at, starts(term)))
-    return F.when(F.size(terms) == 1, _word_present(item)).otherwise(F.size(common) > 0)
+    return every_word & ((F.size(terms) == 1) | (F.size(common) > 0))
 
 
 def counts(requests: Requests, matched: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.analysis import ANY_DOCUMENT, grouped, with_entries
@@ -17,17 +17,14 @@ def text_tokens(df: DataFrame, key: str, text: str, config: str = "simple") -> D
 
 
 def text_postings(df: DataFrame, key: str, fields: list[tuple[str, str]],
-                  config: str = "english", only: Column | None = None,
-                  with_documents: bool = False) -> DataFrame:
+                  config: str = "english", with_documents: bool = False) -> DataFrame:
     """(term, doc_id, weight, positions) of weighted text fields, without a shuffle.
 
-    ``only`` keeps the entries of an array column for which it holds (a function of the
-    array); ``with_documents`` adds the row that stands for the document itself.
+    ``with_documents`` adds the row that stands for the document itself.
     """
     columns = [name for name, _ in fields]
     entries = with_entries(spread(df.select(key, *columns), key), fields, config)
-    kept = only(F.col("entries")) if only is not None else F.col("entries")
-    rows = grouped(kept)
+    rows = grouped(F.col("entries"))
     if with_documents:
         rows = F.concat(rows, F.array(F.struct(
             F.lit(ANY_DOCUMENT).alias("term"), F.lit("D").alias("weight"),

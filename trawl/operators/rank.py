@@ -7,8 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trawl.functions.analysis import ANY_DOCUMENT, let
-from trawl.operators.match import matches
-from trawl.plans.requests import Requests, item_terms
+from trawl.operators.match import Lookup, Scan, matches
+from trawl.plans.requests import Requests
 from trawl.session import SALTS
 
 # Fixed values of the ranking formula.
@@ -19,13 +19,12 @@ FAR_ROOT = 1e-15  # square root of the 1e-30 given to pairs further apart than N
 NO_PAIR = 1e-20
 
 
-def ranked(requests: Requests, postings: DataFrame) -> DataFrame:
+def ranked(requests: Requests, corpus: Scan | Lookup) -> DataFrame:
     """(query_id, doc_id, rank) of every match; adds no shuffle to matching."""
-    terms = F.array_remove(item_terms("items"), ANY_DOCUMENT)
+    terms = F.array_remove("terms", ANY_DOCUMENT)
     by_pairs = ~F.col("top_op").isin("or", "not") & (F.size(terms) > 1)
     rank = F.when(by_pairs, _pair_score()).otherwise(let(terms, _term_score))
-    return matches(requests, postings, detail=True).select(
-        "query_id", "doc_id", rank.alias("rank"))
+    return matches(requests, corpus, detail=True).select("query_id", "doc_id", rank.alias("rank"))
 
 
 def best_first(scored: DataFrame) -> DataFrame:
@@ -98,10 +97,10 @@ def _pair_score() -> Column:
             return F.struct((acc["log"] + F.log1p(-root / damp)).alias("log"),
                             (acc["root"] + root).alias("root"))
 
-        return F.aggregate(partners, _ZERO(), add)
+        return F.aggregate(partners, _zero(), add)
 
     def score(all_):
-        pairs = F.aggregate(F.transform(all_, lambda x, i: near(all_, x, i)), _ZERO(),
+        pairs = F.aggregate(F.transform(all_, lambda x, i: near(all_, x, i)), _zero(),
                             lambda a, b: F.struct((a["log"] + b["log"]).alias("log"),
                                                   (a["root"] + b["root"]).alias("root")))
         terms = F.array_distinct(F.transform(all_, lambda o: o["term"]))
@@ -117,5 +116,5 @@ def _pair_score() -> Column:
     return let(_occurrences(real), score)
 
 
-def _ZERO() -> Column:
+def _zero() -> Column:
     return F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("root"))

@@ -3,10 +3,11 @@
 A request set is one small table, one row per request::
 
     query_id, top_op, items array<struct<item_id, terms array<struct<offset, term>>>>,
-    clauses array<struct<need array<int>, avoid array<int>>>
+    clauses array<struct<need array<int>, avoid array<int>>>, terms array, leads array
 
 A clause holds when all its needed items and none of its avoided items are in a document; a
-request holds when any clause does. Request words go through the same analysis as documents.
+request holds when any clause does. ``leads`` has one needed term per clause, the longest, which
+tends to be the rarest. Request words go through the same analysis as documents.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class Requests:
     rows: DataFrame
     config: str
     terms: tuple[str, ...] | None
+    leads: tuple[str, ...] | None
     phrases: bool
 
     @property
@@ -41,14 +43,9 @@ class Requests:
         return self.terms is not None
 
     @property
-    def wanted(self) -> DataFrame:
-        """(query_id, term), one row per distinct term of a request."""
-        return self.rows.select("query_id", F.explode(item_terms("items")).alias("term"))
-
-
-def item_terms(items) -> Column:
-    """The distinct terms of a request, those of excluded items included."""
-    return F.array_distinct(F.flatten(F.transform(items, lambda i: i["terms"]["term"])))
+    def by_lead(self) -> DataFrame:
+        """The request rows once per lead term, as column ``term``."""
+        return self.rows.withColumn("term", F.explode("leads"))
 
 
 def _asked(spark: SparkSession, requests) -> DataFrame:
@@ -138,12 +135,23 @@ def _requests(asked: DataFrame, words: DataFrame, config: str) -> Requests:
         F.when(F.exists("clauses", lambda c: F.array_contains(c["need"], ANY_ITEM)),
                F.concat("items", everything)).otherwise(F.col("items")).alias("items"),
         "clauses")
+    rows = rows.withColumn("terms", F.array_distinct(F.flatten(
+        F.transform("items", lambda i: i["terms"]["term"])))).withColumn(
+        "leads", F.array_distinct(F.transform("clauses", _lead)))
     table, head = pinned(rows, "requests")
     if head is None:
-        return Requests(asked, table, config, None, True)
-    terms = {t.term for r in head for i in r["items"] for t in i.terms}
+        return Requests(asked, table, config, None, None, True)
+    terms = {t for r in head for t in r["terms"]}
+    leads = {t for r in head for t in r["leads"]}
     phrases = any(len(i.terms) > 1 for r in head for i in r["items"])
-    return Requests(asked, table, config, tuple(sorted(terms)), phrases)
+    return Requests(asked, table, config, tuple(sorted(terms)), tuple(sorted(leads)), phrases)
+
+
+def _lead(clause: Column) -> Column:
+    needed = F.filter("items", lambda i: F.array_contains(clause["need"], i["item_id"]))
+    longest = F.array_max(F.flatten(F.transform(needed, lambda i: F.transform(
+        i["terms"], lambda t: F.struct(F.length(t["term"]).alias("n"), t["term"].alias("term"))))))
+    return longest["term"]
 
 
 # ---- the strict notation: its operators rank as Python's ~ >> & | do, so Python reads them

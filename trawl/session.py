@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +73,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Arrow functions import it."""
+    context = spark.sparkContext
+    if getattr(context, "_trawl_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    handle, archive = tempfile.mkstemp(prefix="trawl-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._trawl_shipped = True

@@ -41,8 +41,9 @@ def entries(value: Column) -> Column:
     return F.concat(found, keys)
 
 
-def path_entries(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(path, vtype, value, row_id): each entry once per row.
+def path_entries(df: DataFrame, key: str, column: str, with_rows: bool = False) -> DataFrame:
+    """(path, vtype, value, row_id): each entry once per row; ``with_rows`` adds the entry that
+    stands for the row itself.
 
     Duplicates come from repeated array elements only; a row's entries are together, so they
     are dropped there, by sorting, and nothing is exchanged.
@@ -51,16 +52,18 @@ def path_entries(df: DataFrame, key: str, column: str) -> DataFrame:
         return F.filter(rows, lambda e, i: (i == 0) | (
             e != rows[F.greatest(i - 1, F.lit(0))]))
 
-    distinct = let(F.sort_array(entries(F.col(column))), first_of_run)
+    found = entries(F.col(column))
+    if with_rows:
+        found = F.concat(found, F.array(F.struct(*[
+            F.lit(x).alias(c) for x, c in zip((ROW_PATH, "row", ""), ENTRY)])))
+    distinct = let(F.sort_array(found), first_of_run)
     return (spread(df.select(key, column), key)
             .select(F.col(key).alias("row_id"), F.explode(distinct).alias("e"))
             .select(*[F.col(f"e.{c}") for c in ENTRY], "row_id"))
 
 
 def _rows(df: DataFrame, index: PathIndex) -> DataFrame:
-    registry = df.select(F.lit(ROW_PATH).alias("path"), F.lit("row").alias("vtype"),
-                         F.lit("").alias("value"), F.col(index.key).alias("row_id"))
-    return path_entries(df, index.key, index.column).unionByName(registry) \
+    return path_entries(df, index.key, index.column, with_rows=True) \
         .withColumn(BUCKET, segments.bucket_of(ENTRY, index.buckets))
 
 

@@ -8,8 +8,12 @@ from pyspark.sql import types as T
 
 from trawl.sources.segments import path_exists
 
-ARTICLES = T.StructType.fromDDL("id bigint, title string, body string")
-PRODUCTS = T.StructType.fromDDL("id bigint, name string, attributes variant")
+ARTICLES = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("title", T.StringType()),
+    T.StructField("body", T.StringType())])
+PRODUCTS = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
+    T.StructField("attributes", T.VariantType())])
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
