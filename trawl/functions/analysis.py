@@ -1,8 +1,11 @@
-"""Text to lexemes: each document's words, positions and weights, built inside its own row."""
+"""Text to lexemes: each document's words, positions and weights, built inside its own row.
+
+Row-wise array work is written as SQL expression text, for ``F.expr``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.stemming import stem_all
@@ -28,37 +31,30 @@ CONFIGS = ("english", "simple")
 ANY_DOCUMENT = ""
 
 
-def let(value: Column, body) -> Column:
-    """Bind a computed value to a name, so that it is computed once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def words(text: Column) -> Column:
-    """Lower-case words in order; ``full-text`` gives ``full-text``, ``full``, ``text``."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
-
-    def with_parts(word):
-        return F.when(F.contains(word, F.lit("-")), F.concat(F.array(word), F.split(word, "-"))) \
-            .otherwise(F.array(word))
+def let(name: str, value: str, body: str) -> str:
+    """SQL that computes ``value`` once per row and uses it in ``body`` by name."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    return let(found, lambda ws:
-               F.when(F.exists(ws, lambda w: F.contains(w, F.lit("-"))),
-                      F.flatten(F.transform(ws, with_parts))).otherwise(ws))
 
+def text_list(values) -> str:
+    """Strings as a SQL list of literals."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
 
-def _entries(text: Column, weight: str) -> Column:
-    return F.transform(words(F.coalesce(text, F.lit(""))), lambda w, i: F.struct(
-        w.alias("term"), F.lit(weight).alias("weight"), (i + 1).alias("pos")))
 
+def words(text: str) -> str:
+    """Lower-case words in order; ``full-text`` gives ``full-text``, ``full``, ``text``."""
+    return let("ws", f"regexp_extract_all(lower({text}), r'{WORD}', 0)", """
+        if(exists(ws, w -> contains(w, '-')),
+           flatten(transform(ws, w -> if(contains(w, '-'), concat(array(w), split(w, '-')), array(w)))),
+           ws)""")
 
-def _followed_by(column: str):
-    """A function that appends a field's entries, their positions after the last one so far."""
-    def shifted(before):
-        last = F.coalesce(F.try_element_at(before, F.lit(-1))["pos"], F.lit(0))
-        return F.concat(before, F.transform(column, lambda e: F.struct(
-            e["term"], e["weight"], (e["pos"] + last).alias("pos"))))
 
-    return shifted
+def _entries(field: str, weight: str, config: str) -> str:
+    entries = f"""transform({words(f"coalesce(`{field}`, '')")}, (w, i) ->
+        named_struct('term', w, 'weight', '{weight}', 'pos', i + 1))"""
+    if config == "english":
+        return f"filter({entries}, e -> e.term not in ({text_list(STOP_WORDS)}))"
+    return entries
 
 
 def with_entries(df: DataFrame, fields: list[tuple[str, str]], config: str,
@@ -70,54 +66,49 @@ def with_entries(df: DataFrame, fields: list[tuple[str, str]], config: str,
     """
     if config not in CONFIGS:
         raise ValueError(f"config must be one of {CONFIGS}, not {config!r}")
+    columns = [f"_{to}_{n}" for n in range(len(fields))]
+    df = df.withColumns({column: F.expr(_entries(field, weight, config))
+                         for column, (field, weight) in zip(columns, fields)})
     if config == "english":
         ship_package(df.sparkSession)
-    columns = [f"_{to}_{n}" for n in range(len(fields))]
-    for column, (field, weight) in zip(columns, fields):
-        entries = _entries(F.col(field), weight)
-        if config == "english":
-            entries = F.filter(entries, lambda e: ~e["term"].isin(STOP_WORDS))
-        df = df.withColumn(column, entries)
-        if config == "english":
-            df = df.withColumn(column, F.zip_with(
-                column, stem_all(F.col(f"{column}.term")),
-                lambda e, s: F.struct(s.alias("term"), e["weight"], e["pos"])))
-    joined = F.col(columns[0])
+        df = df.withColumns({f"{c}_stems": stem_all(F.col(f"{c}.term")) for c in columns})
+        df = df.withColumns({c: F.expr(f"""zip_with({c}, {c}_stems, (e, s) ->
+            named_struct('term', s, 'weight', e.weight, 'pos', e.pos))""") for c in columns})
+    joined = columns[0]
     for column in columns[1:]:
-        joined = let(joined, _followed_by(column))
-    return df.withColumn(to, joined).drop(*columns)
+        joined = let("before", joined, f"""concat(before, transform({column}, e -> named_struct(
+            'term', e.term, 'weight', e.weight,
+            'pos', e.pos + coalesce(try_element_at(before, -1).pos, 0))))""")
+    dropped = [c for c in df.columns if c.startswith(f"_{to}_")]
+    return df.withColumn(to, F.expr(joined)).drop(*dropped)
 
 
-def grouped(entries: Column) -> Column:
+def grouped(entries: str) -> str:
     """``array<struct<term, weight, positions>>``: the runs of equal terms after a sort.
 
     The document's own row holds all of its words, so they are grouped there in n log n and
     postings leave the scan already aggregated, ahead of any shuffle.
     """
-    def runs(rows):
-        size = F.size(rows)
-
-        def starts_run(i):
-            before = rows[F.greatest(i - 1, F.lit(0))]
-            return (i == 0) | (rows[i]["term"] != before["term"]) \
-                | (rows[i]["weight"] != before["weight"])
+    starts = """if(size(es) > 0, filter(sequence(0, size(es) - 1), i ->
+        i = 0 or es[i].term <> es[greatest(i - 1, 0)].term
+        or es[i].weight <> es[greatest(i - 1, 0)].weight), cast(array() as array<int>))"""
+    runs = """transform(firsts, (first, k) -> named_struct(
+        'term', es[first].term, 'weight', es[first].weight,
+        'positions', transform(
+            slice(es, first + 1, coalesce(get(firsts, k + 1), size(es)) - first), e -> e.pos)))"""
+    return let("es", f"sort_array({entries})", let("firsts", starts, runs))
 
-        starts = F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), starts_run)) \
-            .otherwise(F.array().cast("array<int>"))
-        return let(starts, lambda at: F.transform(at, lambda start, k: F.struct(
-            rows[start]["term"].alias("term"),
-            rows[start]["weight"].alias("weight"),
-            F.transform(F.slice(rows, start + 1, F.coalesce(F.get(at, k + 1), size) - start),
-                        lambda e: e["pos"]).alias("positions"))))
 
-    return let(F.sort_array(entries), runs)
+def document_entry() -> str:
+    """The posting that stands for the document itself."""
+    return f"named_struct('term', '{ANY_DOCUMENT}', 'weight', 'D', 'positions', array(0))"
 
 
-def lexemes(df: DataFrame, raw: Column, config: str, to: str) -> DataFrame:
+def with_lexemes(df: DataFrame, raw: str, config: str, to: str) -> DataFrame:
     """Add the lexeme of each word of a string array, in place: a stop word becomes ``''``."""
-    lowered = F.transform(raw, lambda w: F.lower(w))
     if config == "english":
         ship_package(df.sparkSession)
-        kept = F.transform(lowered, lambda w: F.when(w.isin(STOP_WORDS), "").otherwise(w))
+        kept = F.expr(f"""transform({raw}, w ->
+            if(lower(w) in ({text_list(STOP_WORDS)}), '', lower(w)))""")
         return df.withColumn(to, stem_all(kept))
-    return df.withColumn(to, lowered)
+    return df.withColumn(to, F.expr(f"transform({raw}, w -> lower(w))"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.functions.analysis import lexemes, let
+from trawl.functions.analysis import let, with_lexemes
 from trawl.plans.requests import Requests
 from trawl.session import join_requests
 
@@ -22,40 +22,31 @@ def headlines(requests: Requests, matched: DataFrame, df: DataFrame, key: str, t
     """
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
     rows = matched.select("query_id", "doc_id").join(docs, "doc_id")
-    rows = join_requests(rows, requests.rows.select("query_id", F.col("terms").alias("_terms")),
+    rows = join_requests(rows, requests.rows.selectExpr("query_id", "terms as _terms"),
                          ["query_id"], F.col("doc_id"), requests.small)
-    rows = (rows.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD_AND_GAP), 1))
-            .withColumn("_gaps", F.regexp_extract_all("_text", F.lit(WORD_AND_GAP), 2)))
-    rows = lexemes(rows, F.col("_words"), requests.config, "_lexemes")
-    marked = F.transform("_words", lambda w, i: F.when(
-        F.array_contains("_terms", F.get("_lexemes", i)),
-        F.concat(F.lit(start), w, F.lit(stop))).otherwise(w))
-    return (rows.withColumn("_marked", marked)
-            .select("query_id", "doc_id", _excerpt(max_words, min_words).alias("headline")))
-
-
-def _excerpt(max_words: int, min_words: int) -> Column:
-    size = F.size("_lexemes")
-    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)) \
-        .otherwise(F.array().cast("array<int>"))
-    hits = F.filter(places, lambda i: F.array_contains("_terms", F.get("_lexemes", i)))
-
-    def richness(i):
-        window = F.slice("_lexemes", i + 1, F.lit(max_words))
-        distinct = F.array_distinct(F.filter(window, lambda t: F.array_contains("_terms", t)))
-        return F.struct(F.size(distinct).alias("n"), (-i).alias("at"))
-
-    def piece(span):
-        first, last = span["first"], span["last"]
-        return F.array_join(F.transform(F.sequence(first, last), lambda i: F.concat(
-            F.get("_marked", i),
-            F.when(i < last, F.get("_gaps", i)).otherwise(F.lit("")))), "")
-
-    best = F.array_max(F.transform(hits, richness))
-    at = -best["at"]
+    rows = rows.selectExpr(
+        "query_id", "doc_id", "_terms",
+        f"regexp_extract_all(coalesce(_text, ''), r'{WORD_AND_GAP}', 1) as _words",
+        f"regexp_extract_all(coalesce(_text, ''), r'{WORD_AND_GAP}', 2) as _gaps")
+    rows = with_lexemes(rows, "_words", requests.config, "_lexemes")
+    excerpt = F.expr(_excerpt(max_words, min_words))
+    marks = F.create_map(F.lit("start"), F.lit(start), F.lit("stop"), F.lit(stop))
+    return rows.withColumn("_marks", marks).select("query_id", "doc_id", excerpt.alias("headline"))
+
+
+def _excerpt(max_words: int, min_words: int) -> str:
+    size = "size(_lexemes)"
+    hits = f"""filter(if({size} > 0, sequence(0, {size} - 1), cast(array() as array<int>)),
+        i -> array_contains(_terms, _lexemes[i]))"""
+    richest = f"""array_max(transform({hits}, i -> named_struct('n', size(array_distinct(filter(
+        slice(_lexemes, i + 1, {max_words}), t -> array_contains(_terms, t)))), 'at', -i)))"""
     # Near the end of a text the window starts earlier, to reach min_words.
-    first = F.when(best.isNull(), F.lit(0)).otherwise(
-        F.greatest(F.least(at, size - min_words), F.lit(0)))
-    last = F.least(F.when(best.isNull(), F.lit(min_words)).otherwise(first + max_words), size) - 1
-    return F.when(size == 0, F.lit("")).otherwise(
-        let(F.struct(first.alias("first"), last.alias("last")), piece))
+    span = let("best", richest, f"""named_struct(
+        'first', if(best is null, 0, greatest(least(-best.at, {size} - {min_words}), 0)),
+        'words', if(best is null, {min_words}, {max_words}))""")
+    window = let("span", span, f"sequence(span.first, least(span.first + span.words, {size}) - 1)")
+    text = """array_join(transform(at, i -> concat(
+        if(array_contains(_terms, _lexemes[i]),
+           concat(_marks['start'], _words[i], _marks['stop']), _words[i]),
+        if(i < try_element_at(at, -1), _gaps[i], ''))), '')"""
+    return f"if({size} = 0, '', {let('at', window, text)})"

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.functions.analysis import ANY_DOCUMENT, grouped, with_entries
+from trawl.functions.analysis import (ANY_DOCUMENT, document_entry, grouped, let, text_list,
+                                      with_entries)
 from trawl.plans.requests import Requests
 from trawl.session import join_requests, spread, stored
 from trawl.sources.term_index import TermIndex, read_postings
@@ -33,17 +34,16 @@ class Scan:
         columns = [name for name, _ in self.fields]
         df = with_entries(spread(self.df.select(self.key, *columns), self.key), self.fields,
                           requests.config)
-        entries = F.col("entries")
+        entries = "entries"
         if requests.small:
-            entries = F.filter(entries, lambda e: e["term"].isin(list(requests.terms)))
+            entries = f"filter(entries, e -> e.term in ({text_list(requests.terms)}))"
         if positions:
-            found = F.concat(grouped(entries), F.array(F.struct(
-                F.lit(ANY_DOCUMENT).alias("term"), F.lit("D").alias("weight"),
-                F.array(F.lit(0)).alias("positions"))))
+            found = f"array_append({grouped(entries)}, {document_entry()})"
         else:
-            terms = F.array_append(F.transform(entries, lambda e: e["term"]), ANY_DOCUMENT)
-            found = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term")))
-        return df.select(F.col(self.key).alias("doc_id"), found.alias("found"))
+            found = f"""transform(array_distinct(array_append(
+                transform({entries}, e -> e.term), '{ANY_DOCUMENT}')),
+                t -> named_struct('term', t))"""
+        return df.selectExpr(f"`{self.key}` as doc_id", f"{found} as found")
 
 
 @dataclass(frozen=True)
@@ -72,24 +72,20 @@ def matches(requests: Requests, corpus: Scan | Lookup, detail: bool = False) ->
     """
     positions = detail or requests.phrases
     documents = corpus.documents(requests, positions).withColumn(
-        "here", F.array_distinct(F.col("found.term")))
+        "here", F.expr("array_distinct(found.term)"))
     pairs = _broadcast_pairs(requests, documents) if requests.small \
         else _shuffled_pairs(requests, documents)
     # A document may hold several leads of a request; the pair is taken at the first of them.
-    first = F.get(F.filter("leads", lambda t: F.array_contains("here", t)), F.lit(0))
-    pairs = pairs.where(F.col("term") == first).withColumn(
-        "here", F.array_intersect("terms", "here"))
-    if positions:
-        pairs = pairs.withColumn("found", F.filter(
-            "found", lambda f: F.array_contains("here", f["term"])))
-    kept = pairs.where(_holds(positions))
-    return kept if detail else kept.select("query_id", "doc_id")
+    first_lead = "term = get(filter(leads, t -> array_contains(here, t)), 0)"
+    kept = pairs.where(f"{first_lead} and {_holds(positions)}")
+    if not detail:
+        return kept.select("query_id", "doc_id")
+    return kept.withColumn("found", F.expr("filter(found, f -> array_contains(terms, f.term))"))
 
 
 def _broadcast_pairs(requests: Requests, documents: DataFrame) -> DataFrame:
-    leads = F.filter("here", lambda t: t.isin(list(requests.leads)))
-    return documents.withColumn("term", F.explode(leads)).join(
-        F.broadcast(requests.by_lead), "term")
+    leads = F.expr(f"explode(filter(here, t -> t in ({text_list(requests.leads)})))")
+    return documents.withColumn("term", leads).join(F.broadcast(requests.by_lead), "term")
 
 
 def _shuffled_pairs(requests: Requests, documents: DataFrame) -> DataFrame:
@@ -102,29 +98,20 @@ def _shuffled_pairs(requests: Requests, documents: DataFrame) -> DataFrame:
                          F.col("doc_id"), small=False)
 
 
-def _holds(positions: bool) -> Column:
-    present = F.transform(F.filter("items", _present if positions else _word_present),
-                          lambda i: i["item_id"])
-    return F.exists("clauses", lambda c: (F.size(F.array_except(c["need"], present)) == 0)
-                    & ~F.arrays_overlap(c["avoid"], present))
-
-
-def _word_present(item: Column) -> Column:
-    return F.array_contains("here", item["terms"][0]["term"])
-
-
-def _present(item: Column) -> Column:
-    """A word occurs, or all words of a phrase occur at their distances from one start."""
-    def starts(term):
-        return F.flatten(F.transform(
-            F.filter("found", lambda f: f["term"] == term["term"]),
-            lambda f: F.transform(f["positions"], lambda p: p - term["offset"])))
-
-    terms = item["terms"]
-    every_word = F.forall(terms, lambda t: F.array_contains("here", t["term"]))
-    common = F.aggregate(F.slice(terms, 2, F.size(terms)), starts(terms[0]),
-                         lambda at, term: F.array_intersect(at, starts(term)))
-    return every_word & ((F.size(terms) == 1) | (F.size(common) > 0))
+def _holds(positions: bool) -> str:
+    """Whether a pair's request holds, from the request's terms that the document has."""
+    # A phrase holds when all its words occur at their distances from one start.
+    starts = """flatten(transform(filter(found, f -> f.term = t.term),
+        f -> transform(f.positions, p -> p - t.offset)))"""
+    common = f"""aggregate(slice(i.terms, 2, size(i.terms)),
+        {let("t", "i.terms[0]", starts)}, (at, t) -> array_intersect(at, {starts}))"""
+    present = "forall(i.terms, t -> array_contains(mine, t.term))"
+    if positions:
+        present += f" and (size(i.terms) = 1 or size({common}) > 0)"
+    decided = let("present", f"transform(filter(items, i -> {present}), i -> i.item_id)",
+                  """exists(clauses, c -> size(array_except(c.need, present)) = 0
+                  and not arrays_overlap(c.avoid, present))""")
+    return let("mine", "array_intersect(terms, here)", decided)
 
 
 def counts(requests: Requests, matched: DataFrame) -> DataFrame:

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from trawl.functions.analysis import ANY_DOCUMENT, grouped, with_entries
+from trawl.functions.analysis import document_entry, grouped, with_entries
 from trawl.session import spread
 
 
 def text_tokens(df: DataFrame, key: str, text: str, config: str = "simple") -> DataFrame:
     """(doc_id, pos, term), one row per kept word."""
     return (with_entries(spread(df.select(key, text), key), [(text, "D")], config)
-            .select(F.col(key).alias("doc_id"), F.explode("entries").alias("e"))
-            .select("doc_id", "e.pos", "e.term"))
+            .selectExpr(f"`{key}` as doc_id", "inline(entries)").select("doc_id", "pos", "term"))
 
 
 def text_postings(df: DataFrame, key: str, fields: list[tuple[str, str]],
@@ -24,10 +22,8 @@ def text_postings(df: DataFrame, key: str, fields: list[tuple[str, str]],
     """
     columns = [name for name, _ in fields]
     entries = with_entries(spread(df.select(key, *columns), key), fields, config)
-    rows = grouped(F.col("entries"))
+    rows = grouped("entries")
     if with_documents:
-        rows = F.concat(rows, F.array(F.struct(
-            F.lit(ANY_DOCUMENT).alias("term"), F.lit("D").alias("weight"),
-            F.array(F.lit(0)).alias("positions"))))
-    return (entries.select(F.col(key).alias("doc_id"), F.explode(rows).alias("p"))
-            .select("p.term", "doc_id", "p.weight", "p.positions"))
+        rows = f"array_append({rows}, {document_entry()})"
+    return (entries.selectExpr(f"`{key}` as doc_id", f"inline({rows})")
+            .select("term", "doc_id", "weight", "positions"))

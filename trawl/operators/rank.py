@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.analysis import ANY_DOCUMENT, let
@@ -21,10 +20,10 @@ NO_PAIR = 1e-20
 
 def ranked(requests: Requests, corpus: Scan | Lookup) -> DataFrame:
     """(query_id, doc_id, rank) of every match; adds no shuffle to matching."""
-    terms = F.array_remove("terms", ANY_DOCUMENT)
-    by_pairs = ~F.col("top_op").isin("or", "not") & (F.size(terms) > 1)
-    rank = F.when(by_pairs, _pair_score()).otherwise(let(terms, _term_score))
-    return matches(requests, corpus, detail=True).select("query_id", "doc_id", rank.alias("rank"))
+    score = let("wanted", f"array_remove(terms, '{ANY_DOCUMENT}')", f"""
+        if(top_op in ('or', 'not') or size(wanted) < 2, {_term_score()}, {_pair_score()})""")
+    return matches(requests, corpus, detail=True).select(
+        "query_id", "doc_id", F.expr(score).alias("rank"))
 
 
 def best_first(scored: DataFrame) -> DataFrame:
@@ -46,75 +45,47 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return shares.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _weight(label: Column) -> Column:
-    value = F.lit(WEIGHTS["D"])
-    for name in "CBA":
-        value = F.when(label == name, F.lit(WEIGHTS[name])).otherwise(value)
-    return value
-
-
-def _occurrences(found: Column) -> Column:
+def _occurrences(found: str) -> str:
     """``array<struct<pos, term, w>>`` in position order."""
-    return F.sort_array(F.flatten(F.transform(found, lambda f: F.transform(
-        f["positions"], lambda p: F.struct(
-            p.alias("pos"), f["term"].alias("term"), _weight(f["weight"]).alias("w"))))))
+    labels = " ".join(f"when '{label}' then {w}D" for label, w in WEIGHTS.items())
+    return f"""sort_array(flatten(transform({found}, f -> transform(f.positions, p ->
+        named_struct('pos', p, 'term', f.term, 'w', case f.weight {labels} end)))))"""
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+def _sum(values: str) -> str:
+    return f"aggregate({values}, 0D, (total, value) -> total + value)"
 
 
-def _term_score(terms: Column) -> Column:
+def _term_score() -> str:
     """Mean over the request's terms of a weighted, damped occurrence sum."""
-    def one(weights):
-        best = F.array_max(weights)
-        damped = _sum(F.transform(weights, lambda w, j: w / ((j + 1) * (j + 1))))
-        first = F.array_position(weights, best)
-        return F.when(F.size(weights) == 0, F.lit(0.0)).otherwise(
-            (best + damped - best / (first * first)) / F.lit(HARMONIC))
-
-    def of_term(term):
-        found = F.filter("found", lambda f: f["term"] == term)
-        return let(F.transform(_occurrences(found), lambda o: o["w"]), one)
-
-    return _sum(F.transform(terms, of_term)) / F.size(terms)
+    weights = f"transform({_occurrences('filter(found, f -> f.term = word)')}, o -> o.w)"
+    damped = _sum("transform(ws, (w, j) -> w / ((j + 1D) * (j + 1D)))")
+    one = let("best", "array_max(ws)", f"""(best + {damped}
+        - best / pow(array_position(ws, best), 2)) / {HARMONIC}D""")
+    each = let("ws", weights, f"if(size(ws) = 0, 0D, {one})")
+    return f"{_sum(f'transform(wanted, word -> {each})')} / size(wanted)"
 
 
-def _pair_score() -> Column:
+def _pair_score() -> str:
     """1 - prod(1 - c) over pairs of occurrences of two different terms.
 
     c falls with the distance and is a constant times the weights' root beyond NEAR. Positions
     are unique within a document, so the near partners of an occurrence are among the next
     NEAR entries; all further pairs are summed in closed form from per-term totals.
     """
-    def near(all_, x, i):
-        partners = F.filter(F.slice(all_, i + 2, NEAR), lambda y:
-                            (y["term"] != x["term"]) & (y["pos"] - x["pos"] <= NEAR))
-
-        def add(acc, y):
-            root = F.sqrt(x["w"] * y["w"])
-            damp = F.sqrt(F.lit(1.005) + F.lit(0.05) * F.exp((y["pos"] - x["pos"]) / 1.5 - 2))
-            return F.struct((acc["log"] + F.log1p(-root / damp)).alias("log"),
-                            (acc["root"] + root).alias("root"))
-
-        return F.aggregate(partners, _zero(), add)
-
-    def score(all_):
-        pairs = F.aggregate(F.transform(all_, lambda x, i: near(all_, x, i)), _zero(),
-                            lambda a, b: F.struct((a["log"] + b["log"]).alias("log"),
-                                                  (a["root"] + b["root"]).alias("root")))
-        terms = F.array_distinct(F.transform(all_, lambda o: o["term"]))
-        totals = F.transform(terms, lambda t: _sum(F.transform(
-            F.filter(all_, lambda o: o["term"] == t), lambda o: F.sqrt(o["w"]))))
-        every_root = let(totals, lambda s: (
-            F.pow(_sum(s), F.lit(2)) - _sum(F.transform(s, lambda x: x * x))) / 2)
-        far = let(pairs, lambda p: p["log"] - F.lit(FAR_ROOT)
-                  * F.greatest(every_root - p["root"], F.lit(0.0)))
-        return F.when(F.size(terms) < 2, F.lit(NO_PAIR)).otherwise(-F.expm1(far))
-
-    real = F.filter("found", lambda f: f["term"] != ANY_DOCUMENT)
-    return let(_occurrences(real), score)
-
-
-def _zero() -> Column:
-    return F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("root"))
+    zero = "named_struct('log', 0D, 'root', 0D)"
+    near = f"""aggregate(
+        filter(slice(occ, i + 2, {NEAR}), y -> y.term <> x.term and y.pos - x.pos <= {NEAR}), {zero},
+        (sums, y) -> named_struct(
+            'log', sums.log + log1p(-sqrt(x.w * y.w
+                / (1.005D + 0.05D * exp((y.pos - x.pos) / 1.5D - 2D)))),
+            'root', sums.root + sqrt(x.w * y.w)))"""
+    pairs = f"""aggregate(transform(occ, (x, i) -> {near}), {zero}, (a, b) ->
+        named_struct('log', a.log + b.log, 'root', a.root + b.root))"""
+    totals = f"""transform(array_distinct(transform(occ, o -> o.term)), word ->
+        {_sum("transform(filter(occ, o -> o.term = word), o -> sqrt(o.w))")})"""
+    every_root = f"(pow({_sum('roots')}, 2) - {_sum('transform(roots, r -> r * r)')}) / 2"
+    score = let("near", pairs, f"""-expm1(
+        near.log - {FAR_ROOT}D * greatest({every_root} - near.root, 0D))""")
+    scored = let("roots", totals, f"if(size(roots) < 2, {NO_PAIR}D, {score})")
+    return let("occ", _occurrences(f"filter(found, f -> f.term <> '{ANY_DOCUMENT}')"), scored)

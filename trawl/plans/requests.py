@@ -17,11 +17,11 @@ import re
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.analysis import ANY_DOCUMENT, STOP_WORDS, let, with_entries
-from trawl.session import pinned
+from trawl.session import local_table, pinned
 
 ANY_ITEM = -1
 WEB_PIECE = r'-*"[^"]*"|[^\s"]+'
@@ -51,109 +51,89 @@ class Requests:
 def _asked(spark: SparkSession, requests) -> DataFrame:
     if isinstance(requests, DataFrame):
         return requests.select("query_id", "text")
-    return spark.createDataFrame(list(requests.items()), ["query_id", "text"])
+    return local_table(spark, query_id=list(requests), text=list(requests.values()))
 
 
 def plain(spark: SparkSession, requests, config: str = "english") -> Requests:
     """Every word of the text, whatever its punctuation. ``requests``: dict or DataFrame."""
     asked = _asked(spark, requests)
-    words = with_entries(asked, [("text", "D")], config).select(
-        "query_id", F.lit("and").alias("top_op"), F.lit(0).alias("clause_id"),
-        F.posexplode("entries").alias("item_id", "entry"), F.lit(False).alias("negated"))
+    words = with_entries(asked, [("text", "D")], config).selectExpr(
+        "query_id", "'and' as top_op", "0 as clause_id", "posexplode(entries) as (item_id, entry)",
+        "false as negated")
     return _requests(asked, words, config)
 
 
 def web(spark: SparkSession, requests, config: str = "english") -> Requests:
     """Search-box style: ``"a phrase"``, ``-unwanted``, ``OR``, other words all wanted."""
     asked = _asked(spark, requests)
-
-    def clause_numbers(pieces):
-        def is_or(piece, i):
-            inside = (i > 0) & (i < F.size(pieces) - 1)
-            after_word = F.lower(F.get(pieces, i - 1)) != "or"
-            return ((F.lower(piece) == "or") & inside & after_word).cast("int")
-
-        return let(F.transform(pieces, is_or), lambda ors: F.transform(pieces, lambda p, i: F.struct(
-            F.aggregate(F.slice(ors, 1, i + 1), F.lit(0), lambda a, x: a + x).alias("clause_id"),
-            (F.get(ors, i) == 1).alias("is_or"),
-            p.startswith("-").alias("negated"),
-            p.alias("piece"))))
-
-    pieces = F.regexp_extract_all("text", F.lit(WEB_PIECE), 0)
-    parts = (asked.select("query_id", F.posexplode(let(pieces, clause_numbers)).alias("item_id", "p"))
-             .where(~F.col("p.is_or"))
-             .select("query_id", F.lit("web").alias("top_op"), "p.clause_id", "item_id",
-                     F.col("p.piece").alias("text"), "p.negated"))
-    return _requests(asked, _analysed(parts, config), config)
+    # OR separates clauses where a piece stands before and after it.
+    ors = """transform(ps, (p, i) -> if(lower(p) = 'or' and i between 1 and size(ps) - 2
+        and lower(ps[greatest(i - 1, 0)]) <> 'or', 1, 0))"""
+    parts = let("ors", ors, """transform(ps, (p, i) -> named_struct(
+        'clause_id', aggregate(slice(ors, 1, i + 1), 0, (a, x) -> a + x),
+        'is_or', ors[i] = 1, 'negated', startswith(p, '-'), 'text', p))""")
+    pieces = let("ps", f"regexp_extract_all(text, r'{WEB_PIECE}', 0)", parts)
+    rows = (asked.selectExpr("query_id", f"posexplode({pieces}) as (item_id, p)")
+            .where("not p.is_or").selectExpr("query_id", "'web' as top_op", "p.clause_id",
+                                             "item_id", "p.text", "p.negated"))
+    return _requests(asked, _analysed(rows, config), config)
 
 
 def strict(spark: SparkSession, requests: dict, config: str = "english") -> Requests:
     """Written with ``&``, ``|``, ``!``, ``<->`` and parentheses. ``requests``: a dict."""
     asked = _asked(spark, requests)
+    names = ["query_id", "top_op", "clause_id", "item_id", "text", "negated"]
     parts = [(query_id, *part) for query_id, text in requests.items()
              for part in _strict_parts(text, config)]
-    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, " \
-             "top_op string, clause_id int, item_id int, text string, negated boolean"
-    return _requests(asked, _analysed(spark.createDataFrame(parts, schema), config), config)
+    # A request without words keeps the columns typed; analysis drops it again.
+    parts.append((next(iter(requests), ""), "and", 0, 0, "", False))
+    table = local_table(spark, **dict(zip(names, map(list, zip(*parts)))))
+    return _requests(asked, _analysed(table, config), config)
 
 
 def _analysed(parts: DataFrame, config: str) -> DataFrame:
-    return with_entries(parts, [("text", "D")], config).select(
-        "query_id", "top_op", "clause_id", "item_id", F.explode("entries").alias("entry"),
-        "negated")
+    return with_entries(parts, [("text", "D")], config).selectExpr(
+        "query_id", "top_op", "clause_id", "item_id", "explode(entries) as entry", "negated")
 
 
 def _requests(asked: DataFrame, words: DataFrame, config: str) -> Requests:
     """Nest one row per analysed word into one row per request. A request's words are few."""
     clause = ["query_id", "top_op", "clause_id"]
-    terms = F.sort_array(F.collect_list(F.struct("entry.pos", "entry.term")))
     items = (words.repartition("query_id").groupBy(*clause, "item_id", "negated")
-             .agg(terms.alias("at"))
-             .select(*clause, "negated", "item_id", F.transform("at", lambda t: F.struct(
-                 (t["pos"] - F.col("at")[0]["pos"]).alias("offset"), t["term"].alias("term")))
-                 .alias("terms")))
+             .agg(F.expr("sort_array(collect_list(struct(entry.pos, entry.term)))").alias("at"))
+             .selectExpr(*clause, "negated", "item_id", """transform(at, t ->
+                 named_struct('offset', t.pos - at[0].pos, 'term', t.term)) as terms"""))
     clauses = items.groupBy(*clause).agg(
-        F.collect_list(F.struct("item_id", "terms")).alias("items"),
-        F.collect_list(F.when(~F.col("negated"), F.col("item_id"))).alias("need"),
-        F.collect_list(F.when(F.col("negated"), F.col("item_id"))).alias("avoid"))
+        F.expr("collect_list(struct(item_id, terms))").alias("items"),
+        F.expr("collect_list(if(negated, null, item_id))").alias("need"),
+        F.expr("collect_list(if(negated, item_id, null))").alias("avoid"))
     # A clause of exclusions only starts from all documents.
-    need = F.when(F.size("need") == 0, F.array(F.lit(ANY_ITEM))).otherwise(F.col("need"))
-    everything = F.array(F.struct(
-        F.lit(ANY_ITEM).alias("item_id"),
-        F.array(F.struct(F.lit(0).alias("offset"), F.lit(ANY_DOCUMENT).alias("term")))
-        .alias("terms")))
     rows = clauses.groupBy("query_id", "top_op").agg(
-        F.flatten(F.collect_list("items")).alias("items"),
-        F.collect_list(F.struct(need.alias("need"), "avoid")).alias("clauses"))
-    alone = F.size("clauses") == 1
-    web_op = (F.when(~alone, "or")
-              .when((F.size("items") == 1) & (F.size(F.col("clauses")[0]["avoid"]) == 1), "not")
-              .otherwise("and"))
-    rows = rows.select(
-        "query_id",
-        F.when(F.col("top_op") == "web", web_op).otherwise(F.col("top_op")).alias("top_op"),
-        F.when(F.exists("clauses", lambda c: F.array_contains(c["need"], ANY_ITEM)),
-               F.concat("items", everything)).otherwise(F.col("items")).alias("items"),
-        "clauses")
-    rows = rows.withColumn("terms", F.array_distinct(F.flatten(
-        F.transform("items", lambda i: i["terms"]["term"])))).withColumn(
-        "leads", F.array_distinct(F.transform("clauses", _lead)))
+        F.expr("flatten(collect_list(items))").alias("items"),
+        F.expr(f"""collect_list(named_struct('need',
+            if(size(need) = 0, array({ANY_ITEM}), need), 'avoid', avoid))""").alias("clauses"))
+    everything = f"""array(named_struct('item_id', {ANY_ITEM},
+        'terms', array(named_struct('offset', 0, 'term', '{ANY_DOCUMENT}'))))"""
+    rows = rows.selectExpr(
+        "query_id", """case when top_op <> 'web' then top_op when size(clauses) > 1 then 'or'
+            when size(items) = 1 and size(clauses[0].avoid) = 1 then 'not' else 'and' end top_op""",
+        f"""if(exists(clauses, c -> array_contains(c.need, {ANY_ITEM})),
+            concat(items, {everything}), items) as items""", "clauses")
+    lead = """array_max(flatten(transform(
+        filter(items, i -> array_contains(c.need, i.item_id)),
+        i -> transform(i.terms, t -> struct(length(t.term) as n, t.term as term))))).term"""
+    rows = rows.selectExpr(
+        "*", "array_distinct(flatten(transform(items, i -> i.terms.term))) as terms",
+        f"array_distinct(transform(clauses, c -> {lead})) as leads")
     table, head = pinned(rows, "requests")
     if head is None:
         return Requests(asked, table, config, None, None, True)
-    terms = {t for r in head for t in r["terms"]}
-    leads = {t for r in head for t in r["leads"]}
-    phrases = any(len(i.terms) > 1 for r in head for i in r["items"])
+    terms = {t for row in head["terms"].to_pylist() for t in row}
+    leads = {t for row in head["leads"].to_pylist() for t in row}
+    phrases = any(len(i["terms"]) > 1 for row in head["items"].to_pylist() for i in row)
     return Requests(asked, table, config, tuple(sorted(terms)), tuple(sorted(leads)), phrases)
 
 
-def _lead(clause: Column) -> Column:
-    needed = F.filter("items", lambda i: F.array_contains(clause["need"], i["item_id"]))
-    longest = F.array_max(F.flatten(F.transform(needed, lambda i: F.transform(
-        i["terms"], lambda t: F.struct(F.length(t["term"]).alias("n"), t["term"].alias("term"))))))
-    return longest["term"]
-
-
 # ---- the strict notation: its operators rank as Python's ~ >> & | do, so Python reads them
 
 def _strict_parts(text: str, config: str) -> list[tuple]:

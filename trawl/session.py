@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +37,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pinned(df: DataFrame, name: str) -> tuple[DataFrame, list | None]:
+def pinned(df: DataFrame, name: str) -> tuple[DataFrame, pa.Table | None]:
     """Evaluate a table that is expected to be small, once.
 
     Returns the table and its rows when there are at most ``SMALL_ROWS`` of them; a larger
     table is stored and returned without rows, so that callers join it by shuffle.
     """
-    head = df.limit(SMALL_ROWS + 1).collect()
-    if len(head) > SMALL_ROWS:
+    head = df.limit(SMALL_ROWS + 1).toArrow()
+    if head.num_rows > SMALL_ROWS:
         return stored(df, name), None
     return df.sparkSession.createDataFrame(head, df.schema), head
 
 
+def local_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """A few values given on the driver, as a local relation."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def join_requests(big: DataFrame, requests: DataFrame, on: list[str], spread_by: Column,
                   small: bool) -> DataFrame:
     """Equi-join a large table with request rows.
