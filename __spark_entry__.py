@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from trawl.functions import jsonb  # noqa: E402
-from trawl.functions.jsonpaths import KEY_PATH  # noqa: E402
+from trawl.functions.jsonpaths import KEY  # noqa: E402
 from trawl.operators import headline, json_search, match, postings, rank  # noqa: E402
 from trawl.plans import requests as ask  # noqa: E402
 from trawl.session import ship_package, work_folder  # noqa: E402
@@ -175,7 +175,7 @@ def _headline(spark: SparkSession, sf: str) -> DataFrame:
 
 def _where(test: Callable, source: Callable = _products, key: str = "p_partkey",
            column: str = "attrs") -> Callable:
-    return lambda spark, sf: source(spark, sf).where(test(F.col(column))).select(key).orderBy(key)
+    return lambda spark, sf: source(spark, sf).where(test(column)).select(key).orderBy(key)
 
 
 def _has(pattern) -> Callable:
@@ -197,7 +197,7 @@ PATTERNS = {
 
 def _event_number(spark: SparkSession, sf: str) -> DataFrame:
     good, _ = tables.split_bad_json(_table(spark, sf, "events"), "props", "v")
-    return good.where(jsonb.contains(F.col("v"), {"k": 69})).select("event_id")
+    return good.where(jsonb.contains("v", {"k": 69})).select("event_id")
 
 
 def _json_reject(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,16 +209,21 @@ def _json_reject(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _json_contained_by(spark: SparkSession, sf: str) -> DataFrame:
-    return _priced(spark, sf).where(jsonb.contained_by(F.col("v"), {
+    return _priced(spark, sf).where(jsonb.contained_by("v", {
         "terms": {"price": None, "level": "1-URGENT"}, "other": 1})).select("o_orderkey")
 
 
-def _json_path_index(spark: SparkSession, sf: str) -> DataFrame:
+def _path_index(spark: SparkSession, products: DataFrame) -> path_index.PathIndex:
     index = path_index.PathIndex(work_folder(spark, "paths"), "p_partkey", "attrs", 16)
-    path_index.build_path_index(_products(spark, sf), index)
+    path_index.build_path_index(products, index)
+    return index
+
+
+def _json_path_index(spark: SparkSession, sf: str) -> DataFrame:
+    index = _path_index(spark, _products(spark, sf))
     return path_index.read_entries(spark, index).where(
         F.col("path").isin('$."brand"', '$."tags"[]', '$."specs"."size"', '$."marks"[]."n"',
-                           KEY_PATH)).groupBy("path", "vtype", "value").agg(
+                           KEY)).groupBy("path", "vtype", "value").agg(
         F.count("*").alias("n_rows"))
 
 
@@ -226,13 +231,10 @@ def _json_batch(indexed: bool) -> Callable:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         products = _products(spark, sf)
         wanted = json_search.patterns(spark, PATTERNS)
+        corpus = json_search.JsonScan(products, "p_partkey", "attrs")
         if indexed:
-            index = path_index.PathIndex(work_folder(spark, "paths"), "p_partkey", "attrs", 16)
-            path_index.build_path_index(products, index)
-            entries = json_search.index_entries(wanted, index)
-        else:
-            entries = json_search.scan_entries(products, "p_partkey", "attrs")
-        return json_search.json_matches(wanted, entries, products, "p_partkey", "attrs")
+            corpus = json_search.JsonLookup(_path_index(spark, products), products)
+        return json_search.json_matches(wanted, corpus)
 
     return run
 
@@ -244,26 +246,21 @@ def _json_batch_table(spark: SparkSession, sf: str) -> DataFrame:
         F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_type").alias("category")))
         .alias("pattern"))
     products = _products(spark, sf)
-    wanted = json_search.patterns(spark, pairs)
-    entries = json_search.scan_entries(products, "p_partkey", "attrs")
-    return json_search.json_matches(wanted, entries, products, "p_partkey", "attrs")
+    return json_search.json_matches(json_search.patterns(spark, pairs),
+                                    json_search.JsonScan(products, "p_partkey", "attrs"))
 
 
 def _json_keys(spark: SparkSession, sf: str) -> DataFrame:
     products = _products(spark, sf)
-    index = path_index.PathIndex(work_folder(spark, "paths"), "p_partkey", "attrs", 16)
-    path_index.build_path_index(products, index)
-    found = []
-    for name, all_of in (("any", False), ("all", True)):
-        asked = json_search.keys(spark, {name: ["subcategory", "brand"],
-                                         f"{name}_rare": ["subcategory", "absent"]}, all_of)
-        found.append(json_search.json_matches(
-            asked, json_search.index_entries(asked, index), products, "p_partkey", "attrs"))
+    corpus = json_search.JsonLookup(_path_index(spark, products), products)
+    found = [json_search.json_matches(json_search.keys(
+        spark, {name: ["subcategory", "brand"], f"{name}_rare": ["subcategory", "absent"]},
+        all_of), corpus) for name, all_of in (("any", False), ("all", True))]
     return found[0].unionByName(found[1])
 
 
 def _json_fields(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("attrs")
+    v = "attrs"
     return _products(spark, sf).select(
         "p_partkey", jsonb.field(v, "brand").alias("brand"),
         jsonb.field(v, "subcategory").alias("subcategory"),
@@ -273,8 +270,7 @@ def _json_fields(spark: SparkSession, sf: str) -> DataFrame:
 def _json_names(spark: SparkSession, sf: str) -> DataFrame:
     products = _products(spark, sf)
     wanted = json_search.patterns(spark, PATTERNS)
-    found = json_search.json_matches(wanted, json_search.scan_entries(
-        products, "p_partkey", "attrs"), products, "p_partkey", "attrs")
+    found = json_search.json_matches(wanted, json_search.JsonScan(products, "p_partkey", "attrs"))
     lists = json_search.name_lists(found, products, "p_partkey", "p_name", 500)
     return lists.select("query_id", "chunk", F.concat_ws(",", "names").alias("names"))
 

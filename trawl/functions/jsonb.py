@@ -2,7 +2,8 @@
 
 The pattern is known when the query is written, so it is unrolled into path extractions that
 Spark pushes into the Parquet scan. Casts from variant are lenient (the string "32" reads as
-the number 32), so every test also checks the stored type.
+the number 32), so every test also checks the stored type. ``value`` is a column name or any
+other SQL expression of type variant.
 """
 
 from __future__ import annotations
@@ -10,106 +11,96 @@ from __future__ import annotations
 import json
 import re
 from decimal import Decimal
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trawl.functions.analysis import let
+from trawl.functions.analysis import let, text_list
 
 OBJECT = "map<string,variant>"
 ARRAY = "array<variant>"
-NUMBER_TYPES = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
+NUMBER_TYPES = "^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
 
 
-def number_text(value: Column) -> Column:
+def get(value: str, path: str, kind: str) -> str:
+    return f"try_variant_get({value}, {text_list([path])}, '{kind}')"
+
+
+def number_text(value: str) -> str:
     """One spelling per numeric value: 1, 1.0 and 1e0 all give ``1``; NULL for other types.
 
     Integers and decimals are exact. A double is spelled out when one of a few decimal shapes
     holds it without loss, and is left in scientific form otherwise.
     """
-    stored = F.schema_of_variant(value)
-    double = F.try_variant_get(value, "$", "double")
-
-    def as_decimal(scale):
-        exact = F.try_variant_get(value, "$", f"decimal(38,{scale})")
-        return F.when(exact.cast("double") == double, exact.cast("string"))
-
-    text = F.when(stored.rlike(r"^(FLOAT|DOUBLE)"), F.coalesce(
-        as_decimal(18), as_decimal(0), as_decimal(37), double.cast("string"))) \
-        .otherwise(F.try_variant_get(value, "$", "string"))
-
-    def trimmed(t):
-        plain = t.rlike(r"^-?\d+\.\d+$")
-        return F.when(plain, F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
-
-    return F.when(stored.rlike(NUMBER_TYPES), let(text, trimmed))
-
-
-def _path(base: str, key: str) -> str | None:
-    """The path of a key below ``base``, or None for keys that the path syntax cannot name."""
+    double = get(value, "$", "double")
+    shapes = [let("d", get(value, "$", f"decimal(38,{scale})"),
+                  f"if(cast(d as double) = {double}, cast(d as string), null)")
+              for scale in (18, 0, 37)]
+    text = f"""if(stored rlike '^(FLOAT|DOUBLE)', coalesce({', '.join(shapes)},
+        cast({double} as string)), {get(value, '$', 'string')})"""
+    trimmed = let("n", text, r"""if(n rlike r'^-?\d+\.\d+$', regexp_replace(n, r'\.?0+$', ''), n)""")
+    return let("stored", f"schema_of_variant({value})",
+               f"if(stored rlike '{NUMBER_TYPES}', {trimmed}, null)")
+
+
+def _child(value: str, base: str, key: str) -> tuple[str, str]:
+    """Where a key's value is: a longer path, or a map entry for keys no path can name."""
     if re.fullmatch(r"[^'\]\\]+", key):
-        return f"{base}['{key}']"
-    return None
+        return value, f"{base}['{key}']"
+    return f"try_element_at({get(value, base, OBJECT)}, {text_list([key])})", "$"
 
 
-def _child(value: Column, base: str, key: str) -> tuple[Column, str]:
-    path = _path(base, key)
-    if path is not None:
-        return value, path
-    return F.try_element_at(F.try_variant_get(value, base, OBJECT), F.lit(key)), "$"
+def _whole(value: str, base: str) -> str:
+    return value if base == "$" else get(value, base, "variant")
 
 
-def _whole(value: Column, base: str) -> Column:
-    return value if base == "$" else F.try_variant_get(value, base, "variant")
-
-
-def _scalar(value: Column, base: str, wanted) -> Column:
+def _scalar(value: str, base: str, wanted) -> str:
     whole = _whole(value, base)
     if wanted is None:
-        return F.is_variant_null(whole)
+        return f"is_variant_null({whole})"
     if isinstance(wanted, bool):
-        return (F.try_variant_get(value, base, "boolean") == F.lit(wanted)) \
-            & (F.schema_of_variant(whole) == "BOOLEAN")
+        return f"({get(value, base, 'boolean')} = {wanted} " \
+               f"and schema_of_variant({whole}) = 'BOOLEAN')"
     if isinstance(wanted, str):
-        return (F.try_variant_get(value, base, "string") == F.lit(wanted)) \
-            & (F.schema_of_variant(whole) == "STRING")
-    same = number_text(whole) == number_text(F.parse_json(F.lit(_number_literal(wanted))))
-    near = Decimal(str(wanted))
-    if abs(near) < Decimal(10) ** 20:
+        return f"({get(value, base, 'string')} = {text_list([wanted])} " \
+               f"and schema_of_variant({whole}) = 'STRING')"
+    literal = str(wanted) if isinstance(wanted, (int, Decimal)) else repr(wanted)
+    same = f"{number_text(whole)} = {number_text(f'''parse_json('{literal}')''')}"
+    number = Decimal(literal)
+    if abs(number) < Decimal(10) ** 20:
         # A test on the extracted number alone, which the scan can use.
-        literal = F.lit(format(near, "f")).cast("decimal(38,18)")
-        same = (F.try_variant_get(value, base, "decimal(38,18)") == literal) & same
-    return same
+        same = f"{get(value, base, 'decimal(38,18)')} = " \
+               f"cast('{format(number, 'f')}' as decimal(38,18)) and {same}"
+    return f"({same})"
+
+
+def _all(tests: list[str]) -> str:
+    return f"({' and '.join(tests)})" if tests else "true"
 
 
-def _number_literal(number) -> str:
-    return str(number) if isinstance(number, (int, Decimal)) else repr(number)
+def _any(tests: list[str]) -> str:
+    return f"({' or '.join(tests)})" if tests else "false"
 
 
-def _holds(value: Column, base: str, pattern) -> Column:
+def _holds(value: str, base: str, pattern, depth: int = 0) -> str:
     if isinstance(pattern, dict):
-        tests = [_holds(*_child(value, base, k), p) for k, p in pattern.items()]
-        return reduce(and_, tests) if tests \
-            else F.try_variant_get(value, base, OBJECT).isNotNull()
+        if not pattern:
+            return f"{get(value, base, OBJECT)} is not null"
+        return _all([_holds(*_child(value, base, k), p, depth) for k, p in pattern.items()])
     if isinstance(pattern, list):
-        array = F.try_variant_get(value, base, ARRAY)
-        tests = [F.exists(array, _element_holds(p)) for p in pattern]
-        return reduce(and_, tests) if tests else array.isNotNull()
+        array, x = get(value, base, ARRAY), f"x{depth}"
+        if not pattern:
+            return f"{array} is not null"
+        return _all([f"exists({array}, {x} -> {_holds(x, '$', p, depth + 1)})" for p in pattern])
     return _scalar(value, base, pattern)
 
 
-def _element_holds(pattern):
-    return lambda x: _holds(x, "$", pattern)
-
-
 def _read(pattern):
     """A pattern given as JSON text is read exactly; other values are taken as they are."""
     return json.loads(pattern, parse_float=Decimal) if isinstance(pattern, str) else pattern
 
 
-def contains(value: Column, pattern) -> Column:
+def contains(value: str, pattern) -> Column:
     """Whether a variant contains a pattern (a dict, a list, or JSON text).
 
     Objects may have more keys, arrays more elements in any order; scalars must agree in type
@@ -118,62 +109,65 @@ def contains(value: Column, pattern) -> Column:
     pattern = _read(pattern)
     test = _holds(value, "$", pattern)
     if not isinstance(pattern, (dict, list)):
-        test = F.coalesce(test, F.lit(False)) | F.coalesce(
-            F.exists(F.try_variant_get(value, "$", ARRAY), _element_holds(pattern)), F.lit(False))
-    return F.coalesce(test, F.lit(False))
+        element = f"exists({get(value, '$', ARRAY)}, x -> {_holds('x', '$', pattern)})"
+        test = f"coalesce({test}, false) or coalesce({element}, false)"
+    return F.expr(f"coalesce({test}, false)" if " or " in test else test)
 
 
-def contained_by(value: Column, document) -> Column:
+def contained_by(value: str, document) -> Column:
     """Whether a variant is contained in a given document (a dict, a list, or JSON text)."""
     document = _read(document)
-    test = _within(value, document)
+    tests = [_within(value, document, 0)]
     if isinstance(document, list):
-        scalars = [d for d in document if not isinstance(d, (dict, list))]
-        test = reduce(or_, [test, *(F.coalesce(_scalar(value, "$", d), F.lit(False))
-                                    for d in scalars)])
-    return test
+        tests += [f"coalesce({_scalar(value, '$', d)}, false)" for d in document
+                  if not isinstance(d, (dict, list))]
+    return F.expr(_any(tests))
 
 
-def _within(value: Column, document) -> Column:
+def _within(value: str, document, depth: int) -> str:
     if isinstance(document, dict):
-        entries = F.try_variant_get(value, "$", OBJECT)
-        known = F.forall(F.map_keys(entries), lambda k: k.isin(list(document)))
-        tests = [~F.map_contains_key(entries, F.lit(k))
-                 | _within(F.try_element_at(entries, F.lit(k)), d) for k, d in document.items()]
-        return F.coalesce(reduce(and_, tests, known), F.lit(False))
+        entries, m = get(value, "$", OBJECT), f"m{depth}"
+        names = f"k in ({text_list(document)})" if document else "false"
+        tests = [f"forall(map_keys({m}), k -> {names})"]
+        for key, part in document.items():
+            name = text_list([key])
+            tests.append(f"(not map_contains_key({m}, {name}) or "
+                         f"{_within(f'try_element_at({m}, {name})', part, depth + 1)})")
+        return f"coalesce({let(m, entries, _all(tests))}, false)"
     if isinstance(document, list):
-        array = F.try_variant_get(value, "$", ARRAY)
+        x = f"x{depth}"
+        some = _any([_within(x, part, depth + 1) for part in document])
+        return f"coalesce(forall({get(value, '$', ARRAY)}, {x} -> {some}), false)"
+    return f"coalesce({_scalar(value, '$', document)}, false)"
 
-        def some_element(x):
-            return reduce(or_, (_within(x, d) for d in document), F.lit(False))
 
-        return F.coalesce(F.forall(array, some_element), F.lit(False))
-    return F.coalesce(_scalar(value, "$", document), F.lit(False))
+def _has_key(value: str, key: str) -> str:
+    child, base = _child(value, "$", key)
+    present = f"{_whole(child, base)} is not null"
+    element = f"exists({get(value, '$', ARRAY)}, x -> {_scalar('x', '$', key)})"
+    return f"({present} or coalesce({element}, false) " \
+           f"or coalesce({_scalar(value, '$', key)}, false))"
 
 
-def has_key(value: Column, key: str) -> Column:
+def has_key(value: str, key: str) -> Column:
     """Whether a top-level key exists (also with a JSON null), or a top-level array holds the
     string, or the value is that string."""
-    child, base = _child(value, "$", key)
-    present = F.try_variant_get(child, base, "variant").isNotNull() if base != "$" \
-        else child.isNotNull()
-    return present | contains(value, [key]) | F.coalesce(_scalar(value, "$", key), F.lit(False))
+    return F.expr(_has_key(value, key))
 
 
-def has_any_key(value: Column, keys: list[str]) -> Column:
-    return reduce(or_, (has_key(value, k) for k in keys), F.lit(False))
+def has_any_key(value: str, keys: list[str]) -> Column:
+    return F.expr(_any([_has_key(value, k) for k in keys]))
 
 
-def has_all_keys(value: Column, keys: list[str]) -> Column:
-    return reduce(and_, (has_key(value, k) for k in keys), F.lit(True))
+def has_all_keys(value: str, keys: list[str]) -> Column:
+    return F.expr(_all([_has_key(value, k) for k in keys]))
 
 
-def field(value: Column, key: str, default: str = "—") -> Column:
+def field(value: str, key: str, default: str = "—") -> Column:
     """A top-level string field, or a default where it is absent."""
-    return F.coalesce(F.try_variant_get(*_child(value, "$", key), "string"), F.lit(default))
+    return F.expr(f"coalesce({get(*_child(value, '$', key), 'string')}, {text_list([default])})")
 
 
-def mark(value: Column, key: str) -> Column:
+def mark(value: str, key: str) -> Column:
     """``✓`` where a top-level flag is true, else ``✗``."""
-    flag = F.try_variant_get(*_child(value, "$", key), "boolean")
-    return F.when(F.coalesce(flag, F.lit(False)), "✓").otherwise("✗")
+    return F.expr(f"if({get(*_child(value, '$', key), 'boolean')}, '✓', '✗')")

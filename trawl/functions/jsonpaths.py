@@ -1,87 +1,68 @@
-"""A variant's nodes as (path, type, value) rows, all levels walked inside one expression."""
+"""A variant's nodes as (path, type, value) entries, all levels walked inside one expression."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from trawl.functions.analysis import let
-from trawl.functions.jsonb import ARRAY, OBJECT, number_text
-
-NODES = "array<struct<path:string,vtype:string,value:string,leaf:boolean>>"
-KEY_PATH = "key"
-
-
-def _scalar_type(value: Column) -> Column:
-    stored = F.schema_of_variant(value)
-    return (F.when(stored == "VOID", "null").when(stored == "BOOLEAN", "boolean")
-            .when(stored == "STRING", "string").otherwise("number"))
-
-
-def _opened(node: Column) -> Column:
-    return F.struct(node["path"].alias("path"), node["v"].alias("v"),
-                    F.try_variant_get(node["v"], "$", OBJECT).alias("object"),
-                    F.try_variant_get(node["v"], "$", ARRAY).alias("array"))
-
-
-def _described(node: Column) -> Column:
-    kind = (F.when(node["object"].isNotNull(), "object")
-            .when(node["array"].isNotNull(), "array").otherwise(_scalar_type(node["v"])))
-    value = (F.when(kind.isin("object", "array", "null"), "")
-             .when(kind == "number", F.coalesce(number_text(node["v"]), F.lit("")))
-             .otherwise(F.try_variant_get(node["v"], "$", "string")))
-    filled = (F.size(F.coalesce(F.map_keys(node["object"]), F.array().cast("array<string>"))) > 0) \
-        | (F.coalesce(F.size(node["array"]), F.lit(0)) > 0)
-    return F.struct(node["path"].alias("path"), kind.alias("vtype"),
-                    F.coalesce(value, F.lit("")).alias("value"), (~filled).alias("leaf"))
+from trawl.functions.jsonb import ARRAY, OBJECT, get, number_text
 
+KEY = "key"  # path and type of the entries that key tests look for
 
-def _quoted(key: Column) -> Column:
-    escaped = F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('."'), escaped, F.lit('"'))
 
+def nodes(value: str, max_depth: int = 64) -> str:
+    """SQL for ``array<struct<path, vtype, value, leaf>>`` of all nodes of a variant.
 
-def _children(node: Column) -> Column:
-    members = F.transform(F.map_entries(node["object"]), lambda m: F.struct(
-        F.concat(node["path"], _quoted(m["key"])).alias("path"), m["value"].alias("v")))
-    elements = F.transform(node["array"], lambda x: F.struct(
-        F.concat(node["path"], F.lit("[]")).alias("path"), x.alias("v")))
-    return F.coalesce(members, elements,
-                      F.array().cast("array<struct<path:string,v:variant>>"))
-
-
-def nodes(value: Column, max_depth: int = 64) -> Column:
-    """All nodes of a variant; ``leaf`` marks scalars and empty containers.
-
-    Array positions are left out of paths: ``$."tags"[]``. Each step of the fold opens one
-    level, so nothing is exchanged or read twice; a document nested deeper than ``max_depth``
-    fails the job rather than being cut.
+    Array positions are left out of paths: ``$."tags"[]``. ``leaf`` marks scalars and empty
+    containers. Each step of the fold opens one level, so nothing is exchanged or read twice; a
+    document nested deeper than ``max_depth`` fails the job rather than being cut.
     """
-    root = F.array(F.struct(F.lit("$").alias("path"), value.alias("v")))
-    start = F.struct(F.array().cast(NODES).alias("seen"), root.alias("open"))
-
-    def level(state, _):
-        deeper = let(F.transform(state["open"], _opened), lambda opened: F.struct(
-            F.concat(state["seen"], F.transform(opened, _described)).alias("seen"),
-            F.flatten(F.transform(opened, _children)).alias("open")))
-        return F.when(F.size(state["open"]) == 0, state).otherwise(deeper)
-
-    def finished(state):
-        too_deep = F.raise_error(F.lit(f"JSON nested deeper than {max_depth} levels"))
-        return F.when(F.size(state["open"]) > 0, too_deep.cast(NODES)).otherwise(state["seen"])
+    node = "array<struct<path:string,vtype:string,value:string,leaf:boolean>>"
+    opened = f"""transform(state.open, n -> named_struct('path', n.path, 'v', n.v,
+        'object', {get('n.v', '$', OBJECT)}, 'array', {get('n.v', '$', ARRAY)}))"""
+    kind = """case when n.object is not null then 'object' when n.array is not null then 'array'
+        when stored = 'VOID' then 'null' when stored = 'BOOLEAN' then 'boolean'
+        when stored = 'STRING' then 'string' else 'number' end"""
+    text = f"""case when kind in ('object', 'array', 'null') then ''
+        when kind = 'number' then {number_text('n.v')} else {get('n.v', '$', 'string')} end"""
+    scalar_type = "if(n.object is null and n.array is null, schema_of_variant(n.v), '')"
+    described = let("stored", scalar_type, let("kind", kind, f"""named_struct(
+        'path', n.path, 'vtype', kind, 'value', coalesce({text}, ''),
+        'leaf', coalesce(cardinality(n.object), cardinality(n.array), 0) <= 0)"""))
+    key = r"""concat('."', replace(replace(m.key, r'\', r'\\'), '"', r'\"'), '"')"""
+    children = f"""coalesce(
+        transform(map_entries(n.object), m ->
+            named_struct('path', concat(n.path, {key}), 'v', m.value)),
+        transform(n.array, x -> named_struct('path', concat(n.path, '[]'), 'v', x)),
+        cast(array() as array<struct<path:string,v:variant>>))"""
+    level = let("ns", opened, f"""named_struct(
+        'seen', concat(state.seen, transform(ns, n -> {described})),
+        'open', flatten(transform(ns, n -> {children})))""")
+    return f"""if({value} is null, cast(array() as {node}), aggregate(
+        sequence(1, {max_depth}),
+        named_struct('seen', cast(array() as {node}),
+                     'open', array(named_struct('path', '$', 'v', {value}))),
+        (state, step) -> if(size(state.open) = 0, state, {level}),
+        state -> if(size(state.open) = 0, state.seen,
+            cast(raise_error('JSON nested deeper than {max_depth} levels') as {node}))))"""
+
+
+def keys(value: str) -> str:
+    """SQL for the strings for which a key test on the variant holds."""
+    def text(x):
+        return f"if(schema_of_variant({x}) = 'STRING', {get(x, '$', 'string')}, null)"
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), start, level, finished)
-    return F.when(value.isNotNull(), walked).otherwise(F.array().cast(NODES))
+    return f"""array_distinct(coalesce(
+        map_keys({get(value, '$', OBJECT)}),
+        array_compact(transform({get(value, '$', ARRAY)}, x -> {text('x')})),
+        array_compact(array({text(value)})), cast(array() as array<string>)))"""
 
 
-def key_values(value: Column) -> Column:
-    """The strings for which a key test on the value holds."""
-    strings = F.array().cast("array<string>")
+def entries(value: str) -> str:
+    """SQL for ``array<struct<path, vtype, value>>`` of nodes and keys, with repetitions."""
+    return f"""concat(
+        transform({nodes(value)}, n -> struct(n.path, n.vtype, n.value)),
+        transform({keys(value)}, k -> named_struct('path', '{KEY}', 'vtype', '{KEY}', 'value', k)))"""
 
-    def text(x):
-        return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
 
-    keys = F.map_keys(F.try_variant_get(value, "$", OBJECT))
-    elements = F.array_compact(F.transform(F.try_variant_get(value, "$", ARRAY), text))
-    return F.array_distinct(F.coalesce(
-        keys, elements, F.array_compact(F.array(text(value))), strings))
+def entry_text(e: str) -> str:
+    """SQL for an entry as one string; paths quote their keys, so no two entries coincide."""
+    return f"concat({e}.path, ' ', {e}.vtype, ' ', {e}.value)"

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from trawl.functions.analysis import (ANY_DOCUMENT, document_entry, grouped, let, text_list,
                                       with_entries)
+from trawl.operators.pairing import pairs
 from trawl.plans.requests import Requests
-from trawl.session import join_requests, spread, stored
+from trawl.session import spread
 from trawl.sources.term_index import TermIndex, read_postings
 
 
@@ -73,31 +74,12 @@ def matches(requests: Requests, corpus: Scan | Lookup, detail: bool = False) ->
     positions = detail or requests.phrases
     documents = corpus.documents(requests, positions).withColumn(
         "here", F.expr("array_distinct(found.term)"))
-    pairs = _broadcast_pairs(requests, documents) if requests.small \
-        else _shuffled_pairs(requests, documents)
-    # A document may hold several leads of a request; the pair is taken at the first of them.
-    first_lead = "term = get(filter(leads, t -> array_contains(here, t)), 0)"
-    kept = pairs.where(f"{first_lead} and {_holds(positions)}")
+    kept = pairs(requests, documents, "doc_id").where(_holds(positions))
     if not detail:
         return kept.select("query_id", "doc_id")
     return kept.withColumn("found", F.expr("filter(found, f -> array_contains(terms, f.term))"))
 
 
-def _broadcast_pairs(requests: Requests, documents: DataFrame) -> DataFrame:
-    leads = F.expr(f"explode(filter(here, t -> t in ({text_list(requests.leads)})))")
-    return documents.withColumn("term", leads).join(F.broadcast(requests.by_lead), "term")
-
-
-def _shuffled_pairs(requests: Requests, documents: DataFrame) -> DataFrame:
-    """For request sets too large to broadcast: pair keys first, then bring both sides in."""
-    documents = stored(documents, "documents")
-    keys = join_requests(documents.select("doc_id", F.explode("here").alias("term")),
-                         requests.by_lead.select("term", "query_id"), ["term"],
-                         F.col("doc_id"), small=False)
-    return join_requests(keys.join(documents, "doc_id"), requests.rows, ["query_id"],
-                         F.col("doc_id"), small=False)
-
-
 def _holds(positions: bool) -> str:
     """Whether a pair's request holds, from the request's terms that the document has."""
     # A phrase holds when all its words occur at their distances from one start.

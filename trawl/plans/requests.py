@@ -42,11 +42,6 @@ class Requests:
     def small(self) -> bool:
         return self.terms is not None
 
-    @property
-    def by_lead(self) -> DataFrame:
-        """The request rows once per lead term, as column ``term``."""
-        return self.rows.withColumn("term", F.explode("leads"))
-
 
 def _asked(spark: SparkSession, requests) -> DataFrame:
     if isinstance(requests, DataFrame):

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.functions.analysis import let
-from trawl.functions.jsonpaths import KEY_PATH, key_values, nodes
+from trawl.functions.jsonpaths import entries
 from trawl.session import spread
 from trawl.sources import segments
 
 BUCKET = "path_bucket"
 ENTRY = ["path", "vtype", "value"]
 ORDER = [*ENTRY, "row_id"]
-ROW_PATH = ""  # the entry that stands for the row itself
+ROW = ("", "row", "")  # the entry that stands for the row itself
 
 
 @dataclass(frozen=True)
@@ -33,14 +33,6 @@ class PathIndex:
             f"path string, vtype string, value string, row_id {self.key_type}")
 
 
-def entries(value: Column) -> Column:
-    """The distinct (path, vtype, value) entries of one variant, key entries included."""
-    found = F.transform(nodes(value), lambda n: F.struct(*[n[c].alias(c) for c in ENTRY]))
-    keys = F.transform(key_values(value), lambda k: F.struct(
-        F.lit(KEY_PATH).alias("path"), F.lit(KEY_PATH).alias("vtype"), k.alias("value")))
-    return F.concat(found, keys)
-
-
 def path_entries(df: DataFrame, key: str, column: str, with_rows: bool = False) -> DataFrame:
     """(path, vtype, value, row_id): each entry once per row; ``with_rows`` adds the entry that
     stands for the row itself.
@@ -48,18 +40,14 @@ def path_entries(df: DataFrame, key: str, column: str, with_rows: bool = False)
     Duplicates come from repeated array elements only; a row's entries are together, so they
     are dropped there, by sorting, and nothing is exchanged.
     """
-    def first_of_run(rows):
-        return F.filter(rows, lambda e, i: (i == 0) | (
-            e != rows[F.greatest(i - 1, F.lit(0))]))
-
-    found = entries(F.col(column))
+    found = entries(f"`{column}`")
     if with_rows:
-        found = F.concat(found, F.array(F.struct(*[
-            F.lit(x).alias(c) for x, c in zip((ROW_PATH, "row", ""), ENTRY)])))
-    distinct = let(F.sort_array(found), first_of_run)
+        row = f"named_struct('path', '{ROW[0]}', 'vtype', '{ROW[1]}', 'value', '{ROW[2]}')"
+        found = f"array_append({found}, {row})"
+    distinct = let("es", f"sort_array({found})",
+                   "filter(es, (e, i) -> i = 0 or e <> es[greatest(i - 1, 0)])")
     return (spread(df.select(key, column), key)
-            .select(F.col(key).alias("row_id"), F.explode(distinct).alias("e"))
-            .select(*[F.col(f"e.{c}") for c in ENTRY], "row_id"))
+            .selectExpr(f"`{key}` as row_id", f"inline({distinct})").select(*ENTRY, "row_id"))
 
 
 def _rows(df: DataFrame, index: PathIndex) -> DataFrame:
@@ -95,7 +83,7 @@ def read_entries(spark: SparkSession, index: PathIndex, wanted=None) -> DataFram
                 & F.col("path").isin(sorted({e[0] for e in wanted})) \
                 & F.col("value").isin(sorted({e[2] for e in wanted}))
     return segments.read_live(spark, index.path, index.schema, BUCKET, "row_id", keep,
-                              is_entry(ROW_PATH, "row", ""))
+                              is_entry(*ROW))
 
 
 def compact_path_index(spark: SparkSession, index: PathIndex, target: PathIndex) -> None:
