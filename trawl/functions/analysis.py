@@ -99,9 +99,14 @@ def grouped(entries: str) -> str:
     return let("es", f"sort_array({entries})", let("firsts", starts, runs))
 
 
-def document_entry() -> str:
-    """The posting that stands for the document itself."""
-    return f"named_struct('term', '{ANY_DOCUMENT}', 'weight', 'D', 'positions', array(0))"
+def document_entry(fields: list[str] = ()) -> str:
+    """The posting that stands for the document itself; its two positions are a hash of the
+    fields, by which a changed document is known."""
+    texts = ", ".join(f"`{f}`" for f in fields)
+    digest = f"xxhash64({texts})" if fields else "0L"
+    halves = let("digest", digest, """array(cast(shiftright(digest, 32) as int),
+        cast(pmod(digest, 4294967296L) - 2147483648L as int))""")
+    return f"named_struct('term', '{ANY_DOCUMENT}', 'weight', 'D', 'positions', {halves})"
 
 
 def with_lexemes(df: DataFrame, raw: str, config: str, to: str) -> DataFrame:

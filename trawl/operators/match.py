@@ -19,8 +19,8 @@ from trawl.functions.analysis import (ANY_DOCUMENT, document_entry, grouped, let
                                       with_entries)
 from trawl.operators.pairing import pairs
 from trawl.plans.requests import Requests
-from trawl.session import spread
-from trawl.sources.term_index import TermIndex, read_postings
+from trawl.session import join_requests, spread
+from trawl.sources.term_index import TermIndex, find_postings
 
 
 @dataclass(frozen=True)
@@ -57,12 +57,18 @@ class Lookup:
         if self.index.config != requests.config:
             raise ValueError(f"the index was built with {self.index.config!r}, the requests "
                              f"with {requests.config!r}")
-        postings = read_postings(requests.asked.sparkSession, self.index, requests.terms)
         columns = ["term", "weight", "positions"] if positions else ["term"]
-        # Grouping by document shares out a frequent term. Nothing can be combined ahead of it.
-        return (postings.select("doc_id", F.struct(*columns).alias("posting"))
-                .repartition("doc_id").groupBy("doc_id")
-                .agg(F.collect_list("posting").alias("found")))
+        narrow = None
+        if not requests.small:
+            asked = requests.rows.select(F.explode("terms").alias("term")).distinct()
+
+            def narrow(rows):
+                return join_requests(rows, asked, ["term"], F.col("doc_id"), small=False) \
+                    .select(*rows.columns)
+
+        return find_postings(requests.asked.sparkSession, self.index, requests.terms,
+                             f"struct({', '.join(columns)})", narrow) \
+            .withColumnRenamed("items", "found")
 
 
 def matches(requests: Requests, corpus: Scan | Lookup, detail: bool = False) -> DataFrame:

@@ -24,6 +24,6 @@ def text_postings(df: DataFrame, key: str, fields: list[tuple[str, str]],
     entries = with_entries(spread(df.select(key, *columns), key), fields, config)
     rows = grouped("entries")
     if with_documents:
-        rows = f"array_append({rows}, {document_entry()})"
+        rows = f"array_append({rows}, {document_entry(columns)})"
     return (entries.selectExpr(f"`{key}` as doc_id", f"inline({rows})")
             .select("term", "doc_id", "weight", "positions"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.analysis import ANY_DOCUMENT, STOP_WORDS, let, with_entries
-from trawl.session import local_table, pinned
+from trawl.session import SMALL_TERMS, local_table, pinned
 
 ANY_ITEM = -1
 WEB_PIECE = r'-*"[^"]*"|[^\s"]+'
@@ -125,6 +125,8 @@ def _requests(asked: DataFrame, words: DataFrame, config: str) -> Requests:
         return Requests(asked, table, config, None, None, True)
     terms = {t for row in head["terms"].to_pylist() for t in row}
     leads = {t for row in head["leads"].to_pylist() for t in row}
+    if len(terms) > SMALL_TERMS:
+        return Requests(asked, table, config, None, None, True)
     phrases = any(len(i["terms"]) > 1 for row in head["items"].to_pylist() for i in row)
     return Requests(asked, table, config, tuple(sorted(terms)), tuple(sorted(leads)), phrases)
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,22 +15,27 @@ from pyspark.sql import functions as F
 
 # A table is sent to every executor only after it was counted to be at most this many rows.
 SMALL_ROWS = 5_000
+# More distinct terms than this are joined as a table instead of being written into the query.
+SMALL_TERMS = 10_000
+SPREAD_BYTES = 1 << 20
 SALTS = 64
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for an intermediate table, inside the folder the cluster names.
 
-    ``spark.checkpoint.dir`` has to be reachable from every executor. It is set here only
-    when the session has none, as in a local test.
+    ``spark.checkpoint.dir`` has to be reachable from every executor. Only where the session has
+    none, as in a local test, a folder of this machine takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="trawl-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@lru_cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="trawl-")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the work folder and read it back, which cuts its lineage."""
     path = work_folder(df.sparkSession, name)
@@ -70,15 +76,20 @@ def join_requests(big: DataFrame, requests: DataFrame, on: list[str], spread_by:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Share out a table that arrives in fewer splits than there are cores.
+    """Share out a table that may arrive in fewer splits than there are cores.
 
     Row-wise text work is CPU bound, and a file with one row group is one task however long
-    its texts are. Inputs that already fill the cluster are left alone, without a shuffle.
+    its texts are. Only inputs smaller than one full split per core are moved, so what is
+    shuffled is bounded; an input that fills the cluster is read where it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = min(cores, size // SPREAD_BYTES + 1)
+    if size >= cores * split or parts == 1:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(parts, key)
 
 
 def ship_package(spark: SparkSession) -> None:

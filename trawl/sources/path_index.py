@@ -65,25 +65,32 @@ def refresh_path_index(changed: DataFrame, index: PathIndex, segment: int) -> No
     segments.write_segment(_rows(changed, index), index.path, BUCKET, ORDER, segment)
 
 
-def read_entries(spark: SparkSession, index: PathIndex, wanted=None) -> DataFrame:
-    """(path, vtype, value, row_id), of the given entries only when there are any."""
-    def is_entry(path, vtype, value):
-        literals = [F.lit(path), F.lit(vtype), F.lit(value)]
-        test = F.col(BUCKET) == segments.bucket_of(literals, index.buckets)
-        for name, literal in zip(ENTRY, literals):
-            test = test & (F.col(name) == literal)
-        return test
+def _bucket(index: PathIndex, entry: tuple):
+    return segments.bucket_of([F.lit(x) for x in entry], index.buckets)
 
+
+def _registry(index: PathIndex):
+    return (F.col(BUCKET) == _bucket(index, ROW)) & (F.col("path") == ROW[0]) \
+        & (F.col("vtype") == ROW[1])
+
+
+def read_entries(spark: SparkSession, index: PathIndex) -> DataFrame:
+    """(path, vtype, value, row_id) of all rows as they are now."""
+    return segments.read_live(spark, index.path, index.schema, BUCKET, "row_id", _registry(index))
+
+
+def find_entries(spark: SparkSession, index: PathIndex, wanted, item: str,
+                 narrow=None) -> DataFrame:
+    """(row_id, items) of the given entries, or of all entries when ``wanted`` is None."""
     keep = None
     if wanted is not None:
-        buckets = [segments.bucket_of([F.lit(x) for x in e], index.buckets) for e in wanted]
         keep = F.lit(False)
         if wanted:
-            keep = F.col(BUCKET).isin(buckets) \
+            keep = F.col(BUCKET).isin([_bucket(index, e) for e in wanted]) \
                 & F.col("path").isin(sorted({e[0] for e in wanted})) \
                 & F.col("value").isin(sorted({e[2] for e in wanted}))
-    return segments.read_live(spark, index.path, index.schema, BUCKET, "row_id", keep,
-                              is_entry(*ROW))
+    return segments.gather(spark, index.path, index.schema, BUCKET, "row_id", keep,
+                           _registry(index), item, narrow)
 
 
 def compact_path_index(spark: SparkSession, index: PathIndex, target: PathIndex) -> None:

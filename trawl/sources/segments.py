@@ -45,15 +45,19 @@ def build_once(rows: DataFrame, path: str, bucket: str, order: list[str]) -> Non
         write_segment(rows, path, bucket, order, 0)
 
 
+def _table(spark: SparkSession, path: str, schema: T.StructType, bucket: str) -> DataFrame:
+    layout = T.StructType([*schema.fields, T.StructField("segment", T.IntegerType()),
+                           T.StructField(bucket, T.IntegerType())])
+    return spark.read.schema(layout).parquet(path)
+
+
 def read_live(spark: SparkSession, path: str, schema: T.StructType, bucket: str, key: str,
-              wanted: Column | None, registry: Column) -> DataFrame:
-    """Rows for which ``wanted`` holds, without those replaced by a later segment.
+              registry: Column, wanted: Column | None = None) -> DataFrame:
+    """All (wanted) rows but those replaced by a later segment.
 
     ``registry`` selects the one row that every key has in each segment it was written to.
     """
-    layout = T.StructType([*schema.fields, T.StructField("segment", T.IntegerType()),
-                           T.StructField(bucket, T.IntegerType())])
-    table = spark.read.schema(layout).parquet(path)
+    table = _table(spark, path, schema, bucket)
     rows = table if wanted is None else table.where(wanted)
     if len(segments(spark, path)) > 1:
         later = (table.where(registry & (F.col("segment") > 0))
@@ -63,6 +67,30 @@ def read_live(spark: SparkSession, path: str, schema: T.StructType, bucket: str,
     return rows.select(*[f.name for f in schema.fields])
 
 
+def gather(spark: SparkSession, path: str, schema: T.StructType, bucket: str, key: str,
+           wanted: Column | None, registry: Column, item: str, narrow=None) -> DataFrame:
+    """(key, items): the wanted rows of each key as an array of ``item`` (a SQL expression).
+
+    Each row is shuffled once, by key, so a frequent entry is shared out. Rows of later
+    segments' registry come along, and within a key only its newest segment is kept.
+    ``narrow`` further reduces the rows ahead of the shuffle.
+    """
+    rows = _table(spark, path, schema, bucket)
+    several = len(segments(spark, path)) > 1
+    changed = registry & (F.col("segment") > 0)
+    if wanted is not None:
+        rows = rows.where(wanted | changed if several else wanted)
+    if narrow is not None:
+        rows = narrow(rows).unionByName(rows.where(changed)) if several else narrow(rows)
+    rows = rows.selectExpr(key, "segment", f"{item} as item").repartition(key)
+    if not several:
+        return rows.groupBy(key).agg(F.collect_list("item").alias("items"))
+    newest = "transform(filter(items, i -> i.segment = newest), i -> i.item)"
+    return (rows.groupBy(key).agg(F.collect_list(F.struct("segment", "item")).alias("items"),
+                                  F.max("segment").alias("newest"))
+            .selectExpr(key, f"{newest} as items"))
+
+
 def compact(spark: SparkSession, live: DataFrame, path: str, bucket: str, column: Column,
             order: list[str]) -> None:
     """Write the live rows of an index as the full build of a new one."""

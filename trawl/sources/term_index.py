@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.functions.analysis import ANY_DOCUMENT
+from trawl.functions.analysis import ANY_DOCUMENT, document_entry
 from trawl.operators.postings import text_postings
 from trawl.sources import segments
 
@@ -48,21 +48,52 @@ def refresh_term_index(changed: DataFrame, index: TermIndex, segment: int) -> No
     segments.write_segment(_rows(changed, index), index.path, BUCKET, ORDER, segment)
 
 
-def read_postings(spark: SparkSession, index: TermIndex, terms=None) -> DataFrame:
-    """(term, doc_id, weight, positions), of the given terms only when there are any.
+def sync_term_index(df: DataFrame, index: TermIndex) -> int | None:
+    """Bring an index up to date with its table: index the rows that are new or whose text is
+    not what was indexed. Returns the segment written, or None when nothing had changed."""
+    spark = df.sparkSession
+    if not segments.path_exists(spark, f"{index.path}/segment=0/_SUCCESS"):
+        build_term_index(df, index)
+        return 0
+    columns = [name for name, _ in index.fields]
+    known = read_postings(spark, index, _registry(index)).select(
+        F.col("doc_id").alias(index.key), F.col("positions").alias("_digest"))
+    changed = (df.withColumn("_digest", F.expr(f"{document_entry(columns)}.positions"))
+               .join(known, [index.key, "_digest"], "left_anti").drop("_digest"))
+    if changed.isEmpty():
+        return None
+    segment = segments.segments(spark, index.path)[-1] + 1
+    refresh_term_index(changed, index, segment)
+    return segment
+
+
+def _bucket(index: TermIndex, term: str):
+    return segments.bucket_of([F.lit(term)], index.buckets)
+
+
+def _registry(index: TermIndex):
+    return (F.col(BUCKET) == _bucket(index, ANY_DOCUMENT)) & (F.col("term") == ANY_DOCUMENT)
+
+
+def read_postings(spark: SparkSession, index: TermIndex, wanted=None) -> DataFrame:
+    """(term, doc_id, weight, positions) of all documents as they are now."""
+    return segments.read_live(spark, index.path, index.schema, BUCKET, "doc_id", _registry(index),
+                              wanted)
+
+
+def find_postings(spark: SparkSession, index: TermIndex, terms, item: str,
+                  narrow=None) -> DataFrame:
+    """(doc_id, items) of the given terms, or of all terms when ``terms`` is None.
 
     The terms' buckets are literals, so other folders are not listed or opened, and the term
     filter is pushed into Parquet, whose row groups are sorted by term.
     """
-    def bucket(term):
-        return segments.bucket_of([F.lit(term)], index.buckets)
-
     wanted = None
     if terms is not None:
-        wanted = F.col(BUCKET).isin([bucket(t) for t in terms]) & F.col("term").isin(list(terms)) \
-            if terms else F.lit(False)
-    registry = (F.col(BUCKET) == bucket(ANY_DOCUMENT)) & (F.col("term") == ANY_DOCUMENT)
-    return segments.read_live(spark, index.path, index.schema, BUCKET, "doc_id", wanted, registry)
+        wanted = F.col(BUCKET).isin([_bucket(index, t) for t in terms]) \
+            & F.col("term").isin(list(terms)) if terms else F.lit(False)
+    return segments.gather(spark, index.path, index.schema, BUCKET, "doc_id", wanted,
+                           _registry(index), item, narrow)
 
 
 def compact_term_index(spark: SparkSession, index: TermIndex, target: TermIndex) -> None:
