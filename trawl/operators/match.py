@@ -19,7 +19,7 @@ from trawl.functions.analysis import (ANY_DOCUMENT, document_entry, grouped, let
                                       with_entries)
 from trawl.operators.pairing import pairs
 from trawl.plans.requests import Requests
-from trawl.session import join_requests, spread
+from trawl.session import join_requests, spread, stored
 from trawl.sources.term_index import TermIndex, find_postings
 
 
@@ -67,7 +67,7 @@ class Lookup:
                     .select(*rows.columns)
 
         return find_postings(requests.asked.sparkSession, self.index, requests.terms,
-                             f"struct({', '.join(columns)})", narrow) \
+                             requests.leads, f"struct({', '.join(columns)})", narrow) \
             .withColumnRenamed("items", "found")
 
 
@@ -110,5 +110,10 @@ def counts(requests: Requests, matched: DataFrame) -> DataFrame:
 
 
 def matching_rows(df: DataFrame, key: str, matched: DataFrame) -> DataFrame:
-    """The rows of a base table that any request matched."""
-    return df.join(matched.select(F.col("doc_id").alias(key)), key, "left_semi")
+    """The rows of a base table that any request matched.
+
+    The matches are stored first: their size then decides whether they are broadcast, instead
+    of the base table being shuffled to meet a few rows.
+    """
+    keys = stored(matched.select(F.col("doc_id").alias(key)).distinct(), "matched")
+    return df.join(keys, key, "left_semi")

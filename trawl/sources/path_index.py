@@ -79,18 +79,22 @@ def read_entries(spark: SparkSession, index: PathIndex) -> DataFrame:
     return segments.read_live(spark, index.path, index.schema, BUCKET, "row_id", _registry(index))
 
 
-def find_entries(spark: SparkSession, index: PathIndex, wanted, item: str,
+def _entries(index: PathIndex, wanted):
+    if not wanted:
+        return F.lit(False)
+    return F.col(BUCKET).isin([_bucket(index, e) for e in wanted]) \
+        & F.col("path").isin(sorted({e[0] for e in wanted})) \
+        & F.col("value").isin(sorted({e[2] for e in wanted}))
+
+
+def find_entries(spark: SparkSession, index: PathIndex, wanted, leads, item: str,
                  narrow=None) -> DataFrame:
-    """(row_id, items) of the given entries, or of all entries when ``wanted`` is None."""
-    keep = None
-    if wanted is not None:
-        keep = F.lit(False)
-        if wanted:
-            keep = F.col(BUCKET).isin([_bucket(index, e) for e in wanted]) \
-                & F.col("path").isin(sorted({e[0] for e in wanted})) \
-                & F.col("value").isin(sorted({e[2] for e in wanted}))
+    """(row_id, items) of the given entries, or of all entries when ``wanted`` is None; rows
+    without any of ``leads`` may be left out."""
+    keep = None if wanted is None else _entries(index, wanted)
+    leading = _entries(index, leads) if wanted is not None and set(wanted) != set(leads) else None
     return segments.gather(spark, index.path, index.schema, BUCKET, "row_id", keep,
-                           _registry(index), item, narrow)
+                           _registry(index), item, leading, narrow)
 
 
 def compact_path_index(spark: SparkSession, index: PathIndex, target: PathIndex) -> None:

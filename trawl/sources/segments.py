@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Keys of lead rows are broadcast only when they were counted to be at most this many.
+LEAD_ROWS = 1_000_000
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -68,18 +71,25 @@ def read_live(spark: SparkSession, path: str, schema: T.StructType, bucket: str,
 
 
 def gather(spark: SparkSession, path: str, schema: T.StructType, bucket: str, key: str,
-           wanted: Column | None, registry: Column, item: str, narrow=None) -> DataFrame:
+           wanted: Column | None, registry: Column, item: str, leads: Column | None = None,
+           narrow=None) -> DataFrame:
     """(key, items): the wanted rows of each key as an array of ``item`` (a SQL expression).
 
     Each row is shuffled once, by key, so a frequent entry is shared out. Rows of later
     segments' registry come along, and within a key only its newest segment is kept.
-    ``narrow`` further reduces the rows ahead of the shuffle.
+
+    Only keys with a row for which ``leads`` holds are of use. They are counted, and when there
+    are few, the rows of frequent entries are cut down to them before the shuffle. ``narrow``
+    is another function that reduces the rows first.
     """
-    rows = _table(spark, path, schema, bucket)
+    table = _table(spark, path, schema, bucket)
     several = len(segments(spark, path)) > 1
     changed = registry & (F.col("segment") > 0)
-    if wanted is not None:
-        rows = rows.where(wanted | changed if several else wanted)
+    rows = table if wanted is None else table.where(wanted | changed if several else wanted)
+    if leads is not None:
+        lead_keys = table.where(leads).select(key)
+        if lead_keys.count() <= LEAD_ROWS:
+            rows = rows.join(F.broadcast(lead_keys.distinct()), key, "left_semi")
     if narrow is not None:
         rows = narrow(rows).unionByName(rows.where(changed)) if several else narrow(rows)
     rows = rows.selectExpr(key, "segment", f"{item} as item").repartition(key)

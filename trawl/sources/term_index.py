@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from trawl.functions.analysis import ANY_DOCUMENT, document_entry
 from trawl.operators.postings import text_postings
+from trawl.session import stored
 from trawl.sources import segments
 
 BUCKET = "term_bucket"
@@ -58,12 +59,14 @@ def sync_term_index(df: DataFrame, index: TermIndex) -> int | None:
     columns = [name for name, _ in index.fields]
     known = read_postings(spark, index, _registry(index)).select(
         F.col("doc_id").alias(index.key), F.col("positions").alias("_digest"))
-    changed = (df.withColumn("_digest", F.expr(f"{document_entry(columns)}.positions"))
-               .join(known, [index.key, "_digest"], "left_anti").drop("_digest"))
+    # Keys and hashes alone are compared; the texts of changed rows are read afterwards.
+    changed = stored(df.select(index.key, F.expr(f"{document_entry(columns)}.positions")
+                               .alias("_digest"))
+                     .join(known, [index.key, "_digest"], "left_anti").select(index.key), "changed")
     if changed.isEmpty():
         return None
     segment = segments.segments(spark, index.path)[-1] + 1
-    refresh_term_index(changed, index, segment)
+    refresh_term_index(df.join(changed, index.key, "left_semi"), index, segment)
     return segment
 
 
@@ -81,19 +84,24 @@ def read_postings(spark: SparkSession, index: TermIndex, wanted=None) -> DataFra
                               wanted)
 
 
-def find_postings(spark: SparkSession, index: TermIndex, terms, item: str,
+def _terms(index: TermIndex, terms):
+    if not terms:
+        return F.lit(False)
+    return F.col(BUCKET).isin([_bucket(index, t) for t in terms]) & F.col("term").isin(list(terms))
+
+
+def find_postings(spark: SparkSession, index: TermIndex, terms, leads, item: str,
                   narrow=None) -> DataFrame:
-    """(doc_id, items) of the given terms, or of all terms when ``terms`` is None.
+    """(doc_id, items) of the given terms, or of all terms when ``terms`` is None; documents
+    without any of ``leads`` may be left out.
 
     The terms' buckets are literals, so other folders are not listed or opened, and the term
     filter is pushed into Parquet, whose row groups are sorted by term.
     """
-    wanted = None
-    if terms is not None:
-        wanted = F.col(BUCKET).isin([_bucket(index, t) for t in terms]) \
-            & F.col("term").isin(list(terms)) if terms else F.lit(False)
+    wanted = None if terms is None else _terms(index, terms)
+    leading = _terms(index, leads) if terms is not None and set(terms) != set(leads) else None
     return segments.gather(spark, index.path, index.schema, BUCKET, "doc_id", wanted,
-                           _registry(index), item, narrow)
+                           _registry(index), item, leading, narrow)
 
 
 def compact_term_index(spark: SparkSession, index: TermIndex, target: TermIndex) -> None:
