@@ -20,7 +20,8 @@ from trawl.functions.analysis import (ANY_DOCUMENT, document_entry, grouped, let
 from trawl.operators.pairing import pairs
 from trawl.plans.requests import Requests
 from trawl.session import join_requests, spread, stored
-from trawl.sources.term_index import TermIndex, find_postings
+from trawl.sources.segments import few
+from trawl.sources.term_index import TermIndex, find_postings, term_counts
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,8 @@ class Scan:
     key: str
     fields: list[tuple[str, str]]
 
-    def documents(self, requests: Requests, positions: bool) -> DataFrame:
+    def documents(self, requests: Requests, positions: bool) -> tuple[Requests, DataFrame]:
+        """The requests, and (doc_id, found) rows with the requested terms of each document."""
         columns = [name for name, _ in self.fields]
         df = with_entries(spread(self.df.select(self.key, *columns), self.key), self.fields,
                           requests.config)
@@ -44,7 +46,7 @@ class Scan:
             found = f"""transform(array_distinct(array_append(
                 transform({entries}, e -> e.term), '{ANY_DOCUMENT}')),
                 t -> named_struct('term', t))"""
-        return df.selectExpr(f"`{self.key}` as doc_id", f"{found} as found")
+        return requests, df.selectExpr(f"`{self.key}` as doc_id", f"{found} as found")
 
 
 @dataclass(frozen=True)
@@ -53,22 +55,29 @@ class Lookup:
 
     index: TermIndex
 
-    def documents(self, requests: Requests, positions: bool) -> DataFrame:
+    def documents(self, requests: Requests, positions: bool) -> tuple[Requests, DataFrame]:
+        """As for a scan. The index counts its terms first: the rarest ones become leads, and
+        when these have few postings, those of frequent terms are cut down to their documents."""
         if self.index.config != requests.config:
             raise ValueError(f"the index was built with {self.index.config!r}, the requests "
                              f"with {requests.config!r}")
+        spark = requests.asked.sparkSession
         columns = ["term", "weight", "positions"] if positions else ["term"]
-        narrow = None
-        if not requests.small:
+        leads, narrow = None, None
+        if requests.small:
+            counts = term_counts(spark, self.index, requests.terms)
+            requests = requests.led_by(counts)
+            leads = few(requests.leads, requests.terms, counts)
+        else:
             asked = requests.rows.select(F.explode("terms").alias("term")).distinct()
 
             def narrow(rows):
                 return join_requests(rows, asked, ["term"], F.col("doc_id"), small=False) \
                     .select(*rows.columns)
 
-        return find_postings(requests.asked.sparkSession, self.index, requests.terms,
-                             requests.leads, f"struct({', '.join(columns)})", narrow) \
-            .withColumnRenamed("items", "found")
+        found = find_postings(spark, self.index, requests.terms, leads,
+                              f"struct({', '.join(columns)})", narrow)
+        return requests, found.withColumnRenamed("items", "found")
 
 
 def matches(requests: Requests, corpus: Scan | Lookup, detail: bool = False) -> DataFrame:
@@ -78,7 +87,8 @@ def matches(requests: Requests, corpus: Scan | Lookup, detail: bool = False) ->
     for ranking.
     """
     positions = detail or requests.phrases
-    documents = corpus.documents(requests, positions).withColumn(
+    requests, documents = corpus.documents(requests, positions)
+    documents = documents.withColumn(
         "here", F.expr("array_distinct(found.term)"))
     kept = pairs(requests, documents, "doc_id").where(_holds(positions))
     if not detail:

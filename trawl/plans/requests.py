@@ -6,22 +6,23 @@ A request set is one small table, one row per request::
     clauses array<struct<need array<int>, avoid array<int>>>, terms array, leads array
 
 A clause holds when all its needed items and none of its avoided items are in a document; a
-request holds when any clause does. ``leads`` has one needed term per clause, the longest, which
-tends to be the rarest. Request words go through the same analysis as documents.
+request holds when any clause does. ``leads`` has one needed term per clause: the longest, which
+tends to be the rarest, until an index gives exact counts. Request words go through the same analysis as documents.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.analysis import ANY_DOCUMENT, STOP_WORDS, let, with_entries
-from trawl.session import SMALL_TERMS, local_table, pinned
+from trawl.session import SMALL_TERMS, local_table, pinned, with_column
 
 ANY_ITEM = -1
 WEB_PIECE = r'-*"[^"]*"|[^\s"]+'
@@ -37,11 +38,24 @@ class Requests:
     terms: tuple[str, ...] | None
     leads: tuple[str, ...] | None
     phrases: bool
+    head: pa.Table | None = None
 
     @property
     def small(self) -> bool:
         return self.terms is not None
 
+    def led_by(self, counts: dict[str, int]) -> Requests:
+        """The same requests with the rarest needed term of each clause as its lead."""
+        def lead(items, clause):
+            needed = {t["term"] for i in items if i["item_id"] in clause["need"]
+                      for t in i["terms"]}
+            return min(needed, key=lambda t: (counts.get(t, 0), t))
+
+        leads = [sorted({lead(items, c) for c in clauses}) for items, clauses in
+                 zip(self.head["items"].to_pylist(), self.head["clauses"].to_pylist())]
+        return replace(self, rows=with_column(self.rows, self.head, "leads", leads),
+                       leads=tuple(sorted({t for row in leads for t in row})))
+
 
 def _asked(spark: SparkSession, requests) -> DataFrame:
     if isinstance(requests, DataFrame):
@@ -128,7 +142,7 @@ def _requests(asked: DataFrame, words: DataFrame, config: str) -> Requests:
     if len(terms) > SMALL_TERMS:
         return Requests(asked, table, config, None, None, True)
     phrases = any(len(i["terms"]) > 1 for row in head["items"].to_pylist() for i in row)
-    return Requests(asked, table, config, tuple(sorted(terms)), tuple(sorted(leads)), phrases)
+    return Requests(asked, table, config, tuple(sorted(terms)), tuple(sorted(leads)), phrases, head)
 
 
 # ---- the strict notation: its operators rank as Python's ~ >> & | do, so Python reads them

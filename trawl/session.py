@@ -60,6 +60,13 @@ def local_table(spark: SparkSession, **columns: list) -> DataFrame:
     return spark.createDataFrame(pa.table(columns))
 
 
+def with_column(df: DataFrame, head: pa.Table, name: str, values: list) -> DataFrame:
+    """A pinned table with one column replaced."""
+    at = head.column_names.index(name)
+    changed = head.set_column(at, name, pa.array(values, head.schema.field(name).type))
+    return df.sparkSession.createDataFrame(changed, df.schema)
+
+
 def join_requests(big: DataFrame, requests: DataFrame, on: list[str], spread_by: Column,
                   small: bool) -> DataFrame:
     """Equi-join a large table with request rows.

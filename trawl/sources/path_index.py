@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.functions.analysis import let
+from trawl.functions.analysis import let, text_list
 from trawl.functions.jsonpaths import entries
 from trawl.session import spread
 from trawl.sources import segments
@@ -52,7 +52,7 @@ def path_entries(df: DataFrame, key: str, column: str, with_rows: bool = False)
 
 def _rows(df: DataFrame, index: PathIndex) -> DataFrame:
     return path_entries(df, index.key, index.column, with_rows=True) \
-        .withColumn(BUCKET, segments.bucket_of(ENTRY, index.buckets))
+        .withColumn(BUCKET, F.expr(segments.bucket_of(ENTRY, index.buckets)))
 
 
 def build_path_index(df: DataFrame, index: PathIndex) -> None:
@@ -65,13 +65,18 @@ def refresh_path_index(changed: DataFrame, index: PathIndex, segment: int) -> No
     segments.write_segment(_rows(changed, index), index.path, BUCKET, ORDER, segment)
 
 
-def _bucket(index: PathIndex, entry: tuple):
-    return segments.bucket_of([F.lit(x) for x in entry], index.buckets)
+def _entries(index: PathIndex, wanted) -> str:
+    """SQL that keeps at least the given entries. Buckets of literals are folded into literals."""
+    if not wanted:
+        return "false"
+    buckets = [segments.bucket_of([text_list([x]) for x in e], index.buckets) for e in wanted]
+    paths, types, values = (sorted(set(column)) for column in zip(*wanted))
+    return f"{BUCKET} in ({', '.join(buckets)}) and path in ({text_list(paths)}) " \
+           f"and vtype in ({text_list(types)}) and value in ({text_list(values)})"
 
 
-def _registry(index: PathIndex):
-    return (F.col(BUCKET) == _bucket(index, ROW)) & (F.col("path") == ROW[0]) \
-        & (F.col("vtype") == ROW[1])
+def _registry(index: PathIndex) -> str:
+    return _entries(index, [ROW])
 
 
 def read_entries(spark: SparkSession, index: PathIndex) -> DataFrame:
@@ -79,20 +84,17 @@ def read_entries(spark: SparkSession, index: PathIndex) -> DataFrame:
     return segments.read_live(spark, index.path, index.schema, BUCKET, "row_id", _registry(index))
 
 
-def _entries(index: PathIndex, wanted):
-    if not wanted:
-        return F.lit(False)
-    return F.col(BUCKET).isin([_bucket(index, e) for e in wanted]) \
-        & F.col("path").isin(sorted({e[0] for e in wanted})) \
-        & F.col("value").isin(sorted({e[2] for e in wanted}))
+def entry_counts(spark: SparkSession, index: PathIndex, wanted) -> dict[tuple, int]:
+    return segments.frequencies(spark, index.path, index.schema, BUCKET, _entries(index, wanted),
+                                ENTRY)
 
 
 def find_entries(spark: SparkSession, index: PathIndex, wanted, leads, item: str,
                  narrow=None) -> DataFrame:
-    """(row_id, items) of the given entries, or of all entries when ``wanted`` is None; rows
-    without any of ``leads`` may be left out."""
+    """(row_id, items) of the given entries, or of all entries when ``wanted`` is None; with
+    ``leads``, which have to be few, only of rows that may have one of them."""
     keep = None if wanted is None else _entries(index, wanted)
-    leading = _entries(index, leads) if wanted is not None and set(wanted) != set(leads) else None
+    leading = None if leads is None else _entries(index, leads)
     return segments.gather(spark, index.path, index.schema, BUCKET, "row_id", keep,
                            _registry(index), item, leading, narrow)
 

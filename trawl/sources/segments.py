@@ -7,7 +7,7 @@ to the change and a replayed refresh replaces its own segment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,9 @@ def segments(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n in names if n.startswith("segment="))
 
 
-def bucket_of(columns: list, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+def bucket_of(columns: list[str], buckets: int) -> str:
+    """SQL for the bucket of an entry, given as column names or literals."""
+    return f"cast(pmod(xxhash64({', '.join(columns)}), {buckets}) as int)"
 
 
 def write_segment(rows: DataFrame, path: str, bucket: str, order: list[str], segment: int) -> None:
@@ -55,7 +56,7 @@ def _table(spark: SparkSession, path: str, schema: T.StructType, bucket: str) ->
 
 
 def read_live(spark: SparkSession, path: str, schema: T.StructType, bucket: str, key: str,
-              registry: Column, wanted: Column | None = None) -> DataFrame:
+              registry: str, wanted: str | None = None) -> DataFrame:
     """All (wanted) rows but those replaced by a later segment.
 
     ``registry`` selects the one row that every key has in each segment it was written to.
@@ -63,33 +64,48 @@ def read_live(spark: SparkSession, path: str, schema: T.StructType, bucket: str,
     table = _table(spark, path, schema, bucket)
     rows = table if wanted is None else table.where(wanted)
     if len(segments(spark, path)) > 1:
-        later = (table.where(registry & (F.col("segment") > 0))
+        later = (table.where(f"{registry} and segment > 0")
                  .select(F.col(key).alias("_key"), F.col("segment").alias("_segment")))
         rows = rows.join(later, (F.col(key) == F.col("_key"))
                          & (F.col("segment") < F.col("_segment")), "left_anti")
     return rows.select(*[f.name for f in schema.fields])
 
 
+def frequencies(spark: SparkSession, path: str, schema: T.StructType, bucket: str, wanted: str,
+                entry: list[str]) -> dict[tuple, int]:
+    """How many rows each wanted entry has. Only the sorted entry columns are read, and there
+    are as many counts as entries asked for."""
+    rows = _table(spark, path, schema, bucket).where(wanted).groupBy(*entry).count().collect()
+    return {tuple(r[c] for c in entry): r["count"] for r in rows}
+
+
+def few(leads: tuple, entries: tuple, counts: dict) -> tuple | None:
+    """The leads, if their rows are few enough to broadcast and other entries are wanted too."""
+    if set(leads) != set(entries) and sum(counts.get(e, 0) for e in leads) <= LEAD_ROWS:
+        return leads
+    return None
+
+
 def gather(spark: SparkSession, path: str, schema: T.StructType, bucket: str, key: str,
-           wanted: Column | None, registry: Column, item: str, leads: Column | None = None,
+           wanted: str | None, registry: str, item: str, leads: str | None = None,
            narrow=None) -> DataFrame:
     """(key, items): the wanted rows of each key as an array of ``item`` (a SQL expression).
 
     Each row is shuffled once, by key, so a frequent entry is shared out. Rows of later
     segments' registry come along, and within a key only its newest segment is kept.
 
-    Only keys with a row for which ``leads`` holds are of use. They are counted, and when there
-    are few, the rows of frequent entries are cut down to them before the shuffle. ``narrow``
-    is another function that reduces the rows first.
+    ``leads`` selects rows that a key must have one of, and that were counted to be few: the
+    rows of frequent entries are cut down to their keys before the shuffle. ``narrow`` is
+    another function that reduces the rows first.
     """
     table = _table(spark, path, schema, bucket)
     several = len(segments(spark, path)) > 1
-    changed = registry & (F.col("segment") > 0)
-    rows = table if wanted is None else table.where(wanted | changed if several else wanted)
+    changed = f"{registry} and segment > 0"
+    rows = table if wanted is None else \
+        table.where(f"({wanted}) or ({changed})" if several else wanted)
     if leads is not None:
-        lead_keys = table.where(leads).select(key)
-        if lead_keys.count() <= LEAD_ROWS:
-            rows = rows.join(F.broadcast(lead_keys.distinct()), key, "left_semi")
+        lead_keys = table.where(leads).select(key).distinct()
+        rows = rows.join(F.broadcast(lead_keys), key, "left_semi")
     if narrow is not None:
         rows = narrow(rows).unionByName(rows.where(changed)) if several else narrow(rows)
     rows = rows.selectExpr(key, "segment", f"{item} as item").repartition(key)
@@ -101,7 +117,7 @@ def gather(spark: SparkSession, path: str, schema: T.StructType, bucket: str, ke
             .selectExpr(key, f"{newest} as items"))
 
 
-def compact(spark: SparkSession, live: DataFrame, path: str, bucket: str, column: Column,
+def compact(spark: SparkSession, live: DataFrame, path: str, bucket: str, column: str,
             order: list[str]) -> None:
     """Write the live rows of an index as the full build of a new one."""
-    build_once(live.withColumn(bucket, column), path, bucket, order)
+    build_once(live.withColumn(bucket, F.expr(column)), path, bucket, order)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.functions.analysis import ANY_DOCUMENT, document_entry
+from trawl.functions.analysis import ANY_DOCUMENT, document_entry, text_list
 from trawl.operators.postings import text_postings
 from trawl.session import stored
 from trawl.sources import segments
@@ -36,7 +36,7 @@ class TermIndex:
 
 def _rows(df: DataFrame, index: TermIndex) -> DataFrame:
     return text_postings(df, index.key, list(index.fields), index.config, with_documents=True) \
-        .withColumn(BUCKET, segments.bucket_of(["term"], index.buckets))
+        .withColumn(BUCKET, F.expr(segments.bucket_of(["term"], index.buckets)))
 
 
 def build_term_index(df: DataFrame, index: TermIndex) -> None:
@@ -70,12 +70,15 @@ def sync_term_index(df: DataFrame, index: TermIndex) -> int | None:
     return segment
 
 
-def _bucket(index: TermIndex, term: str):
-    return segments.bucket_of([F.lit(term)], index.buckets)
+def _terms(index: TermIndex, terms) -> str:
+    """SQL for the postings of some terms. Buckets of literals are folded into literals."""
+    buckets = [segments.bucket_of([text_list([t])], index.buckets) for t in terms]
+    return f"{BUCKET} in ({', '.join(buckets)}) and term in ({text_list(terms)})" if terms \
+        else "false"
 
 
-def _registry(index: TermIndex):
-    return (F.col(BUCKET) == _bucket(index, ANY_DOCUMENT)) & (F.col("term") == ANY_DOCUMENT)
+def _registry(index: TermIndex) -> str:
+    return _terms(index, [ANY_DOCUMENT])
 
 
 def read_postings(spark: SparkSession, index: TermIndex, wanted=None) -> DataFrame:
@@ -84,22 +87,22 @@ def read_postings(spark: SparkSession, index: TermIndex, wanted=None) -> DataFra
                               wanted)
 
 
-def _terms(index: TermIndex, terms):
-    if not terms:
-        return F.lit(False)
-    return F.col(BUCKET).isin([_bucket(index, t) for t in terms]) & F.col("term").isin(list(terms))
+def term_counts(spark: SparkSession, index: TermIndex, terms) -> dict[str, int]:
+    found = segments.frequencies(spark, index.path, index.schema, BUCKET, _terms(index, terms),
+                                 ["term"])
+    return {term: n for (term,), n in found.items()}
 
 
 def find_postings(spark: SparkSession, index: TermIndex, terms, leads, item: str,
                   narrow=None) -> DataFrame:
-    """(doc_id, items) of the given terms, or of all terms when ``terms`` is None; documents
-    without any of ``leads`` may be left out.
+    """(doc_id, items) of the given terms, or of all terms when ``terms`` is None; with
+    ``leads``, which have to be few, only of documents that have one of them.
 
     The terms' buckets are literals, so other folders are not listed or opened, and the term
     filter is pushed into Parquet, whose row groups are sorted by term.
     """
     wanted = None if terms is None else _terms(index, terms)
-    leading = _terms(index, leads) if terms is not None and set(terms) != set(leads) else None
+    leading = None if leads is None else _terms(index, leads)
     return segments.gather(spark, index.path, index.schema, BUCKET, "doc_id", wanted,
                            _registry(index), item, leading, narrow)
 
