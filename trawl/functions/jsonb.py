@@ -33,14 +33,15 @@ def number_text(value: str) -> str:
     holds it without loss, and is left in scientific form otherwise.
     """
     double = get(value, "$", "double")
-    shapes = [let("d", get(value, "$", f"decimal(38,{scale})"),
-                  f"if(cast(d as double) = {double}, cast(d as string), null)")
+    shapes = [let("_dec", get(value, "$", f"decimal(38,{scale})"),
+                  f"if(cast(_dec as double) = {double}, cast(_dec as string), null)")
               for scale in (18, 0, 37)]
-    text = f"""if(stored rlike '^(FLOAT|DOUBLE)', coalesce({', '.join(shapes)},
+    text = f"""if(_type rlike '^(FLOAT|DOUBLE)', coalesce({', '.join(shapes)},
         cast({double} as string)), {get(value, '$', 'string')})"""
-    trimmed = let("n", text, r"""if(n rlike r'^-?\d+\.\d+$', regexp_replace(n, r'\.?0+$', ''), n)""")
-    return let("stored", f"schema_of_variant({value})",
-               f"if(stored rlike '{NUMBER_TYPES}', {trimmed}, null)")
+    trimmed = let(
+        "_num", text, r"if(_num rlike r'^-?\d+\.\d+$', regexp_replace(_num, r'\.?0+$', ''), _num)")
+    return let("_type", f"schema_of_variant({value})",
+               f"if(_type rlike '{NUMBER_TYPES}', {trimmed}, null)")
 
 
 def _child(value: str, base: str, key: str) -> tuple[str, str]:
@@ -88,7 +89,7 @@ def _holds(value: str, base: str, pattern, depth: int = 0) -> str:
             return f"{get(value, base, OBJECT)} is not null"
         return _all([_holds(*_child(value, base, k), p, depth) for k, p in pattern.items()])
     if isinstance(pattern, list):
-        array, x = get(value, base, ARRAY), f"x{depth}"
+        array, x = get(value, base, ARRAY), f"_x{depth}"
         if not pattern:
             return f"{array} is not null"
         return _all([f"exists({array}, {x} -> {_holds(x, '$', p, depth + 1)})" for p in pattern])
@@ -109,7 +110,7 @@ def contains(value: str, pattern) -> Column:
     pattern = _read(pattern)
     test = _holds(value, "$", pattern)
     if not isinstance(pattern, (dict, list)):
-        element = f"exists({get(value, '$', ARRAY)}, x -> {_holds('x', '$', pattern)})"
+        element = f"exists({get(value, '$', ARRAY)}, _x -> {_holds('_x', '$', pattern)})"
         test = f"coalesce({test}, false) or coalesce({element}, false)"
     return F.expr(f"coalesce({test}, false)" if " or " in test else test)
 
@@ -126,16 +127,16 @@ def contained_by(value: str, document) -> Column:
 
 def _within(value: str, document, depth: int) -> str:
     if isinstance(document, dict):
-        entries, m = get(value, "$", OBJECT), f"m{depth}"
-        names = f"k in ({text_list(document)})" if document else "false"
-        tests = [f"forall(map_keys({m}), k -> {names})"]
+        entries, m = get(value, "$", OBJECT), f"_m{depth}"
+        names = f"_k in ({text_list(document)})" if document else "false"
+        tests = [f"forall(map_keys({m}), _k -> {names})"]
         for key, part in document.items():
             name = text_list([key])
             tests.append(f"(not map_contains_key({m}, {name}) or "
                          f"{_within(f'try_element_at({m}, {name})', part, depth + 1)})")
         return f"coalesce({let(m, entries, _all(tests))}, false)"
     if isinstance(document, list):
-        x = f"x{depth}"
+        x = f"_x{depth}"
         some = _any([_within(x, part, depth + 1) for part in document])
         return f"coalesce(forall({get(value, '$', ARRAY)}, {x} -> {some}), false)"
     return f"coalesce({_scalar(value, '$', document)}, false)"
@@ -144,7 +145,7 @@ def _within(value: str, document, depth: int) -> str:
 def _has_key(value: str, key: str) -> str:
     child, base = _child(value, "$", key)
     present = f"{_whole(child, base)} is not null"
-    element = f"exists({get(value, '$', ARRAY)}, x -> {_scalar('x', '$', key)})"
+    element = f"exists({get(value, '$', ARRAY)}, _x -> {_scalar('_x', '$', key)})"
     return f"({present} or coalesce({element}, false) " \
            f"or coalesce({_scalar(value, '$', key)}, false))"
 

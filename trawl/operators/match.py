@@ -80,17 +80,19 @@ class Lookup:
         return requests, found.withColumnRenamed("items", "found")
 
 
-def matches(requests: Requests, corpus: Scan | Lookup, detail: bool = False) -> DataFrame:
+def matches(requests: Requests, corpus: Scan | Lookup, detail: bool = False,
+            per_document: dict[str, str] | None = None) -> DataFrame:
     """(query_id, doc_id) of every request and the documents it holds for.
 
     With ``detail`` the rows also carry the request and its terms' occurrences in the document,
-    for ranking.
+    for ranking, and the ``per_document`` columns, SQL over (found, here) worked out beforehand.
     """
     positions = detail or requests.phrases
     requests, documents = corpus.documents(requests, positions)
     documents = documents.withColumn(
         "here", F.expr("array_distinct(found.term)"))
-    kept = pairs(requests, documents, "doc_id").where(_holds(positions))
+    documents = documents.withColumns({c: F.expr(e) for c, e in (per_document or {}).items()})
+    kept = pairs(requests, documents, "doc_id").where(_holds(requests.phrases))
     if not detail:
         return kept.select("query_id", "doc_id")
     return kept.withColumn("found", F.expr("filter(found, f -> array_contains(terms, f.term))"))

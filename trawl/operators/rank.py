@@ -19,10 +19,27 @@ NO_PAIR = 1e-20
 
 
 def ranked(requests: Requests, corpus: Scan | Lookup) -> DataFrame:
-    """(query_id, doc_id, rank) of every match; adds no shuffle to matching."""
-    score = let("wanted", f"array_remove(terms, '{ANY_DOCUMENT}')", f"""
-        if(top_op in ('or', 'not') or size(wanted) < 2, {_term_score()}, {_pair_score()})""")
-    return matches(requests, corpus, detail=True).select(
+    """(query_id, doc_id, rank) of every match; adds no shuffle to matching.
+
+    A term's score in a document is the same for all requests, so it is worked out once per
+    document, before requests are paired with it. Pairs of terms are scored per request.
+    """
+    by_term, by_pairs, per_document = True, True, {}
+    mean = f"{_sum(f'transform(wanted, word -> {_term_score()})')} / size(wanted)"
+    if requests.small:
+        alone = [op in ("or", "not") or len(set(terms) - {ANY_DOCUMENT}) < 2 for op, terms in
+                 zip(requests.head["top_op"].to_pylist(), requests.head["terms"].to_pylist())]
+        by_term, by_pairs = any(alone), not all(alone)
+        if by_term:
+            per_document["scores"] = f"""transform(here, word ->
+                named_struct('term', word, 'score', {_term_score()}))"""
+            asked = "filter(scores, s -> array_contains(wanted, s.term))"
+            mean = f"{_sum(f'transform({asked}, s -> s.score)')} / size(wanted)"
+    if by_term and by_pairs:
+        mean = f"if(top_op in ('or', 'not') or size(wanted) < 2, {mean}, {_pair_score()})"
+    score = let("wanted", f"array_remove(terms, '{ANY_DOCUMENT}')",
+                mean if by_term else _pair_score())
+    return matches(requests, corpus, detail=True, per_document=per_document).select(
         "query_id", "doc_id", F.expr(score).alias("rank"))
 
 
@@ -57,13 +74,12 @@ def _sum(values: str) -> str:
 
 
 def _term_score() -> str:
-    """Mean over the request's terms of a weighted, damped occurrence sum."""
+    """A weighted, damped sum over the occurrences of the term ``word`` in a document."""
     weights = f"transform({_occurrences('filter(found, f -> f.term = word)')}, o -> o.w)"
     damped = _sum("transform(ws, (w, j) -> w / ((j + 1D) * (j + 1D)))")
     one = let("best", "array_max(ws)", f"""(best + {damped}
         - best / pow(array_position(ws, best), 2)) / {HARMONIC}D""")
-    each = let("ws", weights, f"if(size(ws) = 0, 0D, {one})")
-    return f"{_sum(f'transform(wanted, word -> {each})')} / size(wanted)"
+    return let("ws", weights, f"if(size(ws) = 0, 0D, {one})")
 
 
 def _pair_score() -> str:

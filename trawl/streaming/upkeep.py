@@ -14,7 +14,8 @@ def keep_index(stream: DataFrame, index: TermIndex | PathIndex, checkpoint: str,
     """Start indexing a stream of rows. ``trigger``: as for ``DataStreamWriter.trigger``.
 
     Batch n becomes segment n + 1; a batch replayed after a failure writes the same segment
-    again, so the index holds every row once.
+    again, so the index holds every row once. An index that a stream keeps should not be
+    refreshed in other ways as well.
     """
     refresh = refresh_term_index if isinstance(index, TermIndex) else refresh_path_index
 
