@@ -193,8 +193,19 @@ def test_fields_and_marks(items):
         ("lamp", "✗"), ("chair", "✓"), ("lamp", "✗")] + [("—", "✗")] * 5
 
 
+NOT_JSON = ["{a", "", "1 abc", "1,2", "1],[2", '1},{"b":2', '{"a":1} x', '{"a":1}{"b":2}', "]", "01",
+            '1,"b":2', "NaN", "'a'"]
+
+
 def test_bad_json_defaults_and_repeated_keys(spark):
-    df = spark.createDataFrame([(1, '{"a":1,"a":2}'), (2, "{a"), (3, None)], "id long, j string")
+    rows = ['{"a":1,"a":2}', None, " [1] ", "null", '"a]}"', "-1.5e3"] + NOT_JSON
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, j string")
     good, bad = tables.split_bad_json(df, "j", "v")
-    assert sorted((r.id, str(r.v)) for r in good.collect()) == [(1, '{"a":2}'), (3, "{}")]
-    assert [r.id for r in bad.collect()] == [2]
+    assert sorted((r.id, r.t) for r in good.select("id", F.to_json("v").alias("t")).collect()) == [
+        (0, '{"a":2}'), (1, "{}"), (2, "[1]"), (3, "null"), (4, '"a]}"'), (5, "-1500.0")]
+    assert sorted(r.j for r in bad.collect()) == sorted(NOT_JSON)
+    df.where("id = 2").select(tables.json_value("j")).collect()
+    with pytest.raises(Exception, match="not a JSON value"):
+        df.select(tables.json_value("j")).collect()
+    with pytest.raises(Exception, match="not a JSON value"):
+        json_search.patterns(spark, {"q": '{"a":1} x'})

@@ -26,6 +26,22 @@ def get(value: str, path: str, kind: str) -> str:
     return f"try_variant_get({value}, {text_list([path])}, '{kind}')"
 
 
+def parsed(text: str, strict: bool = True) -> str:
+    """SQL for JSON text as a variant. Text that is not one JSON value fails the job, or gives
+    NULL when not strict.
+
+    Spark's parser stops after the first value and ignores what follows it. What follows cannot
+    close a bracket and a brace at once, so text that is valid inside both is one value.
+    """
+    element = get(f"try_parse_json(concat('[', {text}, ']'))", "$[0]", "variant")
+    member = f"""try_parse_json(concat('{{"v":', {text}, '}}'))"""
+    value = f"if({member} is null, null, {element})"
+    if not strict:
+        return value
+    failure = f"cast(raise_error(concat('not a JSON value: ', {text})) as variant)"
+    return f"if({text} is null, null, coalesce({value}, {failure}))"
+
+
 def number_text(value: str) -> str:
     """One spelling per numeric value: 1, 1.0 and 1e0 all give ``1``; NULL for other types.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trawl.functions.analysis import text_list
+from trawl.functions.jsonb import parsed
 from trawl.sources.segments import path_exists
 
 ARTICLES = T.StructType([
@@ -53,14 +55,14 @@ def split_rejects(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFr
     return df.where(~missing), df.where(missing)
 
 
-def json_value(text: Column, default: str | None = None, strict: bool = True) -> Column:
-    """JSON text as a variant. Bad text fails the job, or gives NULL when not strict.
+def json_value(text: str, default: str | None = None, strict: bool = True) -> Column:
+    """A JSON text column as a variant. Text that is not one JSON value fails the job, or gives
+    NULL when not strict; absent text takes the default.
 
     Of repeated keys the last one counts, once ``keep_last_key`` was called on the session.
     """
-    if default is not None:
-        text = F.coalesce(text, F.lit(default))
-    return F.parse_json(text) if strict else F.try_parse_json(text)
+    given = f"`{text}`" if default is None else f"coalesce(`{text}`, {text_list([default])})"
+    return F.expr(parsed(given, strict))
 
 
 def keep_last_key(spark: SparkSession) -> None:
@@ -72,5 +74,5 @@ def split_bad_json(df: DataFrame, text: str, to: str,
     """Rows with ``text`` parsed into ``to`` (absent text takes the default), and the rows whose
     text is not JSON, unchanged."""
     keep_last_key(df.sparkSession)
-    parsed = df.withColumn(to, json_value(F.col(text), default, strict=False))
+    parsed = df.withColumn(to, json_value(text, default, strict=False))
     return parsed.where(F.col(to).isNotNull()), parsed.where(F.col(to).isNull()).select(*df.columns)
