@@ -126,6 +126,30 @@ def test_lookup_reads_its_buckets_with_a_pushed_filter(spark, tmp_path):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_frequent_terms_are_split_over_files_and_lookups_cut_them_down(spark, tmp_path):
+    """Every document has one term, and one document holds a third of all words."""
+    rows = spark.range(20000).selectExpr("id", "concat('the w', id % 500) as text").unionByName(
+        spark.range(1).selectExpr("30000L as id", "repeat('the zz ', 10000) as text"))
+    index = _index(tmp_path)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+    try:
+        term_index.build_term_index(rows, index)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    the = spark.read.parquet(index.path).where("term = 'the'")
+    assert the.count() == 20001
+    assert the.select(F.input_file_name()).distinct().count() > 1
+    requests = ask.strict(spark, {"a": "the & w7", "b": "the <-> zz <-> the", "c": "the"}, "simple")
+    found = match.matches(requests, match.Lookup(index))
+    counted = {r["query_id"]: r["n_docs"] for r in match.counts(requests, found).collect()}
+    assert counted == {"a": 40, "b": 1, "c": 20001}
+    rare = ask.strict(spark, {"a": "the & w7"}, "simple")
+    led, _ = match.Lookup(index).documents(rare, False)
+    assert led.leads == ("w7",)
+    assert "LeftSemi" in _plan(match.matches(rare, match.Lookup(index)))
+
+
 def test_scan_matches_without_a_shuffle(spark, tmp_path):
     path = str(tmp_path / "docs")
     _docs(spark, [(n, "red green") for n in range(50)]).write.parquet(path)
