@@ -7,7 +7,8 @@ A request set is one small table, one row per request::
 
 A clause holds when all its needed items and none of its avoided items are in a document; a
 request holds when any clause does. ``leads`` has one needed term per clause: the longest, which
-tends to be the rarest, until an index gives exact counts. Request words go through the same analysis as documents.
+tends to be the rarest, until an index gives exact counts. Request words go through the same
+analysis as documents.
 """
 
 from __future__ import annotations
