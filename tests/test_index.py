@@ -105,6 +105,23 @@ def test_path_index_refresh(spark, tmp_path):
         == sorted(map(tuple, path_index.read_entries(spark, index).collect()))
 
 
+def test_path_index_sync(spark, tmp_path):
+    def rows(values):
+        return spark.createDataFrame(list(values.items()), "id long, j string").select(
+            "id", F.parse_json("j").alias("v"))
+
+    index = path_index.PathIndex(str(tmp_path / "p"), "id", "v", 4)
+    values = {1: '{"a":1,"b":2}', 2: '{"a":1}', 3: "[1]", 4: None}
+    assert path_index.sync_path_index(rows(values), index) == 0
+    assert path_index.sync_path_index(rows(values | {1: '{"b":2, "a":1}'}), index) is None
+    later = values | {2: '{"z":1}', 5: '{"a":1}'}
+    assert path_index.sync_path_index(rows(later), index) == 1
+    assert path_index.sync_path_index(rows(later), index) is None
+    requests = json_search.patterns(spark, {"a": '{"a":1}', "z": '{"z":1}', "one": "1"})
+    found = json_search.json_matches(requests, json_search.JsonLookup(index, rows(later)))
+    assert by_query(found.collect(), "row_id") == {"a": [1, 5], "z": [2], "one": [3]}
+
+
 # ---- plans ----------------------------------------------------------------------------------
 
 def _plan(df):

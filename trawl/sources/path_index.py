@@ -16,7 +16,7 @@ from trawl.sources import segments
 BUCKET = "path_bucket"
 ENTRY = ["path", "vtype", "value"]
 ORDER = [*ENTRY, "row_id"]
-ROW = ("", "row", "")  # the entry that stands for the row itself
+ROW = "row"  # type of the entry that stands for the row itself; its value is a hash of the row
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,10 @@ class PathIndex:
             f"path string, vtype string, value string, row_id {self.key_type}")
 
 
+def _digest(column: str) -> str:
+    return f"coalesce(cast(xxhash64(to_json(`{column}`)) as string), '')"
+
+
 def path_entries(df: DataFrame, key: str, column: str, with_rows: bool = False) -> DataFrame:
     """(path, vtype, value, row_id): each entry once per row; ``with_rows`` adds the entry that
     stands for the row itself.
@@ -42,7 +46,7 @@ def path_entries(df: DataFrame, key: str, column: str, with_rows: bool = False)
     """
     found = entries(f"`{column}`")
     if with_rows:
-        row = f"named_struct('path', '{ROW[0]}', 'vtype', '{ROW[1]}', 'value', '{ROW[2]}')"
+        row = f"named_struct('path', '', 'vtype', '{ROW}', 'value', {_digest(column)})"
         found = f"array_append({found}, {row})"
     distinct = let("es", f"sort_array({found})",
                    "filter(es, (e, i) -> i = 0 or e <> es[greatest(i - 1, 0)])")
@@ -75,13 +79,30 @@ def _entries(index: PathIndex, wanted) -> str:
            f"and vtype in ({text_list(types)}) and value in ({text_list(values)})"
 
 
-def _registry(index: PathIndex) -> str:
-    return _entries(index, [ROW])
+REGISTRY = f"path = '' and vtype = '{ROW}'"
+
+
+def sync_path_index(df: DataFrame, index: PathIndex) -> int | None:
+    """Bring an index up to date with its table: index the rows that are new or whose value is
+    not what was indexed. Returns the segment written, or None when nothing had changed."""
+    spark = df.sparkSession
+    if not segments.path_exists(spark, f"{index.path}/segment=0/_SUCCESS"):
+        build_path_index(df, index)
+        return 0
+    known = read_entries(spark, index, REGISTRY).select(
+        F.col("row_id").alias(index.key), F.col("value").alias("_digest"))
+    changed = segments.changed_rows(df, index.key, F.expr(_digest(index.column)), known)
+    if changed is None:
+        return None
+    segment = segments.segments(spark, index.path)[-1] + 1
+    refresh_path_index(changed, index, segment)
+    return segment
 
 
-def read_entries(spark: SparkSession, index: PathIndex) -> DataFrame:
+def read_entries(spark: SparkSession, index: PathIndex, wanted=None) -> DataFrame:
     """(path, vtype, value, row_id) of all rows as they are now."""
-    return segments.read_live(spark, index.path, index.schema, BUCKET, "row_id", _registry(index))
+    return segments.read_live(spark, index.path, index.schema, BUCKET, "row_id", REGISTRY,
+                              wanted)
 
 
 def entry_counts(spark: SparkSession, index: PathIndex, wanted) -> dict[tuple, int]:
@@ -96,7 +117,7 @@ def find_entries(spark: SparkSession, index: PathIndex, wanted, leads, item: str
     keep = None if wanted is None else _entries(index, wanted)
     leading = None if leads is None else _entries(index, leads)
     return segments.gather(spark, index.path, index.schema, BUCKET, "row_id", keep,
-                           _registry(index), item, leading, narrow)
+                           REGISTRY, item, leading, narrow)
 
 
 def compact_path_index(spark: SparkSession, index: PathIndex, target: PathIndex) -> None:

@@ -7,10 +7,12 @@ to the change and a replayed refresh replaces its own segment.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trawl.session import stored
+
 # Keys of lead rows are broadcast only when they were counted to be at most this many.
 LEAD_ROWS = 1_000_000
 
@@ -117,6 +119,16 @@ def gather(spark: SparkSession, path: str, schema: T.StructType, bucket: str, ke
             .selectExpr(key, f"{newest} as items"))
 
 
+def changed_rows(df: DataFrame, key: str, digest: Column, known: DataFrame) -> DataFrame | None:
+    """Rows that are new or whose digest is not the ``known`` one (key, _digest); None if none.
+
+    Keys and digests alone are compared; the changed rows are read in whole afterwards.
+    """
+    changed = stored(df.select(key, digest.alias("_digest"))
+                     .join(known, [key, "_digest"], "left_anti").select(key), "changed")
+    return None if changed.isEmpty() else df.join(changed, key, "left_semi")
+
+
 def compact(spark: SparkSession, live: DataFrame, path: str, bucket: str, column: str,
             order: list[str]) -> None:
     """Write the live rows of an index as the full build of a new one."""

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from trawl.functions.analysis import ANY_DOCUMENT, document_entry, text_list
 from trawl.operators.postings import text_postings
-from trawl.session import stored
 from trawl.sources import segments
 
 BUCKET = "term_bucket"
@@ -59,14 +58,12 @@ def sync_term_index(df: DataFrame, index: TermIndex) -> int | None:
     columns = [name for name, _ in index.fields]
     known = read_postings(spark, index, _registry(index)).select(
         F.col("doc_id").alias(index.key), F.col("positions").alias("_digest"))
-    # Keys and hashes alone are compared; the texts of changed rows are read afterwards.
-    changed = stored(df.select(index.key, F.expr(f"{document_entry(columns)}.positions")
-                               .alias("_digest"))
-                     .join(known, [index.key, "_digest"], "left_anti").select(index.key), "changed")
-    if changed.isEmpty():
+    digest = F.expr(f"{document_entry(columns)}.positions")
+    changed = segments.changed_rows(df, index.key, digest, known)
+    if changed is None:
         return None
     segment = segments.segments(spark, index.path)[-1] + 1
-    refresh_term_index(df.join(changed, index.key, "left_semi"), index, segment)
+    refresh_term_index(changed, index, segment)
     return segment
 
 
