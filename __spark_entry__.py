@@ -19,6 +19,12 @@ from trawl.session import ship_package, work_folder  # noqa: E402
 from trawl.sources import path_index, tables, term_index  # noqa: E402
 from trawl.streaming.upkeep import keep_index  # noqa: E402
 
+try:  # these two come and go together
+    import corpus_pipeline
+    from trawl.llm import queries as text_prep
+except ImportError:
+    corpus_pipeline = text_prep = None
+
 TEXT = [("text", "D")]
 TITLE_BODY = [("title", "A"), ("body", "B")]
 
@@ -332,7 +338,7 @@ def entry(spark: SparkSession) -> DataFrame:
         "query_id", "place", "doc_id", "title", F.round("rank", 4).alias("rank"), "headline")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "text_tokens": lambda spark, sf: postings.text_tokens(_docs(spark, sf), "doc_id", "text"),
         "text_postings_two_fields": _postings_two_fields,
@@ -510,7 +516,7 @@ def _parts(test: str) -> str:
     return f"SELECT p_partkey FROM part WHERE {test}"
 
 
-def oracle_sql() -> dict[str, str]:
+def _search_sql() -> dict[str, str]:
     return {
         "text_tokens": f"WITH {TOKENS} SELECT doc_id, pos, term FROM tokens",
         "text_postings_two_fields": f"""WITH {WEIGHTED} SELECT term, doc_id, weight,
@@ -610,3 +616,15 @@ def oracle_sql() -> dict[str, str]:
             "src": "list_has_any(ws, ['src0', 'src3'])", "not": f"NOT {_has_word('la')}"}),
         "index_stream": f"WITH {WORDS} {_any_of(PLAIN_SQL)}",
     }
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    added = {**text_prep.QUERIES, "pipeline": corpus_pipeline.run} if text_prep else {}
+    return {**_search_queries(), **added}
+
+
+def oracle_sql() -> dict[str, str]:
+    if text_prep is None:
+        return _search_sql()
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**_search_sql(), **text_prep.ORACLE_SQL, **whole}
