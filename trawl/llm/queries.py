@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import fingerprints, sharding
+from trawl.llm import fingerprints, minhash, sharding
 from trawl.llm.common import table
 
 
@@ -21,11 +21,16 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.containment(own, edited).alias("contained_in_edited"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"),
         "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op7_sharding": op7_sharding}
+QUERIES = {"op3_fingerprints": op3_fingerprints, "op6_minhash": op6_minhash,
+           "op7_sharding": op7_sharding}
 ORACLE_SQL: dict[str, str] = {}
