@@ -5,8 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import fingerprints, minhash, sharding
-from trawl.llm.common import table
+from trawl.llm import fingerprints, licenses, minhash, sharding
+from trawl.llm.common import LOWER, UPPER, table
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.known_licenses(spark))
+    return found.select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licenses_sql() -> str:
+    def lines(text: str) -> str:
+        plain = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '(?m){licenses.COPYRIGHT}', '', 'g')"
+        form = f"' ' || replace(regexp_replace({plain}, '{licenses.PUNCTUATION}', '  ', 'g'), chr(10), " \
+               "' ' || chr(10) || ' ') || ' '"
+        for old, new in licenses.SPELLINGS.items():
+            old, new = (f" {x.replace(' ', '  ')} " for x in (old, new))
+            form = f"replace({form}, '{old}', '{new}')"
+        return form
+
+    known = [*licenses.TEXTS.items(), *((name, text) for text, name in licenses.NOTICES.items())]
+    rows = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in known)
+    one_line = "sha256(trim(regexp_replace({}, '[ \\n]+', ' ', 'g')))"
+    return f"""WITH known AS (SELECT DISTINCT license, {one_line.format("lines")} AS digest
+            FROM (SELECT license, {lines("text")} AS lines FROM (VALUES {rows}) AS v(license, text))),
+        forms AS (SELECT doc_id, {lines("coalesce(text, '')")} AS lines FROM documents),
+        found AS (SELECT DISTINCT doc_id, license FROM (SELECT doc_id, {one_line.format("line")} AS digest
+            FROM (SELECT doc_id, unnest(string_split(lines, chr(10))) AS line FROM forms))
+            JOIN known USING (digest)),
+        listed AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS line_licenses
+            FROM found GROUP BY doc_id)
+        SELECT doc_id, digest, license, coalesce(line_licenses, '') AS line_licenses
+        FROM (SELECT doc_id, {one_line.format("lines")} AS digest FROM forms)
+        LEFT JOIN known USING (digest) LEFT JOIN listed USING (doc_id)"""
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +67,6 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op6_minhash": op6_minhash,
+QUERIES = {"op1_licenses": op1_licenses, "op3_fingerprints": op3_fingerprints, "op6_minhash": op6_minhash,
            "op7_sharding": op7_sharding}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_licenses": _licenses_sql()}
