@@ -28,7 +28,7 @@ _BLANK[[32, *range(9, 14)]] = True
 class Words:
     """Words of a chunk: document d has words ``bounds[d]`` up to ``bounds[d + 1]``."""
 
-    data: np.ndarray     # lower-cased bytes of the chunk
+    data: np.ndarray     # bytes of the chunk, lower-cased if so wanted
     rows: slice          # the chunk's rows in its batch
     offsets: np.ndarray  # documents' places in ``data``
     starts: np.ndarray   # words' places in ``data``
@@ -88,10 +88,10 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[slice, np
         at = to
 
 
-def words(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Words]:
-    """The words of a batch of texts, chunk by chunk."""
+def words(texts: pa.Array, most: int = CHUNK_BYTES, lower: bool = True) -> Iterator[Words]:
+    """The words of a batch of texts, chunk by chunk; ``lower=False`` keeps A to Z apart from a to z."""
     for rows, raw, offsets in chunks(texts, most):
-        data = _LOWER[raw]
+        data = _LOWER[raw] if lower else raw
         blank = np.ones(len(data) + 2, dtype=bool)
         blank[1:-1] = _BLANK[raw]
         first = ~blank[1:] & blank[:-1]   # a word begins at this byte

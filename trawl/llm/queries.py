@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import fingerprints, licenses, minhash, sharding
+from trawl.llm import fingerprints, idfiles, licenses, minhash, sharding
 from trawl.llm.common import LOWER, UPPER, table
 
 
@@ -67,6 +68,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+WORD_PIECES = idfiles.Encoding(public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
+
+
+def op9_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.encoded(table(spark, sf_dir, "documents"), WORD_PIECES)
+
+
 QUERIES = {"op1_licenses": op1_licenses, "op3_fingerprints": op3_fingerprints, "op6_minhash": op6_minhash,
-           "op7_sharding": op7_sharding}
+           "op7_sharding": op7_sharding, "op9_idfiles": op9_idfiles}
 ORACLE_SQL = {"op1_licenses": _licenses_sql()}
