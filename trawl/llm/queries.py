@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import fingerprints, idfiles, licenses, minhash, sharding
+from trawl.llm import fingerprints, idfiles, licenses, minhash, pivots, sharding
 from trawl.llm.common import LOWER, UPPER, table
 
 
@@ -68,6 +68,41 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+OP8_SQL = """WITH RECURSIVE rows AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    fit AS (SELECT * FROM rows WHERE e IS NOT NULL AND len(e) > 0
+        AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b
+        ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+    reached AS (SELECT vec_id AS a, vec_id AS b FROM rows
+        UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b),
+    roots AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+    counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = vec_id AS kept
+    FROM roots LEFT JOIN counted USING (vec_id)"""
+
+OP6_SQL = f"""WITH RECURSIVE ws AS (SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+        FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i:
+            w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM ws),
+    sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+    shingles AS MATERIALIZED (SELECT doc_id, unnest(s) AS s FROM sets),
+    common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y
+        ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+    links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+        WHERE 100 * c >= 85 * (p.n + q.n - c)),
+    reached AS (SELECT doc_id AS a, doc_id AS b FROM documents
+        UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b),
+    roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+    SELECT doc_id, n AS n_shingles, component_id, component_id = doc_id AS kept
+    FROM roots JOIN sizes USING (doc_id)"""
+
 WORD_PIECES = idfiles.Encoding(public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
 
 
@@ -76,5 +111,5 @@ def op9_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_licenses": op1_licenses, "op3_fingerprints": op3_fingerprints, "op6_minhash": op6_minhash,
-           "op7_sharding": op7_sharding, "op9_idfiles": op9_idfiles}
-ORACLE_SQL = {"op1_licenses": _licenses_sql()}
+           "op7_sharding": op7_sharding, "op8_pivots": op8_pivots, "op9_idfiles": op9_idfiles}
+ORACLE_SQL = {"op1_licenses": _licenses_sql(), "op6_minhash": OP6_SQL, "op8_pivots": OP8_SQL}
