@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import fingerprints, idfiles, licenses, minhash, pivots, sharding
-from trawl.llm.common import LOWER, UPPER, table
+from trawl.llm import fingerprints, idfiles, licenses, lm, minhash, pivots, sharding
+from trawl.llm.common import LOWER, UPPER, remainder, table
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ def _licenses_sql() -> str:
         LEFT JOIN known USING (digest) LEFT JOIN listed USING (doc_id)"""
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
     own, edited = F.col("sketch"), F.col("edited_sketch")
@@ -110,6 +114,6 @@ def op9_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.encoded(table(spark, sf_dir, "documents"), WORD_PIECES)
 
 
-QUERIES = {"op1_licenses": op1_licenses, "op3_fingerprints": op3_fingerprints, "op6_minhash": op6_minhash,
+QUERIES = {"op1_licenses": op1_licenses, "op2_lm": op2_lm, "op3_fingerprints": op3_fingerprints, "op6_minhash": op6_minhash,
            "op7_sharding": op7_sharding, "op8_pivots": op8_pivots, "op9_idfiles": op9_idfiles}
 ORACLE_SQL = {"op1_licenses": _licenses_sql(), "op6_minhash": OP6_SQL, "op8_pivots": OP8_SQL}
