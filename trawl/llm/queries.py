@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import fingerprints, idfiles, licenses, lm, minhash, pivots, sharding
+from trawl.llm import fingerprints, idfiles, licenses, lm, minhash, mixing, pivots, sharding
 from trawl.llm.common import LOWER, UPPER, remainder, table
 
 
@@ -62,6 +62,17 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.containment(own, edited).alias("contained_in_edited"))
 
 
+MOST_REPEATS = 2.0
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row once at least and small sources up to twice."""
+    mixture = mixing.mix(table(spark, sf_dir, "documents"), most_repeats=MOST_REPEATS)
+    return mixture.rows.select(
+        "doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").cast("long").alias("epoch"),
+        "mix_place", F.lit(mixture.exponent).alias("exponent"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
 
@@ -114,6 +125,6 @@ def op9_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.encoded(table(spark, sf_dir, "documents"), WORD_PIECES)
 
 
-QUERIES = {"op1_licenses": op1_licenses, "op2_lm": op2_lm, "op3_fingerprints": op3_fingerprints, "op6_minhash": op6_minhash,
+QUERIES = {"op1_licenses": op1_licenses, "op2_lm": op2_lm, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op6_minhash": op6_minhash,
            "op7_sharding": op7_sharding, "op8_pivots": op8_pivots, "op9_idfiles": op9_idfiles}
 ORACLE_SQL = {"op1_licenses": _licenses_sql(), "op6_minhash": OP6_SQL, "op8_pivots": OP8_SQL}
