@@ -102,13 +102,26 @@ def words(texts: pa.Array, most: int = CHUNK_BYTES, lower: bool = True) -> Itera
             first[touching] = True
             last[touching] = True
         starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-        up, down = powers(len(data))
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-        hashes = mixed((sums[ends] - sums[starts]) * down[starts])
+        hashes = span_hashes(data, starts, ends)
         yield Words(data, rows, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """uint64 hash of the bytes of each span, wherever it lies."""
+    up, down = powers(len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, bounds) of the non-empty lines of each document, parted at line feeds."""
+    breaks = np.unique(np.concatenate([offsets, np.flatnonzero(data == 10), np.flatnonzero(data == 10) + 1]))
+    starts, ends = breaks[:-1], breaks[1:]
+    some = data[starts] != 10 if len(starts) else np.zeros(0, dtype=bool)
+    return starts[some], ends[some], np.searchsorted(starts[some], offsets)
+
+
 def shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): each run of ``width`` words of a document; fewer words are one run."""
     h, bounds, counts = found.hashes, found.bounds, found.counts

@@ -28,6 +28,7 @@ from tokenizers import Tokenizer
 
 from trawl.llm import bytewords
 from trawl.llm.common import text_or_empty
+from trawl.llm.memo import Memo
 from trawl.session import work_folder
 
 BLOCK_IDS = 1 << 18
@@ -77,53 +78,29 @@ class WordEncoder:
 
     def __init__(self, tokenizer: str) -> None:
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.known = np.zeros(0, dtype=np.uint64)   # sorted word hashes
-        self.starts = np.zeros(0, dtype=np.int64)   # their ids' places in ``ids``
-        self.counts = np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint32)
+        self.known = Memo(KNOWN_WORDS)
 
     def _learn(self, found: bytewords.Words) -> None:
-        hashes, first = np.unique(found.hashes, return_index=True)
-        at = np.searchsorted(self.known, hashes)
-        new = np.ones(len(hashes), dtype=bool)
-        inside = at < len(self.known)
-        new[inside] = self.known[at[inside]] != hashes[inside]
-        if len(self.known) + int(new.sum()) > KNOWN_WORDS:
-            self.known, self.starts = self.known[:0], self.starts[:0]
-            self.counts, self.ids = self.counts[:0], self.ids[:0]
-            new[:] = True
-        first, hashes = first[new], hashes[new]
+        hashes, first = self.known.missing(found.hashes)
         if not len(hashes):
             return
         data = found.data.tobytes()
-        texts = [data[s:e].decode(errors="replace") for s, e in zip(found.starts[first].tolist(), found.ends[first].tolist(),
-                                                    strict=True)]
+        texts = [data[s:e].decode(errors="replace")
+                 for s, e in zip(found.starts[first].tolist(), found.ends[first].tolist(), strict=True)]
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.array([len(e) for e in encoded], dtype=np.int64)
-        starts = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate([self.ids, np.array([i for e in encoded for i in e], dtype=np.uint32)])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.starts = np.concatenate([self.starts, starts])[order]
-        self.counts = np.concatenate([self.counts, counts])[order]
+        self.known.add(hashes, np.array([len(e) for e in encoded], dtype=np.int64),
+                       np.array([i for e in encoded for i in e], dtype=np.uint32))
 
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """(rows, ids of these rows one after another with the end id, number of ids per row)."""
         for found in bytewords.words(texts, lower=False):
             self._learn(found)
-            at = np.searchsorted(self.known, found.hashes)
-            counts, starts = self.counts[at], self.starts[at]
-            places = np.cumsum(counts) - counts
-            # Every document's end id follows its last word's ids.
-            ends_before = np.repeat(np.arange(len(found.counts)), found.counts)
-            total = int(counts.sum())
-            out = np.empty(total + len(found.counts), dtype=np.uint32)
-            source = np.repeat(starts - places, counts) + np.arange(total)
-            target = np.arange(total) + np.repeat(ends_before, counts)
-            out[target] = self.ids[source]
+            counts, ids = self.known.spans(found.hashes)
+            docs = len(found.counts)
             whole = np.concatenate([[0], np.cumsum(counts)])[found.bounds]
-            out[whole[1:] + np.arange(len(found.counts))] = end_id
+            out = np.empty(len(ids) + docs, dtype=np.uint32)
+            out[np.arange(len(ids)) + np.repeat(np.arange(docs), np.diff(whole))] = ids
+            out[whole[1:] + np.arange(docs)] = end_id
             yield found.rows, out, np.diff(whole) + 1
 
 

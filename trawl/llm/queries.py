@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import fingerprints, idfiles, licenses, lm, minhash, mixing, pivots, sharding
+from trawl.llm import fingerprints, idfiles, licenses, lm, minhash, mixing, pivots, quality, sharding
 from trawl.llm.common import LOWER, UPPER, remainder, table
 
 
@@ -73,6 +73,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "mix_place", F.lit(mixture.exponent).alias("exponent"))
 
 
+LEAST_QUALITY = 0.3
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    held_out = remainder("doc_id", 5) == 0
+    forest = quality.fit(docs, labels, ~held_out)
+    scored = quality.score(docs, forest, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"),
+                         (F.col("quality_score") >= LEAST_QUALITY).cast("int").alias("predicted"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
 
@@ -125,6 +137,6 @@ def op9_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.encoded(table(spark, sf_dir, "documents"), WORD_PIECES)
 
 
-QUERIES = {"op1_licenses": op1_licenses, "op2_lm": op2_lm, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op6_minhash": op6_minhash,
+QUERIES = {"op1_licenses": op1_licenses, "op2_lm": op2_lm, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op6_minhash": op6_minhash,
            "op7_sharding": op7_sharding, "op8_pivots": op8_pivots, "op9_idfiles": op9_idfiles}
 ORACLE_SQL = {"op1_licenses": _licenses_sql(), "op6_minhash": OP6_SQL, "op8_pivots": OP8_SQL}
