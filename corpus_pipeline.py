@@ -1,13 +1,52 @@
-"""The corpus pipeline: documents in, mixed and encoded training text out."""
+"""The corpus pipeline: documents in, mixed and encoded training text out.
+
+1. quality: documents that the classifier, learnt from ``labels``, scores below 0.3 go.
+2. near_duplicates: one document stays of each group linked at 0.8 on five-word shingles, that with
+   the smallest id. Rows with equal ids and texts count as one; rows without an id all stay.
+3. mixing: sources are mixed by temperature so that no source is repeated more than twice and every
+   document is used; rows come in the mixture's order, and a repeated document is repeated rows.
+4. pieces: merge-dropout piece ids of each text.
+
+Null and empty texts pass through all stages as empty texts; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trawl.llm import minhash, mixing, pieces, quality
 from trawl.llm.common import table
+from trawl.llm.queries import LEAST_QUALITY, MOST_REPEATS, PIECES_MODEL
 from trawl.session import stored
 
-STAGES: list = []
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    forest = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return quality.score(docs, forest).where(F.col("quality_score") >= LEAST_QUALITY).select(docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs, percent=80, width=5)
+    kept = found.where("kept").select("doc_id").distinct()
+    copies = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    rows = docs.join(kept, "doc_id", "left_semi")
+    rows = rows if copies else rows.dropDuplicates(["doc_id", "text"])
+    return rows.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(docs, most_repeats=MOST_REPEATS).rows
+    return rows.repartitionByRange("mix_place").sortWithinPartitions("mix_place").select(docs.columns)
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = pieces.encode(docs, PIECES_MODEL, keep=["doc_id", "source"])
+    return found.withColumn("n_pieces", F.size("piece_ids").cast("long"))
+
+
+STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each), ("mixing", mix_sources),
+          ("pieces", to_pieces)]
 ORACLE_SQL = None
 
 

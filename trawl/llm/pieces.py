@@ -31,8 +31,10 @@ from trawl.llm.memo import Memo
 VARIANTS = 16
 LONG = 64
 KNOWN_UNITS = 1 << 19
+TOGETHER = 1 << 13      # units merged at once, so that their arrays stay in a core's cache
 SPACE = 0x2581
-_FAR = np.int64(2**62)
+_SLOTS = 18             # of the pair table, as a power of two
+_FAR = np.int32(2**31 - 1)
 _NONE = np.iinfo(np.int32).min
 
 
@@ -41,9 +43,10 @@ class Vocabulary:
     """A model's pieces as arrays. Symbols are piece ids, or ``-1 - code point`` without a piece."""
 
     symbols: np.ndarray     # by code point
-    pairs: np.ndarray       # sorted left * 2^32 + right
-    merged: np.ndarray      # the piece a pair makes
-    ranks: np.ndarray       # 0: highest score; equal scores have equal ranks
+    pairs: np.ndarray       # left * 2^32 + right, or -1, in the slots of a hash table
+    merged: np.ndarray      # by slot, the piece a pair makes
+    ranks: np.ndarray       # by slot, 0: highest score; equal scores have equal ranks
+    probes: int             # slots in which a pair may be
     byte_ids: np.ndarray    # by byte
     data: np.ndarray        # the pieces' text, white space as spaces, one after another
     offsets: np.ndarray
@@ -73,12 +76,31 @@ def vocabulary(model: str) -> Vocabulary:
     order = {score: r for r, score in enumerate(sorted({sp.get_score(i) for i in ids.values()}, reverse=True))}
     rows = [(ids[name[:k]] << 32 | ids[name[k:]], i, order[sp.get_score(i)])
             for name, i in ids.items() for k in range(1, len(name)) if name[:k] in ids and name[k:] in ids]
-    table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 3)
-    return Vocabulary(symbols, table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].copy(), byte_ids,
+    return Vocabulary(symbols, *_pair_table(np.array(rows, dtype=np.int64).reshape(-1, 3)), byte_ids,
                       np.frombuffer(b"".join(texts), dtype=np.uint8),
                       np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
 
 
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C55) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
+def _pair_table(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(pairs, pieces, ranks, probes): each row in the first free slot from its hash on."""
+    pairs, merged, ranks = (np.full(1 << _SLOTS, x, t) for x, t in ((-1, np.int64), (0, np.int32), (_FAR, np.int32)))
+    probes, at = 0, _slot(rows[:, 0].copy())
+    while len(rows):
+        free = pairs[at] == -1
+        _, first = np.unique(at, return_index=True)
+        lucky = np.zeros(len(rows), dtype=bool)
+        lucky[first] = True
+        lucky &= free
+        pairs[at[lucky]], merged[at[lucky]], ranks[at[lucky]] = rows[lucky].T
+        rows, at = rows[~lucky], (at[~lucky] + 1) % (1 << _SLOTS)
+        probes += 1
+    return pairs, merged, ranks, probes
+
+
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code points, place of each) of UTF-8 bytes."""
     starts = np.flatnonzero((data & 0xC0) != 0x80)
@@ -96,21 +118,40 @@ def _candidates(v: Vocabulary, left: np.ndarray, right: np.ndarray, key: np.ndar
                 dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """(rank, merged piece) of adjacent symbols; ``_FAR`` where they make no piece or are skipped."""
     pair = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
-    at = np.minimum(np.searchsorted(v.pairs, pair), len(v.pairs) - 1)
-    piece = v.merged[at]
-    fits = (v.pairs[at] == pair) & (left >= 0) & (right >= 0)
+    at = _slot(pair)
+    open_ = np.flatnonzero(v.pairs[at] != pair)
+    for _ in range(v.probes):   # most pairs are found, or their slot is empty, at once
+        open_ = open_[v.pairs[at[open_]] != -1]
+        if not len(open_):
+            break
+        at[open_] = (at[open_] + 1) % (1 << _SLOTS)
+        open_ = open_[v.pairs[at[open_]] != pair[open_]]
+    found = np.flatnonzero((v.pairs[at] == pair) & (left >= 0) & (right >= 0))
+    rank, piece = np.full(len(pair), _FAR), np.zeros(len(pair), dtype=np.int32)
+    piece[found], rank[found] = v.merged[at[found]], v.ranks[at[found]]
     if dropout > 0:
-        own = bytewords.mixed(key + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                              + piece.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-        fits &= (own >> np.uint64(11)) * 2.0**-53 >= dropout
-    return np.where(fits, v.ranks[at], _FAR), piece
+        own = bytewords.mixed(key[found] + place[found].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                              + piece[found].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        rank[found[(own >> np.uint64(11)) * 2.0**-53 < dropout]] = _FAR
+    return rank, piece
+
+
+def merge_all(v: Vocabulary, symbols: np.ndarray, bounds: np.ndarray, keys: np.ndarray,
+              dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """Final symbols of many units and the number of each, ``TOGETHER`` units at a time."""
+    parts = [merge_together(v, symbols[bounds[a]:bounds[min(a + TOGETHER, len(keys))]],
+                            bounds[a:a + TOGETHER + 1] - bounds[a], keys[a:a + TOGETHER], dropout)
+             for a in range(0, len(keys), TOGETHER)]
+    if not parts:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def merge_together(v: Vocabulary, symbols: np.ndarray, bounds: np.ndarray, keys: np.ndarray,
                    dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Final symbols of many units and the number of each; every unit has one symbol at least."""
-    unit = np.repeat(np.arange(len(keys)), np.diff(bounds))
-    place = np.arange(len(symbols)) - bounds[unit]
+    """Final symbols of these units and the number of each; every unit has one symbol at least."""
+    unit = np.repeat(np.arange(len(keys), dtype=np.int32), np.diff(bounds))
+    place = (np.arange(len(symbols)) - bounds[unit]).astype(np.int32)
     symbols = symbols.copy()
     last = np.zeros(len(symbols), dtype=bool)
     last[bounds[1:] - 1] = True
@@ -119,9 +160,9 @@ def merge_together(v: Vocabulary, symbols: np.ndarray, bounds: np.ndarray, keys:
     done_symbols, done_units, done_places = [], [], []
     while len(symbols):
         starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-        order = np.where(rank == _FAR, _FAR, (rank << 32) + np.arange(len(rank)))
+        order = (rank.astype(np.int64) << 32) + np.arange(len(rank))
         best = np.minimum.reduceat(order, starts)
-        going = best < _FAR
+        going = best >> 32 < _FAR
         keep = np.repeat(going, np.diff(np.append(starts, len(symbols))))
         done_symbols.append(symbols[~keep])
         done_units.append(unit[~keep])
@@ -252,11 +293,10 @@ class Encoder:
         lengths = np.diff(bounds)
         short = lengths <= LONG
         take = np.repeat(short, lengths)
-        merged, counts = merge_together(self.v, symbols[take], np.concatenate([[0], np.cumsum(lengths[short])]),
-                                        keys[short], self.dropout)
-        if short.all():
-            counts, ids = counts, merged
-        else:
+        merged, counts = merge_all(self.v, symbols[take], np.concatenate([[0], np.cumsum(lengths[short])]),
+                                   keys[short], self.dropout)
+        ids = merged
+        if not short.all():
             pieces, ends = [], np.cumsum(counts)
             whole, every = np.zeros(len(keys), dtype=np.int64), iter(zip(ends - counts, ends, strict=True))
             for i in range(len(keys)):

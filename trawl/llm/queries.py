@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import fingerprints, idfiles, licenses, lm, minhash, mixing, pivots, quality, sharding
+from trawl.llm import fingerprints, idfiles, licenses, lm, minhash, mixing, pieces, pivots, quality, sharding
 from trawl.llm.common import LOWER, UPPER, remainder, table
 
 
@@ -137,6 +137,19 @@ def op9_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.encoded(table(spark, sf_dir, "documents"), WORD_PIECES)
 
 
+PIECES_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and whether decoding them gives the text again."""
+    docs = table(spark, sf_dir, "documents")
+    found = pieces.encode(docs, PIECES_MODEL, keep=["doc_id", "text"])
+    back = pieces.decode(found.withColumn("ids", F.col("piece_ids")), PIECES_MODEL, "ids")
+    return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids",
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 QUERIES = {"op1_licenses": op1_licenses, "op2_lm": op2_lm, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op6_minhash": op6_minhash,
-           "op7_sharding": op7_sharding, "op8_pivots": op8_pivots, "op9_idfiles": op9_idfiles}
+           "op7_sharding": op7_sharding, "op8_pivots": op8_pivots, "op9_idfiles": op9_idfiles,
+           "op10_pieces": op10_pieces}
 ORACLE_SQL = {"op1_licenses": _licenses_sql(), "op6_minhash": OP6_SQL, "op8_pivots": OP8_SQL}
