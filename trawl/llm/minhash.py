@@ -2,12 +2,17 @@
 
 1. One pass over the texts gives each document's set of shingles as a count, a digest, band hashes
    and a signature that keeps the low bits of the minima. Equal sets are one class from here on.
-2. Classes that share a band hash are candidates. They meet star by star: in each round every
-   bucket names one class, and its members are compared with that class only, unless they are
-   already in one component. What is still apart after the rounds is paired within its bucket, so
-   that no link is lost. The signatures' bit counts, corrected for chance collisions, drop
-   candidates that are far below the threshold.
-3. The rest is confirmed on full shingle sets; components follow by star steps.
+2. Classes that share a band hash are candidates. A bucket's centre is its class with most company in
+   all buckets, which in a family of copies is the text they come from. All classes that meet in the
+   buckets of one centre form its list: a family's many buckets give few lists.
+3. A list is decided inside a task, without making its pairs: the centre is compared with all others,
+   then each class that is still outside the largest component, until every class outside it has
+   been compared with all. The signatures' bit counts, corrected for chance collisions, leave out
+   pairs far below the threshold; the rest is confirmed on full shingle sets.
+4. A list too large for a task is dealt into blocks, each decided together with the list's ``HUBS``
+   classes of most company. Then the classes that are still outside the list's largest component
+   meet all its blocks.
+5. Components follow from the confirmed links by star steps.
 
 A pair at the threshold shares no band with probability (1 - 0.85^5)^25 = 4e-7, and its signature
 is below the margin by more than six standard deviations.
@@ -21,10 +26,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm import bytewords
+from trawl.llm.batches import sorted_groups
 from trawl.llm.components import components
 from trawl.session import stored
 
@@ -33,7 +39,8 @@ BITS = 2
 LANES = 32  # of two bits in a long
 WORDS_OF_SIGNATURE = -(-BANDS * ROWS // LANES)
 MARGIN = 0.23
-STAR_ROUNDS = 3
+BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20  # of a list that one task decides
+HUBS = 64
 PROFILE = ("_id long, n_shingles long, node long, bands array<long>, "
            + ", ".join(f"s{i} long" for i in range(WORDS_OF_SIGNATURE)))
 
@@ -119,26 +126,72 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                                              names=["node", "shingles"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-            both = np.sort(np.concatenate([p, q]), kind="stable")
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * common >= percent * (len(p) + len(q) - common))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
-def likeness(prefix_a: str, prefix_b: str) -> Column:
-    """Estimated Jaccard similarity from two signatures: equal lanes, less those equal by chance."""
-    differing = F.lit(0)
-    for i in range(WORDS_OF_SIGNATURE):
-        bits = F.col(f"{prefix_a}s{i}").bitwiseXOR(F.col(f"{prefix_b}s{i}"))
-        lanes = bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555))
-        differing = differing + F.bit_count(lanes)
-    same, chance = 1 - differing / F.lit(BANDS * ROWS), 1 / 2**BITS
-    return (same - chance) / (1 - chance)
+class _List:
+    """Classes of one list, or of blocks of it, and the components found among them so far."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.node = rows.column("node").to_numpy()
+        self.size = rows.column("n_shingles").to_numpy()
+        self.signature = np.stack([rows.column(f"s{i}").to_numpy() for i in range(WORDS_OF_SIGNATURE)],
+                                  axis=1).view(np.uint64)
+        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in rows.column("shingles")]
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.starts = np.concatenate([[0], np.cumsum(self.size)])
+        self.ids, self.marks = ids, np.zeros(int(ids.max()) + 1, dtype=bool)
+        self.root = np.unique(rows.column("root").to_numpy(), return_inverse=True)[1]
+        self.asked = np.zeros(len(self.node), dtype=bool)
+
+    def likeness(self, x: int) -> np.ndarray:
+        """Estimated Jaccard similarity to every class: equal lanes, less those equal by chance."""
+        bits = self.signature ^ self.signature[x]
+        lanes = (bits | bits >> np.uint64(1)) & np.uint64(0x5555555555555555)
+        same, chance = 1 - np.bitwise_count(lanes).sum(axis=1) / (BANDS * ROWS), 1 / 2**BITS
+        return (same - chance) / (1 - chance)
+
+    def ask(self, x: int, percent: int) -> list[int]:
+        """Compare a class with all in other components; returns one linked class of each of these."""
+        self.asked[x] = True
+        n, size = self.size[x], self.size
+        fits = (self.root != self.root[x]) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+        if not fits.any():
+            return []
+        others = np.flatnonzero(fits & (self.likeness(x) >= percent / 100 - MARGIN))
+        own = self.ids[self.starts[x]:self.starts[x + 1]]
+        self.marks[own] = True
+        common = np.array([np.count_nonzero(self.marks[self.ids[self.starts[y]:self.starts[y + 1]]])
+                           for y in others], dtype=np.int64)
+        self.marks[own] = False
+        linked = others[100 * common >= percent * (n + size[others] - common)]
+        roots, first = np.unique(self.root[linked], return_index=True)
+        self.root[np.isin(self.root, roots)] = self.root[x]
+        return linked[first].tolist()
+
+    def links(self, percent: int, asking: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links that join all components which a link joins and an ``asking`` class belongs to.
+
+        Where all classes ask, those of the largest component need not: any other asks them.
+        """
+        waiting = np.flatnonzero(asking)[:1] if asking.all() else np.flatnonzero(asking)
+        while len(waiting):
+            for x in waiting:
+                if not (self.asked.any() and asking.all() and self.root[x] == self._largest()):
+                    yield from ((int(self.node[x]), int(self.node[y])) for y in self.ask(int(x), percent))
+            waiting = np.flatnonzero(~self.asked & (self.root != self._largest())) if asking.all() else []
+
+    def _largest(self) -> int:
+        return int(np.bincount(self.root).argmax())
+
+
+def _decided(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) found within each list; rows come sorted by list, its classes by ``place``."""
+    for _, rows in sorted_groups(batches, 3):
+        if rows.num_rows > 1:
+            found = _List(rows)
+            links = list(found.links(percent, rows.column("asking").to_numpy(zero_copy_only=False)))
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                                                 names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, percent: int, width: int, id_col: str = "doc_id",
@@ -160,18 +213,18 @@ def near_duplicates(docs: DataFrame, percent: int, width: int, id_col: str = "do
         F.min(F.col("_id")).alias("least"), F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in signature))
     entries = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     entries = stored(entries.join(shared, "bucket"), "minhash-buckets")
-    busy = entries.select("node").distinct()
-    known = stored(classes.join(busy, "node").select("node", "least", "n_shingles", *signature),
+    company = entries.groupBy("node").agg(F.sum("n").alias("company"))
+    known = stored(classes.join(company, "node").select("node", "least", "company", "n_shingles", *signature),
                    "minhash-classes")
+    lists = stored(_lists(entries, known), "minhash-lists")
     sets = stored(_whole_sets(rows, known, width), "minhash-sets")
-    links, roots = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        pairs = _stars(entries, roots, turn) if turn < STAR_ROUNDS else _apart(entries, roots)
-        found = _confirm(pairs, known, sets, percent)
-        links = stored(found if links is None else links.union(found), "minhash-links")
-        roots = stored(components(links), "minhash-roots")
+    links = stored(_links(_blocks(lists), known, sets, percent), "minhash-links")
+    roots = components(links)
+    if not lists.where("blocks > 1").isEmpty():
+        more = stored(_links(_outsiders(lists, roots), known, sets, percent), "minhash-links")
+        roots = components(links.union(more))
     tagged = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = tagged.groupBy("root").agg(F.min("_id").alias("component_id"))
     found = tagged.select("node", "root").distinct().join(least, "root").select("node", "component_id")
@@ -193,41 +246,61 @@ def _whole_sets(rows: DataFrame, known: DataFrame, width: int) -> DataFrame:
     return found.join(known.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _stars(entries: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """Each bucket's members paired with one of them, another in each turn, where still apart."""
-    tagged = _tagged(entries, roots)
-    order = F.xxhash64("node", F.lit(turn))
-    pivots = tagged.groupBy("bucket").agg(F.min(F.struct(order, "node", "root")).alias("p"))
-    return tagged.join(pivots, "bucket").where("root <> p.root").select(
-        F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-
-
-def _apart(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of a bucket that are in different components, for buckets with more than one."""
-    tagged = _tagged(entries, roots)
-    mixed = tagged.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    left = tagged.join(mixed.select("bucket"), "bucket")
-    other = left.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    return left.join(other, "bucket").where("root < root_b").select(
-        F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-
-
-def _tagged(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return entries.withColumn("root", F.col("node"))
-    return entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def _confirm(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs whose signatures are near and whose full sets are linked."""
-    near = pairs
-    for side in ("a", "b"):
-        signature = known.select(F.col("node").alias(side), F.col("n_shingles").alias(f"{side}n"),
-                                 *(F.col(f"s{i}").alias(f"{side}s{i}") for i in range(WORDS_OF_SIGNATURE)))
-        near = near.join(signature, side)
-    fits = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
-    near = near.where(fits & (likeness("a", "b") >= percent / 100 - MARGIN)).select("a", "b")
-    near = stored(near, "minhash-near")
-    both = near.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(
-        sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(partial(_confirmed, percent=percent), "a long, b long")
+def _lists(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """(centre, node, company, blocks): who meets in the buckets of each centre."""
+    met = entries.join(known.select("node", "company"), "node")
+    centres = met.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("c"))
+    listed = met.join(centres, "bucket").select(F.col("c.node").alias("centre"), "node", "company").distinct()
+    sizes = listed.join(known.select("node", "n_shingles"), "node").groupBy("centre").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast(
+            "int").alias("blocks"))
+    return listed.join(sizes, "centre")
+
+
+def _blocks(lists: DataFrame) -> DataFrame:
+    """Every list in blocks, the hubs of a list with more than one in all of them."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    whole = lists.select("centre", block.alias("x"), F.lit(0).alias("y"), "node", "company")
+    large = lists.where("blocks > 1")
+    # Hubs are cut per hash share first, so that no task sorts a whole list.
+    share = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    first = Window.partitionBy("centre", share).orderBy(F.desc("company"), "node")
+    then = Window.partitionBy("centre").orderBy(F.desc("company"), "node")
+    hubs = large.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= HUBS).withColumn(
+        "_at", F.row_number().over(then)).where(F.col("_at") <= HUBS)
+    hubs = hubs.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "centre", "x", F.lit(0).alias("y"), "node", "company")
+    return whole.union(hubs).distinct().select(
+        "*", F.col("node").alias("root"), F.lit(True).alias("asking"))
+
+
+def _outsiders(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Classes outside the largest component of a list with many blocks, with each of its blocks."""
+    tagged = lists.where("blocks > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counts = tagged.groupBy("centre", "root").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("centre").agg(F.max(F.struct("n", "root")).alias("m"))
+    tagged = tagged.join(largest.select("centre", F.col("m.root").alias("main")), "centre")
+    out = tagged.where("root <> main")
+    shares = out.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("shares"))
+    share = F.pmod(F.xxhash64("node", F.lit(2)), F.col("shares")).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    every_share = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    columns = ["centre", "x", "y", "node", "company", "root", "asking"]
+    asking = out.join(shares, "centre").withColumn("x", share).withColumn("y", every_block).withColumn(
+        "asking", F.lit(True)).select(*columns)
+    asked = tagged.join(shares, "centre").withColumn("y", block).withColumn("x", every_share).withColumn(
+        "asking", F.lit(False)).select(*columns)
+    return asking.union(asked).groupBy("centre", "x", "y", "node", "company", "root").agg(
+        F.max("asking").alias("asking"))
+
+
+def _links(dealt: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links found in the lists' parts (centre, x, y), each decided in one task."""
+    signature = [f"s{i}" for i in range(WORDS_OF_SIGNATURE)]
+    whole = dealt.join(known.select("node", "n_shingles", *signature), "node").join(sets, "node")
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = whole.select("centre", "x", "y", "node", "company", "root", "asking", "n_shingles", *signature,
+                         "shingles").repartition(parts, "centre", "x", "y")
+    whole = whole.sortWithinPartitions("centre", "x", "y", F.desc("company"), "node")
+    return whole.mapInArrow(partial(_decided, percent=percent), "a long, b long")
