@@ -16,31 +16,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import minhash, mixing, pieces, quality
-from trawl.llm.common import table
+from trawl.llm.common import prepare, quoted, table
 from trawl.llm.queries import LEAST_QUALITY, MOST_REPEATS, PIECES_MODEL
 from trawl.session import stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     forest = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return quality.score(docs, forest).where(F.col("quality_score") >= LEAST_QUALITY).select(docs.columns)
+    return quality.score(docs, forest).where(F.col("quality_score") >= LEAST_QUALITY).select(*quoted(docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     found = minhash.near_duplicates(docs, percent=80, width=5)
     kept = found.where("kept").select("doc_id").distinct()
     copies = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     rows = docs.join(kept, "doc_id", "left_semi")
     rows = rows if copies else rows.dropDuplicates(["doc_id", "text"])
-    return rows.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return rows.select(*quoted(docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = mixing.mix(docs, most_repeats=MOST_REPEATS).rows
-    return rows.repartitionByRange("mix_place").sortWithinPartitions("mix_place").select(docs.columns)
+    return rows.repartitionByRange("mix_place").sortWithinPartitions("mix_place").select(*quoted(docs.columns))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     found = pieces.encode(docs, PIECES_MODEL, keep=["doc_id", "source"])
     return found.withColumn("n_pieces", F.size("piece_ids").cast("long"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import ascii_lower, text_or_empty
+from trawl.llm.common import ascii_lower, quoted, text_or_empty
 from trawl.llm.license_texts import NOTICES, SPELLINGS, TEXTS
 
 # Optional comment marks, then a copyright sign or word with a sign, a year or a place for one.
@@ -57,11 +57,11 @@ def scan(docs: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame
     """
     listed = [(r["digest"], r["license"]) for r in known.distinct().collect()]
     by_digest = F.create_map(*(F.lit(x) for pair in listed for x in pair))
-    given = [c for c in docs.columns if c not in ("digest", "license", "line_licenses", "_lines")]
-    rows = docs.select(*given, canonical_lines(text_or_empty(text_col)).alias("_lines"))
+    given = quoted([c for c in docs.columns if c not in ("digest", "license", "line_licenses")])
+    rows = docs.select(F.struct(*given).alias("_row"), canonical_lines(text_or_empty(text_col)).alias("_lines"))
     names = F.transform(F.split("_lines", "\n"), lambda line: F.try_element_at(
         by_digest, digest(F.btrim(F.regexp_replace(line, " +", " ")))))
-    rows = rows.select(*given, digest(whole(F.col("_lines"))).alias("digest"),
+    rows = rows.select("_row", digest(whole(F.col("_lines"))).alias("digest"),
                        F.array_sort(F.array_distinct(F.array_compact(names))).alias("line_licenses"))
     return rows.join(F.broadcast(known.distinct()), "digest", "left").select(
-        *given, "digest", "license", "line_licenses")
+        "_row.*", "digest", "license", "line_licenses")

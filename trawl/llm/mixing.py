@@ -12,10 +12,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import n_words, text_or_empty
+from trawl.llm.common import n_words, quoted, text_or_empty
 from trawl.session import stored
 
 BLOCK_TOKENS = 1 << 18
@@ -101,9 +101,9 @@ def mix(docs: DataFrame, target_entropy: float | None = None, most_repeats: floa
     once. Repeated rows are rows of their own. Columns named mix_* are replaced. An empty table
     gives an empty result.
     """
-    given = [c for c in docs.columns if not c.startswith("mix_") and c != "_s"]
-    rows = docs.select(*given, F.col(source_col).cast("string").alias("_s"),
-                       n_words(text_or_empty(text_col)).alias("mix_tokens"))
+    given = quoted([c for c in docs.columns if not c.startswith("mix_")])
+    rows = docs.select(F.struct(*given).alias("_row"), F.col(source_col).cast("string").alias("_s"),
+                       F.col(id_col).alias("_id"), n_words(text_or_empty(text_col)).alias("mix_tokens"))
     found = rows.groupBy("_s").agg(F.sum("mix_tokens").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -112,46 +112,39 @@ def mix(docs: DataFrame, target_entropy: float | None = None, most_repeats: floa
     shares = weights(tokens, exponent)
     total = whole_budget(tokens, shares) if budget is None else budget
     budgets = {s: total * w for s, w in shares.items()}
-    return Mixture(exponent, shares, budgets, _realised(rows, tokens, budgets, given, id_col, seed))
+    return Mixture(exponent, shares, budgets, _realised(rows, tokens, budgets, seed))
 
 
-def _hash(*columns: Column | str) -> Column:
-    return F.xxhash64(*columns)
-
-
-def _realised(rows: DataFrame, tokens: dict, budgets: dict, given: list[str], id_col: str,
-              seed: int) -> DataFrame:
+def _realised(rows: DataFrame, tokens: dict, budgets: dict, seed: int) -> DataFrame:
     spark = rows.sparkSession
     schema = "_source string, _total long, _blocks int, _budget double"
-    # Rounding must not ask for a row more than a whole number of epochs.
     plan = spark.createDataFrame([(s, int(n), max(1, math.ceil(n / BLOCK_TOKENS)), float(budgets[s]))
                                   for s, n in tokens.items()], schema)
     blocked = rows.join(F.broadcast(plan), F.col("_s").eqNullSafe(F.col("_source"))).withColumn(
-        "_block", F.pmod(_hash(F.col(id_col), F.lit(seed)), F.col("_blocks")).cast("int"))
+        "_block", F.pmod(F.xxhash64("_id", F.lit(seed)), F.col("_blocks")).cast("int"))
     blocks = stored(blocked.groupBy("_source", "_block", "_total", "_budget").agg(
         F.sum("mix_tokens").alias("_n")), "mix-blocks")
-    spare = 1e-9 * F.col("_budget")
+    spare = 1e-9 * F.col("_budget")  # rounding must not ask for a row more than whole epochs
     last = F.greatest(F.lit(1), F.ceil((F.col("_budget") - spare) / F.greatest("_total", F.lit(1)))).cast("int")
     turns = blocks.withColumn("_epoch", F.explode(F.sequence(F.lit(0), last - 1)))
     order = Window.partitionBy("_source", "_epoch").orderBy(
-        _hash("_block", "_epoch", F.lit(seed)), "_block").rowsBetween(Window.unboundedPreceding, -1)
+        F.xxhash64("_block", "_epoch", F.lit(seed)), "_block").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_epoch") * F.col("_total") + F.coalesce(F.sum("_n").over(order), F.lit(0))
     turns = turns.withColumn("_start", start).where(
         (F.col("_start") < F.col("_budget") - spare) | (F.col("_total") == 0))
     # A block that the budget cuts is the last of its source; only its rows are put in order.
     whole = F.col("_start") + F.col("_n") <= F.col("_budget") + spare
     use = turns.select("_source", "_block", "_epoch", "_start", "_n", "_budget", whole.alias("_whole"))
-    kept = [*given, "mix_tokens"]
     placed = blocked.drop("_budget").withColumnRenamed("_source", "_from").withColumnRenamed("_block", "_in").join(
         use, (F.col("_from").eqNullSafe(F.col("_source"))) & (F.col("_in") == F.col("_block")))
-    key = _hash(F.col(id_col), F.col("_epoch"), F.lit(seed))
+    key = F.xxhash64("_id", F.col("_epoch"), F.lit(seed))
     size = F.greatest("_budget", F.lit(1.0))
     taken = placed.where("_whole").select(
-        *kept, F.col("_epoch").alias("mix_epoch"),
+        "_row.*", "mix_tokens", F.col("_epoch").alias("mix_epoch"),
         ((F.col("_start") + F.col("_n") * (key / F.lit(2.0**64) + 0.5)) / size).alias("mix_place"))
-    inside = Window.partitionBy("_from", "_in").orderBy(key, F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_from", "_in").orderBy(key, "_id").rowsBetween(Window.unboundedPreceding, -1)
     cut = placed.where("not _whole").withColumn(
         "_at", F.col("_start") + F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0)))
     cut = cut.where(F.col("_at") < F.col("_budget") - spare).select(
-        *kept, F.col("_epoch").alias("mix_epoch"), (F.col("_at") / size).alias("mix_place"))
+        "_row.*", "mix_tokens", F.col("_epoch").alias("mix_epoch"), (F.col("_at") / size).alias("mix_place"))
     return taken.unionByName(cut)

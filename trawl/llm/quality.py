@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from trawl.llm import bytewords
+from trawl.llm.common import with_computed
 
 SAMPLE = 20_000   # labelled rows the trees are grown from, at most
 BINS, DEPTH, TREES = 64, 4, 80
@@ -180,7 +182,7 @@ def _scores(batches: Iterator[pa.RecordBatch], forest: Broadcast) -> Iterator[pa
         out = np.concatenate(scores) if scores else np.zeros(0)
         columns = [batch.column(i) for i in range(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(out)],
-                                         names=[*batch.schema.names[:-1], "quality_score"])
+                                         names=[*batch.schema.names[:-1], "made"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -209,7 +211,6 @@ def score(docs: DataFrame, forest: Forest, text_col: str = "text", keep: list[st
     replaced. Repeated rows stay; an empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(forest)
-    given = [c for c in keep or docs.columns if c != "quality_score"]
-    rows = docs.select(*given, F.col(text_col).alias("_text_to_score"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda batches: _scores(batches, held), schema + ", quality_score double")
+    kept = [c for c in keep or docs.columns if c != "quality_score"]
+    return with_computed(docs, kept, [F.col(text_col)], lambda batches: _scores(batches, held), "quality_score",
+                         DoubleType())

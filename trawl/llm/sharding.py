@@ -24,20 +24,24 @@ from trawl.session import stored
 UNITS = 4096
 CELL_ROWS = 50_000
 DEMANDS = ["size", "tokens", "n"]
+# How much a resource counts in the dot product: bytes are to be nearest to equal.
+EMPHASIS = np.array([16.0, 1.0, 1.0])
 
 
 def place(demands: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each unit; ``demands`` has one row per unit and one column per resource.
 
     Units go in descending order of their first resource (ties: earlier row first). A unit goes
-    where the dot product of its demand with the residual capacity is highest (ties: lower shard).
+    where the dot product of its demand with the residual capacity, weighted by ``EMPHASIS``, is
+    highest (ties: lower shard).
     Capacity is an equal part of each resource.
     """
     shares = demands / np.maximum(demands.sum(axis=0, keepdims=True), 1e-300)
+    emphasis = EMPHASIS[:shares.shape[1]]
     residual = np.full((shards, shares.shape[1]), 1.0 / shards)
     out = np.zeros(len(shares), dtype=np.int64)
     for unit in np.lexsort((np.arange(len(shares)), -shares[:, 0])):
-        at = int(np.argmax(residual @ shares[unit]))
+        at = int(np.argmax(residual @ (emphasis * shares[unit])))
         out[unit] = at
         residual[at] -= shares[unit]
     return out
