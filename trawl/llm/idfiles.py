@@ -17,7 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ from trawl.llm.memo import Memo
 from trawl.session import work_folder
 
 BLOCK_IDS = 1 << 18
-# Words whose ids a task keeps; when there are more, it starts again with an empty table.
-KNOWN_WORDS = 1 << 19
+# Words whose ids a Python worker keeps, over all its tasks; with more it starts again.
+KNOWN_WORDS = 1 << 21
 SCHEMA = "part int, block int, bits int, n_ids long, doc_ids array<long>, counts array<long>, payload binary"
 
 
@@ -70,7 +70,7 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of texts, encoding each distinct blank-free word of a task only once.
+    """Ids of texts, encoding each distinct blank-free word only once.
 
     Right for tokenizers whose ids of a text are those of its words (parted at ASCII white space) one
     after another: white space is dropped and no rule, merge or special token reaches across it.
@@ -80,22 +80,19 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.known = Memo(KNOWN_WORDS)
 
-    def _learn(self, found: bytewords.Words) -> None:
-        hashes, first = self.known.missing(found.hashes)
-        if not len(hashes):
-            return
+    def _of_words(self, found: bytewords.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of the words numbered ``at``."""
         data = found.data.tobytes()
         texts = [data[s:e].decode(errors="replace")
-                 for s, e in zip(found.starts[first].tolist(), found.ends[first].tolist(), strict=True)]
+                 for s, e in zip(found.starts[at].tolist(), found.ends[at].tolist(), strict=True)]
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        self.known.add(hashes, np.array([len(e) for e in encoded], dtype=np.int64),
-                       np.array([i for e in encoded for i in e], dtype=np.uint32))
+        return (np.array([len(e) for e in encoded], dtype=np.int64),
+                np.array([i for e in encoded for i in e], dtype=np.uint32))
 
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """(rows, ids of these rows one after another with the end id, number of ids per row)."""
         for found in bytewords.words(texts, lower=False):
-            self._learn(found)
-            counts, ids = self.known.spans(found.hashes)
+            counts, ids = self.known.runs(found.hashes, lambda at, _, found=found: self._of_words(found, at))
             docs = len(found.counts)
             whole = np.concatenate([[0], np.cumsum(counts)])[found.bounds]
             out = np.empty(len(ids) + docs, dtype=np.uint32)
@@ -104,9 +101,15 @@ class WordEncoder:
             yield found.rows, out, np.diff(whole) + 1
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(tokenizer: str) -> WordEncoder:
+    """The encoder that this Python worker's tasks share."""
+    return WordEncoder(tokenizer)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], encoding: Encoding) -> Iterator[pa.RecordBatch]:
     part, block = TaskContext.get().partitionId(), 0
-    encoder, held, docs, counts, size = WordEncoder(encoding.tokenizer), [], [], [], 0
+    encoder, held, docs, counts, size = worker_encoder(encoding.tokenizer), [], [], [], 0
 
     def closed():
         ids = np.concatenate(held)

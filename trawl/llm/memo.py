@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -18,20 +20,28 @@ class Memo:
         self.counts = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
-    def missing(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct keys that are not held, where each first occurs); makes room for them."""
-        distinct, first = np.unique(keys, return_index=True)
+    def runs(self, keys: np.ndarray, make: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """(length of each key's run, all runs one after another).
+
+        ``make(first, keys)`` gives the lengths and the runs of distinct new keys, of which ``first``
+        tells where they first occur.
+        """
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, distinct)
         new = np.ones(len(distinct), dtype=bool)
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != distinct[inside]
-        if len(self.keys) + int(new.sum()) > self.most:
-            self._clear()
-            new[:] = True
-        return distinct[new], first[new]
+        if new.any():
+            if len(self.keys) + int(new.sum()) > self.most:
+                self._clear()
+                new[:] = True
+            self._add(distinct[new], *make(first[new], distinct[new]))
+            at = np.searchsorted(self.keys, distinct)
+        counts = self.counts[at][inverse]
+        shift = self.starts[at][inverse] - (np.cumsum(counts) - counts)
+        return counts, self.ids[np.repeat(shift, counts) + np.arange(int(counts.sum()))]
 
-    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """Hold new keys with their runs, which lie one after another in ``ids``."""
+    def _add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
         starts = len(self.ids) + np.cumsum(counts) - counts
         self.ids = np.concatenate([self.ids, ids])
         every = np.concatenate([self.keys, keys])
@@ -39,10 +49,3 @@ class Memo:
         self.keys = every[order]
         self.starts = np.concatenate([self.starts, starts])[order]
         self.counts = np.concatenate([self.counts, counts])[order]
-
-    def spans(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(length of each key's run, all runs one after another); every key must be held."""
-        at = np.searchsorted(self.keys, keys)
-        counts = self.counts[at]
-        shift = self.starts[at] - (np.cumsum(counts) - counts)
-        return counts, self.ids[np.repeat(shift, counts) + np.arange(int(counts.sum()))]

@@ -7,8 +7,8 @@ rate. Characters without a piece become byte pieces, so decoding returns every t
 
 No piece reaches from a letter into following white space, so a text is encoded in units: a run of
 spaces with the word behind it, or one other white space character. Each place of a unit in a text
-draws one of ``VARIANTS`` keys from (seed, id, place); a task merges each distinct (unit, key) once, all
-new ones of a batch together: every round merges the best pair of each unit. Units of more than
+draws one of ``VARIANTS`` keys from (seed, id, place); a worker merges each distinct (unit, key) once,
+many new ones together: every round merges the best pair of each unit. Units of more than
 ``LONG`` characters go through an agenda of their own.
 """
 
@@ -24,13 +24,15 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from trawl.llm import bytewords
+from trawl.llm.common import with_computed
 from trawl.llm.memo import Memo
 
 VARIANTS = 16
 LONG = 64
-KNOWN_UNITS = 1 << 19
+KNOWN_UNITS = 1 << 21
 TOGETHER = 1 << 13      # units merged at once, so that their arrays stay in a core's cache
 SPACE = 0x2581
 _SLOTS = 18             # of the pair table, as a power of two
@@ -259,7 +261,7 @@ def units(texts: pa.Array) -> Iterator[Units]:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the merged units of a task."""
+    """Encodes batches of texts; keeps the merged units."""
 
     def __init__(self, model: str, dropout: float, seed: int) -> None:
         self.v, self.dropout, self.seed = vocabulary(model), dropout, np.uint64(seed % 2**64)
@@ -276,10 +278,7 @@ class Encoder:
                 text = bytewords.mixed(numbers[found.rows] + self.seed)
                 drawn = bytewords.mixed(np.repeat(text, of) + place) % np.uint64(VARIANTS)
                 keys = bytewords.mixed(keys + (drawn + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C55) + self.seed)
-            new, first = self.known.missing(keys)
-            if len(new):
-                self.known.add(new, *self._merged(found, first, new))
-            counts, out = self.known.spans(keys)
+            counts, out = self.known.runs(keys, lambda at, new, found=found: self._merged(found, at, new))
             whole = np.concatenate([[0], np.cumsum(counts)])[found.bounds]
             yield found.rows, out, np.diff(whole)
 
@@ -311,6 +310,12 @@ class Encoder:
         return counts, ids
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(model: str, dropout: float, seed: int) -> Encoder:
+    """The encoder that this Python worker's tasks share."""
+    return Encoder(model, dropout, seed)
+
+
 def decoded(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """Texts of piece ids; the leading space of a text that is not empty is taken away."""
     size = v.offsets[ids + 1] - v.offsets[ids]
@@ -321,7 +326,7 @@ def decoded(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], model: str, dropout: float, seed: int) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(model, dropout, seed)
+    encoder = worker_encoder(model, dropout, seed)
     for batch in batches:
         n = batch.num_columns - 2
         for rows, ids, counts in encoder.encode(batch.column(n + 1), batch.column(n)):
@@ -329,7 +334,7 @@ def _encode(batches: Iterator[pa.RecordBatch], model: str, dropout: float, seed:
             kept = [batch.column(i)[rows.start:rows.stop] for i in range(n)]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.ListArray.from_arrays(pa.array(places), pa.array(ids.astype(np.int32)))],
-                names=[*batch.schema.names[:n], "piece_ids"])
+                names=[*batch.schema.names[:n], "made"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
@@ -340,7 +345,7 @@ def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Record
             texts = [t.decode(errors="replace") for t in decoded(v, ids, counts)]
             kept = [batch.column(i)[rows.start:rows.stop] for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())],
-                                             names=[*batch.schema.names[:-1], "decoded"])
+                                             names=[*batch.schema.names[:-1], "made"])
 
 
 def _id_chunks(lists: pa.ListArray, most: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -355,10 +360,6 @@ def _id_chunks(lists: pa.ListArray, most: int = 1 << 20) -> Iterator[tuple[slice
         at = to
 
 
-def _schema(df: DataFrame) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
-
-
 def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 11, id_col: str = "doc_id",
            text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """All rows of ``docs`` with ``piece_ids``, an array of int.
@@ -368,15 +369,13 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 11, id
     different ids are segmented differently. A column named piece_ids is replaced. Repeated rows
     stay; an empty table gives an empty result.
     """
-    kept = docs.select(*(c for c in keep or docs.columns if c != "piece_ids"))
-    rows = docs.select(*kept.columns, F.col(id_col).cast("long").alias("_id_of_text"),
-                       F.col(text_col).alias("_text_of_id"))
-    return rows.mapInArrow(partial(_encode, model=model, dropout=dropout, seed=seed),
-                           _schema(kept) + "piece_ids array<int>")
+    kept = [c for c in keep or docs.columns if c != "piece_ids"]
+    return with_computed(docs, kept, [F.col(id_col).cast("long"), F.col(text_col)],
+                         partial(_encode, model=model, dropout=dropout, seed=seed), "piece_ids",
+                         ArrayType(IntegerType()))
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "piece_ids") -> DataFrame:
     """All rows and other columns with ``decoded``, the text of the ids; null ids give empty text."""
-    kept = encoded.select(*(c for c in encoded.columns if c not in (ids_col, "decoded")))
-    return encoded.select(*kept.columns, F.col(ids_col).alias("_ids")).mapInArrow(
-        partial(_decode, model=model), _schema(kept) + "decoded string")
+    kept = [c for c in encoded.columns if c not in (ids_col, "decoded")]
+    return with_computed(encoded, kept, [F.col(ids_col)], partial(_decode, model=model), "decoded", StringType())
