@@ -15,7 +15,7 @@ from trawl.functions import jsonb  # noqa: E402
 from trawl.functions.jsonpaths import KEY  # noqa: E402
 from trawl.operators import headline, json_search, match, postings, rank  # noqa: E402
 from trawl.plans import requests as ask  # noqa: E402
-from trawl.session import ship_package, work_folder  # noqa: E402
+from trawl.session import ship_package, spread, work_folder  # noqa: E402
 from trawl.sources import path_index, tables, term_index  # noqa: E402
 from trawl.streaming.upkeep import keep_index  # noqa: E402
 
@@ -37,7 +37,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "documents")
+    return spread(_table(spark, sf, "documents"))
 
 
 def _articles(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +59,7 @@ def _products(spark: SparkSession, sf: str) -> DataFrame:
         (size > 25).alias("in_stock"),
         F.array(F.struct(F.lit("size").alias("k"), size.alias("n")),
                 F.struct(F.lit("stars").alias("k"), (size % 5).alias("n"))).alias("marks"))
-    return _table(spark, sf, "part").select(
+    return spread(_table(spark, sf, "part")).select(
         "p_partkey", "p_name", F.parse_json(F.to_json(document)).alias("attrs"))
 
 

@@ -22,8 +22,7 @@ def spark(tmp_path_factory):
 @pytest.fixture()
 def no_broadcast(monkeypatch):
     """Treat every request set as too large to collect or broadcast."""
-    monkeypatch.setattr("trawl.session.SMALL_ROWS", 0)
-    monkeypatch.setattr("trawl.session.SALTS", 3)
+    monkeypatch.setattr("trawl.session.SMALL_BYTES", 0)
 
 
 def by_query(rows, value):

@@ -1,13 +1,15 @@
 import os
+import time
 from types import SimpleNamespace
 
+import pytest
 from conftest import by_query
 from pyspark.sql import functions as F
 
 from trawl.functions import jsonb
 from trawl.operators import json_search, match
 from trawl.plans import requests as ask
-from trawl.session import work_folder
+from trawl.session import drop_work, work_folder
 from trawl.sources import path_index, segments, tables, term_index
 from trawl.streaming.upkeep import keep_index
 
@@ -83,6 +85,117 @@ def test_stream_equals_full_build(spark, tmp_path):
     assert _search(spark, index) == _search(spark, full)
 
 
+def test_sync_takes_out_deleted_rows(spark, tmp_path):
+    index, compacted = _index(tmp_path), _index(tmp_path, "c")
+    docs = {n: "red green" if n % 2 else "green" for n in range(10)}
+    term_index.sync_term_index(_docs(spark, list(docs.items())), index)
+    left = {n: t for n, t in docs.items() if n not in (1, 2)}
+    assert term_index.sync_term_index(_docs(spark, list(left.items())), index) == 1
+    assert term_index.sync_term_index(_docs(spark, list(left.items())), index) is None
+    want = {"red": [3, 5, 7, 9], "none": [0, 4, 6, 8], "pair": [3, 5, 7, 9], "phrase": [3, 5, 7, 9]}
+    assert _search(spark, index) == want
+    term_index.compact_term_index(spark, index, compacted)
+    assert _search(spark, compacted) == want
+    assert term_index.sync_term_index(_docs(spark, list(docs.items())), index) == 2  # back again
+    assert _search(spark, index)["red"] == [1, 3, 5, 7, 9]
+
+
+def test_sync_notices_a_text_that_moves_between_fields(spark, tmp_path):
+    schema = "id long, title string, body string"
+    index = term_index.TermIndex(str(tmp_path / "x"), "id", (("title", "A"), ("body", "B")), "simple", 4)
+    before = spark.createDataFrame([(1, "x y", None), (2, None, "")], schema)
+    assert term_index.sync_term_index(before, index) == 0
+    moved = spark.createDataFrame([(1, None, "x y"), (2, "", None)], schema)
+    assert term_index.sync_term_index(moved, index) == 1
+    weights = term_index.read_postings(spark, index, "term = 'x'").collect()
+    assert [(r.doc_id, r.weight) for r in weights] == [(1, "B")]
+
+
+def test_a_key_twice_is_refused_or_ordered(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "red old", 1), (1, "blue new", 2), (1, "red <-> new", None), (2, "red", 1)],
+                                 "id long, text string, version int")
+    index = _index(tmp_path)
+    with pytest.raises(ValueError, match="not unique"):
+        term_index.build_term_index(rows, index)
+    term_index.build_term_index(rows, index, order="version")
+    with pytest.raises(ValueError, match="not unique"):
+        term_index.refresh_term_index(rows, index, 1)
+    asked = ask.strict(spark, {"r": "red", "b": "blue", "both": "red <-> new"}, "simple")
+    assert by_query(match.matches(asked, match.Lookup(index)).collect(), "doc_id") == {"r": [2], "b": [1]}
+    target = str(tmp_path / "t")
+    with pytest.raises(ValueError, match="not unique"):
+        tables.load_new(rows, target, "id")
+    tables.load_new(rows, target, "id", order="version")
+    assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "blue new", 2), (2, "red", 1)]
+
+
+def test_two_streams_and_a_refresh_keep_their_own_segments(spark, tmp_path):
+    index = _index(tmp_path)
+    for name, rows in (("a", [(1, "red", 1), (2, "red", 1)]), ("b", [(2, "red green", 1), (3, "red old", 1), (3, "blue", 2)])):
+        source = str(tmp_path / name)
+        spark.createDataFrame(rows, "id long, text string, version int").coalesce(1).write.parquet(source)
+        stream = spark.readStream.schema("id long, text string, version int").parquet(source)
+        for _ in range(2):
+            keep_index(stream, index, str(tmp_path / f"checkpoint-{name}"), "version", availableNow=True) \
+                .awaitTermination()
+    assert segments.segments(spark, index.path) == [1, 2]
+    assert term_index.refresh_term_index(_docs(spark, [(4, "red")]), index, 0) == 3
+    assert term_index.refresh_term_index(_docs(spark, [(4, "red")]), index, 0) == 3  # replayed
+    assert _search(spark, index) == {"red": [1, 2, 4], "pair": [2], "phrase": [2], "none": [3]}
+
+
+def test_unfinished_segments_are_neither_read_nor_in_the_way(spark, tmp_path):
+    index = _index(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        term_index.read_postings(spark, index)
+    os.makedirs(f"{index.path}/segment=0/term_bucket=0")  # a build that was cut off
+    term_index.build_term_index(_docs(spark, [(1, "red")]), index)
+    segment = term_index.refresh_term_index(_docs(spark, [(1, "blue"), (2, "red")]), index, "x")
+    os.remove(f"{index.path}/segment={segment}/_SUCCESS")  # a refresh that was cut off
+    assert _search(spark, index)["red"] == [1]
+    assert term_index.refresh_term_index(_docs(spark, [(3, "red")]), index, "y") == segment + 1
+    assert _search(spark, index)["red"] == [1, 3]
+    assert term_index.refresh_term_index(_docs(spark, [(1, "blue"), (2, "red")]), index, "x") == segment
+    assert _search(spark, index)["red"] == [2, 3]
+
+
+def test_a_lookup_groups_only_what_it_finds(spark, tmp_path):
+    """One hit in an index that a stream keeps: the registry is cut down to the hit's key."""
+    index = _index(tmp_path)
+    rows = spark.range(20_000).selectExpr("id", "concat('w', id) as text")
+    term_index.build_term_index(rows.where("id < 10"), index)
+    term_index.refresh_term_index(rows, index, 1)
+    term_index.refresh_term_index(_docs(spark, [(5, "w7 again")]), index, 2)
+    requests = ask.plain(spark, {"q": "w7"}, "simple")
+    found = match.matches(requests, match.Lookup(index))
+    assert sorted(r.doc_id for r in found.collect()) == [5, 7]
+    nodes = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in nodes and "BroadcastExchange" in nodes
+    registry = segments._newest(segments._table(spark, index.layout)[0], index.layout,
+                                spark.createDataFrame([(7,)], "doc_id long"))
+    assert registry.count() == 1
+
+
+def test_counts_are_those_of_the_entries_asked_for(spark, tmp_path):
+    rows = spark.range(300).selectExpr("id", "parse_json(concat('{\"a\":', id % 3, ',\"b\":', id % 5, '}')) as v")
+    index = path_index.PathIndex(str(tmp_path / "p"), "id", "v", 1)
+    path_index.build_path_index(rows, index)
+    wanted = [('$."a"', "number", "1"), ('$."b"', "number", "4")]
+    counts, width = path_index.entry_counts(spark, index, wanted)
+    assert counts == {wanted[0]: 100, wanted[1]: 60} and width == 8
+
+
+def test_many_terms_plan_quickly(spark, tmp_path):
+    index = _index(tmp_path)
+    term_index.build_term_index(_docs(spark, [(1, "red"), (2, "w77")]), index)
+    terms = [f"w{n}" for n in range(8000)]
+    term_index.term_counts(spark, index, ["red"])
+    start = time.perf_counter()
+    wanted = term_index._terms(spark, index, terms)
+    assert wanted.count("term_bucket") == 1 and time.perf_counter() - start < 2
+    assert term_index.term_counts(spark, index, terms)[0] == {"w77": 1}
+
+
 def test_path_index_refresh(spark, tmp_path):
     def rows(*texts):
         return spark.createDataFrame(texts, "id long, j string").select(
@@ -120,6 +233,9 @@ def test_path_index_sync(spark, tmp_path):
     requests = json_search.patterns(spark, {"a": '{"a":1}', "z": '{"z":1}', "one": "1"})
     found = json_search.json_matches(requests, json_search.JsonLookup(index, rows(later)))
     assert by_query(found.collect(), "row_id") == {"a": [1, 5], "z": [2], "one": [3]}
+    assert path_index.sync_path_index(rows({k: v for k, v in later.items() if k not in (3, 5)}), index) == 2
+    found = json_search.json_matches(requests, json_search.JsonLookup(index, rows(later)))
+    assert by_query(found.collect(), "row_id") == {"a": [1], "z": [2]}
 
 
 # ---- plans ----------------------------------------------------------------------------------
@@ -169,8 +285,9 @@ def test_frequent_terms_are_split_over_files_and_lookups_cut_them_down(spark, tm
 
 def test_scan_matches_without_a_shuffle(spark, tmp_path):
     path = str(tmp_path / "docs")
-    _docs(spark, [(n, "red green") for n in range(50)]).write.parquet(path)
+    spark.range(60_000).selectExpr("id", "repeat(concat('red green ', uuid()), 3) as text").write.parquet(path)
     docs = spark.read.schema("id long, text string").parquet(path)
+    assert sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path)) > 2 << 20
     requests = ask.strict(spark, ASKED, "simple")
     plan = _plan(match.matches(requests, match.Scan(docs, "id", list(TEXT))))
     assert "Exchange hashpartitioning" not in plan and "NestedLoop" not in plan
@@ -211,8 +328,26 @@ def test_rejects(spark):
     assert [r.id for r in good.collect()] == [2] and [r.id for r in bad.collect()] == [1]
 
 
-def test_work_folder_is_the_sessions(spark, tmp_path):
+def _session(master, named=None, set_to=None):
+    conf = SimpleNamespace(get=lambda name, default: named)
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: set_to)
+    return SimpleNamespace(conf=conf, sparkContext=context)
+
+
+def test_work_folder_is_the_sessions(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert work_folder(spark, "n").startswith(f"{named.rstrip('/')}/n-")
-    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default))
-    assert os.path.isdir(os.path.dirname(work_folder(unset, "n")))
+    assert work_folder(_session("yarn", "hdfs://a/b/"), "n").startswith("hdfs://a/b/n-")
+    assert work_folder(_session("yarn", None, "hdfs://c/d"), "n").startswith("hdfs://c/d/n-")
+    assert os.path.isdir(os.path.dirname(work_folder(_session("local[4]"), "n")))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            work_folder(_session(master), "n")
+
+
+def test_work_is_dropped_on_demand(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("trawl.session._made", [])
+    folder = work_folder(spark, "dropped")
+    spark.range(3).write.parquet(folder)
+    drop_work(spark)
+    assert not os.path.exists(folder)

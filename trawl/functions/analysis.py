@@ -99,11 +99,12 @@ def grouped(entries: str) -> str:
     return let("es", f"sort_array({entries})", let("firsts", starts, runs))
 
 
-def document_entry(fields: list[str] = ()) -> str:
-    """The posting that stands for the document itself; its two positions are a hash of the
-    fields, by which a changed document is known."""
-    texts = ", ".join(f"`{f}`" for f in fields)
-    digest = f"xxhash64({texts})" if fields else "0L"
+def document_entry(fields: list[tuple[str, str]] = (), config: str = "") -> str:
+    """The posting that stands for the document itself; its two positions are a hash of how its
+    fields are read and of each field, null or not, by which a changed document is known."""
+    read = text_list([" ".join([config, *(f"{name}:{weight}" for name, weight in fields)])])
+    parts = "".join(f", `{name}` is null, `{name}`" for name, _ in fields)
+    digest = f"xxhash64({read}{parts})" if fields else "0L"
     halves = let("digest", digest, """array(cast(shiftright(digest, 32) as int),
         cast(pmod(digest, 4294967296L) - 2147483648L as int))""")
     return f"named_struct('term', '{ANY_DOCUMENT}', 'weight', 'D', 'positions', {halves})"

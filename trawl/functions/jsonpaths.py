@@ -8,12 +8,16 @@ from trawl.functions.jsonb import ARRAY, OBJECT, get, number_text
 KEY = "key"  # path and type of the entries that key tests look for
 
 
-def nodes(value: str, max_depth: int = 64) -> str:
+USUAL_DEPTH = 8
+
+
+def nodes(value: str) -> str:
     """SQL for ``array<struct<path, vtype, value, leaf>>`` of all nodes of a variant.
 
     Array positions are left out of paths: ``$."tags"[]``. ``leaf`` marks scalars and empty
-    containers. Each step of the fold opens one level, so nothing is exchanged or read twice; a
-    document nested deeper than ``max_depth`` fails the job rather than being cut.
+    containers. Each step of the fold opens one level, so nothing is exchanged or read twice. A
+    document that is not done after ``USUAL_DEPTH`` levels is opened further with as many steps as
+    its text has characters, which no nesting exceeds.
     """
     node = "array<struct<path:string,vtype:string,value:string,leaf:boolean>>"
     opened = f"""transform(state.open, n -> named_struct('path', n.path, 'v', n.v,
@@ -36,13 +40,13 @@ def nodes(value: str, max_depth: int = 64) -> str:
     level = let("ns", opened, f"""named_struct(
         'seen', concat(state.seen, transform(ns, n -> {described})),
         'open', flatten(transform(ns, n -> {children})))""")
-    return f"""if({value} is null, cast(array() as {node}), aggregate(
-        sequence(1, {max_depth}),
+    fold = f"(state, step) -> if(size(state.open) = 0, state, {level})"
+    first = f"""aggregate(sequence(1, {USUAL_DEPTH}),
         named_struct('seen', cast(array() as {node}),
-                     'open', array(named_struct('path', '$', 'v', {value}))),
-        (state, step) -> if(size(state.open) = 0, state, {level}),
-        state -> if(size(state.open) = 0, state.seen,
-            cast(raise_error('JSON nested deeper than {max_depth} levels') as {node}))))"""
+                     'open', array(named_struct('path', '$', 'v', {value}))), {fold})"""
+    rest = f"aggregate(sequence(1, length(to_json({value}))), begun, {fold}, state -> state.seen)"
+    return f"""if({value} is null, cast(array() as {node}),
+        {let("begun", first, f"if(size(begun.open) = 0, begun.seen, {rest})")})"""
 
 
 def keys(value: str) -> str:

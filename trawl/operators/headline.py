@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.analysis import let, with_lexemes
 from trawl.plans.requests import Requests
-from trawl.session import join_requests, stored
+from trawl.session import stored
 
 WORD_AND_GAP = r"([\p{L}\p{N}]+)([^\p{L}\p{N}]*)"
 
@@ -25,8 +25,8 @@ def headlines(requests: Requests, matched: DataFrame, df: DataFrame, key: str, t
     matched = stored(matched.select("query_id", "doc_id"), "matched")
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
     rows = matched.join(docs, "doc_id")
-    rows = join_requests(rows, requests.rows.selectExpr("query_id", "terms as _terms"),
-                         ["query_id"], F.col("doc_id"), requests.small)
+    asked = requests.rows.selectExpr("query_id", "terms as _terms")
+    rows = rows.join(F.broadcast(asked) if requests.small else asked, "query_id")
     rows = rows.selectExpr(
         "query_id", "doc_id", "_terms",
         f"regexp_extract_all(coalesce(_text, ''), r'{WORD_AND_GAP}', 1) as _words",

@@ -4,8 +4,8 @@ Matching works on one row per document that holds the requested terms found in i
 that row in place, so matching a scan shuffles nothing; an index lookup groups the postings of
 the requested terms by document, each posting once however many requests share it.
 
-Every clause of a request has one lead term that its documents must contain. Documents meet
-requests on lead terms only, by an equi-join, and each pair is then decided inside its row.
+A request's documents must contain one of its lead terms. Documents meet requests on lead terms
+only, by an equi-join, and each pair is then decided inside its row.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from trawl.functions.analysis import (ANY_DOCUMENT, document_entry, grouped, let, text_list,
                                       with_entries)
 from trawl.operators.pairing import pairs
+from trawl.operators.postings import text_postings
 from trawl.plans.requests import Requests
-from trawl.session import join_requests, spread, stored
+from trawl.session import stored
 from trawl.sources.segments import few
 from trawl.sources.term_index import TermIndex, find_postings, term_counts
 
@@ -34,12 +35,14 @@ class Scan:
 
     def documents(self, requests: Requests, positions: bool) -> tuple[Requests, DataFrame]:
         """The requests, and (doc_id, found) rows with the requested terms of each document."""
+        if not requests.small:  # only postings of requested terms are brought together
+            found = text_postings(self.df, self.key, self.fields, requests.config, with_documents=True)
+            columns = ["term", "weight", "positions"] if positions else ["term"]
+            return requests, _narrow(requests)(found).groupBy("doc_id").agg(
+                F.collect_list(F.struct(*columns)).alias("found"))
         columns = [name for name, _ in self.fields]
-        df = with_entries(spread(self.df.select(self.key, *columns), self.key), self.fields,
-                          requests.config)
-        entries = "entries"
-        if requests.small:
-            entries = f"filter(entries, e -> e.term in ({text_list(requests.terms)}))"
+        df = with_entries(self.df.select(self.key, *columns), self.fields, requests.config)
+        entries = f"filter(entries, e -> e.term in ({text_list(requests.terms)}))"
         if positions:
             found = f"array_append({grouped(entries)}, {document_entry()})"
         else:
@@ -57,27 +60,29 @@ class Lookup:
 
     def documents(self, requests: Requests, positions: bool) -> tuple[Requests, DataFrame]:
         """As for a scan. The index counts its terms first: the rarest ones become leads, and
-        when these have few postings, those of frequent terms are cut down to their documents."""
+        when these have few postings, those of frequent terms are cut down to their documents,
+        and so is the registry of refreshed documents."""
         if self.index.config != requests.config:
             raise ValueError(f"the index was built with {self.index.config!r}, the requests "
                              f"with {requests.config!r}")
         spark = requests.asked.sparkSession
         columns = ["term", "weight", "positions"] if positions else ["term"]
-        leads, narrow = None, None
-        if requests.small:
-            counts = term_counts(spark, self.index, requests.terms)
-            requests = requests.led_by(counts)
-            leads = few(requests.leads, requests.terms, counts)
-        else:
-            asked = requests.rows.select(F.explode("terms").alias("term")).distinct()
+        item = f"struct({', '.join(columns)})"
+        if not requests.small:
+            found = find_postings(spark, self.index, None, None, item, narrow=_narrow(requests))
+            return requests, found.withColumnRenamed("items", "found")
+        counts, width = term_counts(spark, self.index, requests.terms)
+        requests = requests.led_by(counts)
+        led = few(requests.leads, counts, width)
+        leads = requests.leads if led and set(requests.leads) != set(requests.terms) else None
+        found = find_postings(spark, self.index, requests.terms, leads, item, led)
+        return requests, found.withColumnRenamed("items", "found")
 
-            def narrow(rows):
-                return join_requests(rows, asked, ["term"], F.col("doc_id"), small=False) \
-                    .select(*rows.columns)
 
-        found = find_postings(spark, self.index, requests.terms, leads,
-                              f"struct({', '.join(columns)})", narrow)
-        return requests, found.withColumnRenamed("items", "found")
+def _narrow(requests: Requests):
+    """Keeps the postings of requested terms; Spark splits those of a frequent term."""
+    asked = requests.rows.select(F.explode("terms").alias("term")).distinct()
+    return lambda rows: rows.join(asked, "term", "left_semi")
 
 
 def matches(requests: Requests, corpus: Scan | Lookup, detail: bool = False,
@@ -108,9 +113,14 @@ def _holds(positions: bool) -> str:
     present = "forall(i.terms, t -> array_contains(mine, t.term))"
     if positions:
         present += f" and (size(i.terms) = 1 or size({common}) > 0)"
-    decided = let("present", f"transform(filter(items, i -> {present}), i -> i.item_id)",
-                  """exists(clauses, c -> size(array_except(c.need, present)) = 0
-                  and not arrays_overlap(c.avoid, present))""")
+    last = "slice(stack, size(stack) - s.n + 1, s.n)"
+    steps = f"""aggregate(steps, cast(array() as array<boolean>), (stack, s) -> case s.op
+        when 'item' then array_append(stack, array_contains(present, s.n))
+        else array_append(slice(stack, 1, size(stack) - s.n), case s.op
+            when 'not' then not stack[size(stack) - 1]
+            when 'and' then forall({last}, x -> x) else exists({last}, x -> x) end) end,
+        stack -> stack[0])"""
+    decided = let("present", f"transform(filter(items, i -> {present}), i -> i.item_id)", steps)
     return let("mine", "array_intersect(terms, here)", decided)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.analysis import text_list
-from trawl.session import join_requests, stored
+from trawl.session import stored
 
 # A row may hold several leads of a request; the pair is taken at the first of them.
 FIRST_LEAD = "lead = get(filter(leads, t -> array_contains(here, t)), 0)"
@@ -24,9 +24,9 @@ def pairs(requests, rows: DataFrame, key: str) -> DataFrame:
         leads = F.expr(f"explode(filter(here, t -> t in ({text_list(requests.leads)})))") \
             if requests.leads else F.expr("explode(cast(array() as array<string>))")
         return rows.withColumn("lead", leads).join(F.broadcast(by_lead), "lead").where(FIRST_LEAD)
-    # Pair the keys alone first, each (lead, row) once, then bring both sides in.
+    # Pair the keys alone first, each pair once, then bring both sides in. Rows hold requested
+    # entries only; a frequent lead, or a row that many requests want, is split by Spark.
     rows = stored(rows, "rows")
-    keys = join_requests(rows.select(key, F.explode("here").alias("lead")),
-                         by_lead.select("lead", "query_id"), ["lead"], F.col(key), small=False)
-    return join_requests(keys.join(rows, key), requests.rows, ["query_id"], F.col(key),
-                         small=False).where(FIRST_LEAD)
+    keys = rows.select(key, F.explode("here").alias("lead")).join(
+        by_lead.select("lead", "query_id"), "lead").select(key, "query_id").distinct()
+    return keys.join(rows, key).join(requests.rows, "query_id")

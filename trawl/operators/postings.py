@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from trawl.functions.analysis import document_entry, grouped, with_entries
-from trawl.session import spread
 
 
 def text_tokens(df: DataFrame, key: str, text: str, config: str = "simple") -> DataFrame:
     """(doc_id, pos, term), one row per kept word."""
-    return (with_entries(spread(df.select(key, text), key), [(text, "D")], config)
+    return (with_entries(df.select(key, text), [(text, "D")], config)
             .selectExpr(f"`{key}` as doc_id", "inline(entries)").select("doc_id", "pos", "term"))
 
 
@@ -21,9 +20,9 @@ def text_postings(df: DataFrame, key: str, fields: list[tuple[str, str]],
     ``with_documents`` adds the row that stands for the document itself.
     """
     columns = [name for name, _ in fields]
-    entries = with_entries(spread(df.select(key, *columns), key), fields, config)
+    entries = with_entries(df.select(key, *columns), fields, config)
     rows = grouped("entries")
     if with_documents:
-        rows = f"array_append({rows}, {document_entry(columns)})"
+        rows = f"array_append({rows}, {document_entry(fields, config)})"
     return (entries.selectExpr(f"`{key}` as doc_id", f"inline({rows})")
             .select("term", "doc_id", "weight", "positions"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from trawl.functions.analysis import ANY_DOCUMENT, let
 from trawl.operators.match import Lookup, Scan, matches
 from trawl.plans.requests import Requests
-from trawl.session import SALTS
 
 # Fixed values of the ranking formula.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -54,12 +53,13 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     the table never brings its matches into one task.
     """
     best = [F.desc("rank"), F.asc("doc_id")]
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    shares = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(shares))
     place = F.row_number().over(Window.partitionBy("query_id", "_share").orderBy(*best))
-    shares = (scored.withColumn("_share", share).withColumn("place", place)
+    cut = (scored.withColumn("_share", share).withColumn("place", place)
               .where(F.col("place") <= k).drop("_share", "place"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*best))
-    return shares.withColumn("place", place).where(F.col("place") <= k)
+    return cut.withColumn("place", place).where(F.col("place") <= k)
 
 
 def _occurrences(found: str) -> str:

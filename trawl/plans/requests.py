@@ -1,29 +1,33 @@
-"""Text search requests as rows: OR-ed clauses of wanted and unwanted terms and phrases.
+"""Text search requests as rows: a tree of wanted and unwanted terms and phrases.
 
 A request set is one small table, one row per request::
 
     query_id, top_op, items array<struct<item_id, terms array<struct<offset, term>>>>,
-    clauses array<struct<need array<int>, avoid array<int>>>, terms array, leads array
+    steps array<struct<op, n>>, groups array<array<int>>, terms array, leads array
 
-A clause holds when all its needed items and none of its avoided items are in a document; a
-request holds when any clause does. ``leads`` has one needed term per clause: the longest, which
-tends to be the rarest, until an index gives exact counts. Request words go through the same
-analysis as documents.
+``steps`` is the request's tree in postfix order: ``item`` n, ``not``, and ``and`` or ``or`` of the last
+n results. It is as long as the request; nothing is multiplied out. A document that holds a request
+has an item of one of its ``groups`` at least; item -1 stands for every document. ``leads`` has one
+term per group: the longest, which tends to be the rarest, until an index gives exact counts.
+Request words go through the same analysis as documents.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import partial
 from itertools import product
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.analysis import ANY_DOCUMENT, STOP_WORDS, let, with_entries
-from trawl.session import SMALL_TERMS, local_table, pinned, with_column
+from trawl.session import SMALL_TERMS, local_table, pinned, ship_package, stored, with_column
 
 ANY_ITEM = -1
 WEB_PIECE = r'-*"[^"]*"|[^\s"]+'
@@ -46,14 +50,13 @@ class Requests:
         return self.terms is not None
 
     def led_by(self, counts: dict[str, int]) -> Requests:
-        """The same requests with the rarest needed term of each clause as its lead."""
-        def lead(items, clause):
-            needed = {t["term"] for i in items if i["item_id"] in clause["need"]
-                      for t in i["terms"]}
-            return min(needed, key=lambda t: (counts.get(t, 0), t))
-
-        leads = [sorted({lead(items, c) for c in clauses}) for items, clauses in
-                 zip(self.head["items"].to_pylist(), self.head["clauses"].to_pylist())]
+        """The same requests with the rarest term of each group as its lead."""
+        def lead(items, group):
+            terms = {t["term"] for i in items if i["item_id"] in group for t in i["terms"]}
+            return min(terms, key=lambda t: (counts.get(t, 0), t)) if terms else ANY_DOCUMENT
+
+        leads = [sorted({lead(items, g) for g in groups}) for items, groups in
+                 zip(self.head["items"].to_pylist(), self.head["groups"].to_pylist())]
         return replace(self, rows=with_column(self.rows, self.head, "leads", leads),
                        leads=tuple(sorted({t for row in leads for t in row})))
 
@@ -68,9 +71,8 @@ def plain(spark: SparkSession, requests, config: str = "english") -> Requests:
     """Every word of the text, whatever its punctuation. ``requests``: dict or DataFrame."""
     asked = _asked(spark, requests)
     words = with_entries(asked, [("text", "D")], config).selectExpr(
-        "query_id", "'and' as top_op", "0 as clause_id", "posexplode(entries) as (item_id, entry)",
-        "false as negated")
-    return _requests(asked, words, config)
+        "query_id", "0 as clause_id", "posexplode(entries) as (item_id, entry)", "false as negated")
+    return _requests(asked, _in_clauses(words), config)
 
 
 def web(spark: SparkSession, requests, config: str = "english") -> Requests:
@@ -84,57 +86,77 @@ def web(spark: SparkSession, requests, config: str = "english") -> Requests:
         'is_or', ors[i] = 1, 'negated', startswith(p, '-'), 'text', p))""")
     pieces = let("ps", f"regexp_extract_all(text, r'{WEB_PIECE}', 0)", parts)
     rows = (asked.selectExpr("query_id", f"posexplode({pieces}) as (item_id, p)")
-            .where("not p.is_or").selectExpr("query_id", "'web' as top_op", "p.clause_id",
-                                             "item_id", "p.text", "p.negated"))
-    return _requests(asked, _analysed(rows, config), config)
+            .where("not p.is_or").selectExpr("query_id", "p.clause_id", "item_id", "p.text", "p.negated"))
+    words = with_entries(rows, [("text", "D")], config).selectExpr(
+        "query_id", "clause_id", "item_id", "explode(entries) as entry", "negated")
+    return _requests(asked, _in_clauses(words), config)
 
 
-def strict(spark: SparkSession, requests: dict, config: str = "english") -> Requests:
-    """Written with ``&``, ``|``, ``!``, ``<->`` and parentheses. ``requests``: a dict."""
+def strict(spark: SparkSession, requests, config: str = "english") -> Requests:
+    """Written with ``&``, ``|``, ``!``, ``<->`` and parentheses. ``requests``: dict or DataFrame."""
     asked = _asked(spark, requests)
-    names = ["query_id", "top_op", "clause_id", "item_id", "text", "negated"]
-    parts = [(query_id, *part) for query_id, text in requests.items()
-             for part in _strict_parts(text, config)]
-    # A request without words keeps the columns typed; analysis drops it again.
-    parts.append((next(iter(requests), ""), "and", 0, 0, "", False))
-    table = local_table(spark, **dict(zip(names, map(list, zip(*parts)))))
-    return _requests(asked, _analysed(table, config), config)
-
+    if isinstance(requests, DataFrame):
+        ship_package(spark)
+        kind = asked.schema["query_id"].dataType.simpleString()
+        trees = asked.mapInPandas(partial(_read_trees, config=config), f"query_id {kind}, {TREE}")
+    else:
+        kind = asked.schema["query_id"].dataType.simpleString()
+        read = [(q, *_strict_tree(text, config)) for q, text in requests.items()]
+        trees = spark.createDataFrame([r for r in read if r[1]], f"query_id {kind}, {TREE}")
+    trees = stored(trees, "request-trees")
+    texts = trees.selectExpr("query_id", "posexplode(texts) as (item_id, text)")
+    words = with_entries(texts, [("text", "D")], config).selectExpr(
+        "query_id", "0 as clause_id", "item_id", "explode(entries) as entry", "false as negated")
+    items = _items(words).selectExpr("query_id", f"{ITEMS} as items")
+    return _requests(asked, items.join(trees.drop("texts"), "query_id"), config)
+
+
+TREE = "top_op string, texts array<string>, steps array<struct<op:string,n:int>>, groups array<array<int>>"
+ITEMS = "transform(parts, p -> named_struct('item_id', p.item_id, 'terms', p.terms))"
+
+
+def _items(words: DataFrame) -> DataFrame:
+    """(query_id, parts): each request's items in order, a request's words being few."""
+    part = ["query_id", "clause_id", "item_id", "negated"]
+    items = (words.repartition("query_id").groupBy(*part)
+             .agg(F.expr("sort_array(collect_list(struct(entry.pos, entry.term)))").alias("at"))
+             .selectExpr(*part, """transform(at, t ->
+                 named_struct('offset', t.pos - at[0].pos, 'term', t.term)) as terms"""))
+    return items.groupBy("query_id").agg(F.expr(
+        "sort_array(collect_list(struct(clause_id, item_id, negated, terms)))").alias("parts"))
 
-def _analysed(parts: DataFrame, config: str) -> DataFrame:
-    return with_entries(parts, [("text", "D")], config).selectExpr(
-        "query_id", "top_op", "clause_id", "item_id", "explode(entries) as entry", "negated")
 
+def _in_clauses(words: DataFrame) -> DataFrame:
+    """Requests that are OR-ed clauses of wanted and unwanted items."""
+    def step(op: str, n: str) -> str:
+        return f"named_struct('op', '{op}', 'n', {n})"
 
-def _requests(asked: DataFrame, words: DataFrame, config: str) -> Requests:
-    """Nest one row per analysed word into one row per request. A request's words are few."""
-    clause = ["query_id", "top_op", "clause_id"]
-    items = (words.repartition("query_id").groupBy(*clause, "item_id", "negated")
-             .agg(F.expr("sort_array(collect_list(struct(entry.pos, entry.term)))").alias("at"))
-             .selectExpr(*clause, "negated", "item_id", """transform(at, t ->
-                 named_struct('offset', t.pos - at[0].pos, 'term', t.term)) as terms"""))
-    clauses = items.groupBy(*clause).agg(
-        F.expr("collect_list(struct(item_id, terms))").alias("items"),
-        F.expr("collect_list(if(negated, null, item_id))").alias("need"),
-        F.expr("collect_list(if(negated, item_id, null))").alias("avoid"))
+    item = f"if(p.negated, array({step('item', 'p.item_id')}, {step('not', '1')}), array({step('item', 'p.item_id')}))"
+    mine = "filter(parts, p -> p.clause_id = c)"
+    clause = f"concat(flatten(transform(own, p -> {item})), array({step('and', 'size(own)')}))"
+    steps = f"""concat(flatten(transform(cs, c -> {let('own', mine, clause)})),
+        array({step('or', 'size(cs)')}))"""
     # A clause of exclusions only starts from all documents.
-    rows = clauses.groupBy("query_id", "top_op").agg(
-        F.expr("flatten(collect_list(items))").alias("items"),
-        F.expr(f"""collect_list(named_struct('need',
-            if(size(need) = 0, array({ANY_ITEM}), need), 'avoid', avoid))""").alias("clauses"))
-    everything = f"""array(named_struct('item_id', {ANY_ITEM},
-        'terms', array(named_struct('offset', 0, 'term', '{ANY_DOCUMENT}'))))"""
-    rows = rows.selectExpr(
-        "query_id", """case when top_op <> 'web' then top_op when size(clauses) > 1 then 'or'
-            when size(items) = 1 and size(clauses[0].avoid) = 1 then 'not' else 'and' end top_op""",
-        f"""if(exists(clauses, c -> array_contains(c.need, {ANY_ITEM})),
-            concat(items, {everything}), items) as items""", "clauses")
-    lead = """array_max(flatten(transform(
-        filter(items, i -> array_contains(c.need, i.item_id)),
-        i -> transform(i.terms, t -> struct(length(t.term) as n, t.term as term))))).term"""
+    needed = "transform(filter(parts, p -> p.clause_id = c and not p.negated), p -> p.item_id)"
+    groups = f"transform(cs, c -> {let('need', needed, f'if(size(need) = 0, array({ANY_ITEM}), need)')})"
+    return _items(words).selectExpr(
+        "query_id", "parts", "array_distinct(transform(parts, p -> p.clause_id)) as cs").selectExpr(
+        "query_id", f"{ITEMS} as items", f"{steps} as steps", f"{groups} as groups",
+        """case when size(cs) > 1 then 'or' when size(parts) = 1 and parts[0].negated then 'not'
+           else 'and' end as top_op""")
+
+
+def _requests(asked: DataFrame, rows: DataFrame, config: str) -> Requests:
+    """Add each request's terms and leads, and fetch the requests where they are small."""
+    lead = f"""if(array_contains(g, {ANY_ITEM}), '{ANY_DOCUMENT}', array_max(flatten(transform(
+        filter(items, i -> array_contains(g, i.item_id)),
+        i -> transform(i.terms, t -> struct(length(t.term) as n, t.term as term))))).term)"""
     rows = rows.selectExpr(
-        "*", "array_distinct(flatten(transform(items, i -> i.terms.term))) as terms",
-        f"array_distinct(transform(clauses, c -> {lead})) as leads")
+        "query_id", "top_op", "items", "steps", "groups",
+        f"array_distinct(array_compact(transform(groups, g -> {lead}))) as leads").selectExpr(
+        "*", f"""array_distinct(concat(flatten(transform(items, i -> i.terms.term)),
+            if(array_contains(leads, '{ANY_DOCUMENT}'), array('{ANY_DOCUMENT}'),
+               cast(array() as array<string>)))) as terms""")
     table, head = pinned(rows, "requests")
     if head is None:
         return Requests(asked, table, config, None, None, True)
@@ -148,26 +170,38 @@ def _requests(asked: DataFrame, words: DataFrame, config: str) -> Requests:
 
 # ---- the strict notation: its operators rank as Python's ~ >> & | do, so Python reads them
 
-def _strict_parts(text: str, config: str) -> list[tuple]:
-    """(top_op, clause_id, item_id, text, negated) rows of one request."""
+def _read_trees(batches: Iterator[pd.DataFrame], config: str) -> Iterator[pd.DataFrame]:
+    names = ["query_id", "top_op", "texts", "steps", "groups"]
+    for batch in batches:
+        read = [(q, *_strict_tree(text or "", config)) for q, text in zip(batch["query_id"], batch["text"])]
+        yield pd.DataFrame([r for r in read if r[1]], columns=names)
+
+
+def _strict_tree(text: str, config: str) -> tuple:
+    """(top_op, item texts, steps, groups) of one request; no top_op when it has no words."""
     words: list[str] = []
 
     def name(match):
         words.append(match.group())
         return f" w{len(words) - 1} "
 
+    bare = text.replace("<->", " ")
+    if "<" in bare or ">" in bare:
+        raise ValueError(f"not a valid request, only <-> joins words: {text!r}")
     source = re.sub(r"[^\s&|!()<>]+", name, text.replace("<->", ">"))
     source = source.replace("!", "~").replace(">", ">>").strip()
     try:
-        tree = ast.parse(source, mode="eval").body if source else None
-    except SyntaxError:
+        node = ast.parse(source, mode="eval").body if source else None
+        tree = _tree(node, words, config) if node is not None else None
+    except (SyntaxError, RecursionError):
         raise ValueError(f"not a valid request: {text!r}") from None
     if tree is None:
-        return []
-    clauses = _clauses(tree, words, config, False) or []
-    item_ids: dict[str, int] = {}
-    return [(_top_op(tree, words, config), n, item_ids.setdefault(item, len(item_ids)), item, neg)
-            for n, clause in enumerate(dict.fromkeys(clauses)) for item, neg in sorted(clause)]
+        return None, [], [], []
+    ids: dict[str, int] = {}
+    steps: list[tuple[str, int]] = []
+    _emit(tree, ids, steps)
+    top_op = "phrase" if tree[2] else "term" if tree[0] == "item" else tree[0]
+    return top_op, list(ids), steps, _groups(tree, ids, False)
 
 
 def _blank(text: str, config: str) -> bool:
@@ -188,35 +222,51 @@ def _phrases(node, words: list[str]) -> list[str]:
     raise ValueError("a phrase may hold words and alternatives only")
 
 
-def _clauses(node, words: list[str], config: str, negated: bool):
-    """OR-ed clauses, each a set of (text, negated); None when only stop words were meant."""
+def _tree(node, words: list[str], config: str):
+    """(``item``, text, is a phrase), (``not``, child, _), or (``and`` or ``or``, children, from a
+    phrase). None when only stop words were meant, which drop out with their operator."""
     if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Invert):
-        return _clauses(node.operand, words, config, not negated)
-    if isinstance(node, ast.Name) or isinstance(node.op, ast.RShift):
-        texts = [t for t in _phrases(node, words) if not _blank(t, config)]
-        if not texts:
-            return None
-        if negated:
-            return [frozenset((t, True) for t in texts)]
-        return [frozenset([(t, False)]) for t in texts]
-    sides = [_clauses(side, words, config, negated) for side in (node.left, node.right)]
-    sides = [s for s in sides if s is not None]
-    if len(sides) < 2:
-        return sides[0] if sides else None
-    if isinstance(node.op, ast.BitAnd) != negated:
-        return [a | b for a, b in product(*sides)]
-    return sides[0] + sides[1]
-
-
-def _top_op(node, words: list[str], config: str) -> str:
-    if isinstance(node, ast.UnaryOp):
-        return "not"
-    if isinstance(node, ast.Name):
-        return "term"
-    if isinstance(node.op, ast.RShift):
-        return "phrase"
-    kept = [side for side in (node.left, node.right)
-            if _clauses(side, words, config, False) is not None]
-    if len(kept) == 1:
-        return _top_op(kept[0], words, config)
-    return "and" if isinstance(node.op, ast.BitAnd) else "or"
+        child = _tree(node.operand, words, config)
+        return child and ("not", child, False)
+    if isinstance(node, ast.Name) or isinstance(node, ast.BinOp) and isinstance(node.op, ast.RShift):
+        phrase = not isinstance(node, ast.Name)
+        items = [("item", t, phrase) for t in _phrases(node, words) if not _blank(t, config)]
+        return (items[0] if len(items) == 1 else ("or", items, True)) if items else None
+    if not isinstance(node, ast.BinOp) or not isinstance(node.op, (ast.BitAnd, ast.BitOr)):
+        raise SyntaxError
+    sides, kind = [], type(node.op)
+    while isinstance(node, ast.BinOp) and type(node.op) is kind:  # a & b & c is one step
+        sides.append(node.right)
+        node = node.left
+    children = [_tree(side, words, config) for side in (node, *reversed(sides))]
+    children = [c for c in children if c is not None]
+    if len(children) < 2:
+        return children[0] if children else None
+    return "and" if kind is ast.BitAnd else "or", children, False
+
+
+def _emit(tree, ids: dict[str, int], steps: list[tuple[str, int]]) -> None:
+    op, content, _ = tree
+    if op == "item":
+        steps.append(("item", ids.setdefault(content, len(ids))))
+        return
+    children = [content] if op == "not" else content
+    for child in children:
+        _emit(child, ids, steps)
+    steps.append((op, len(children)))
+
+
+def _groups(tree, ids: dict[str, int], negated: bool) -> list[list[int]]:
+    """Groups of items of which a document that holds the tree has one."""
+    op, content, _ = tree
+    if op == "item":
+        return [[ANY_ITEM if negated else ids[content]]]
+    if op == "not":
+        return _groups(content, ids, not negated)
+    sides = [_groups(child, ids, negated) for child in content]
+    if (op == "and") != negated:  # all sides hold: their single groups together are one
+        single = sorted({i for s in sides if len(s) == 1 and s != [[ANY_ITEM]] for i in s[0]})
+        return [single] if single else min(sides, key=lambda s: (s == [[ANY_ITEM]], len(s)))
+    if [[ANY_ITEM]] in sides:
+        return [[ANY_ITEM]]
+    return [g for s in sides for g in s]

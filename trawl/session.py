@@ -10,25 +10,30 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-# A table is sent to every executor only after it was counted to be at most this many rows.
-SMALL_ROWS = 5_000
+# A request set is fetched and sent to every executor only up to this many bytes and terms; the
+# bytes are added up by Spark before any row is fetched.
+SMALL_BYTES = 4 << 20
 # More distinct terms than this are joined as a table instead of being written into the query.
 SMALL_TERMS = 10_000
-SPREAD_BYTES = 1 << 20
-SALTS = 64
+
+_made: list[str] = []
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for an intermediate table, inside the folder the cluster names.
 
-    ``spark.checkpoint.dir`` has to be reachable from every executor. Only where the session has
-    none, as in a local test, a folder of this machine takes its place.
+    That is ``spark.checkpoint.dir`` or what ``setCheckpointDir`` was given; it has to be reachable
+    from every executor. A folder of this machine takes its place only on a local master.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_folder()
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 @lru_cache
@@ -43,18 +48,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_work(spark: SparkSession) -> None:
+    """Delete the work folders made so far. Call it once results are written: tables that were
+    returned but not written yet may read from them."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pinned(df: DataFrame, name: str) -> tuple[DataFrame, pa.Table | None]:
     """Evaluate a table that is expected to be small, once.
 
-    Returns the table and its rows when there are at most ``SMALL_ROWS`` of them; a larger
-    table is stored and returned without rows, so that callers join it by shuffle.
+    The table is stored, and its rows are fetched when the written files, and so the rows that
+    are sent on, are small. Otherwise no rows are returned, so that callers join it by shuffle.
     """
-    head = df.limit(SMALL_ROWS + 1).toArrow()
-    if head.num_rows > SMALL_ROWS:
-        return stored(df, name), None
+    table = stored(df, name)
+    path = _made[-1]
+    if folder_bytes(df.sparkSession, path) > SMALL_BYTES:
+        return table, None
+    head = table.toArrow()
+    if head.nbytes > 8 * SMALL_BYTES:
+        return table, None
     return df.sparkSession.createDataFrame(head, df.schema), head
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getContentSummary(target).getLength()
+
+
 def local_table(spark: SparkSession, **columns: list) -> DataFrame:
     """A few values given on the driver, as a local relation."""
     return spark.createDataFrame(pa.table(columns))
@@ -67,36 +90,14 @@ def with_column(df: DataFrame, head: pa.Table, name: str, values: list) -> DataF
     return df.sparkSession.createDataFrame(changed, df.schema)
 
 
-def join_requests(big: DataFrame, requests: DataFrame, on: list[str], spread_by: Column,
-                  small: bool) -> DataFrame:
-    """Equi-join a large table with request rows.
-
-    Counted-small requests are broadcast. Otherwise both sides are shuffled on the key plus a
-    salt taken from ``spread_by``, so that a key holding a third of the large table is still
-    shared by ``SALTS`` tasks; the request rows are the side that is repeated.
-    """
-    if small:
-        return big.join(F.broadcast(requests), on)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    copies = requests.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"]).drop("_salt")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Share out a table that may arrive in fewer splits than there are cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table's rows out to all cores, for a file that Spark reads in fewer splits.
 
-    Row-wise text work is CPU bound, and a file with one row group is one task however long
-    its texts are. Only inputs smaller than one full split per core are moved, so what is
-    shuffled is bounded; an input that fills the cluster is read where it is.
+    Row-wise text work is CPU bound, and a file with one row group is one task however long its
+    texts are. The operators never move texts by themselves; this is for their callers.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    parts = min(cores, size // SPREAD_BYTES + 1)
-    if size >= cores * split or parts == 1:
-        return df
-    return df.repartition(parts, key)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def ship_package(spark: SparkSession) -> None:

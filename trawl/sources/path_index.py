@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,16 @@ from pyspark.sql import types as T
 
 from trawl.functions.analysis import let, text_list
 from trawl.functions.jsonpaths import entries
-from trawl.session import spread
+from trawl.session import local_table
 from trawl.sources import segments
 
 BUCKET = "path_bucket"
 ENTRY = ["path", "vtype", "value"]
 ORDER = [*ENTRY, "row_id"]
-ROW = "row"  # type of the entry that stands for the row itself; its value is a hash of the row
+# Type of the entry that stands for the row itself; its value is a hash of the row, or null in the
+# registry row of a deleted key.
+ROW = "row"
+REGISTRY = f"path = '' and vtype = '{ROW}'"
 
 
 @dataclass(frozen=True)
@@ -28,9 +32,10 @@ class PathIndex:
     key_type: str = "bigint"
 
     @property
-    def schema(self) -> T.StructType:
-        return T.StructType.fromDDL(
-            f"path string, vtype string, value string, row_id {self.key_type}")
+    def layout(self) -> segments.Layout:
+        schema = T.StructType.fromDDL(f"path string, vtype string, value string, row_id {self.key_type}")
+        return segments.Layout(self.path, schema, BUCKET, "row_id", tuple(ENTRY), REGISTRY,
+                               f"({REGISTRY} and value is null)")
 
 
 def _digest(column: str) -> str:
@@ -50,76 +55,95 @@ def path_entries(df: DataFrame, key: str, column: str, with_rows: bool = False)
         found = f"array_append({found}, {row})"
     distinct = let("es", f"sort_array({found})",
                    "filter(es, (e, i) -> i = 0 or e <> es[greatest(i - 1, 0)])")
-    return (spread(df.select(key, column), key)
-            .selectExpr(f"`{key}` as row_id", f"inline({distinct})").select(*ENTRY, "row_id"))
+    return df.selectExpr(f"`{key}` as row_id", f"inline({distinct})").select(*ENTRY, "row_id")
 
 
-def _rows(df: DataFrame, index: PathIndex) -> DataFrame:
-    return path_entries(df, index.key, index.column, with_rows=True) \
-        .withColumn(BUCKET, F.expr(segments.bucket_of(ENTRY, index.buckets)))
+def _with_bucket(rows: DataFrame, index: PathIndex) -> DataFrame:
+    return rows.withColumn(BUCKET, F.expr(segments.bucket_of(ENTRY, index.buckets)))
 
 
-def build_path_index(df: DataFrame, index: PathIndex) -> None:
-    """Index all rows of a table, unless the index is already there."""
-    segments.build_once(_rows(df, index), index.path, BUCKET, ORDER)
+def _rows(df: DataFrame, index: PathIndex) -> DataFrame:
+    return _with_bucket(path_entries(df, index.key, index.column, with_rows=True), index)
 
 
-def refresh_path_index(changed: DataFrame, index: PathIndex, segment: int) -> None:
-    """Index new and changed rows as segment ``segment`` >= 1; repeating a call is harmless."""
-    segments.write_segment(_rows(changed, index), index.path, BUCKET, ORDER, segment)
+def build_path_index(df: DataFrame, index: PathIndex, order: str | None = None) -> None:
+    """Index all rows of a table, unless the index is already there. Of rows with the same key the
+    last one by the column ``order`` counts; without one, such rows are refused."""
+    if not segments.is_built(df.sparkSession, index.layout):
+        rows = _rows(segments.one_per_key(df, index.key, order), index)
+        segments.build_once(rows, index.layout, ORDER)
 
 
-def _entries(index: PathIndex, wanted) -> str:
-    """SQL that keeps at least the given entries. Buckets of literals are folded into literals."""
-    if not wanted:
-        return "false"
-    buckets = [segments.bucket_of([text_list([x]) for x in e], index.buckets) for e in wanted]
-    paths, types, values = (sorted(set(column)) for column in zip(*wanted))
-    return f"{BUCKET} in ({', '.join(buckets)}) and path in ({text_list(paths)}) " \
-           f"and vtype in ({text_list(types)}) and value in ({text_list(values)})"
+def refresh_path_index(changed: DataFrame, index: PathIndex, batch: int | str, writer: str = "refresh",
+                       order: str | None = None) -> int:
+    """Index new and changed rows; returns the segment. Repeating a writer's batch is harmless."""
+    segment = segments.claim(changed.sparkSession, index.path, writer, str(batch))
+    rows = _rows(segments.one_per_key(changed, index.key, order), index)
+    segments.write_segment(rows, index.layout, ORDER, segment)
+    return segment
 
 
-REGISTRY = f"path = '' and vtype = '{ROW}'"
+def _gone(keys: DataFrame, index: PathIndex) -> DataFrame:
+    return _with_bucket(keys.select(
+        F.lit("").alias("path"), F.lit(ROW).alias("vtype"), F.lit(None).cast("string").alias("value"),
+        F.col("_key").alias("row_id")), index)
 
 
 def sync_path_index(df: DataFrame, index: PathIndex) -> int | None:
     """Bring an index up to date with its table: index the rows that are new or whose value is
-    not what was indexed. Returns the segment written, or None when nothing had changed."""
+    not what was indexed, and take out those that are gone. Returns the segment written, or None
+    when nothing had changed."""
     spark = df.sparkSession
-    if not segments.path_exists(spark, f"{index.path}/segment=0/_SUCCESS"):
+    if not segments.is_built(spark, index.layout):
         build_path_index(df, index)
         return 0
     known = read_entries(spark, index, REGISTRY).select(
-        F.col("row_id").alias(index.key), F.col("value").alias("_digest"))
-    changed = segments.changed_rows(df, index.key, F.expr(_digest(index.column)), known)
-    if changed is None:
+        F.col("row_id").alias("_key"), F.col("value").alias("_digest"))
+    found = segments.changes(df, index.key, F.expr(_digest(index.column)), known)
+    if found is None:
         return None
-    segment = segments.segments(spark, index.path)[-1] + 1
-    refresh_path_index(changed, index, segment)
+    changed, gone = found
+    segment = segments.claim(spark, index.path, "sync", uuid.uuid4().hex)
+    rows = _rows(segments.one_per_key(changed, index.key, None), index).unionByName(_gone(gone, index))
+    segments.write_segment(rows, index.layout, ORDER, segment)
     return segment
 
 
-def read_entries(spark: SparkSession, index: PathIndex, wanted=None) -> DataFrame:
+def _entries(spark: SparkSession, index: PathIndex, wanted) -> str:
+    """SQL for exactly the given entries. Their buckets, paths, types and values one by one are
+    what the scan can use; the entry as one string decides."""
+    if not wanted:
+        return "false"
+    columns = dict(zip(ENTRY, map(list, zip(*wanted))))
+    buckets = local_table(spark, **columns).select(
+        F.expr(segments.bucket_of(ENTRY, index.buckets)).alias("b")).distinct().collect()
+    tests = [f"{BUCKET} in ({', '.join(str(r['b']) for r in buckets)})"]
+    tests += [f"{name} in ({text_list(sorted(set(values)))})" for name, values in columns.items()]
+    return " and ".join(tests) + f" and {ENTRY_TEXT} in ({text_list(' '.join(e) for e in wanted)})"
+
+
+ENTRY_TEXT = "concat(path, ' ', vtype, ' ', value)"
+
+
+def read_entries(spark: SparkSession, index: PathIndex, wanted: str | None = None) -> DataFrame:
     """(path, vtype, value, row_id) of all rows as they are now."""
-    return segments.read_live(spark, index.path, index.schema, BUCKET, "row_id", REGISTRY,
-                              wanted)
+    return segments.read_live(spark, index.layout, wanted)
 
 
-def entry_counts(spark: SparkSession, index: PathIndex, wanted) -> dict[tuple, int]:
-    return segments.frequencies(spark, index.path, index.schema, BUCKET, _entries(index, wanted),
-                                ENTRY)
+def entry_counts(spark: SparkSession, index: PathIndex, wanted) -> tuple[dict[tuple, int], int]:
+    """(number of rows of each entry, the most bytes of a key)."""
+    return segments.frequencies(spark, index.layout, _entries(spark, index, wanted))
 
 
-def find_entries(spark: SparkSession, index: PathIndex, wanted, leads, item: str,
+def find_entries(spark: SparkSession, index: PathIndex, wanted, leads, few_keys: bool = False,
                  narrow=None) -> DataFrame:
-    """(row_id, items) of the given entries, or of all entries when ``wanted`` is None; with
-    ``leads``, which have to be few, only of rows that may have one of them."""
-    keep = None if wanted is None else _entries(index, wanted)
-    leading = None if leads is None else _entries(index, leads)
-    return segments.gather(spark, index.path, index.schema, BUCKET, "row_id", keep,
-                           REGISTRY, item, leading, narrow)
+    """(row_id, items) of the given entries, or of all entries when ``wanted`` is None, each as one
+    string; with ``leads``, which have to be few, only of rows that have one of them."""
+    keep = None if wanted is None else _entries(spark, index, wanted)
+    leading = None if leads is None else _entries(spark, index, leads)
+    return segments.gather(spark, index.layout, keep, ENTRY_TEXT, leading, few_keys, narrow)
 
 
 def compact_path_index(spark: SparkSession, index: PathIndex, target: PathIndex) -> None:
-    segments.compact(spark, read_entries(spark, index), target.path, BUCKET,
-                     segments.bucket_of(ENTRY, target.buckets), ORDER)
+    """Write the live rows of an index as the full build of a new one."""
+    segments.build_once(_with_bucket(read_entries(spark, index), target), target.layout, ORDER)

@@ -1,135 +1,223 @@
 """Index tables: Parquet folders ``segment=<n>/<bucket>=<b>/``, newest segment wins per key.
 
-Segment 0 is the full build. A refresh adds a segment with all rows of the changed keys, and
-reading drops the rows that an older segment holds for them, so a refresh writes in proportion
-to the change and a replayed refresh replaces its own segment.
+Segment 0 is the full build. Every refresh, sync or stream batch claims a number of its own and
+adds a segment with all rows of the changed keys, and reading drops the rows that an older
+segment holds for them: a refresh writes in proportion to the change. A repeated batch of the
+same writer writes its own segment again. Only segments that were written to their end are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.session import stored
 
-# Keys of lead rows are broadcast only when they were counted to be at most this many.
-LEAD_ROWS = 1_000_000
+# Keys are broadcast only when their rows were counted and measured to be at most so many bytes.
+LEAD_BYTES = 16 << 20
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+@dataclass(frozen=True)
+class Layout:
+    """Where an index is and how its rows are told apart.
+
+    ``registry`` selects the one row that every key has in each segment it was written to, and
+    ``deleted`` those of them that stand for a key that was deleted. ``entry`` are the columns
+    that rows are looked up by.
+    """
+
+    path: str
+    schema: T.StructType
+    bucket: str
+    key: str
+    entry: tuple[str, ...]
+    registry: str
+    deleted: str
+
+
+# ---- files ------------------------------------------------------------------------------------
+
+def _file(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file(spark, path)
+    return system.exists(target)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    system, target = _file(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
 
 
 def segments(spark: SparkSession, path: str) -> list[int]:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listing = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
-    names = [status.getPath().getName() for status in listing]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("segment="))
+    """The segments that were written to their end."""
+    found = [int(n.split("=")[1]) for n in _names(spark, path) if n.startswith("segment=")]
+    return sorted(n for n in found if path_exists(spark, f"{path}/segment={n}/_SUCCESS"))
 
 
-def bucket_of(columns: list[str], buckets: int) -> str:
-    """SQL for the bucket of an entry, given as column names or literals."""
+def claim(spark: SparkSession, path: str, writer: str, batch: str) -> int:
+    """The segment number of a writer's batch: the same again for the same batch, else a new one.
+
+    A number is claimed by creating a file that must not exist yet, so that two writers never
+    share one.
+    """
+    record = f"{path}/_writers/{writer}/{batch}"
+    if path_exists(spark, record):
+        system, target = _file(spark, record)
+        stream = system.open(target)
+        try:
+            return stream.readInt()
+        finally:
+            stream.close()
+    taken = [int(n) for n in _names(spark, f"{path}/_claims")] + segments(spark, path)
+    number = max(taken, default=0) + 1
+    while True:
+        system, target = _file(spark, f"{path}/_claims/{number}")
+        if system.createNewFile(target):
+            break
+        number += 1
+    system, target = _file(spark, record)
+    stream = system.create(target, True)
+    stream.writeInt(number)
+    stream.close()
+    return number
+
+
+# ---- writing ----------------------------------------------------------------------------------
+
+def one_per_key(df: DataFrame, key: str, order: str | None) -> DataFrame:
+    """The newest row of each key, by the column ``order``; without one, keys have to be unique.
+
+    Only keys are compared to find out, and rows move only when a key occurs twice.
+    """
+    if df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        return df
+    if order is None:
+        raise ValueError(f"{key!r} is not unique: name the column that orders its rows")
+    newest = F.max_by(F.struct(*df.columns), F.struct(F.col(order).isNotNull(), order))
+    return df.groupBy(key).agg(newest.alias("_row")).select("_row.*")
+
+
+def bucket_of(columns: Iterable[str], buckets: int) -> str:
+    """SQL for the bucket of an entry, given as column names."""
     return f"cast(pmod(xxhash64({', '.join(columns)}), {buckets}) as int)"
 
 
-def write_segment(rows: DataFrame, path: str, bucket: str, order: list[str], segment: int) -> None:
+def write_segment(rows: DataFrame, at: Layout, order: list[str], segment: int) -> None:
     """Write one segment, sorted inside its bucket folders.
 
     The rebalance brings a bucket together to keep files few, and splits it again where a
     frequent entry makes it large, so no task or file grows with the frequency of one entry.
     """
-    (rows.hint("rebalance", bucket).sortWithinPartitions(bucket, *order)
-     .write.partitionBy(bucket).mode("errorifexists" if segment == 0 else "overwrite")
-     .parquet(f"{path}/segment={segment}"))
+    (rows.hint("rebalance", at.bucket).sortWithinPartitions(at.bucket, *order)
+     .write.partitionBy(at.bucket).mode("overwrite").parquet(f"{at.path}/segment={segment}"))
 
 
-def build_once(rows: DataFrame, path: str, bucket: str, order: list[str]) -> None:
-    """The full build; a target that is already complete is left as it is."""
-    if not path_exists(rows.sparkSession, f"{path}/segment=0/_SUCCESS"):
-        write_segment(rows, path, bucket, order, 0)
+def is_built(spark: SparkSession, at: Layout) -> bool:
+    return path_exists(spark, f"{at.path}/segment=0/_SUCCESS")
 
 
-def _table(spark: SparkSession, path: str, schema: T.StructType, bucket: str) -> DataFrame:
-    layout = T.StructType([*schema.fields, T.StructField("segment", T.IntegerType()),
-                           T.StructField(bucket, T.IntegerType())])
-    return spark.read.schema(layout).parquet(path)
+def build_once(rows: DataFrame, at: Layout, order: list[str]) -> None:
+    """The full build; a complete one is left as it is, an unfinished one is written anew."""
+    if not is_built(rows.sparkSession, at):
+        write_segment(rows, at, order, 0)
 
 
-def read_live(spark: SparkSession, path: str, schema: T.StructType, bucket: str, key: str,
-              registry: str, wanted: str | None = None) -> DataFrame:
-    """All (wanted) rows but those replaced by a later segment.
+# ---- reading ----------------------------------------------------------------------------------
 
-    ``registry`` selects the one row that every key has in each segment it was written to.
-    """
-    table = _table(spark, path, schema, bucket)
+def _table(spark: SparkSession, at: Layout) -> tuple[DataFrame, bool]:
+    """All rows of the complete segments, and whether there is more than one segment."""
+    layout = T.StructType([*at.schema.fields, T.StructField("segment", T.IntegerType()),
+                           T.StructField(at.bucket, T.IntegerType())])
+    found = segments(spark, at.path)
+    if not found:
+        raise FileNotFoundError(f"no complete index at {at.path}")
+    table = spark.read.schema(layout).option("basePath", at.path).parquet(
+        *[f"{at.path}/segment={n}" for n in found])
+    return table, len(found) > 1
+
+
+def _newest(table: DataFrame, at: Layout, keys: DataFrame | None) -> DataFrame:
+    """(key, _newest): the last segment each refreshed key was written to, for all or some keys."""
+    written = table.where(f"({at.registry}) and segment > 0").select(at.key, "segment")
+    if keys is not None:
+        written = written.join(F.broadcast(keys), at.key, "left_semi")
+    return written.groupBy(at.key).agg(F.max("segment").alias("_newest"))
+
+
+def _live(rows: DataFrame, table: DataFrame, at: Layout, few_keys: bool) -> DataFrame:
+    """The rows that no later segment replaces. With ``few_keys`` the registry is cut down to the
+    rows' own keys, which then are few enough to broadcast."""
+    newest = _newest(table, at, rows.select(at.key).distinct() if few_keys else None)
+    newest = F.broadcast(newest) if few_keys else newest
+    return rows.join(newest, at.key, "left").where("segment >= coalesce(_newest, 0)").drop("_newest")
+
+
+def read_live(spark: SparkSession, at: Layout, wanted: str | None = None) -> DataFrame:
+    """All (wanted) rows as they are now, registry rows of deleted keys left out."""
+    table, several = _table(spark, at)
     rows = table if wanted is None else table.where(wanted)
-    if len(segments(spark, path)) > 1:
-        later = (table.where(f"{registry} and segment > 0")
-                 .select(F.col(key).alias("_key"), F.col("segment").alias("_segment")))
-        rows = rows.join(later, (F.col(key) == F.col("_key"))
-                         & (F.col("segment") < F.col("_segment")), "left_anti")
-    return rows.select(*[f.name for f in schema.fields])
+    if several:
+        rows = _live(rows, table, at, False).where(f"not coalesce({at.deleted}, false)")
+    return rows.select(*[f.name for f in at.schema.fields])
 
 
-def frequencies(spark: SparkSession, path: str, schema: T.StructType, bucket: str, wanted: str,
-                entry: list[str]) -> dict[tuple, int]:
-    """How many rows each wanted entry has. Only the sorted entry columns are read, and there
-    are as many counts as entries asked for."""
-    rows = _table(spark, path, schema, bucket).where(wanted).groupBy(*entry).count().collect()
-    return {tuple(r[c] for c in entry): r["count"] for r in rows}
+def frequencies(spark: SparkSession, at: Layout, wanted: str) -> tuple[dict[tuple, int], int]:
+    """(how many rows each wanted entry has, the most bytes of one of their keys).
+
+    ``wanted`` has to be exact: then there are at most as many counts as entries asked for.
+    """
+    table, _ = _table(spark, at)
+    fixed = isinstance(at.schema[at.key].dataType, (T.LongType, T.IntegerType))
+    width = F.lit(8) if fixed else F.max(F.octet_length(F.col(at.key).cast("string")))
+    rows = table.where(wanted).groupBy(*at.entry).agg(F.count("*").alias("n"), width.alias("w")).collect()
+    return {tuple(r[c] for c in at.entry): r["n"] for r in rows}, max((r["w"] or 0 for r in rows), default=0)
 
 
-def few(leads: tuple, entries: tuple, counts: dict) -> tuple | None:
-    """The leads, if their rows are few enough to broadcast and other entries are wanted too."""
-    if set(leads) != set(entries) and sum(counts.get(e, 0) for e in leads) <= LEAD_ROWS:
-        return leads
-    return None
+def few(entries: Iterable, counts: dict, width: int) -> bool:
+    """Whether the keys of all rows of some entries are few enough to broadcast."""
+    return sum(counts.get(e, 0) for e in entries) * (width + 16) <= LEAD_BYTES
 
 
-def gather(spark: SparkSession, path: str, schema: T.StructType, bucket: str, key: str,
-           wanted: str | None, registry: str, item: str, leads: str | None = None,
-           narrow=None) -> DataFrame:
+def gather(spark: SparkSession, at: Layout, wanted: str | None, item: str, leads: str | None = None,
+           few_keys: bool = False, narrow=None) -> DataFrame:
     """(key, items): the wanted rows of each key as an array of ``item`` (a SQL expression).
 
-    Each row is shuffled once, by key, so a frequent entry is shared out. Rows of later
-    segments' registry come along, and within a key only its newest segment is kept.
+    Each row is shuffled once, by key, so a frequent entry is shared out. Rows that a later
+    segment replaces are dropped before.
 
     ``leads`` selects rows that a key must have one of, and that were counted to be few: the
-    rows of frequent entries are cut down to their keys before the shuffle. ``narrow`` is
-    another function that reduces the rows first.
+    rows of frequent entries are cut down to their keys before the shuffle. ``few_keys`` tells that
+    the rows left are few. ``narrow`` is another function that reduces the rows first.
     """
-    table = _table(spark, path, schema, bucket)
-    several = len(segments(spark, path)) > 1
-    changed = f"{registry} and segment > 0"
-    rows = table if wanted is None else \
-        table.where(f"({wanted}) or ({changed})" if several else wanted)
+    table, several = _table(spark, at)
+    rows = table if wanted is None else table.where(wanted)
     if leads is not None:
-        lead_keys = table.where(leads).select(key).distinct()
-        rows = rows.join(F.broadcast(lead_keys), key, "left_semi")
+        rows = rows.join(F.broadcast(table.where(leads).select(at.key).distinct()), at.key, "left_semi")
     if narrow is not None:
-        rows = narrow(rows).unionByName(rows.where(changed)) if several else narrow(rows)
-    rows = rows.selectExpr(key, "segment", f"{item} as item").repartition(key)
-    if not several:
-        return rows.groupBy(key).agg(F.collect_list("item").alias("items"))
-    newest = "transform(filter(items, i -> i.segment = newest), i -> i.item)"
-    return (rows.groupBy(key).agg(F.collect_list(F.struct("segment", "item")).alias("items"),
-                                  F.max("segment").alias("newest"))
-            .selectExpr(key, f"{newest} as items"))
+        rows = narrow(rows)
+    if several:
+        rows = _live(rows, table, at, few_keys).where(f"not coalesce({at.deleted}, false)")
+    return rows.selectExpr(at.key, f"{item} as item").repartition(at.key).groupBy(at.key).agg(
+        F.collect_list("item").alias("items"))
 
 
-def changed_rows(df: DataFrame, key: str, digest: Column, known: DataFrame) -> DataFrame | None:
-    """Rows that are new or whose digest is not the ``known`` one (key, _digest); None if none.
+def changes(df: DataFrame, key: str, digest: Column, known: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(rows that are new or not as known, known keys that are gone); None when nothing changed.
 
-    Keys and digests alone are compared; the changed rows are read in whole afterwards.
+    ``known`` has (key, _digest) of all keys as indexed. Keys and digests alone are compared; the
+    changed rows are read in whole afterwards.
     """
-    changed = stored(df.select(key, digest.alias("_digest"))
-                     .join(known, [key, "_digest"], "left_anti").select(key), "changed")
-    return None if changed.isEmpty() else df.join(changed, key, "left_semi")
-
-
-def compact(spark: SparkSession, live: DataFrame, path: str, bucket: str, column: str,
-            order: list[str]) -> None:
-    """Write the live rows of an index as the full build of a new one."""
-    build_once(live.withColumn(bucket, F.expr(column)), path, bucket, order)
+    now = df.select(F.col(key).alias("_key"), digest.alias("_digest"))
+    changed = stored(now.join(known, ["_key", "_digest"], "left_anti").select("_key"), "changed")
+    gone = stored(known.join(now, "_key", "left_anti").select("_key"), "gone")
+    if changed.isEmpty() and gone.isEmpty():
+        return None
+    return df.join(changed.withColumnRenamed("_key", key), key, "left_semi"), gone

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,12 @@ from pyspark.sql import types as T
 
 from trawl.functions.analysis import ANY_DOCUMENT, document_entry, text_list
 from trawl.operators.postings import text_postings
+from trawl.session import local_table
 from trawl.sources import segments
 
 BUCKET = "term_bucket"
 ORDER = ["term", "doc_id"]
+GONE = "-"  # weight of the registry row of a deleted document
 
 
 @dataclass(frozen=True)
@@ -28,69 +31,87 @@ class TermIndex:
     key_type: str = "bigint"
 
     @property
-    def schema(self) -> T.StructType:
-        return T.StructType.fromDDL(f"term string, doc_id {self.key_type}, weight string, "
-                                    "positions array<int>")
+    def layout(self) -> segments.Layout:
+        schema = T.StructType.fromDDL(f"term string, doc_id {self.key_type}, weight string, "
+                                      "positions array<int>")
+        any_document = text_list([ANY_DOCUMENT])
+        return segments.Layout(self.path, schema, BUCKET, "doc_id", ("term",), f"term = {any_document}",
+                               f"(term = {any_document} and weight = '{GONE}')")
+
+
+def _with_bucket(rows: DataFrame, index: TermIndex) -> DataFrame:
+    return rows.withColumn(BUCKET, F.expr(segments.bucket_of(["term"], index.buckets)))
 
 
 def _rows(df: DataFrame, index: TermIndex) -> DataFrame:
-    return text_postings(df, index.key, list(index.fields), index.config, with_documents=True) \
-        .withColumn(BUCKET, F.expr(segments.bucket_of(["term"], index.buckets)))
+    return _with_bucket(text_postings(df, index.key, list(index.fields), index.config, with_documents=True), index)
 
 
-def build_term_index(df: DataFrame, index: TermIndex) -> None:
-    """Index all rows of a table, unless the index is already there."""
-    segments.build_once(_rows(df, index), index.path, BUCKET, ORDER)
+def build_term_index(df: DataFrame, index: TermIndex, order: str | None = None) -> None:
+    """Index all rows of a table, unless the index is already there. Of rows with the same key the
+    last one by the column ``order`` counts; without one, such rows are refused."""
+    if not segments.is_built(df.sparkSession, index.layout):
+        rows = _rows(segments.one_per_key(df, index.key, order), index)
+        segments.build_once(rows, index.layout, ORDER)
 
 
-def refresh_term_index(changed: DataFrame, index: TermIndex, segment: int) -> None:
-    """Index new and changed rows as segment ``segment`` >= 1; repeating a call is harmless."""
-    segments.write_segment(_rows(changed, index), index.path, BUCKET, ORDER, segment)
+def refresh_term_index(changed: DataFrame, index: TermIndex, batch: int | str, writer: str = "refresh",
+                       order: str | None = None) -> int:
+    """Index new and changed rows; returns the segment. Repeating a writer's batch is harmless."""
+    segment = segments.claim(changed.sparkSession, index.path, writer, str(batch))
+    rows = _rows(segments.one_per_key(changed, index.key, order), index)
+    segments.write_segment(rows, index.layout, ORDER, segment)
+    return segment
+
+
+def _gone(keys: DataFrame, index: TermIndex) -> DataFrame:
+    return _with_bucket(keys.select(
+        F.lit(ANY_DOCUMENT).alias("term"), F.col("_key").alias("doc_id"), F.lit(GONE).alias("weight"),
+        F.lit(None).cast("array<int>").alias("positions")), index)
 
 
 def sync_term_index(df: DataFrame, index: TermIndex) -> int | None:
     """Bring an index up to date with its table: index the rows that are new or whose text is
-    not what was indexed. Returns the segment written, or None when nothing had changed."""
-    spark = df.sparkSession
-    if not segments.path_exists(spark, f"{index.path}/segment=0/_SUCCESS"):
+    not what was indexed, and take out those that are gone. Returns the segment written, or None
+    when nothing had changed."""
+    spark, at = df.sparkSession, index.layout
+    if not segments.is_built(spark, at):
         build_term_index(df, index)
         return 0
-    columns = [name for name, _ in index.fields]
-    known = read_postings(spark, index, _registry(index)).select(
-        F.col("doc_id").alias(index.key), F.col("positions").alias("_digest"))
-    digest = F.expr(f"{document_entry(columns)}.positions")
-    changed = segments.changed_rows(df, index.key, digest, known)
-    if changed is None:
+    digest = F.expr(f"{document_entry(list(index.fields), index.config)}.positions")
+    known = read_postings(spark, index, at.registry).select(
+        F.col("doc_id").alias("_key"), F.col("positions").alias("_digest"))
+    found = segments.changes(df, index.key, digest, known)
+    if found is None:
         return None
-    segment = segments.segments(spark, index.path)[-1] + 1
-    refresh_term_index(changed, index, segment)
+    changed, gone = found
+    segment = segments.claim(spark, index.path, "sync", uuid.uuid4().hex)
+    rows = _rows(segments.one_per_key(changed, index.key, None), index).unionByName(_gone(gone, index))
+    segments.write_segment(rows, at, ORDER, segment)
     return segment
 
 
-def _terms(index: TermIndex, terms) -> str:
-    """SQL for the postings of some terms. Buckets of literals are folded into literals."""
-    buckets = [segments.bucket_of([text_list([t])], index.buckets) for t in terms]
-    return f"{BUCKET} in ({', '.join(buckets)}) and term in ({text_list(terms)})" if terms \
-        else "false"
-
-
-def _registry(index: TermIndex) -> str:
-    return _terms(index, [ANY_DOCUMENT])
+def _terms(spark: SparkSession, index: TermIndex, terms) -> str:
+    """SQL for the postings of some terms, with their buckets as literals."""
+    if not terms:
+        return "false"
+    buckets = local_table(spark, term=list(terms)).select(
+        F.expr(segments.bucket_of(["term"], index.buckets)).alias("b")).distinct().collect()
+    return f"{BUCKET} in ({', '.join(str(r['b']) for r in buckets)}) and term in ({text_list(terms)})"
 
 
-def read_postings(spark: SparkSession, index: TermIndex, wanted=None) -> DataFrame:
+def read_postings(spark: SparkSession, index: TermIndex, wanted: str | None = None) -> DataFrame:
     """(term, doc_id, weight, positions) of all documents as they are now."""
-    return segments.read_live(spark, index.path, index.schema, BUCKET, "doc_id", _registry(index),
-                              wanted)
+    return segments.read_live(spark, index.layout, wanted)
 
 
-def term_counts(spark: SparkSession, index: TermIndex, terms) -> dict[str, int]:
-    found = segments.frequencies(spark, index.path, index.schema, BUCKET, _terms(index, terms),
-                                 ["term"])
-    return {term: n for (term,), n in found.items()}
+def term_counts(spark: SparkSession, index: TermIndex, terms) -> tuple[dict[str, int], int]:
+    """(number of postings of each term, the most bytes of a key)."""
+    found, width = segments.frequencies(spark, index.layout, _terms(spark, index, terms))
+    return {term: n for (term,), n in found.items()}, width
 
 
-def find_postings(spark: SparkSession, index: TermIndex, terms, leads, item: str,
+def find_postings(spark: SparkSession, index: TermIndex, terms, leads, item: str, few_keys: bool = False,
                   narrow=None) -> DataFrame:
     """(doc_id, items) of the given terms, or of all terms when ``terms`` is None; with
     ``leads``, which have to be few, only of documents that have one of them.
@@ -98,12 +119,11 @@ def find_postings(spark: SparkSession, index: TermIndex, terms, leads, item: str
     The terms' buckets are literals, so other folders are not listed or opened, and the term
     filter is pushed into Parquet, whose row groups are sorted by term.
     """
-    wanted = None if terms is None else _terms(index, terms)
-    leading = None if leads is None else _terms(index, leads)
-    return segments.gather(spark, index.path, index.schema, BUCKET, "doc_id", wanted,
-                           _registry(index), item, leading, narrow)
+    wanted = None if terms is None else _terms(spark, index, terms)
+    leading = None if leads is None else _terms(spark, index, leads)
+    return segments.gather(spark, index.layout, wanted, item, leading, few_keys, narrow)
 
 
 def compact_term_index(spark: SparkSession, index: TermIndex, target: TermIndex) -> None:
-    segments.compact(spark, read_postings(spark, index), target.path, BUCKET,
-                     segments.bucket_of(["term"], target.buckets), ORDER)
+    """Write the live rows of an index as the full build of a new one."""
+    segments.build_once(_with_bucket(read_postings(spark, index), target), target.layout, ORDER)

@@ -9,19 +9,21 @@ from trawl.sources.path_index import PathIndex, refresh_path_index
 from trawl.sources.term_index import TermIndex, refresh_term_index
 
 
-def keep_index(stream: DataFrame, index: TermIndex | PathIndex, checkpoint: str,
+def keep_index(stream: DataFrame, index: TermIndex | PathIndex, checkpoint: str, order: str | None = None,
                **trigger) -> StreamingQuery:
     """Start indexing a stream of rows. ``trigger``: as for ``DataStreamWriter.trigger``.
 
-    Batch n becomes segment n + 1; a batch replayed after a failure writes the same segment
-    again, so the index holds every row once. An index that a stream keeps should not be
-    refreshed in other ways as well.
+    Each batch becomes a segment; a batch replayed after a failure writes the same segment again,
+    so the index holds every row once. Of a key's rows in one batch the last by the column
+    ``order`` counts, and a later batch replaces an earlier one's. A stream is known by the id in its
+    checkpoint, so other streams, refreshes and syncs of the index get segments of their own.
     """
     refresh = refresh_term_index if isinstance(index, TermIndex) else refresh_path_index
 
     def add(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            refresh(batch, index, batch_id + 1)
+            writer = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
+            refresh(batch, index, batch_id, writer, order)
 
     return (stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
