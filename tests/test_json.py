@@ -169,12 +169,56 @@ def test_random_documents_against_plain_python(spark, tmp_path):
                        if holds(exact(json.loads(asked[q])), exact(d))]
 
 
-def test_deep_documents_fail_loudly(spark):
-    deep = "[" * 10 + "]" * 10
-    df = spark.createDataFrame([(deep,)], "j string")
-    assert len(df.selectExpr(f"{nodes('parse_json(j)')} as n").first()["n"]) == 10
-    with pytest.raises(Exception, match="nested deeper than 5"):
-        df.selectExpr(f"{nodes('parse_json(j)', 5)} as n").collect()
+@pytest.mark.parametrize("depth", [1, 8, 9, 70, 400])
+def test_documents_of_any_depth(spark, tmp_path, depth):
+    deep = "[" * depth + "7" + "]" * depth
+    df = spark.createDataFrame([(1, deep), (2, '{"a":' * depth + deep + "}" * depth), (3, "[]")], "id long, j string")
+    df = df.selectExpr("id", "parse_json(j) as v")
+    assert len(df.where("id = 1").selectExpr(f"{nodes('v')} as n").first()["n"]) == depth + 1
+    index = path_index.PathIndex(str(tmp_path / "deep"), "id", "v", 4)
+    path_index.build_path_index(df, index)
+    requests = json_search.patterns(spark, {"one": deep, "two": '{"a":' * depth + "[]" + "}" * depth})
+    for corpus in (json_search.JsonScan(df, "id", "v"), json_search.JsonLookup(index, df)):
+        assert by_query(json_search.json_matches(requests, corpus).collect(), "row_id") == {"one": [1], "two": [2]}
+
+
+@pytest.mark.parametrize("compiled", [200, 0])
+def test_rechecks_compare_numbers_as_spark_reads_them(spark, tmp_path, monkeypatch, compiled):
+    monkeypatch.setattr(json_search, "COMPILED", compiled)
+    long = "123456789012345678901234567890123456789012"
+    documents = [f'{{"a":[{{"n":{long},"m":1}},{{"n":2,"m":2}}]}}', '{"a":[{"n":1e2,"m":2.50},{"n":2.0,"m":3}]}']
+    df = spark.createDataFrame(list(enumerate(documents)), "id long, j string").selectExpr("id", "parse_json(j) as v")
+    asked = {"long": f'{{"a":[{{"n":{long},"m":1}}]}}', "mixed": f'{{"a":[{{"n":{long},"m":2}}]}}',
+             "exponent": '{"a":[{"n":100,"m":2.5}]}', "two": '{"a":[{"n":2},{"m":3.0}]}', "flat": f'{{"a":[{{"n":{long}}}]}}'}
+    index = path_index.PathIndex(str(tmp_path / "x"), "id", "v", 4)
+    path_index.build_path_index(df, index)
+    requests = json_search.patterns(spark, asked)
+    want = {"long": [0], "exponent": [1], "two": [1], "flat": [0]}
+    for corpus in (json_search.JsonScan(df, "id", "v"), json_search.JsonLookup(index, df)):
+        found = json_search.json_matches(requests, corpus)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("ArrowEvalPython" in plan) == (compiled == 0)
+        assert by_query(found.collect(), "row_id") == want
+    for q, pattern in asked.items():
+        assert [r["id"] for r in df.where(jsonb.contains("v", pattern)).collect()] == want.get(q, [])
+
+
+def test_requests_from_tables_and_text_keys(spark, tmp_path):
+    rows = [("aa1", '{"x":1,"y":2}'), ("aa2", '{"x":1}'), ("b1", '["y"]'), ("c", "null")]
+    df = spark.createDataFrame(rows, "id string, j string").selectExpr("id", "parse_json(j) as v", "id as name")
+    asked = spark.createDataFrame([(1, ["x", "y", "x"]), (2, ["y"]), (3, []), (4, None)], "query_id long, keys array<string>")
+    corpora = [json_search.JsonScan(df, "id", "v")]
+    index = path_index.PathIndex(str(tmp_path / "x"), "id", "v", 4, "string")
+    path_index.build_path_index(df, index)
+    corpora.append(json_search.JsonLookup(index, df))
+    for corpus in corpora:
+        found = json_search.json_matches(json_search.keys(spark, asked, True), corpus)
+        assert by_query(found.collect(), "row_id") == {1: ["aa1"], 2: ["aa1", "b1"]}
+        found = json_search.json_matches(json_search.keys(spark, asked, False), corpus)
+        assert by_query(found.collect(), "row_id") == {1: ["aa1", "aa2", "b1"], 2: ["aa1", "b1"]}
+    lists = json_search.name_lists(found, df, "id", "name").collect()
+    assert sorted((r.query_id, r.chunk, r.names) for r in lists) == [
+        (1, "aa", ["aa1", "aa2"]), (1, "b1", ["b1"]), (2, "aa", ["aa1"]), (2, "b1", ["b1"])]
 
 
 def test_name_lists_are_whole_and_in_order(spark, items):

@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 import pytest
@@ -190,6 +191,40 @@ def test_random_strict_requests(spark, texts):
             request
 
 
+def test_random_strict_requests_from_a_table(spark, texts, no_broadcast):
+    rng = random.Random(5)
+    asked = [(n, _random_request(rng)) for n in range(30)] + [(99, ""), (100, None)]
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    requests = ask.strict(spark, spark.createDataFrame(asked, "query_id long, text string"), "simple")
+    assert not requests.small
+    found = by_query(match.matches(requests, match.Scan(docs, "id", [("text", "D")])).collect(), "doc_id")
+    for query, request in asked:
+        assert found.get(query, []) == [n for n, t in texts.items() if request and _holds(request, t.split())], request
+
+
+def test_strict_requests_are_not_multiplied_out(spark):
+    groups = " & ".join(f"(a{n} | b{n})" for n in range(20))
+    start = time.perf_counter()
+    top, items, steps, leads = ask._strict_tree(groups, "english")
+    assert time.perf_counter() - start < 1
+    assert (top, len(items), len(steps), leads) == ("and", 40, 61, [[0], [1]])
+    nested = "x"
+    for n in range(60):
+        nested = f"!({nested} {'&|'[n % 2]} y{n})"
+    ask._strict_tree(nested, "english")
+    text = " ".join(f"a{n}" for n in range(20))
+    docs = spark.createDataFrame([(1, text), (2, text.replace("a7 ", "b7 ")), (3, text.replace("a7 ", ""))],
+                                 "id long, text string")
+    requests = ask.strict(spark, {"q": groups}, "simple")
+    assert by_query(match.matches(requests, match.Scan(docs, "id", [("text", "D")])).collect(), "doc_id") == {"q": [1, 2]}
+
+
+@pytest.mark.parametrize("text", ["cat > dog", "a < b", "a <2> b", "a & ", "(a", "a b", "a <-> !b", "! & a", "a <-> (b & c)"])
+def test_other_notations_are_refused(text):
+    with pytest.raises(ValueError):
+        ask._strict_tree(text, "simple")
+
+
 def test_stop_words_are_the_127_of_the_public_list():
     assert len(set(STOP_WORDS)) == 127
 
