@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from trawl.functions import jsonb  # noqa: E402
-from trawl.functions.jsonpaths import KEY  # noqa: E402
+from trawl.functions.analysis import STOP_WORDS  # noqa: E402
 from trawl.operators import headline, json_search, match, postings, rank  # noqa: E402
 from trawl.plans import requests as ask  # noqa: E402
 from trawl.session import ship_package, spread, work_folder  # noqa: E402
@@ -108,8 +109,7 @@ HEADLINE = {"h1": "worthless OR license", "h2": "ingre onanshat"}
 def _index_counts(spark: SparkSession, sf: str) -> DataFrame:
     index = _index(spark, _docs(spark, sf))
     return term_index.read_postings(spark, index).where("term <> ''").select(
-        "term", "doc_id", F.size("positions").cast("long").alias("n"),
-        F.array_min("positions").alias("first_pos"), F.array_max("positions").alias("last_pos"))
+        "term", "doc_id", F.concat_ws(",", "positions").alias("positions"))
 
 
 def _postings_two_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,6 +193,23 @@ WITHIN = {"brand": "Brand#2", "category": "ECONOMY", "subcategory": "ECONOMY",
           "in_stock": False, "marks": [{"k": "stars", "n": 1}, {"k": "size", "n": 11.0}], "x": []}
 
 
+WITHIN_SMALL = {"category": "ECONOMY", "tags": ["ring", "red", "small", "blue", "widget"],
+                "marks": [{"k": "stars", "n": 1}, {"k": "stars", "n": 3.0}], "x": 1}
+
+
+def _small_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts with few fields, so that a document contains several of them."""
+    document = F.struct(F.col("p_type").alias("category"), F.split("p_name", " ").alias("tags"),
+                        F.array(F.struct(F.lit("stars").alias("k"), (F.col("p_size") % 5).alias("n"))).alias("marks"))
+    return _table(spark, sf, "part").select("p_partkey", F.parse_json(F.to_json(document)).alias("attrs"))
+
+
+def _text_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes that are text in every second part and numbers in the others."""
+    text = """concat('{"specs":{"size":', if(p_partkey % 2 = 0, concat('"', p_size, '"'), string(p_size)), '}}')"""
+    return _table(spark, sf, "part").selectExpr("p_partkey", f"parse_json({text}) as attrs")
+
+
 PATTERNS = {
     "brand": '{"brand":"Brand#2"}', "stock": '{"in_stock":true}', "number": '{"specs":{"size":11.0}}',
     "text_number": '{"specs":{"size":"11"}}', "tags": '{"tags":["red","bolt"]}',
@@ -207,11 +224,82 @@ def _event_number(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _json_reject(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents are prose, not JSON, also where they begin with a number."""
-    good, bad = tables.split_bad_json(_docs(spark, sf).select("doc_id", "text"), "text", "v")
-    return good.select("doc_id", F.lit("parsed").alias("outcome")).unionByName(
-        bad.select("doc_id", F.lit("rejected").alias("outcome"))).groupBy("outcome").agg(
-        F.count("*").alias("n"))
+    """Event properties are JSON; documents are prose, also where they begin with a number."""
+    texts = _table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("props").alias("text")).unionByName(
+        _docs(spark, sf).select(F.col("doc_id").alias("id"), "text"))
+    good, bad = tables.split_bad_json(texts, "text", "v")
+    return good.select("id", F.lit("parsed").alias("outcome")).unionByName(
+        bad.select("id", F.lit("rejected").alias("outcome"))).groupBy("outcome").agg(
+        F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+def _load_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Loading with a default for absent JSON and rejects for rows that lack a required field."""
+    events = _table(spark, sf, "events").select(
+        "event_id", F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("kind"),
+        F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("props"))
+    good, bad = tables.split_rejects(events, ["event_id", "kind"])
+    read, broken = tables.split_bad_json(good, "props", "v", default='{"k": -1}')
+    loaded = read.select("event_id", F.expr("try_variant_get(v, '$.k', 'bigint')").alias("k"), F.lit("loaded").alias("outcome"))
+    return loaded.unionByName(bad.unionByName(broken).select(
+        "event_id", F.lit(None).cast("long").alias("k"), F.lit("rejected").alias("outcome")))
+
+
+def _stored_products(spark: SparkSession, sf: str) -> DataFrame:
+    """The products in a declared table of variants, loaded once."""
+    products = _products(spark, sf).select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("attrs").alias("attributes"))
+    target = work_folder(spark, "products")
+    tables.create_table(spark, target, tables.PRODUCTS)
+    tables.load_if_empty(products, target)
+    return tables.read_table(spark, target, tables.PRODUCTS)
+
+
+def _json_stored(spark: SparkSession, sf: str) -> DataFrame:
+    stored_rows, v = _stored_products(spark, sf), "attributes"
+    tests = {"scalar": jsonb.contains(v, {"brand": "Brand#2"}), "nested": jsonb.contains(v, {"specs": {"size": 11}}),
+             "array": jsonb.contains(v, {"tags": ["red", "bolt"]}), "key": jsonb.has_key(v, "subcategory"),
+             "keys": jsonb.has_all_keys(v, ["subcategory", "brand"]), "within": jsonb.contained_by(v, WITHIN)}
+    found = [stored_rows.where(test).select(F.lit(name).alias("test"), "id") for name, test in tests.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _json_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Values under 70 levels of arrays, by pattern in a scan and in an index."""
+    rows = spread(_table(spark, sf, "part")).selectExpr(
+        "p_partkey", "parse_json(concat(repeat('[', 70), p_size, repeat(']', 70))) as v")
+    wanted = json_search.patterns(spark, {str(n): "[" * 70 + str(n) + "]" * 70 for n in (3, 11, 99)})
+    index = path_index.PathIndex(work_folder(spark, "deep"), "p_partkey", "v", 4)
+    path_index.build_path_index(rows, index)
+    scanned = json_search.json_matches(wanted, json_search.JsonScan(rows, "p_partkey", "v"))
+    looked_up = json_search.json_matches(wanted, json_search.JsonLookup(index, rows))
+    return scanned.withColumn("by", F.lit("scan")).unionByName(looked_up.withColumn("by", F.lit("index")))
+
+
+LONG = "123456789012345678901234567890123456789012"
+
+
+def _long_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts with an array of objects, one of them with a number of 42 digits."""
+    text = f"""concat('{{"marks":[{{"k":"size","n":', p_size, '}},{{"k":"stars","n":', p_size % 5,
+        '}},{{"k":"long","n":', if(p_size % 2 = 0, '{LONG}', '{LONG}0'), ',"tag":"', p_type, '"}}]}}')"""
+    return spread(_table(spark, sf, "part")).selectExpr("p_partkey", f"parse_json({text}) as v")
+
+
+OBJECTS = {
+    "stars": '{"marks":[{"k":"stars","n":4}]}', "size": '{"marks":[{"n":11.0,"k":"size"}]}',
+    "crossed": '{"marks":[{"k":"stars","n":11}]}', "both": '{"marks":[{"k":"size","n":11},{"k":"stars","n":1}]}',
+    "long": f'{{"marks":[{{"k":"long","n":{LONG}}}]}}', "long_tag": f'{{"marks":[{{"n":{LONG}0,"tag":"SMALL"}}]}}',
+}
+
+
+def _json_batch_objects(spark: SparkSession, sf: str) -> DataFrame:
+    products, wanted = _long_products(spark, sf), json_search.patterns(spark, OBJECTS)
+    index = path_index.PathIndex(work_folder(spark, "marks"), "p_partkey", "v", 8)
+    path_index.build_path_index(products, index)
+    scanned = json_search.json_matches(wanted, json_search.JsonScan(products, "p_partkey", "v"))
+    looked_up = json_search.json_matches(wanted, json_search.JsonLookup(index, products))
+    return scanned.withColumn("by", F.lit("scan")).unionByName(looked_up.withColumn("by", F.lit("index")))
 
 
 def _json_contained_by(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,10 +315,8 @@ def _path_index(spark: SparkSession, products: DataFrame) -> path_index.PathInde
 
 def _json_path_index(spark: SparkSession, sf: str) -> DataFrame:
     index = _path_index(spark, _products(spark, sf))
-    return path_index.read_entries(spark, index).where(
-        F.col("path").isin('$."brand"', '$."tags"[]', '$."specs"."size"', '$."marks"[]."n"',
-                           KEY)).groupBy("path", "vtype", "value").agg(
-        F.count("*").alias("n_rows"))
+    return path_index.read_entries(spark, index).where(f"not ({path_index.REGISTRY})").groupBy(
+        "path", "vtype", "value").agg(F.count("*").alias("n_rows"), F.sum("row_id").alias("rows"))
 
 
 def _json_batch(indexed: bool) -> Callable:
@@ -324,6 +410,144 @@ def _index_stream(spark: SparkSession, sf: str) -> DataFrame:
     return match.matches(requests, match.Lookup(index))
 
 
+def _sync(spark: SparkSession, sf: str, compacted: bool = False) -> DataFrame:
+    """Titles and bodies change, move, arrive and go, and the index is brought up to date."""
+    now = _articles(spark, sf)
+    old = _docs(spark, sf).where("lang <> 'de'").select("doc_id", "lang", "source").join(now, "doc_id").select(
+        "doc_id", F.when(F.col("lang") == "fr", F.col("source")).when(F.col("lang") == "es", F.col("body"))
+        .otherwise(F.col("title")).alias("title"),
+        F.when(F.col("lang") != "es", F.col("body")).alias("body"))
+    kept = now.where("doc_id % 10 <> 3").join(_docs(spark, sf).select("doc_id", "lang"), "doc_id").select(
+        "doc_id", F.when(F.col("lang") != "es", F.col("title")).alias("title"),
+        F.when(F.col("lang") == "es", F.concat_ws(" ", "title", "body")).otherwise(F.col("body")).alias("body"))
+    index = _index(spark, old, TITLE_BODY)
+    term_index.sync_term_index(kept, index)
+    if compacted:
+        target = term_index.TermIndex(work_folder(spark, "terms"), "doc_id", tuple(TITLE_BODY), "simple", 8)
+        term_index.compact_term_index(spark, index, target)
+        index = target
+    return match.matches(ask.strict(spark, SYNC, "simple"), match.Lookup(index))
+
+
+SYNC = {"fr": "la & des", "de": "der & die", "es": "que | de", "src": "src0 | src3", "not": "!la & !of"}
+
+
+def _updates(sf: str, spark: SparkSession, files: int):
+    """Documents as a stream with two versions of each in one batch, the older one last."""
+    schema = _docs(spark, sf).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet") \
+        .option("maxFilesPerTrigger", files).parquet(sf)
+    versions = F.array(F.struct(F.lit(2).alias("version"), F.col("text").alias("t")),
+                       F.struct(F.lit(1).alias("version"), F.col("source").alias("t")))
+    return stream.select("doc_id", "lang", "source", F.explode(versions).alias("v")).select(
+        "doc_id", "lang", "source", F.col("v.version").alias("version"), F.col("v.t").alias("text"))
+
+
+def _index_stream_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Two streams keep one index: all documents, then French ones with their source as text."""
+    index = term_index.TermIndex(work_folder(spark, "terms"), "doc_id", tuple(TEXT), "simple", 16)
+    first, second = _updates(sf, spark, 1), _updates(sf, spark, 1).where("lang = 'fr'").withColumn(
+        "version", -F.col("version"))
+    for stream in (first, second):
+        keep_index(stream, index, work_folder(spark, "stream"), "version", availableNow=True).awaitTermination()
+    return match.matches(ask.strict(spark, {"fr": "la & des", "de": "der & die", "src": "src0 | src3",
+                                            "not": "!la"}, "simple"), match.Lookup(index))
+
+
+def _path_upkeep(stream: bool) -> Callable:
+    """Orders change their price, arrive and go in a path index."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        now = _priced(spark, sf)
+        orders = _table(spark, sf, "orders")
+        index = path_index.PathIndex(work_folder(spark, "orders"), "o_orderkey", "v", 8)
+        before = now.where("o_orderkey % 4 <> 0").withColumn("v", F.expr(
+            "if(o_orderkey % 4 = 1, parse_json('{\"terms\":{\"level\":\"old\"}}'), v)"))
+        path_index.build_path_index(before, index)
+        if stream:
+            rows = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+            document = F.struct(F.struct(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price"),
+                                         F.col("o_orderpriority").alias("level")).alias("terms"))
+            changed = rows.where("o_orderkey % 4 < 2").select("o_orderkey", F.parse_json(F.to_json(
+                document, {"ignoreNullFields": "false"})).alias("v"))
+            keep_index(changed, index, work_folder(spark, "stream"), availableNow=True).awaitTermination()
+        else:
+            path_index.refresh_path_index(now.where("o_orderkey % 4 = 0"), index, "new")
+            path_index.sync_path_index(now.where("o_orderkey % 10 <> 3"), index)
+        wanted = json_search.patterns(spark, {"urgent": '{"terms":{"level":"1-URGENT"}}', "old": '{"terms":{"level":"old"}}',
+                                              "none": '{"terms":{"price":null,"level":"5-LOW"}}'})
+        return json_search.json_matches(wanted, json_search.JsonLookup(index, now))
+
+    return run
+
+
+def _rank_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    index = _index(spark, _articles(spark, sf), TITLE_BODY)
+    scored = rank.ranked(ask.strict(spark, RANK_OR, "simple"), match.Lookup(index))
+    return scored.withColumn("rank", F.round("rank", 6))
+
+
+WEB_RANKED = {"family": "licensing OR worthless", "named": "licenses the"}
+
+
+def _web_ranked_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The main search: a stored English index of titles and bodies, ranked, with headlines."""
+    articles = _articles(spark, sf)
+    index = _index(spark, articles, TITLE_BODY, "english")
+    requests = ask.web(spark, WEB_RANKED, "english")
+    scored = rank.ranked(requests, match.Lookup(index)).withColumn("rank", F.round("rank", 6))
+    shown = headline.headlines(requests, scored, articles, "doc_id", "body")
+    return scored.join(shown, ["query_id", "doc_id"]).join(articles.select("doc_id", "title"), "doc_id").select(
+        "query_id", "doc_id", "title", "rank", "headline")
+
+
+def _postings_english(spark: SparkSession, sf: str) -> DataFrame:
+    """English postings of the license family: stop words leave gaps, the body goes on after the title."""
+    found = postings.text_postings(_articles(spark, sf), "doc_id", TITLE_BODY, "english")
+    return found.where("term in ('licens', 'version')").select(
+        "term", "doc_id", "weight", F.concat_ws(",", "positions").alias("positions"))
+
+
+def _phrase_requests(spark: SparkSession, sf: str) -> ask.Requests:
+    """Ten phrases of three words out of every document: many thousands of requests."""
+    words = F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)")
+    starts = F.explode(F.expr("transform(sequence(0, 9), k -> 5 * k)"))
+    phrases = _docs(spark, sf).select(words.alias("ws")).select("ws", starts.alias("at")).where(
+        "at + 2 < size(ws)").select(F.expr("concat(ws[at], ' ', ws[at + 1], ' ', ws[at + 2])").alias("query_id")).distinct()
+    return ask.web(spark, phrases.select("query_id", F.expr("""concat('"', query_id, '"')""").alias("text")), "simple")
+
+
+def _search_batch_large(spark: SparkSession, sf: str) -> DataFrame:
+    return _ids(_phrase_requests(spark, sf), _docs(spark, sf))
+
+
+def _json_batch_large(spark: SparkSession, sf: str) -> DataFrame:
+    """One pattern for the price of every order that has one."""
+    orders = _table(spark, sf, "orders").where("o_orderstatus <> 'P'")
+    wanted = orders.select(F.col("o_totalprice").cast("string").alias("query_id"), F.to_json(F.struct(F.struct(
+        F.col("o_totalprice").alias("price")).alias("terms"))).alias("pattern")).distinct()
+    return json_search.json_matches(json_search.patterns(spark, wanted),
+                                    json_search.JsonScan(_priced(spark, sf), "o_orderkey", "v"))
+
+
+def _search_strict_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Strict requests made of benchmark items: the first word, with the second or without the third."""
+    items = _table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)").alias("ws"))
+    asked = items.where("size(ws) > 2").select(
+        "query_id", F.expr("concat(ws[0], ' & (', ws[1], ' | !', ws[2], ')')").alias("text"))
+    return _ids(ask.strict(spark, asked, "simple"), _docs(spark, sf))
+
+
+def _json_keys_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Key requests from a table: for every brand, keys that depend on its number."""
+    brands = _table(spark, sf, "part").select("p_brand").distinct()
+    asked = brands.select(F.col("p_brand").alias("query_id"), F.expr(
+        "if(length(p_brand) > 7, array('subcategory', 'brand'), array('absent', 'tags'))").alias("keys"))
+    products = _products(spark, sf)
+    return json_search.json_matches(json_search.keys(spark, asked, True),
+                                    json_search.JsonScan(products, "p_partkey", "attrs"))
+
+
 # ---- contract -------------------------------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -365,7 +589,7 @@ def _search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "json_scalar": _has({"brand": "Brand#2"}),
         "json_bool": _has({"in_stock": False}),
         "json_number": _has({"specs": {"size": 11}}),
-        "json_number_text": _has({"specs": {"size": "11"}}),
+        "json_number_text": _where(lambda v: jsonb.contains(v, {"specs": {"size": "11"}}), _text_sizes),
         "json_null": _where(lambda v: jsonb.contains(v, '{"terms":{"price":null}}'), _priced,
                             "o_orderkey", "v"),
         "json_multi": _has({"brand": "Brand#2", "category": "SMALL"}),
@@ -379,7 +603,7 @@ def _search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "json_key_any": _where(lambda v: jsonb.has_any_key(v, ["subcategory", "absent"])),
         "json_key_all": _where(lambda v: jsonb.has_all_keys(v, ["brand", "subcategory"])),
         "json_contained_by": _json_contained_by,
-        "json_contained_by_parts": _where(lambda v: jsonb.contained_by(v, WITHIN)),
+        "json_contained_by_parts": _where(lambda v: jsonb.contained_by(v, WITHIN_SMALL), _small_products),
         "json_path_index": _json_path_index,
         "json_batch": _json_batch(False),
         "json_batch_indexed": _json_batch(True),
@@ -391,6 +615,22 @@ def _search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_if_empty": _load_if_empty,
         "index_refresh": _index_refresh,
         "index_stream": _index_stream,
+        "index_sync": _sync,
+        "index_compacted": lambda spark, sf: _sync(spark, sf, compacted=True),
+        "index_stream_updates": _index_stream_updates,
+        "path_index_refresh": _path_upkeep(stream=False),
+        "path_index_stream": _path_upkeep(stream=True),
+        "rank_indexed": _rank_indexed,
+        "search_web_ranked_indexed": _web_ranked_indexed,
+        "text_postings_english": _postings_english,
+        "search_batch_large": _search_batch_large,
+        "json_batch_large": _json_batch_large,
+        "search_strict_table": _search_strict_table,
+        "json_keys_table": _json_keys_table,
+        "load_rejects": _load_rejects,
+        "json_stored": _json_stored,
+        "json_deep": _json_deep,
+        "json_batch_objects": _json_batch_objects,
     }
 
 
@@ -433,6 +673,27 @@ def _family(*forms: str) -> str:
     return f"list_has_any(ws, [{', '.join(repr(f) for f in forms)}])"
 
 
+# Titles and bodies after the sync: Spanish titles moved into the body, a tenth of all rows gone.
+SYNCED = f"""words AS (SELECT doc_id, {_word_list('text')} AS ws FROM documents WHERE doc_id % 10 <> 3)"""
+SYNC_SQL = {"fr": _has_word("la", "des"), "de": _has_word("der", "die"), "es": "list_has_any(ws, ['que', 'de'])",
+            "src": "list_has_any(ws, ['src0', 'src3'])", "not": f"NOT {_has_word('la')} AND NOT {_has_word('of')}"}
+STREAMED = f"""words AS (SELECT doc_id, {_word_list("CASE WHEN lang = 'fr' THEN source ELSE text END")} AS ws
+    FROM documents)"""
+STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+# English tokens: positions count stop words, a body goes on after its title's last kept word.
+ENGLISH_TOKENS = f"""{SPLIT}, words AS (SELECT doc_id, {_word_list('title')} AS tw, {_word_list('body')} AS bw
+        FROM articles), titles AS (SELECT doc_id, unnest(tw) AS raw, generate_subscripts(tw, 1) AS pos FROM words),
+    kept AS (SELECT * FROM titles WHERE raw NOT IN ({STOPS})),
+    ends AS (SELECT doc_id, max(pos) AS title_end FROM kept GROUP BY doc_id),
+    bodies AS (SELECT words.doc_id, unnest(bw) AS raw,
+        generate_subscripts(bw, 1) AS body_pos FROM words),
+    raws AS (SELECT doc_id, raw, pos, 'A' AS weight, 1.0::DOUBLE AS w FROM kept UNION ALL
+        SELECT doc_id, raw, body_pos + coalesce(title_end, 0), 'B', 0.4::DOUBLE
+        FROM bodies LEFT JOIN ends USING (doc_id) WHERE raw NOT IN ({STOPS})),
+    tokens AS (SELECT doc_id, pos, weight, w, CASE WHEN raw IN ('license', 'licenses', 'licensed', 'licensing')
+        THEN 'licens' WHEN raw IN ('version', 'versions') THEN 'version'
+        WHEN raw IN ('worthless', 'worthlessly') THEN 'worthless' ELSE '' END AS term FROM raws)"""
+
 PLAIN_SQL = {"plain": _has_word("ingre", "onanshat"), "hot": _has_word("the", "of", "and", "to")}
 WEB_SQL = {
     "web": f"{_has_phrase('thintion', 'ofonrereer')} AND {_has_word('the')}",
@@ -508,6 +769,9 @@ PART_TESTS = {
     "two": f"p_type = 'SMALL' AND list_contains({TAGS}, 'red') AND p_size <= 25",
     "no_tags": "true",
 }
+TAGS_WITHIN = f"len(list_filter({TAGS}, lambda t: NOT list_contains(['ring', 'red', 'small'], t))) = 0"
+WITHIN_TEST = "p_brand = 'Brand#2' AND p_type = 'ECONOMY' AND p_size = 11 AND p_retailprice = 900 " \
+              f"AND {TAGS_WITHIN}"
 JSON_BATCH = " UNION ALL ".join(f"SELECT '{q}' AS query_id, p_partkey AS row_id FROM part "
                                 f"WHERE {test}" for q, test in PART_TESTS.items())
 
@@ -516,13 +780,49 @@ def _parts(test: str) -> str:
     return f"SELECT p_partkey FROM part WHERE {test}"
 
 
+# A price as Spark writes it: without zeros at the end, but one after the point.
+DOUBLE_TEXT = "regexp_replace(regexp_replace(o_totalprice::DECIMAL(18, 2)::VARCHAR, '0+$', ''), '[.]$', '.0')"
+
+
+def _orders_sql(kept: str) -> str:
+    return f"""SELECT 'urgent' AS query_id, o_orderkey AS row_id FROM orders
+            WHERE o_orderpriority = '1-URGENT' AND {kept}
+        UNION ALL SELECT 'none', o_orderkey FROM orders
+            WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'P' AND {kept}"""
+
+
+def _web_ranked_sql() -> str:
+    """Ranks by the formula for alternatives, headlines by that for excerpts, over English words."""
+    family = "['license', 'licenses', 'licensed', 'licensing']"
+    asked = """asked AS (SELECT * FROM (VALUES ('family', 'licens', 2), ('family', 'worthless', 2),
+        ('named', 'licens', 1)) AS t(query_id, term, n))"""
+    return rf"""WITH {ENGLISH_TOKENS}, {asked}, {OR_RANK},
+        raw AS (SELECT doc_id, title, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS ls,
+            regexp_extract_all(body, '([\p{{L}}\p{{N}}]+)([^\p{{L}}\p{{N}}]*)', 1) AS rs,
+            regexp_extract_all(body, '([\p{{L}}\p{{N}}]+)([^\p{{L}}\p{{N}}]*)', 2) AS gs FROM articles),
+        found AS (SELECT scored.query_id, doc_id, rank, title, rs, gs, list_transform(ls, lambda w:
+            CASE WHEN list_contains({family}, w) THEN 'licens'
+            WHEN scored.query_id = 'family' AND w IN ('worthless', 'worthlessly') THEN 'worthless' ELSE '' END) AS ls
+            FROM scored JOIN raw USING (doc_id)),
+        best AS (SELECT *, list_sort(list_transform(list_filter(range(1, len(ls) + 1), lambda i: ls[i] <> ''),
+            lambda i: {{'n': -len(list_distinct(list_filter(ls[i:i + 14], lambda t: t <> ''))), 'at': i}}))[1] AS b
+            FROM found),
+        spans AS (SELECT *, CASE WHEN b IS NULL THEN 1 ELSE greatest(least(b['at'], len(ls) - 4), 1) END AS first,
+            CASE WHEN b IS NULL THEN 5 ELSE 15 END AS n FROM best)
+        SELECT query_id, doc_id, title, rank, CASE WHEN len(ls) = 0 THEN '' ELSE array_to_string(list_transform(
+            range(first, least(first + n, len(ls) + 1)), lambda i:
+            (CASE WHEN ls[i] <> '' THEN '>>>' || rs[i] || '<<<' ELSE rs[i] END)
+            || (CASE WHEN i < least(first + n - 1, len(ls)) THEN gs[i] ELSE '' END)), '') END AS headline
+        FROM spans"""
+
+
 def _search_sql() -> dict[str, str]:
     return {
         "text_tokens": f"WITH {TOKENS} SELECT doc_id, pos, term FROM tokens",
         "text_postings_two_fields": f"""WITH {WEIGHTED} SELECT term, doc_id, weight,
             string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tokens GROUP BY ALL""",
-        "term_index": f"""WITH {TOKENS} SELECT term, doc_id, count(*) AS n,
-            min(pos) AS first_pos, max(pos) AS last_pos FROM tokens GROUP BY ALL""",
+        "term_index": f"""WITH {TOKENS} SELECT term, doc_id,
+            string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tokens GROUP BY ALL""",
         "search_and": f"WITH {WORDS} {_any_of({'and': _has_word('worthless', 'the')})}",
         "search_or": f"WITH {WORDS} " + _any_of({"or": "list_has_any(ws, "
                                                  "['worthless', 'pathetic', 'ingre'])"}),
@@ -566,7 +866,7 @@ def _search_sql() -> dict[str, str]:
         "json_scalar": _parts("p_brand = 'Brand#2'"),
         "json_bool": _parts("p_size <= 25"),
         "json_number": _parts("p_size = 11"),
-        "json_number_text": _parts("false"),
+        "json_number_text": _parts("p_size = 11 AND p_partkey % 2 = 0"),
         "json_null": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'",
         "json_multi": _parts("p_brand = 'Brand#2' AND p_type = 'SMALL'"),
         "json_nested": _parts("p_type = 'SMALL' AND p_size = 30"),
@@ -575,26 +875,57 @@ def _search_sql() -> dict[str, str]:
         "json_array_objects": _parts("p_size % 5 = 4"),
         "json_event_number": "SELECT event_id FROM events "
                              "WHERE CAST(json_extract(props, '$.k') AS INTEGER) = 69",
-        "json_reject": """SELECT CASE WHEN json_valid(text) THEN 'parsed' ELSE 'rejected' END
-            AS outcome, count(*) AS n FROM documents GROUP BY 1""",
+        "json_reject": """SELECT CASE WHEN json_valid(text) THEN 'parsed' ELSE 'rejected' END AS outcome,
+            count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT event_id AS id, props AS text FROM events
+            UNION ALL SELECT doc_id, text FROM documents) GROUP BY 1""",
+        "load_rejects": """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN -1
+            ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+            CASE WHEN event_id % 7 = 0 THEN 'rejected' ELSE 'loaded' END AS outcome FROM events""",
+        "json_stored": " UNION ALL ".join(f"SELECT '{name}' AS test, p_partkey AS id FROM part WHERE {test}"
+            for name, test in {
+                "scalar": "p_brand = 'Brand#2'", "nested": "p_size = 11",
+                "array": f"list_has_all({TAGS}, ['red', 'bolt'])", "key": "p_size % 3 = 0",
+                "keys": "p_size % 3 = 0", "within": WITHIN_TEST}.items()),
+        "json_deep": """SELECT p_size::VARCHAR AS query_id, p_partkey AS row_id, how AS "by"
+            FROM part, (VALUES ('scan'), ('index')) AS t(how) WHERE p_size IN (3, 11, 99)""",
+        "json_batch_objects": " UNION ALL ".join(
+            f"""SELECT '{name}' AS query_id, p_partkey AS row_id, how AS "by" FROM part,
+                (VALUES ('scan'), ('index')) AS t(how) WHERE {test}""" for name, test in {
+                "stars": "p_size % 5 = 4", "size": "p_size = 11", "crossed": "false",
+                "both": "p_size = 11", "long": "p_size % 2 = 0",
+                "long_tag": "p_size % 2 = 1 AND p_type = 'SMALL'"}.items()),
         "json_key": _parts("p_size % 3 = 0"),
         "json_key_any": _parts("p_size % 3 = 0"),
         "json_key_all": _parts("p_size % 3 = 0"),
         "json_contained_by": """SELECT o_orderkey FROM orders
             WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'""",
         "json_contained_by_parts": _parts(
-            "p_brand = 'Brand#2' AND p_type = 'ECONOMY' AND p_size = 11 AND p_retailprice = 900 AND "
-            f"len(list_filter({TAGS}, lambda t: NOT list_contains(['ring', 'red', 'small'], t))) = 0"),
-        "json_path_index": f"""SELECT path, vtype, value, count(DISTINCT p_partkey) AS n_rows FROM (
-            SELECT p_partkey, '$."brand"' AS path, 'string' AS vtype, p_brand AS value FROM part
-            UNION ALL SELECT p_partkey, '$."tags"[]', 'string', unnest({TAGS}) FROM part
-            UNION ALL SELECT p_partkey, '$."specs"."size"', 'number', p_size::VARCHAR FROM part
-            UNION ALL SELECT p_partkey, '$."marks"[]."n"', 'number', p_size::VARCHAR FROM part
-            UNION ALL SELECT p_partkey, '$."marks"[]."n"', 'number', (p_size % 5)::VARCHAR FROM part
-            UNION ALL SELECT p_partkey, 'key', 'key', unnest(['brand', 'category', 'tags', 'specs',
-                'in_stock', 'marks']) FROM part
-            UNION ALL SELECT p_partkey, 'key', 'key', 'subcategory' FROM part WHERE p_size % 3 = 0
-            ) GROUP BY ALL""",
+            "p_type = 'ECONOMY' AND p_size % 5 IN (1, 3) AND len(list_filter("
+            f"{TAGS}, lambda t: NOT list_contains(['ring', 'red', 'small', 'blue', 'widget'], t))) = 0"),
+        "json_path_index": f"""SELECT path, vtype, value, count(*) AS n_rows, sum(p_partkey)::BIGINT AS rows
+            FROM (SELECT DISTINCT p_partkey, e['path'] AS path, e['vtype'] AS vtype, e['value'] AS value
+            FROM (SELECT p_partkey, unnest(list_concat(list_concat(list_concat(
+            [{{'path': '$', 'vtype': 'object', 'value': ''}},
+             {{'path': '$."brand"', 'vtype': 'string', 'value': p_brand}},
+             {{'path': '$."category"', 'vtype': 'string', 'value': p_type}},
+             {{'path': '$."tags"', 'vtype': 'array', 'value': ''}},
+             {{'path': '$."specs"', 'vtype': 'object', 'value': ''}},
+             {{'path': '$."specs"."size"', 'vtype': 'number', 'value': p_size::VARCHAR}},
+             {{'path': '$."specs"."price"', 'vtype': 'number',
+               'value': regexp_replace(p_retailprice::DECIMAL(18, 2)::VARCHAR, '[.]?0+$', '')}},
+             {{'path': '$."in_stock"', 'vtype': 'boolean', 'value': (p_size > 25)::VARCHAR}},
+             {{'path': '$."marks"', 'vtype': 'array', 'value': ''}},
+             {{'path': '$."marks"[]', 'vtype': 'object', 'value': ''}},
+             {{'path': '$."marks"[]."k"', 'vtype': 'string', 'value': 'size'}},
+             {{'path': '$."marks"[]."k"', 'vtype': 'string', 'value': 'stars'}},
+             {{'path': '$."marks"[]."n"', 'vtype': 'number', 'value': p_size::VARCHAR}},
+             {{'path': '$."marks"[]."n"', 'vtype': 'number', 'value': (p_size % 5)::VARCHAR}}],
+            list_transform({TAGS}, lambda t: {{'path': '$."tags"[]', 'vtype': 'string', 'value': t}})),
+            list_transform(['brand', 'category', 'tags', 'specs', 'in_stock', 'marks'],
+                lambda k: {{'path': 'key', 'vtype': 'key', 'value': k}})),
+            CASE WHEN p_size % 3 = 0 THEN [{{'path': 'key', 'vtype': 'key', 'value': 'subcategory'}},
+                {{'path': '$."subcategory"', 'vtype': 'string', 'value': p_type}}] ELSE [] END)) AS e
+            FROM part)) GROUP BY ALL""",
         "json_batch": JSON_BATCH,
         "json_batch_indexed": JSON_BATCH,
         "json_batch_table": "SELECT p_brand || '/' || p_type AS query_id, p_partkey AS row_id "
@@ -615,6 +946,35 @@ def _search_sql() -> dict[str, str]:
             "fr": _has_word("la", "des"), "de": _has_word("der", "die"),
             "src": "list_has_any(ws, ['src0', 'src3'])", "not": f"NOT {_has_word('la')}"}),
         "index_stream": f"WITH {WORDS} {_any_of(PLAIN_SQL)}",
+        "index_sync": f"WITH {SYNCED} {_any_of(SYNC_SQL)}",
+        "index_compacted": f"WITH {SYNCED} {_any_of(SYNC_SQL)}",
+        "index_stream_updates": f"WITH {STREAMED} " + _any_of({
+            "fr": _has_word("la", "des"), "de": _has_word("der", "die"),
+            "src": "list_has_any(ws, ['src0', 'src3'])", "not": f"NOT {_has_word('la')}"}),
+        "path_index_refresh": _orders_sql("o_orderkey % 10 <> 3"),
+        "path_index_stream": _orders_sql("true"),
+        "rank_indexed": f"WITH {WEIGHTED}, {OR_ASKED}, {OR_RANK} SELECT query_id, doc_id, rank FROM scored",
+        "search_web_ranked_indexed": _web_ranked_sql(),
+        "text_postings_english": f"""WITH {ENGLISH_TOKENS} SELECT term, doc_id, weight,
+            string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tokens
+            WHERE term IN ('licens', 'version') GROUP BY ALL""",
+        "search_batch_large": rf"""WITH plain AS (SELECT doc_id,
+                regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
+            asked AS (SELECT DISTINCT array_to_string(ws[k * 5 + 1:k * 5 + 3], ' ') AS query_id, ws[k * 5 + 1] AS a,
+                ws[k * 5 + 2] AS b, ws[k * 5 + 3] AS c FROM plain, range(10) AS r(k) WHERE k * 5 + 2 < len(ws)),
+            {WORDS}, every AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1),
+                lambda i: {{'a': ws[i], 'b': ws[i + 1], 'c': ws[i + 2]}})) AS t FROM words),
+            triples AS (SELECT DISTINCT doc_id, t['a'] AS a, t['b'] AS b, t['c'] AS c FROM every)
+            SELECT query_id, doc_id FROM asked JOIN triples USING (a, b, c)""",
+        "json_batch_large": """SELECT x.q AS query_id, o_orderkey AS row_id FROM orders JOIN (SELECT DISTINCT
+            o_totalprice AS p, QFORMAT AS q FROM orders WHERE o_orderstatus <> 'P') x
+            ON o_totalprice = p WHERE o_orderstatus <> 'P'""".replace("QFORMAT", DOUBLE_TEXT),
+        "search_strict_table": rf"""WITH items AS (SELECT item_id AS query_id,
+                regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS q FROM benchmark), {WORDS}
+            SELECT query_id, doc_id FROM items JOIN words ON len(q) > 2 AND list_contains(ws, q[1])
+            AND (list_contains(ws, q[2]) OR NOT list_contains(ws, q[3]))""",
+        "json_keys_table": """SELECT b AS query_id, p_partkey AS row_id FROM part, (SELECT DISTINCT p_brand AS b
+            FROM part) WHERE length(b) > 7 AND p_size % 3 = 0""",
     }
 
 
