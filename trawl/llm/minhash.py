@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm import bytewords
 from trawl.llm.batches import sorted_groups
+from trawl.llm.common import maybe_wanted
 from trawl.llm.components import components
 from trawl.session import stored
 
@@ -221,10 +222,11 @@ def near_duplicates(docs: DataFrame, percent: int, width: int, id_col: str = "do
     lists = stored(_lists(entries, known), "minhash-lists")
     sets = stored(_whole_sets(rows, known, width), "minhash-sets")
     links = stored(_links(_blocks(lists), known, sets, percent), "minhash-links")
-    roots = components(links)
+    roots = stored(components(links), "minhash-roots")
     if not lists.where("blocks > 1").isEmpty():
-        more = stored(_links(_outsiders(lists, roots), known, sets, percent), "minhash-links")
-        roots = components(links.union(more))
+        more = _links(_outsiders(lists, roots), known, sets, percent)
+        links = stored(roots.toDF("a", "b").union(more), "minhash-links")
+        roots = stored(components(links), "minhash-roots")
     tagged = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = tagged.groupBy("root").agg(F.min("_id").alias("component_id"))
     found = tagged.select("node", "root").distinct().join(least, "root").select("node", "component_id")
@@ -237,11 +239,9 @@ def near_duplicates(docs: DataFrame, percent: int, width: int, id_col: str = "do
 
 def _whole_sets(rows: DataFrame, known: DataFrame, width: int) -> DataFrame:
     """(node, shingles): the full set of one document of each class that has a candidate."""
-    wanted = known.select(F.col("least").alias("_id")).distinct()
-    if known.where("least is null").isEmpty():
-        one = rows.join(wanted, "_id", "left_semi")
-    else:  # a class whose documents all lack an id
-        one = rows.join(wanted.withColumnRenamed("_id", "_w"), F.col("_id").eqNullSafe(F.col("_w")), "left_semi")
+    wanted = known.select(F.col("least").alias("_least")).distinct()
+    some = maybe_wanted(rows, F.col("_id"), wanted).where("_maybe")
+    one = some.join(wanted, F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
     found = one.select("_id", "_text").mapInArrow(partial(_sets, width=width), "node long, shingles binary")
     return found.join(known.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
