@@ -32,11 +32,11 @@ def test_sketches_merge_and_estimate(spark):
         fingerprints.n_distinct(s).alias("n"), fingerprints.merge(a, b).alias("merged"), s.alias("s"),
         fingerprints.resemblance(s, s).alias("same")).first()
     assert row["same"] == 1.0
-    assert row["near"] == pytest.approx(likeness(LONG, parts[0]), abs=0.15)
+    assert row["near"] == pytest.approx(likeness(LONG, parts[0]), abs=0.12)
     assert row["inside"] > 0.85
     assert row["n"] == pytest.approx(len(shingles(LONG)), rel=0.3)
     # the parts lack the few shingles that the cut runs through and have some of their own
-    assert len(set(row["merged"]) & set(row["s"])) > 120
+    assert len(set(row["merged"]) & set(row["s"])) > 240
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
@@ -55,7 +55,7 @@ def test_edited_texts_against_brute_force(spark, partitions):
         edited = text[:len(text) - cut] + after[:cut]
         assert found[doc_id]["n_chars"] == len(text)
         assert found[doc_id]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert found[doc_id]["near_next"] == pytest.approx(likeness(text, after), abs=0.15)
+        assert found[doc_id]["near_next"] == pytest.approx(likeness(text, after), abs=0.12)
     assert found[9]["sketch"] == found[12]["sketch"]
     assert found[3]["sketch"] == found[6]["sketch"] == []
 

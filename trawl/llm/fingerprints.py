@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm.common import BLANKS, text_or_empty
 
-K = 128
+K = 256
 WIDTH = 5
 HASH_BITS = 48
 

@@ -22,7 +22,7 @@ from trawl.llm.common import n_words, text_or_empty
 from trawl.session import stored
 
 UNITS = 4096
-CELL_ROWS = 50_000
+CELL_ROWS = 2_000
 DEMANDS = ["size", "tokens", "n"]
 # How much a resource counts in the dot product: bytes are to be nearest to equal.
 EMPHASIS = np.array([16.0, 1.0, 1.0])
