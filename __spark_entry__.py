@@ -521,12 +521,14 @@ def _search_batch_large(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _json_batch_large(spark: SparkSession, sf: str) -> DataFrame:
-    """One pattern for the price of every order that has one."""
+    """One pattern for the customer and price of every order that has a price."""
     orders = _table(spark, sf, "orders").where("o_orderstatus <> 'P'")
-    wanted = orders.select(F.col("o_totalprice").cast("string").alias("query_id"), F.to_json(F.struct(F.struct(
-        F.col("o_totalprice").alias("price")).alias("terms"))).alias("pattern")).distinct()
+    document = F.to_json(F.struct(F.col("o_custkey").alias("customer"), F.struct(
+        F.col("o_totalprice").alias("price")).alias("terms")))
+    wanted = orders.select(F.col("o_orderkey").alias("query_id"), document.alias("pattern"))
+    rows = _table(spark, sf, "orders").select("o_orderkey", F.parse_json(document).alias("v"))
     return json_search.json_matches(json_search.patterns(spark, wanted),
-                                    json_search.JsonScan(_priced(spark, sf), "o_orderkey", "v"))
+                                    json_search.JsonScan(rows, "o_orderkey", "v"))
 
 
 def _search_strict_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -780,10 +782,6 @@ def _parts(test: str) -> str:
     return f"SELECT p_partkey FROM part WHERE {test}"
 
 
-# A price as Spark writes it: without zeros at the end, but one after the point.
-DOUBLE_TEXT = "regexp_replace(regexp_replace(o_totalprice::DECIMAL(18, 2)::VARCHAR, '0+$', ''), '[.]$', '.0')"
-
-
 def _orders_sql(kept: str) -> str:
     return f"""SELECT 'urgent' AS query_id, o_orderkey AS row_id FROM orders
             WHERE o_orderpriority = '1-URGENT' AND {kept}
@@ -966,9 +964,8 @@ def _search_sql() -> dict[str, str]:
                 lambda i: {{'a': ws[i], 'b': ws[i + 1], 'c': ws[i + 2]}})) AS t FROM words),
             triples AS (SELECT DISTINCT doc_id, t['a'] AS a, t['b'] AS b, t['c'] AS c FROM every)
             SELECT query_id, doc_id FROM asked JOIN triples USING (a, b, c)""",
-        "json_batch_large": """SELECT x.q AS query_id, o_orderkey AS row_id FROM orders JOIN (SELECT DISTINCT
-            o_totalprice AS p, QFORMAT AS q FROM orders WHERE o_orderstatus <> 'P') x
-            ON o_totalprice = p WHERE o_orderstatus <> 'P'""".replace("QFORMAT", DOUBLE_TEXT),
+        "json_batch_large": """SELECT a.o_orderkey AS query_id, b.o_orderkey AS row_id FROM orders a JOIN orders b
+            ON a.o_custkey = b.o_custkey AND a.o_totalprice = b.o_totalprice WHERE a.o_orderstatus <> 'P'""",
         "search_strict_table": rf"""WITH items AS (SELECT item_id AS query_id,
                 regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS q FROM benchmark), {WORDS}
             SELECT query_id, doc_id FROM items JOIN words ON len(q) > 2 AND list_contains(ws, q[1])
