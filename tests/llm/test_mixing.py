@@ -72,6 +72,13 @@ def test_places_hold_the_sources_in_their_weights(spark):
         assert sum(r["source"] == "x" for r in rows[a:a + 1000]) == pytest.approx(750, abs=60)
 
 
+def test_rows_without_words_are_never_lost(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 5)  # many blocks, some of blank rows only
+    sizes = {"x": [3] * 30 + [0] * 40, "y": [2] * 5 + [None] * 9, "z": [0]}
+    found = mixing.mix(docs(spark, sizes), most_repeats=2).rows.collect()
+    assert {r["doc_id"] for r in found} == set(range(sum(map(len, sizes.values()))))
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c", None)], "doc_id long, text string, source string")
     assert mixing.mix(df, most_repeats=1).rows.count() == 3

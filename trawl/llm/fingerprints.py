@@ -8,7 +8,7 @@ without words (or null) has an empty sketch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trawl.llm.common import BLANKS, text_or_empty
@@ -77,42 +77,39 @@ def text_form(sketch: Column) -> Column:
     return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 12, "0")), ""))
 
 
-def with_next(docs: DataFrame, id_col: str, wanted: list[str], per_partition: int = 4) -> DataFrame:
-    """Add ``next_<c>`` of the next row in descending id order, the first row following the last.
+def _longs(values: list[int]) -> str:
+    """SQL for an array of bigint; the lowest one has no literal of its own."""
+    return "array(" + ", ".join(f"bigint('{v}')" for v in values) + ")"
 
-    Rows are dealt into id ranges between quantiles of the id; a boundary row is also sent to the
-    range before it, where it ends the list. So no window holds more than one range. Null ids come
-    last; rows with the same id follow each other in the order of ``wanted``. One row alone is its
-    own next.
+
+def in_ranges(docs: DataFrame, id_col: str, ties: list[str], per_partition: int = 4) -> tuple[DataFrame, WindowSpec]:
+    """The rows dealt into ranges of the id, and the window in which each row's next one follows it.
+
+    The order is by descending id; after the last row comes the first again. Ranges lie between
+    quantiles of the id, which are ids themselves. A row at the upper end of a range is also sent to
+    the range above, as a guest (``_guest`` = 1) that ends its list, so that no window holds more than
+    one range. Null ids come last; rows with the same id follow each other in the order of ``ties``.
+    One row alone is its own next.
     """
-    spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col), F.lit(-2**63).cast("long"))
-    n = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.withColumn("_key", key)
-    steps = [i / n for i in range(1, n + 1)]
-    found = keyed.agg(F.percentile_approx("_key", steps, 20 * n).alias("q"),
+    n = per_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = docs.withColumn("_key", F.coalesce(F.col(id_col), F.lit(-2**63).cast("long")))
+    found = keyed.agg(F.percentile_approx("_key", [i / n for i in range(1, n + 1)], 20 * n).alias("q"),
                       F.max("_key").alias("top")).first()
     ends = sorted({*(found["q"] or []), found["top"] or 0})
     # Two levels of boundaries keep the search per row at the square root of their number.
     width = max(1, round(len(ends) ** 0.5))
     blocks = [ends[i:i + width] for i in range(0, len(ends), width)]
-    lasts = F.expr("array(" + ",".join(f"{b[-1]}L" if b[-1] > -2**63 else "bigint('-9223372036854775808')"
-                                       for b in blocks) + ")")
-    inner = F.expr("array(" + ",".join(
-        "array(" + ",".join(f"{e}L" if e > -2**63 else "bigint('-9223372036854775808')" for e in b) + ")"
-        for b in blocks) + ")")
-    block = F.size(F.filter(lasts, lambda e: e < F.col("_key")))
+    lasts = F.expr(_longs([b[-1] for b in blocks]))
+    inner = F.expr(f"array({', '.join(map(_longs, blocks))})")
+    ranged = keyed.withColumn("_block", F.size(F.filter(lasts, lambda e: e < F.col("_key"))))
     at = F.size(F.filter(F.get(inner, F.col("_block")), lambda e: e < F.col("_key")))
-    ranged = keyed.withColumn("_block", block).withColumn(
-        "_range", (F.col("_block") * width + at).cast("int")).drop("_block")
-    is_end = F.get(F.get(inner, (F.col("_range") / width).cast("int")), F.col("_range") % width) == F.col("_key")
-    copies = F.when(is_end, F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest")),
-                                    F.struct(((F.col("_range") + 1) % len(ends)).alias("r"),
-                                             F.lit(1).alias("guest")))
-                    ).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest"))))
-    dealt = ranged.withColumn("_at", F.explode(copies)).withColumn("_range", F.col("_at.r")).withColumn(
-        "_guest", F.col("_at.guest")).drop("_at")
-    return dealt, Window.partitionBy("_range").orderBy("_guest", F.col("_key").desc(), *wanted)
+    ranged = ranged.withColumn("_range", (F.col("_block") * width + at).cast("int"))
+    at_end = F.get(F.get(inner, F.col("_block")), at) == F.col("_key")
+    own = F.struct(F.col("_range").alias("_range"), F.lit(0).alias("_guest"))
+    above = F.struct(((F.col("_range") + 1) % len(ends)).alias("_range"), F.lit(1).alias("_guest"))
+    copies = F.when(at_end, F.array(own, above)).otherwise(F.array(own))
+    dealt = ranged.withColumn("_copy", F.explode(copies)).drop("_range", "_block").select("*", "_copy.*").drop("_copy")
+    return dealt, Window.partitionBy("_range").orderBy("_guest", F.col("_key").desc(), *ties)
 
 
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,12 +117,12 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or
     all) of the next document's, in descending id order, the first document following the last.
-    Null texts count as empty; see ``with_next`` for ties and null ids; an empty table gives an
+    Null texts count as empty; see ``in_ranges`` for ties and null ids; an empty table gives an
     empty result. Texts move through one shuffle, together with their neighbours.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    dealt, order = with_next(rows, "_id", ["_text"])
+    dealt, order = in_ranges(rows, "_id", ["_text"])
     here = with_sketch(dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_range"),
                        F.col("_text"), "_sketch")
     paired = here.withColumn("_next", F.lead("_text").over(order)).withColumn(

@@ -130,8 +130,8 @@ def _realised(rows: DataFrame, tokens: dict, budgets: dict, seed: int) -> DataFr
     order = Window.partitionBy("_source", "_epoch").orderBy(
         F.xxhash64("_block", "_epoch", F.lit(seed)), "_block").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_epoch") * F.col("_total") + F.coalesce(F.sum("_n").over(order), F.lit(0))
-    turns = turns.withColumn("_start", start).where(
-        (F.col("_start") < F.col("_budget") - spare) | (F.col("_total") == 0))
+    free = (F.col("_n") == 0) & (F.col("_start") <= F.col("_budget") + spare)  # a block without words
+    turns = turns.withColumn("_start", start).where((F.col("_start") < F.col("_budget") - spare) | free)
     # A block that the budget cuts is the last of its source; only its rows are put in order.
     whole = F.col("_start") + F.col("_n") <= F.col("_budget") + spare
     use = turns.select("_source", "_block", "_epoch", "_start", "_n", "_budget", whole.alias("_whole"))

@@ -93,7 +93,8 @@ def statistics(texts: pa.Array) -> Iterator[tuple[slice, np.ndarray]]:
             commonest / per_word, _per_row(length <= 3, words) / per_word, _per_row(_UPPER[first], words) / per_word,
             _per_row(_MARK[data], at) / some, _per_row(_MARK[last], words) / per_word,
             _per_row(with_symbol, words) / per_word, _per_row(_lookup(b".?")[data], at) / per_word,
-            _per_row(data == 44, at) / per_word, _per_row(data == 33, at) / per_word, _per_row(data == 124, at) / per_word,
+            _per_row(data == ord(","), at) / per_word, _per_row(data == ord("!"), at) / per_word,
+            _per_row(data == ord("|"), at) / per_word,
             _per_row(_lookup(b"#*$%&")[data], at) / per_word, _per_row(_lookup(b"{}[]<>()")[data], at) / per_word)
         out = np.stack(columns, axis=1).astype(np.float32)
         out[size == 0] = 0
@@ -207,8 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 def score(docs: DataFrame, forest: Forest, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """All rows of ``docs`` with ``quality_score``, the probability of label 1.
 
-    ``keep`` names the columns to return with it, by default all. Null and empty texts have all-zero statistics and are scored by them. A column of that name is
-    replaced. Repeated rows stay; an empty table gives an empty result.
+    ``keep`` names the columns to return with it, by default all. Null and empty texts have all-zero
+    statistics and are scored by them. A column of that name is replaced. Repeated rows stay; an
+    empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(forest)
     kept = [c for c in keep or docs.columns if c != "quality_score"]
