@@ -205,8 +205,8 @@ def _small_products(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _text_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes that are text in every second part and numbers in the others."""
-    text = """concat('{"specs":{"size":', if(p_partkey % 2 = 0, concat('"', p_size, '"'), string(p_size)), '}}')"""
+    """Sizes that are text in small parts and numbers in the others."""
+    text = """concat('{"specs":{"size":', if(p_type = 'SMALL', concat('"', p_size, '"'), string(p_size)), '}}')"""
     return _table(spark, sf, "part").selectExpr("p_partkey", f"parse_json({text}) as attrs")
 
 
@@ -236,8 +236,8 @@ def _json_reject(spark: SparkSession, sf: str) -> DataFrame:
 def _load_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """Loading with a default for absent JSON and rejects for rows that lack a required field."""
     events = _table(spark, sf, "events").select(
-        "event_id", F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("kind"),
-        F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("props"))
+        "event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("kind"),
+        F.when(F.col("event_type") != "click", F.col("props")).alias("props"))
     good, bad = tables.split_rejects(events, ["event_id", "kind"])
     read, broken = tables.split_bad_json(good, "props", "v", default='{"k": -1}')
     loaded = read.select("event_id", F.expr("try_variant_get(v, '$.k', 'bigint')").alias("k"), F.lit("loaded").alias("outcome"))
@@ -411,13 +411,13 @@ def _index_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sync(spark: SparkSession, sf: str, compacted: bool = False) -> DataFrame:
-    """Titles and bodies change, move, arrive and go, and the index is brought up to date."""
+    """Titles and bodies change, move and arrive, a source goes, and the index is brought up to date."""
     now = _articles(spark, sf)
     old = _docs(spark, sf).where("lang <> 'de'").select("doc_id", "lang", "source").join(now, "doc_id").select(
         "doc_id", F.when(F.col("lang") == "fr", F.col("source")).when(F.col("lang") == "es", F.col("body"))
         .otherwise(F.col("title")).alias("title"),
         F.when(F.col("lang") != "es", F.col("body")).alias("body"))
-    kept = now.where("doc_id % 10 <> 3").join(_docs(spark, sf).select("doc_id", "lang"), "doc_id").select(
+    kept = now.join(_docs(spark, sf).where("source <> 'src7'").select("doc_id", "lang"), "doc_id").select(
         "doc_id", F.when(F.col("lang") != "es", F.col("title")).alias("title"),
         F.when(F.col("lang") == "es", F.concat_ws(" ", "title", "body")).otherwise(F.col("body")).alias("body"))
     index = _index(spark, old, TITLE_BODY)
@@ -460,21 +460,25 @@ def _path_upkeep(stream: bool) -> Callable:
         now = _priced(spark, sf)
         orders = _table(spark, sf, "orders")
         index = path_index.PathIndex(work_folder(spark, "orders"), "o_orderkey", "v", 8)
-        before = now.where("o_orderkey % 4 <> 0").withColumn("v", F.expr(
-            "if(o_orderkey % 4 = 1, parse_json('{\"terms\":{\"level\":\"old\"}}'), v)"))
+        status = orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+        before = now.join(status.where("o_orderstatus <> 'O'"), "o_orderkey").withColumn("v", F.expr(
+            "if(o_orderstatus = 'F', parse_json('{\"terms\":{\"level\":\"old\"}}'), v)")).select("o_orderkey", "v")
         path_index.build_path_index(before, index)
         if stream:
             rows = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
             document = F.struct(F.struct(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price"),
                                          F.col("o_orderpriority").alias("level")).alias("terms"))
-            changed = rows.where("o_orderkey % 4 < 2").select("o_orderkey", F.parse_json(F.to_json(
+            changed = rows.where("o_orderstatus <> 'P'").select("o_orderkey", F.parse_json(F.to_json(
                 document, {"ignoreNullFields": "false"})).alias("v"))
             keep_index(changed, index, work_folder(spark, "stream"), availableNow=True).awaitTermination()
         else:
-            path_index.refresh_path_index(now.where("o_orderkey % 4 = 0"), index, "new")
-            path_index.sync_path_index(now.where("o_orderkey % 10 <> 3"), index)
+            arrived, kept = (status.where(test).select("o_orderkey") for test in (
+                "o_orderstatus = 'O'", "o_orderpriority <> '5-LOW'"))
+            path_index.refresh_path_index(now.join(arrived, "o_orderkey", "left_semi"), index, "new")
+            path_index.sync_path_index(now.join(kept, "o_orderkey", "left_semi"), index)
         wanted = json_search.patterns(spark, {"urgent": '{"terms":{"level":"1-URGENT"}}', "old": '{"terms":{"level":"old"}}',
-                                              "none": '{"terms":{"price":null,"level":"5-LOW"}}'})
+                                              "low": '{"terms":{"level":"5-LOW"}}',
+                                              "none": '{"terms":{"price":null,"level":"2-HIGH"}}'})
         return json_search.json_matches(wanted, json_search.JsonLookup(index, now))
 
     return run
@@ -675,8 +679,8 @@ def _family(*forms: str) -> str:
     return f"list_has_any(ws, [{', '.join(repr(f) for f in forms)}])"
 
 
-# Titles and bodies after the sync: Spanish titles moved into the body, a tenth of all rows gone.
-SYNCED = f"""words AS (SELECT doc_id, {_word_list('text')} AS ws FROM documents WHERE doc_id % 10 <> 3)"""
+# Texts after the sync: Spanish titles have moved into the body, one source is gone.
+SYNCED = f"""words AS (SELECT doc_id, {_word_list('text')} AS ws FROM documents WHERE source <> 'src7')"""
 SYNC_SQL = {"fr": _has_word("la", "des"), "de": _has_word("der", "die"), "es": "list_has_any(ws, ['que', 'de'])",
             "src": "list_has_any(ws, ['src0', 'src3'])", "not": f"NOT {_has_word('la')} AND NOT {_has_word('of')}"}
 STREAMED = f"""words AS (SELECT doc_id, {_word_list("CASE WHEN lang = 'fr' THEN source ELSE text END")} AS ws
@@ -783,10 +787,10 @@ def _parts(test: str) -> str:
 
 
 def _orders_sql(kept: str) -> str:
-    return f"""SELECT 'urgent' AS query_id, o_orderkey AS row_id FROM orders
-            WHERE o_orderpriority = '1-URGENT' AND {kept}
-        UNION ALL SELECT 'none', o_orderkey FROM orders
-            WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'P' AND {kept}"""
+    wanted = {"urgent": "o_orderpriority = '1-URGENT'", "low": "o_orderpriority = '5-LOW'",
+              "none": "o_orderpriority = '2-HIGH' AND o_orderstatus = 'P'"}
+    return " UNION ALL ".join(f"SELECT '{q}' AS query_id, o_orderkey AS row_id FROM orders WHERE {test} AND {kept}"
+                              for q, test in wanted.items())
 
 
 def _web_ranked_sql() -> str:
@@ -864,7 +868,7 @@ def _search_sql() -> dict[str, str]:
         "json_scalar": _parts("p_brand = 'Brand#2'"),
         "json_bool": _parts("p_size <= 25"),
         "json_number": _parts("p_size = 11"),
-        "json_number_text": _parts("p_size = 11 AND p_partkey % 2 = 0"),
+        "json_number_text": _parts("p_size = 11 AND p_type = 'SMALL'"),
         "json_null": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'",
         "json_multi": _parts("p_brand = 'Brand#2' AND p_type = 'SMALL'"),
         "json_nested": _parts("p_type = 'SMALL' AND p_size = 30"),
@@ -876,9 +880,9 @@ def _search_sql() -> dict[str, str]:
         "json_reject": """SELECT CASE WHEN json_valid(text) THEN 'parsed' ELSE 'rejected' END AS outcome,
             count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT event_id AS id, props AS text FROM events
             UNION ALL SELECT doc_id, text FROM documents) GROUP BY 1""",
-        "load_rejects": """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN -1
+        "load_rejects": """SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN -1
             ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
-            CASE WHEN event_id % 7 = 0 THEN 'rejected' ELSE 'loaded' END AS outcome FROM events""",
+            CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'loaded' END AS outcome FROM events""",
         "json_stored": " UNION ALL ".join(f"SELECT '{name}' AS test, p_partkey AS id FROM part WHERE {test}"
             for name, test in {
                 "scalar": "p_brand = 'Brand#2'", "nested": "p_size = 11",
@@ -949,7 +953,7 @@ def _search_sql() -> dict[str, str]:
         "index_stream_updates": f"WITH {STREAMED} " + _any_of({
             "fr": _has_word("la", "des"), "de": _has_word("der", "die"),
             "src": "list_has_any(ws, ['src0', 'src3'])", "not": f"NOT {_has_word('la')}"}),
-        "path_index_refresh": _orders_sql("o_orderkey % 10 <> 3"),
+        "path_index_refresh": _orders_sql("o_orderpriority <> '5-LOW'"),
         "path_index_stream": _orders_sql("true"),
         "rank_indexed": f"WITH {WEIGHTED}, {OR_ASKED}, {OR_RANK} SELECT query_id, doc_id, rank FROM scored",
         "search_web_ranked_indexed": _web_ranked_sql(),
