@@ -14,20 +14,16 @@ MAX_ROUNDS = 60
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node reachable.
 
-    Links may repeat, point either way or join a node to itself. Every round writes its links to
-    the shared folder. A node's neighbours are never gathered into one row or task: the smallest
-    is an aggregate and the others are joined to it.
+    Links may repeat, point either way or join a node to itself; they are read twice and should be
+    a written table. Every round writes its links to the shared folder. A node's neighbours are never
+    gathered into one row or task: the smallest is an aggregate and the others are joined to it.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-                   "links")
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    edges, mark = edges.where("u <> v"), None
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     for _ in range(MAX_ROUNDS):
         edges = stored(_small_star(_large_star(edges)), "star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == now:
+        if _is_forest_of_stars(edges):
             break
-        mark = now
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -39,7 +35,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u")).toDF("node", "other")
     least = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("least"))
     return both.where("other > node").join(least, "node").select(
-        F.col("other").alias("u"), F.col("least").alias("v")).distinct()
+        F.col("other").alias("u"), F.col("least").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -47,3 +43,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("least"))
     moved = edges.join(least, "u").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
     return moved.union(least).distinct()
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node has one link up at most, and none of those linked to has one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where(
+        "up > 1 or (up = 1 and down = 1)").isEmpty()
