@@ -69,6 +69,10 @@ def test_round_trip_of_a_table(spark, dropout):
     found = {r["doc_id"]: r for r in back.collect()}
     assert {i: r["decoded"] for i, r in found.items()} == {i: t or "" for i, t in enumerate(ODD)}
     ids = {r["doc_id"]: r["piece_ids"] for r in encoded.collect()}
+    checked = pieces.encode_checked(df, MODEL, dropout, keep=["doc_id", "a.b"])
+    assert checked.columns == ["doc_id", "a.b", "pieces"]
+    assert {r["doc_id"]: r["pieces"]["piece_ids"] for r in checked.collect()} == ids
+    assert all(r["pieces"]["lossless"] for r in checked.collect())
     assert ids[0] == ids[1] == []
     assert (ids[9] == ids[10]) == (dropout == 0)
 

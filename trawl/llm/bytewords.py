@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Rows are taken together up to this many bytes; one longer text makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C55
 _MASK = 2**64 - 1
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -61,7 +61,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of the hash base and of its inverse, up to n at least."""
-    return _powers(1 << max(22, int(n).bit_length()))
+    return _powers(1 << max(21, int(n).bit_length()))
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -16,8 +16,8 @@ class Memo:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.counts = np.zeros(0, dtype=np.int64)
+        self.starts = np.zeros(0, dtype=np.int32)
+        self.counts = np.zeros(0, dtype=np.int32)
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def runs(self, keys: np.ndarray, make: Callable) -> tuple[np.ndarray, np.ndarray]:
@@ -37,15 +37,14 @@ class Memo:
                 new[:] = True
             self._add(distinct[new], *make(first[new], distinct[new]))
             at = np.searchsorted(self.keys, distinct)
-        counts = self.counts[at][inverse]
+        counts = self.counts[at][inverse].astype(np.int64)
         shift = self.starts[at][inverse] - (np.cumsum(counts) - counts)
         return counts, self.ids[np.repeat(shift, counts) + np.arange(int(counts.sum()))]
 
     def _add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        starts = len(self.ids) + np.cumsum(counts) - counts
+        starts = (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)
         self.ids = np.concatenate([self.ids, ids])
-        every = np.concatenate([self.keys, keys])
-        order = np.argsort(every, kind="stable")
-        self.keys = every[order]
-        self.starts = np.concatenate([self.starts, starts])[order]
-        self.counts = np.concatenate([self.counts, counts])[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts = np.insert(self.starts, at, starts)
+        self.counts = np.insert(self.counts, at, counts.astype(np.int32))

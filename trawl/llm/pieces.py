@@ -24,7 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from trawl.llm import bytewords
 from trawl.llm.common import with_computed
@@ -32,7 +32,7 @@ from trawl.llm.memo import Memo
 
 VARIANTS = 16
 LONG = 64
-KNOWN_UNITS = 1 << 21
+KNOWN_UNITS = 1 << 20
 TOGETHER = 1 << 13      # units merged at once, so that their arrays stay in a core's cache
 SPACE = 0x2581
 _SLOTS = 18             # of the pair table, as a power of two
@@ -348,6 +348,26 @@ def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Record
                                              names=[*batch.schema.names[:-1], "made"])
 
 
+def _checked(batches: Iterator[pa.RecordBatch], model: str, dropout: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """Encodes, decodes the ids and compares: the last but two columns are kept, the last is the text."""
+    v = vocabulary(model)
+    for batch in batches:
+        text = batch.column(batch.num_columns - 1)
+        with_text = batch.append_column("text", text)  # the encoder drops its own two inputs
+        with_text = with_text.select([*range(batch.num_columns - 2), batch.num_columns, batch.num_columns - 2,
+                                      batch.num_columns - 1])
+        for encoded in _encode(iter([with_text]), model, dropout, seed):
+            n = encoded.num_columns
+            for rows, ids, counts in _id_chunks(encoded.column(n - 1)):
+                raw, offsets = bytewords.buffers(encoded.column(n - 2)[rows.start:rows.stop])
+                same = [raw[a:b].tobytes() == back for a, b, back in zip(
+                    offsets[:-1].tolist(), offsets[1:].tolist(), decoded(v, ids, counts), strict=True)]
+                made = pa.StructArray.from_arrays(
+                    [encoded.column(n - 1)[rows.start:rows.stop], pa.array(same, pa.bool_())], ["piece_ids", "lossless"])
+                kept = [encoded.column(i)[rows.start:rows.stop] for i in range(n - 2)]
+                yield pa.RecordBatch.from_arrays([*kept, made], names=[*batch.schema.names[:n - 2], "made"])
+
+
 def _id_chunks(lists: pa.ListArray, most: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Rows of a list column together up to ``most`` ids, one row at least; null lists are empty."""
     counts = np.array(lists.value_lengths().fill_null(0))
@@ -375,6 +395,16 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 11, id
                          ArrayType(IntegerType()))
 
 
+def encode_checked(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 11, id_col: str = "doc_id",
+                   text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """As ``encode``, in the struct column ``pieces`` (piece_ids, lossless): whether decoding the ids
+    gives the text again. Null texts count as empty ones."""
+    kept = [c for c in keep or docs.columns if c != "pieces"]
+    kind = StructType([StructField("piece_ids", ArrayType(IntegerType())), StructField("lossless", BooleanType())])
+    return with_computed(docs, kept, [F.col(id_col).cast("long"), F.col(text_col)],
+                         partial(_checked, model=model, dropout=dropout, seed=seed), "pieces", kind)
+
+
 def decode(encoded: DataFrame, model: str, ids_col: str = "piece_ids") -> DataFrame:
     """All rows and other columns with ``decoded``, the text of the ids; null ids give empty text."""
     kept = [c for c in encoded.columns if c not in (ids_col, "decoded")]

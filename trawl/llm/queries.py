@@ -142,14 +142,12 @@ PIECES_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether decoding them gives the text again."""
-    docs = table(spark, sf_dir, "documents")
-    found = pieces.encode(docs, PIECES_MODEL, keep=["doc_id", "text"])
-    back = pieces.decode(found.withColumn("ids", F.col("piece_ids")), PIECES_MODEL, "ids")
-    return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids",
-                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    found = pieces.encode_checked(table(spark, sf_dir, "documents"), PIECES_MODEL, keep=["doc_id"])
+    return found.select("doc_id", F.size("pieces.piece_ids").cast("long").alias("n_pieces"),
+                        F.col("pieces.piece_ids").alias("piece_ids"), F.col("pieces.lossless").alias("lossless"))
 
 
-QUERIES = {"op1_licenses": op1_licenses, "op2_lm": op2_lm, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op6_minhash": op6_minhash,
-           "op7_sharding": op7_sharding, "op8_pivots": op8_pivots, "op9_idfiles": op9_idfiles,
-           "op10_pieces": op10_pieces}
+QUERIES = {query.__name__: query for query in (
+    op1_licenses, op2_lm, op3_fingerprints, op4_mixing, op5_quality, op6_minhash, op7_sharding, op8_pivots, op9_idfiles,
+    op10_pieces)}
 ORACLE_SQL = {"op1_licenses": _licenses_sql(), "op6_minhash": OP6_SQL, "op8_pivots": OP8_SQL}
