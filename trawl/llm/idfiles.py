@@ -147,7 +147,8 @@ def write_ids(docs: DataFrame, path: str, encoding: Encoding, id_col: str = "doc
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
-    ordered = rows.repartitionByRange(parts, "_id", "_text").sortWithinPartitions("_id", "_text")
+    # Ranges of ids alone: their bounds are sampled, and no text goes to the driver.
+    ordered = rows.repartitionByRange(parts, "_id").sortWithinPartitions("_id", "_text")
     ordered.mapInArrow(partial(_blocks, encoding=encoding), SCHEMA).write.parquet(path)
 
 
