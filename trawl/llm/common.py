@@ -78,6 +78,17 @@ def maybe_wanted(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(words), "_word", "left").withColumn("_maybe", hit).drop("_p", "_word", "_bits")
 
 
+def first_by_hash(df: DataFrame, key: str, n: int, most: int) -> DataFrame:
+    """At most ``most`` of a table's ``n`` rows, those with the lowest hashes of a key.
+
+    A hash share of about twice as many rows is taken first, as Spark brings the lowest rows of each
+    partition to the driver.
+    """
+    share = max(1, n // (2 * most))
+    some = df.where(F.pmod(F.xxhash64(key, F.lit(share)), F.lit(share)) == 0) if share > 1 else df
+    return some.orderBy(F.xxhash64(key), key).limit(most)
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from trawl.llm import bytewords
-from trawl.llm.common import with_computed
+from trawl.llm.common import first_by_hash, with_computed
 
 SAMPLE = 20_000   # labelled rows the trees are grown from, at most
 BINS, DEPTH, TREES = 64, 4, 80
@@ -194,9 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     are left out; an id labelled twice is two rows. At most ``SAMPLE`` rows, chosen by a hash of the id,
     are used; they are broadcast to the documents, and only their statistics reach the driver.
     """
-    chosen = labels.where(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")).orderBy(
-        F.xxhash64("_id"), "_id", "label").limit(SAMPLE)
+    fit_for = labels.where(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label"))
+    chosen = first_by_hash(fit_for, "_id", fit_for.count(), SAMPLE)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     some = rows.join(F.broadcast(chosen), "_id").select("label", "text")
     found = some.mapInArrow(_features, "label double, x array<float>").orderBy(F.xxhash64("x", "label")).limit(
