@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import minhash, mixing, pieces, quality
-from trawl.llm.common import prepare, quoted, table
+from trawl.llm.common import maybe_wanted, prepare, quoted, table
 from trawl.llm.queries import LEAST_QUALITY, MOST_REPEATS, PIECES_MODEL
 from trawl.session import stored
 
@@ -28,12 +28,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = minhash.near_duplicates(docs, percent=80, width=5)
-    kept = found.where("kept").select("doc_id").distinct()
-    copies = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    rows = docs.join(kept, "doc_id", "left_semi")
-    rows = rows if copies else rows.dropDuplicates(["doc_id", "text"])
-    return rows.select(*quoted(docs.columns)).unionByName(docs.where("doc_id is null"))
+    found = minhash.near_duplicates(docs, percent=80, width=5).select(F.col("doc_id").alias("_id"), "kept")
+    ids = found.where("_id is not null").groupBy("_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    dropped = ids.where("not kept").select("_id")
+    # Few rows are dropped; only they, and rows that look like them, move to meet the list.
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("_row"), F.col("doc_id").alias("_id"))
+    marked = maybe_wanted(rows, F.col("_id"), dropped)
+    left = marked.where("not _maybe").select("_id", "_row").unionByName(
+        marked.where("_maybe").join(dropped, "_id", "left_anti").select("_id", "_row"))
+    if not ids.where("n > 1").isEmpty():
+        once = left.where("_id is not null").withColumn("_text", F.col("_row.text")).dropDuplicates(["_id", "_text"])
+        left = once.drop("_text").unionByName(left.where("_id is null"))
+    return left.select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
