@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,11 +74,14 @@ class WordEncoder:
     """Ids of texts, encoding each distinct blank-free word only once.
 
     Right for tokenizers whose ids of a text are those of its words (parted at ASCII white space) one
-    after another: white space is dropped and no rule, merge or special token reaches across it.
+    after another: white space is dropped and no rule, merge or special token reaches across it. Where
+    it lower-cases texts, so do words here, but in batches in which a special token may stand.
     """
 
     def __init__(self, tokenizer: str) -> None:
         self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Memo(KNOWN_WORDS)
 
     def _of_words(self, found: bytewords.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,12 +90,15 @@ class WordEncoder:
         texts = [data[s:e].decode(errors="replace")
                  for s, e in zip(found.starts[at].tolist(), found.ends[at].tolist(), strict=True)]
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return (np.array([len(e) for e in encoded], dtype=np.int64),
-                np.array([i for e in encoded for i in e], dtype=np.uint32))
+        counts = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+        return counts, np.fromiter(chain.from_iterable(encoded), dtype=np.uint32, count=int(counts.sum()))
 
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """(rows, ids of these rows one after another with the end id, number of ids per row)."""
-        for found in bytewords.words(texts, lower=False):
+        raw, offsets = bytewords.buffers(texts)
+        data = raw[offsets[0]:offsets[-1]].tobytes().lower() if self.lowers else b""
+        lower = self.lowers and not any(token.lower() in data for token in self.special)
+        for found in bytewords.words(texts, lower=lower):
             counts, ids = self.known.runs(found.hashes, lambda at, _, found=found: self._of_words(found, at))
             docs = len(found.counts)
             whole = np.concatenate([[0], np.cumsum(counts)])[found.bounds]
