@@ -208,7 +208,6 @@ def near_duplicates(docs: DataFrame, percent: int, width: int, id_col: str = "do
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     profile = stored(rows.mapInArrow(partial(_profile, width=width), PROFILE), "minhash-profiles")
-    members = profile.where("n_shingles > 0").select("_id", "node")
     signature = [f"s{i}" for i in range(WORDS_OF_SIGNATURE)]
     classes = profile.where("n_shingles > 0").groupBy("node").agg(
         F.min(F.col("_id")).alias("least"), F.first("n_shingles").alias("n_shingles"),
@@ -227,9 +226,11 @@ def near_duplicates(docs: DataFrame, percent: int, width: int, id_col: str = "do
         more = _links(_outsiders(lists, roots), known, sets, percent)
         links = stored(roots.toDF("a", "b").union(more), "minhash-links")
         roots = stored(components(links), "minhash-roots")
-    tagged = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = tagged.groupBy("root").agg(F.min("_id").alias("component_id"))
-    found = tagged.select("node", "root").distinct().join(least, "root").select("node", "component_id")
+    # By classes: a class of very many copies is one row here.
+    tagged = profile.where("n_shingles > 0").groupBy("node").agg(F.min("_id").alias("least")).join(
+        roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = tagged.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = tagged.join(smallest, "root").select("node", "component_id")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id"))
     return profile.select("_id", "n_shingles", "node").join(found, "node", "left").withColumn(
         "component_id", own).select(
