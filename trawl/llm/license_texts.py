@@ -1,4 +1,13 @@
-"""Public licence texts, notice lines and spellings that count as equal."""
+"""Public licence texts, notice lines and spellings that count as equal.
+
+A licence text is known in several forms: with each of its usual headings and without one, with and without
+a line "All rights reserved.", with numbers, letters or signs as list marks, and with and without the
+appendix that tells how to apply it. Forms stand in ``NOTICES``, as one licence has many.
+"""
+
+import re
+
+from trawl.llm.license_public import FULL
 
 # Public licence texts; the copyright line is left out, as it takes no part in a comparison.
 TEXTS = {
@@ -51,6 +60,29 @@ the following disclaimer.
 and the following disclaimer in the documentation and/or other materials provided with the
 distribution.
 
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """BSD 3-Clause License
+
+Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and
+the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the
+distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission.
+
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
 WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
 PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
@@ -106,6 +138,52 @@ NOTICES = {
     "All rights reserved.": "all-rights-reserved",
 }
 
+# Usual headings of the texts above, which begin with one and an empty line.
+HEADINGS = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "The ISC License (ISC)", "ISC License (ISC)", "ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "FreeBSD License",
+                     'BSD 2-Clause "Simplified" License', "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License",
+                     'BSD 3-Clause "New" or "Revised" License', "Revised BSD License", "BSD License", "The BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+# Lines, not empty ones, of the heading of a full text.
+HEADING_LINES = {"Apache-2.0": 3, "GPL-1.0": 2, "GPL-2.0": 2, "GPL-3.0": 2, "LGPL-2.0": 2, "LGPL-2.1": 2, "LGPL-3.0": 2,
+                 "MPL-1.1": 2, "MPL-2.0": 2, "CC0-1.0": 2, "GFDL-1.2": 2, "GFDL-1.3": 2, "Artistic-1.0": 1}
+APPENDIX = re.compile(r"(?m)^[ ]*(APPENDIX: How to apply|(Appendix: )?How to Apply These Terms|ADDENDUM: How to use)")
+_MARK = re.compile(r"(?m)^ *([1-9])\. ")
+
+
+def _without_heading(text: str, lines: int) -> str:
+    rest = text.strip("\n").split("\n")
+    while lines:
+        lines -= bool(rest.pop(0).strip())
+    return "\n".join(rest)
+
+
+def _short_forms(name: str, body: str) -> list[str]:
+    marked = {body, _MARK.sub("", body), _MARK.sub(lambda m: f"{'abcdefghi'[int(m[1]) - 1]}. ", body)}
+    begins = [f"{heading}\n\n{rights}" for heading in ["", *HEADINGS[name]] for rights in ("", "All rights reserved.\n")]
+    return [begin + form for begin in begins for form in sorted(marked)]
+
+
+def _full_forms(name: str, text: str) -> list[str]:
+    texts = [text, text[:found.start()]] if (found := APPENDIX.search(text)) else [text]
+    return [form for t in texts for form in (t, _without_heading(t, HEADING_LINES[name]))]
+
+
+def _forms() -> dict[str, str]:
+    """Licence by text, of all forms but those in ``TEXTS``."""
+    bodies = [(name, _without_heading(text, 1)) for name, text in TEXTS.items() if name in HEADINGS]
+    bodies += [("BSD-3-Clause", FULL["BSD-3-Clause-UC"]), ("Unlicense", FULL["Unlicense"])]
+    forms = {form: name for name, body in bodies for form in _short_forms(name, body)}
+    forms |= {form: name for name in HEADING_LINES for form in _full_forms(name, FULL[name])}
+    return {form: name for form, name in forms.items() if TEXTS.get(name) != form}
+
+
 # Spellings that count as equal (whole words, lower case), each with the one that is kept.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact",
@@ -122,3 +200,5 @@ SPELLINGS = {
     "signalling": "signaling", "sub licence": "sublicense", "sub license": "sublicense",
     "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
+
+NOTICES |= _forms()
