@@ -511,6 +511,12 @@ def _postings_english(spark: SparkSession, sf: str) -> DataFrame:
         "term", "doc_id", "weight", F.concat_ws(",", "positions").alias("positions"))
 
 
+def _postings_english_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All English postings of titles and bodies; without SQL, as SQL has no stems."""
+    found = postings.text_postings(_articles(spark, sf), "doc_id", TITLE_BODY, "english")
+    return found.select("term", "doc_id", "weight", F.concat_ws(",", "positions").alias("positions"))
+
+
 def _phrase_requests(spark: SparkSession, sf: str) -> ask.Requests:
     """Ten phrases of three words out of every document: many thousands of requests."""
     words = F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)")
@@ -981,7 +987,7 @@ def _search_sql() -> dict[str, str]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     added = {**text_prep.QUERIES, "pipeline": corpus_pipeline.run} if text_prep else {}
-    return {**_search_queries(), **added}
+    return {**_search_queries(), "text_postings_english_all": _postings_english_all, **added}
 
 
 def oracle_sql() -> dict[str, str]:
