@@ -83,3 +83,26 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert pieces.decode(pieces.encode(df.limit(0), MODEL), MODEL).count() == 0
     none = spark.createDataFrame([(1, None)], "doc_id long, piece_ids array<int>")
     assert pieces.decode(none, MODEL).first()["decoded"] == ""
+
+
+def test_every_occurrence_draws_for_itself():
+    n, words = 4000, " international"
+    (_, ids, counts), = pieces.Encoder(MODEL, 0.1, 5).encode(pa.array([words] * n), pa.array(range(n)))
+    ends = np.cumsum(counts)
+    found = [tuple(ids[a:b]) for a, b in zip(ends - counts, ends, strict=True)]
+    assert len(set(found)) > 16     # many more than a few frozen ones
+    plain = tuple(segments(words, 0.0))
+    assert 0.2 < found.count(plain) / n < 0.9
+    assert len(segments(words * n, 0.1)) > 1.05 * len(segments(words * n, 0.0))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(anything, min_size=1, max_size=20), st.sampled_from([0.05, 0.1, 0.5]))
+def test_kept_results_are_what_merging_each_occurrence_gives(texts, dropout):
+    encoder = pieces.Encoder(MODEL, dropout, 7)
+    texts = texts * 5
+    kept = [(ids.tolist(), counts.tolist()) for _, ids, counts in encoder.encode(pa.array(texts), pa.array(range(len(texts))))]
+    fresh = pieces.Encoder(MODEL, dropout, 7)
+    fresh._drawn = lambda found, own: own   # no two occurrences share a key
+    assert kept == [(ids.tolist(), counts.tolist()) for _, ids, counts in fresh.encode(
+        pa.array(texts), pa.array(range(len(texts))))]

@@ -2,14 +2,15 @@
 
 A text becomes its characters, white space written as U+2581, after a leading one. Then the best
 adjacent pair that is a piece is merged (highest score, leftmost of equals), again and again. A
-candidate is skipped when a hash of (seed, variant, unit, place, piece) falls below the dropout
-rate. Characters without a piece become byte pieces, so decoding returns every text exactly.
+candidate is skipped when a hash of (seed, id, unit's place, unit, place in unit, piece) falls below the
+dropout rate. Characters without a piece become byte pieces, so decoding returns every text exactly.
 
 No piece reaches from a letter into following white space, so a text is encoded in units: a run of
-spaces with the word behind it, or one other white space character. Each place of a unit in a text
-draws one of ``VARIANTS`` keys from (seed, id, place); a worker merges each distinct (unit, key) once,
-many new ones together: every round merges the best pair of each unit. Units of more than
-``LONG`` characters go through an agenda of their own.
+spaces with the word behind it, or one other white space character. Every occurrence of a unit draws
+for itself. What merging gives depends only on the unit and on which of its possible candidates are
+skipped, so a worker merges each distinct (unit, set of skipped candidates) once, many new ones
+together: every round merges the best pair of each unit. Units of more than ``LONG`` characters go
+through an agenda of their own, each occurrence for itself.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from trawl.llm import bytewords
 from trawl.llm.common import with_computed
 from trawl.llm.memo import Memo
 
-VARIANTS = 16
 LONG = 64
 KNOWN_UNITS = 1 << 20
+KNOWN_POSSIBLE = 1 << 18    # units whose candidates are kept, which takes more memory
 TOGETHER = 1 << 13      # units merged at once, so that their arrays stay in a core's cache
+DRAWN = 1 << 14         # units whose candidates are drawn at once
 SPACE = 0x2581
 _SLOTS = 18             # of the pair table, as a power of two
 _FAR = np.int32(2**31 - 1)
@@ -50,6 +52,7 @@ class Vocabulary:
     ranks: np.ndarray       # by slot, 0: highest score; equal scores have equal ranks
     probes: int             # slots in which a pair may be
     byte_ids: np.ndarray    # by byte
+    longest: int            # characters of the longest piece
     data: np.ndarray        # the pieces' text, white space as spaces, one after another
     offsets: np.ndarray
 
@@ -79,6 +82,7 @@ def vocabulary(model: str) -> Vocabulary:
     rows = [(ids[name[:k]] << 32 | ids[name[k:]], i, order[sp.get_score(i)])
             for name, i in ids.items() for k in range(1, len(name)) if name[:k] in ids and name[k:] in ids]
     return Vocabulary(symbols, *_pair_table(np.array(rows, dtype=np.int64).reshape(-1, 3)), byte_ids,
+                      max(map(len, ids)),
                       np.frombuffer(b"".join(texts), dtype=np.uint8),
                       np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
 
@@ -116,9 +120,8 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(points, 0x10FFFF), starts
 
 
-def _candidates(v: Vocabulary, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray,
-                dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rank, merged piece) of adjacent symbols; ``_FAR`` where they make no piece or are skipped."""
+def _found(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which adjacent symbols make a piece, the slots of all)."""
     pair = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
     at = _slot(pair)
     open_ = np.flatnonzero(v.pairs[at] != pair)
@@ -128,16 +131,53 @@ def _candidates(v: Vocabulary, left: np.ndarray, right: np.ndarray, key: np.ndar
             break
         at[open_] = (at[open_] + 1) % (1 << _SLOTS)
         open_ = open_[v.pairs[at[open_]] != pair[open_]]
-    found = np.flatnonzero((v.pairs[at] == pair) & (left >= 0) & (right >= 0))
-    rank, piece = np.full(len(pair), _FAR), np.zeros(len(pair), dtype=np.int32)
+    return np.flatnonzero((v.pairs[at] == pair) & (left >= 0) & (right >= 0)), at
+
+
+def _skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether the occurrence of a unit with this key skips a piece at a place."""
+    own = bytewords.mixed(key + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                          + piece.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    return (own >> np.uint64(11)) * 2.0**-53 < dropout
+
+
+def _candidates(v: Vocabulary, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray,
+                dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, merged piece) of adjacent symbols; ``_FAR`` where they make no piece or are skipped."""
+    found, at = _found(v, left, right)
+    rank, piece = np.full(len(at), _FAR), np.zeros(len(at), dtype=np.int32)
     piece[found], rank[found] = v.merged[at[found]], v.ranks[at[found]]
     if dropout > 0:
-        own = bytewords.mixed(key[found] + place[found].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                              + piece[found].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-        rank[found[(own >> np.uint64(11)) * 2.0**-53 < dropout]] = _FAR
+        rank[found[_skipped(key[found], place[found], piece[found], dropout)]] = _FAR
     return rank, piece
 
 
+def possible(v: Vocabulary, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each unit's candidates, candidates as ``place << 25 | piece``) that any merging can meet.
+
+    A candidate is a piece at a place that some two pieces make which can be made themselves.
+    """
+    n = len(symbols)
+    unit = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    left_over = bounds[1:][unit] - np.arange(n)     # symbols from here to the unit's end
+    made = [np.zeros(0, dtype=np.int32), np.where(symbols >= 0, symbols, -1).astype(np.int32)]
+    for length in range(2, min(v.longest, int(left_over.max(initial=0))) + 1):
+        now = np.full(n, -1, dtype=np.int32)
+        for k in range(1, length):
+            at = np.flatnonzero((made[k][:n - length + 1] >= 0) & (made[length - k][k:n - length + k + 1] >= 0))
+            at = at[left_over[at] >= length]
+            found, slots = _found(v, made[k][at], made[length - k][at + k])
+            now[at[found]] = v.merged[slots[found]]
+        made.append(now)
+    at = [np.flatnonzero(now >= 0) for now in made[2:]]
+    pieces = np.concatenate([now[x] for now, x in zip(made[2:], at, strict=True)] or [np.zeros(0, np.int32)])
+    at = np.concatenate(at or [np.zeros(0, np.int64)])
+    order = np.argsort(unit[at], kind="stable")
+    places = (at - bounds[unit[at]]).astype(np.uint32)
+    return (np.bincount(unit[at], minlength=len(bounds) - 1),
+            (places << np.uint32(25) | pieces.astype(np.uint32))[order])
+
+
 def merge_all(v: Vocabulary, symbols: np.ndarray, bounds: np.ndarray, keys: np.ndarray,
               dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """Final symbols of many units and the number of each, ``TOGETHER`` units at a time."""
@@ -265,30 +305,54 @@ class Encoder:
 
     def __init__(self, model: str, dropout: float, seed: int) -> None:
         self.v, self.dropout, self.seed = vocabulary(model), dropout, np.uint64(seed % 2**64)
-        self.known = Memo(KNOWN_UNITS)
+        self.known, self.possible = Memo(KNOWN_UNITS), Memo(KNOWN_POSSIBLE)
 
     def encode(self, texts: pa.Array, ids: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """(rows, piece ids of these rows one after another, number of ids per row)."""
         numbers = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         for found in units(texts):
             n, of = len(found.starts), np.diff(found.bounds)
-            place = (np.arange(n) - np.repeat(found.bounds[:-1], of)).astype(np.uint64)
-            keys = found.hashes
+            own = keys = found.hashes
             if self.dropout > 0:
+                place = (np.arange(n) - np.repeat(found.bounds[:-1], of)).astype(np.uint64)
                 text = bytewords.mixed(numbers[found.rows] + self.seed)
-                drawn = bytewords.mixed(np.repeat(text, of) + place) % np.uint64(VARIANTS)
-                keys = bytewords.mixed(keys + (drawn + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C55) + self.seed)
-            counts, out = self.known.runs(keys, lambda at, new, found=found: self._merged(found, at, new))
+                own = bytewords.mixed(bytewords.mixed(np.repeat(text, of) + place) + found.hashes)
+                keys = self._drawn(found, own)
+            counts, out = self.known.runs(keys, lambda at, _, found=found, own=own: self._merged(found, at, own[at]))
             whole = np.concatenate([[0], np.cumsum(counts)])[found.bounds]
             yield found.rows, out, np.diff(whole)
 
-    def _merged(self, found: Units, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids, ids) of the units numbered ``at``."""
+    def _drawn(self, found: Units, own: np.ndarray) -> np.ndarray:
+        """A key of each unit and the set of candidates that its occurrence skips; of long units, their own."""
+        first = np.concatenate([[0], np.cumsum((found.data & 0xC0) != 0x80)])
+        long = first[found.ends] - first[found.starts] > LONG
+        keys = np.where(long, own, found.hashes)
+        short = np.flatnonzero(~long)
+        for a in range(0, len(short), DRAWN):
+            at = short[a:a + DRAWN]
+            sizes, candidates = self.possible.runs(
+                keys[at], lambda new, _, at=at: possible(self.v, *self._symbols(found, at[new])))
+            of = np.repeat(np.arange(len(at)), sizes)
+            skipped = np.flatnonzero(_skipped(own[at][of], candidates >> np.uint32(25),
+                                              candidates & np.uint32(2**25 - 1), self.dropout))
+            marks = bytewords.mixed(candidates[skipped].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C55))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks, dtype=np.uint64)])
+            ends = np.cumsum(np.bincount(of[skipped], minlength=len(at)))
+            marks = np.diff(sums[np.concatenate([[0], ends])])
+            keys[at] = bytewords.mixed(keys[at] + marks)
+        return keys
+
+    def _symbols(self, found: Units, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of the units numbered ``at``, their bounds)."""
         size = found.ends[at] - found.starts[at]
         bounds = np.concatenate([[0], np.cumsum(size)])
         data = found.data[np.repeat(found.starts[at] - bounds[:-1], size) + np.arange(bounds[-1])]
         points, places = code_points(data)
-        symbols, bounds = self.v.symbols[points], np.searchsorted(places, bounds)
+        return self.v.symbols[points], np.searchsorted(places, bounds)
+
+    def _merged(self, found: Units, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of the units numbered ``at``."""
+        symbols, bounds = self._symbols(found, at)
         lengths = np.diff(bounds)
         short = lengths <= LONG
         take = np.repeat(short, lengths)
