@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import fingerprints, idfiles, licenses, lm, minhash, mixing, pieces, pivots, quality, sharding
+from trawl.llm import (fingerprints, idfiles, licenses, lm, merkle, minhash, mixing, pieces, pivots, quality,
+                       sharding)
 from trawl.llm.common import LOWER, UPPER, remainder, table
 
 
@@ -147,7 +148,60 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("pieces.piece_ids").alias("piece_ids"), F.col("pieces.lossless").alias("lossless"))
 
 
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), MANIFEST_FIELDS, tampered=tampered)
+
+
+def _merkle_sql() -> str:
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in (*MANIFEST_FIELDS[:-1], text)]
+        return f"sha256({' || '.join(parts)})"
+
+    bit = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END"
+    byte = f"list_reduce(range(8), lambda a, b: {bit}, xor(c, x))"
+    crc = f"""xor(4294967295::BIGINT, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''),
+        lambda d: ascii(d)::BIGINT), lambda c, x: {byte}, 4294967295::BIGINT))"""
+    tree = """{name} AS (SELECT * FROM {leaves} UNION ALL
+        SELECT tree, lvl + 1, place // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY place))
+        FROM {name} WHERE n > 1 GROUP BY tree, lvl, place // 16)"""
+    def climb(state: str, run: str) -> str:
+        rest = f"{state}.place % 16], {{}}k.hs[{state}.place % 16 + 2:]"
+        return f"""{state}.lvl + 1, {state}.place // 16, ({state}.n + 15) // 16,
+            {state}.proof || array_to_string(list_concat(k.hs[:{rest.format('')}), ''),
+            sha256(array_to_string(list_concat(k.hs[:{rest.format(f'[{state}.h], ')}), ''))
+            FROM {state} JOIN runs k ON k.tree = {run} AND k.lvl = {state}.lvl AND k.run = {state}.place // 16
+            WHERE {state}.n > 1"""
+
+    return f"""WITH RECURSIVE given AS (SELECT row_number() OVER () AS r, doc_id, source, {leaf('text')} AS leaf,
+            CASE WHEN {crc} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS other FROM documents),
+        leaves AS MATERIALIZED (SELECT r, doc_id, leaf, other,
+            dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree, 0 AS lvl,
+            row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS place,
+            count(*) OVER (PARTITION BY source) AS n FROM given),
+        start AS (SELECT tree, lvl, place, n, leaf AS h FROM leaves),
+        {tree.format(name="low", leaves="start")},
+        tops AS (SELECT -1 AS tree, 0 AS lvl, tree AS place, count(*) OVER () AS n, h FROM low WHERE n = 1),
+        {tree.format(name="high", leaves="tops")},
+        nodes AS MATERIALIZED (SELECT * FROM low UNION ALL SELECT * FROM high),
+        runs AS MATERIALIZED (SELECT tree, lvl, place // 16 AS run, list(h ORDER BY place) AS hs
+            FROM nodes WHERE n > 1 GROUP BY ALL),
+        low_way AS (SELECT r, tree, lvl, place, n, '' AS proof, coalesce(other, leaf) AS h FROM leaves
+            UNION ALL SELECT low_way.r, low_way.tree, {climb("low_way", "low_way.tree")}),
+        high_way AS (SELECT r, 0 AS lvl, tree AS place, (SELECT count(*) FROM tops) AS n, proof, h
+            FROM low_way WHERE n = 1
+            UNION ALL SELECT high_way.r, {climb("high_way", "-1")}),
+        root AS (SELECT h AS root FROM high WHERE n = 1)
+        SELECT doc_id, leaf, tops.h AS subroot, root, sha256(proof) AS proof_sha256, w.h AS folded_root,
+            w.h = root AS verified
+        FROM high_way w JOIN leaves USING (r) JOIN tops ON tops.place = leaves.tree CROSS JOIN root WHERE w.n = 1"""
+
+
 QUERIES = {query.__name__: query for query in (
     op1_licenses, op2_lm, op3_fingerprints, op4_mixing, op5_quality, op6_minhash, op7_sharding, op8_pivots, op9_idfiles,
-    op10_pieces)}
-ORACLE_SQL = {"op1_licenses": _licenses_sql(), "op6_minhash": OP6_SQL, "op8_pivots": OP8_SQL}
+    op10_pieces, op12_merkle)}
+ORACLE_SQL = {"op1_licenses": _licenses_sql(), "op6_minhash": OP6_SQL, "op8_pivots": OP8_SQL,
+              "op12_merkle": _merkle_sql()}
