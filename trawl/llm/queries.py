@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import (fingerprints, idfiles, licenses, lm, merkle, minhash, mixing, pieces, pivots, quality,
-                       sharding)
+from trawl.llm import (fingerprints, idfiles, langid, licenses, lm, merkle, minhash, mixing, pieces, pivots,
+                       quality, sharding)
 from trawl.llm.common import LOWER, UPPER, remainder, table
 
 
@@ -200,8 +200,15 @@ def _merkle_sql() -> str:
         FROM high_way w JOIN leaves USING (r) JOIN tops ON tops.place = leaves.tree CROSS JOIN root WHERE w.n = 1"""
 
 
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    found = langid.predict(docs, langid.fit(docs.where(~held_out)), ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "code_bits")
+
+
 QUERIES = {query.__name__: query for query in (
     op1_licenses, op2_lm, op3_fingerprints, op4_mixing, op5_quality, op6_minhash, op7_sharding, op8_pivots, op9_idfiles,
-    op10_pieces, op12_merkle)}
+    op10_pieces, op12_merkle, op13_langid)}
 ORACLE_SQL = {"op1_licenses": _licenses_sql(), "op6_minhash": OP6_SQL, "op8_pivots": OP8_SQL,
               "op12_merkle": _merkle_sql()}
