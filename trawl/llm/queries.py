@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import (fingerprints, idfiles, langid, licenses, lm, merkle, minhash, mixing, pieces, pivots,
-                       quality, sharding)
+from trawl.llm import (fingerprints, hardneg, idfiles, langid, licenses, lm, merkle, minhash, mixing, pieces,
+                       pivots, quality, sharding)
 from trawl.llm.common import LOWER, UPPER, remainder, table
 
 
@@ -148,6 +148,27 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("pieces.piece_ids").alias("piece_ids"), F.col("pieces.lossless").alias("lossless"))
 
 
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """WITH fit AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id AS id,
+        list_inner_product(a.q, r.q)::BIGINT AS s FROM fit a JOIN fit r ON r.vec_id <> a.vec_id
+        WHERE a.vec_id % 50 = 0),
+    positives AS (SELECT anchor_id, id AS positive_id, s AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5)
+    SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id
+            ORDER BY s DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, s AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score
+    QUALIFY rank <= 3"""
+
 MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -209,6 +230,6 @@ def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {query.__name__: query for query in (
     op1_licenses, op2_lm, op3_fingerprints, op4_mixing, op5_quality, op6_minhash, op7_sharding, op8_pivots, op9_idfiles,
-    op10_pieces, op12_merkle, op13_langid)}
+    op10_pieces, op11_hardneg, op12_merkle, op13_langid)}
 ORACLE_SQL = {"op1_licenses": _licenses_sql(), "op6_minhash": OP6_SQL, "op8_pivots": OP8_SQL,
-              "op12_merkle": _merkle_sql()}
+              "op11_hardneg": OP11_SQL, "op12_merkle": _merkle_sql()}
