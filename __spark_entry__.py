@@ -315,7 +315,7 @@ def _path_index(spark: SparkSession, products: DataFrame) -> path_index.PathInde
 
 def _json_path_index(spark: SparkSession, sf: str) -> DataFrame:
     index = _path_index(spark, _products(spark, sf))
-    return path_index.read_entries(spark, index).where(f"not ({path_index.REGISTRY})").groupBy(
+    return path_index.read_entries(spark, index).where("path <> ''").groupBy(
         "path", "vtype", "value").agg(F.count("*").alias("n_rows"), F.sum("row_id").alias("rows"))
 
 
@@ -392,8 +392,8 @@ def _index_refresh(spark: SparkSession, sf: str) -> DataFrame:
     old = docs.where("lang <> 'de'").withColumn(
         "text", F.when(F.col("lang") == "fr", F.upper("source")).otherwise(F.col("text")))
     index = _index(spark, old)
-    term_index.refresh_term_index(docs.where("lang = 'fr'"), index, 1)
-    term_index.refresh_term_index(docs.where("lang = 'de'"), index, 2)
+    term_index.refresh_term_index(docs.where("lang = 'fr'"), index)
+    term_index.refresh_term_index(docs.where("lang = 'de'"), index)
     requests = ask.strict(spark, {"fr": "la & des", "de": "der & die", "src": "src0 | src3",
                                   "not": "!la"}, "simple")
     return match.matches(requests, match.Lookup(index))
@@ -444,10 +444,10 @@ def _updates(sf: str, spark: SparkSession, files: int):
 
 
 def _index_stream_updates(spark: SparkSession, sf: str) -> DataFrame:
-    """Two streams keep one index: all documents, then French ones with their source as text."""
+    """Two streams keep one index: all documents, then newer French ones with their source as text."""
     index = term_index.TermIndex(work_folder(spark, "terms"), "doc_id", tuple(TEXT), "simple", 16)
     first, second = _updates(sf, spark, 1), _updates(sf, spark, 1).where("lang = 'fr'").withColumn(
-        "version", -F.col("version"))
+        "version", 5 - F.col("version"))
     for stream in (first, second):
         keep_index(stream, index, work_folder(spark, "stream"), "version", availableNow=True).awaitTermination()
     return match.matches(ask.strict(spark, {"fr": "la & des", "de": "der & die", "src": "src0 | src3",
@@ -474,7 +474,7 @@ def _path_upkeep(stream: bool) -> Callable:
         else:
             arrived, kept = (status.where(test).select("o_orderkey") for test in (
                 "o_orderstatus = 'O'", "o_orderpriority <> '5-LOW'"))
-            path_index.refresh_path_index(now.join(arrived, "o_orderkey", "left_semi"), index, "new")
+            path_index.refresh_path_index(now.join(arrived, "o_orderkey", "left_semi"), index)
             path_index.sync_path_index(now.join(kept, "o_orderkey", "left_semi"), index)
         wanted = json_search.patterns(spark, {"urgent": '{"terms":{"level":"1-URGENT"}}', "old": '{"terms":{"level":"old"}}',
                                               "low": '{"terms":{"level":"5-LOW"}}',

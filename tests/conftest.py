@@ -29,4 +29,4 @@ def by_query(rows, value):
     found = {}
     for row in rows:
         found.setdefault(row["query_id"], []).append(row[value])
-    return {q: sorted(ids) for q, ids in found.items()}
+    return {q: sorted(ids, key=lambda v: (v is not None, v)) for q, ids in found.items()}

@@ -10,7 +10,7 @@ from trawl.functions import jsonb
 from trawl.operators import json_search, match
 from trawl.plans import requests as ask
 from trawl.session import drop_work, work_folder
-from trawl.sources import path_index, segments, tables, term_index
+from trawl.sources import buckets, path_index, tables, term_index
 from trawl.streaming.upkeep import keep_index
 
 TEXT = (("text", "D"),)
@@ -26,6 +26,10 @@ def _search(spark, index):
     return by_query(match.matches(requests, match.Lookup(index)).collect(), "doc_id")
 
 
+def _files(path):
+    return sorted((f"{top}/{f}", os.stat(f"{top}/{f}").st_mtime_ns) for top, _, names in os.walk(path) for f in names)
+
+
 def _index(tmp_path, name="x"):
     return term_index.TermIndex(str(tmp_path / name), "id", TEXT, "simple", 4)
 
@@ -37,9 +41,9 @@ def test_refresh_equals_full_build(spark, tmp_path):
     index = _index(tmp_path)
     term_index.build_term_index(_docs(spark, first), index)
     term_index.build_term_index(_docs(spark, [(99, "red")]), index)  # left as it is
-    term_index.refresh_term_index(_docs(spark, changed), index, 1)
-    term_index.refresh_term_index(_docs(spark, new), index, 2)
-    term_index.refresh_term_index(_docs(spark, new), index, 2)  # replayed
+    term_index.refresh_term_index(_docs(spark, changed), index)
+    term_index.refresh_term_index(_docs(spark, new), index)
+    term_index.refresh_term_index(_docs(spark, new), index)  # replayed
     now = list((dict(first) | dict(changed) | dict(new)).items())
     full, compacted = _index(tmp_path, "full"), _index(tmp_path, "compacted")
     term_index.build_term_index(_docs(spark, now), full)
@@ -52,19 +56,23 @@ def test_refresh_equals_full_build(spark, tmp_path):
     def rows(i):
         return sorted(map(tuple, term_index.read_postings(spark, i).collect()))
 
+    def counts(i):
+        return sorted(map(tuple, term_index.all_counts(spark, i).collect()))
+
+    assert counts(index) == counts(full) == counts(compacted)
     assert rows(index) == rows(full) == rows(compacted)
 
 
 def test_sync_finds_new_and_changed_rows(spark, tmp_path):
     index = _index(tmp_path)
     docs = [(n, "red" if n % 2 else "green") for n in range(10)]
-    assert term_index.sync_term_index(_docs(spark, docs), index) == 0
-    assert term_index.sync_term_index(_docs(spark, docs), index) is None
+    assert term_index.sync_term_index(_docs(spark, docs), index)
+    assert not term_index.sync_term_index(_docs(spark, docs), index)
     later = dict(docs) | {3: "blue", 50: "red green"}
-    assert term_index.sync_term_index(_docs(spark, list(later.items())), index) == 1
-    assert term_index.sync_term_index(_docs(spark, list(later.items())), index) is None
-    segment = spark.read.parquet(f"{index.path}/segment=1")
-    assert {r.doc_id for r in segment.collect()} == {3, 50}
+    assert term_index.sync_term_index(_docs(spark, list(later.items())), index)
+    written = _files(index.path)
+    assert not term_index.sync_term_index(_docs(spark, list(later.items())), index)
+    assert _files(index.path) == written
     found = _search(spark, index)
     assert found["red"] == [1, 5, 7, 9, 50] and found["phrase"] == [50]
 
@@ -80,7 +88,6 @@ def test_stream_equals_full_build(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         keep_index(stream, index, str(tmp_path / "checkpoint"), availableNow=True) \
             .awaitTermination()
-    assert segments.segments(spark, index.path) == [1, 2, 3]
     term_index.build_term_index(_docs(spark, rows), full)
     assert _search(spark, index) == _search(spark, full)
 
@@ -90,13 +97,13 @@ def test_sync_takes_out_deleted_rows(spark, tmp_path):
     docs = {n: "red green" if n % 2 else "green" for n in range(10)}
     term_index.sync_term_index(_docs(spark, list(docs.items())), index)
     left = {n: t for n, t in docs.items() if n not in (1, 2)}
-    assert term_index.sync_term_index(_docs(spark, list(left.items())), index) == 1
-    assert term_index.sync_term_index(_docs(spark, list(left.items())), index) is None
+    assert term_index.sync_term_index(_docs(spark, list(left.items())), index)
+    assert not term_index.sync_term_index(_docs(spark, list(left.items())), index)
     want = {"red": [3, 5, 7, 9], "none": [0, 4, 6, 8], "pair": [3, 5, 7, 9], "phrase": [3, 5, 7, 9]}
     assert _search(spark, index) == want
     term_index.compact_term_index(spark, index, compacted)
     assert _search(spark, compacted) == want
-    assert term_index.sync_term_index(_docs(spark, list(docs.items())), index) == 2  # back again
+    assert term_index.sync_term_index(_docs(spark, list(docs.items())), index)  # back again
     assert _search(spark, index)["red"] == [1, 3, 5, 7, 9]
 
 
@@ -104,9 +111,9 @@ def test_sync_notices_a_text_that_moves_between_fields(spark, tmp_path):
     schema = "id long, title string, body string"
     index = term_index.TermIndex(str(tmp_path / "x"), "id", (("title", "A"), ("body", "B")), "simple", 4)
     before = spark.createDataFrame([(1, "x y", None), (2, None, "")], schema)
-    assert term_index.sync_term_index(before, index) == 0
+    assert term_index.sync_term_index(before, index)
     moved = spark.createDataFrame([(1, None, "x y"), (2, "", None)], schema)
-    assert term_index.sync_term_index(moved, index) == 1
+    assert term_index.sync_term_index(moved, index)
     weights = term_index.read_postings(spark, index, "term = 'x'").collect()
     assert [(r.doc_id, r.weight) for r in weights] == [(1, "B")]
 
@@ -119,7 +126,7 @@ def test_a_key_twice_is_refused_or_ordered(spark, tmp_path):
         term_index.build_term_index(rows, index)
     term_index.build_term_index(rows, index, order="version")
     with pytest.raises(ValueError, match="not unique"):
-        term_index.refresh_term_index(rows, index, 1)
+        term_index.refresh_term_index(rows, index)
     asked = ask.strict(spark, {"r": "red", "b": "blue", "both": "red <-> new"}, "simple")
     assert by_query(match.matches(asked, match.Lookup(index)).collect(), "doc_id") == {"r": [2], "b": [1]}
     target = str(tmp_path / "t")
@@ -129,51 +136,111 @@ def test_a_key_twice_is_refused_or_ordered(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "blue new", 2), (2, "red", 1)]
 
 
-def test_two_streams_and_a_refresh_keep_their_own_segments(spark, tmp_path):
+def test_streams_keep_the_newest_version_whenever_it_comes(spark, tmp_path):
     index = _index(tmp_path)
-    for name, rows in (("a", [(1, "red", 1), (2, "red", 1)]), ("b", [(2, "red green", 1), (3, "red old", 1), (3, "blue", 2)])):
+    for name, rows in (("a", [(1, "red", 3), (2, "red", 1), (None, "red", 1)]),
+                       ("b", [(2, "red green", 1), (3, "red old", 1), (3, "blue", 2), (1, "late", 2), (1, "unknown", None)]),
+                       ("c", [(3, "late", 1), (None, "green", 2)])):
         source = str(tmp_path / name)
         spark.createDataFrame(rows, "id long, text string, version int").coalesce(1).write.parquet(source)
         stream = spark.readStream.schema("id long, text string, version int").parquet(source)
         for _ in range(2):
             keep_index(stream, index, str(tmp_path / f"checkpoint-{name}"), "version", availableNow=True) \
                 .awaitTermination()
-    assert segments.segments(spark, index.path) == [1, 2]
-    assert term_index.refresh_term_index(_docs(spark, [(4, "red")]), index, 0) == 3
-    assert term_index.refresh_term_index(_docs(spark, [(4, "red")]), index, 0) == 3  # replayed
-    assert _search(spark, index) == {"red": [1, 2, 4], "pair": [2], "phrase": [2], "none": [3]}
+    for _ in range(2):
+        term_index.refresh_term_index(_docs(spark, [(4, "red")]), index)
+    assert _search(spark, index) == {"red": [1, 2, 4], "pair": [2], "phrase": [2], "none": [None, 3]}
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+def test_versions_may_be_times(spark, tmp_path, kind):
+    index = _index(tmp_path)
+    for day, text in (("2024-05-02", "red"), ("2024-05-01", "blue"), ("2024-05-03", "green")):
+        term_index.refresh_term_index(_docs(spark, [(1, text)]).withColumn("at", F.lit(day).cast(kind)), index, "at")
+    assert {r.term for r in term_index.read_postings(spark, index).collect()} == {"", "green"}
+    with pytest.raises(ValueError, match="whole number"):
+        term_index.refresh_term_index(_docs(spark, [(1, "x")]).withColumn("at", F.lit("y")), index, "at")
+
+
+def test_null_is_a_key_like_any_other(spark, tmp_path):
+    index, rows = _index(tmp_path), [(1, "red"), (None, "green")]
+    assert term_index.sync_term_index(_docs(spark, rows), index)
+    written = _files(index.path)
+    assert not term_index.sync_term_index(_docs(spark, rows), index)
+    assert _files(index.path) == written
+    assert term_index.sync_term_index(_docs(spark, [(1, "red"), (None, "red")]), index)
+    assert _search(spark, index)["red"] == [None, 1]
+    assert term_index.sync_term_index(_docs(spark, [(1, "red")]), index)
+    assert _search(spark, index) == {"red": [1]}
+    target = str(tmp_path / "t")
+    for _ in range(3):
+        tables.load_new(_docs(spark, rows), target, "id")
+    assert spark.read.parquet(target).count() == 2
 
 
-def test_unfinished_segments_are_neither_read_nor_in_the_way(spark, tmp_path):
+def test_a_change_rewrites_only_the_key_buckets_of_its_keys(spark, tmp_path):
     index = _index(tmp_path)
+    term_index.build_term_index(_docs(spark, [(n, f"w{n % 5} red") for n in range(60)]), index)
+    before = {f for f, _ in _files(index.path) if f.endswith(".parquet")}
+    mine = spark.sql(f"select {buckets.bucket_of(['7L'], 4)}").first()[0]
+    old = {f for f in before if f"key_bucket={mine}/" in f}
+    term_index.refresh_term_index(_docs(spark, [(7, "blue")]), index)
+    after = {f for f, _ in _files(index.path) if f.endswith(".parquet")}
+    assert old and before - after == old
+    assert not os.path.exists(index.layout.staged)
+
+
+class _Died(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", range(1, 5))
+def test_a_writer_may_die_at_any_step(spark, tmp_path, monkeypatch, step):
+    """Before or after each write of a change, or halfway through replacing the folders."""
+    index, first = _index(tmp_path), [(n, "red" if n % 2 else "green w") for n in range(12)]
+    changed = [(1, "blue"), (2, "red green"), (30, "red")]
+    term_index.build_term_index(_docs(spark, first), index)
+    write, calls = buckets._write, []
+
+    def dying(rows, at, path, dynamic):
+        calls.append(path)
+        if len(calls) == step:
+            if step == 3:  # some folders were replaced
+                write(rows.where("term_bucket < 2"), at, path, dynamic)
+            raise _Died
+        write(rows, at, path, dynamic)
+
+    monkeypatch.setattr(buckets, "_write", dying)
+    if step < 4:
+        with pytest.raises(_Died):
+            term_index.refresh_term_index(_docs(spark, changed), index)
+    else:
+        term_index.refresh_term_index(_docs(spark, changed), index)
+    monkeypatch.setattr(buckets, "_write", write)
+    if step == 1:  # nothing was staged
+        assert _search(spark, index)["red"] == [1, 3, 5, 7, 9, 11]
+        term_index.refresh_term_index(_docs(spark, changed), index)
+    elif step < 4:  # the next change finishes it, whatever it is
+        term_index.refresh_term_index(_docs(spark, [(0, "green w")]), index)
+    full = _index(tmp_path, "full")
+    term_index.build_term_index(_docs(spark, list((dict(first) | dict(changed)).items())), full)
+    assert _search(spark, index) == _search(spark, full)
+    assert sorted(map(tuple, term_index.all_counts(spark, index).collect())) == \
+        sorted(map(tuple, term_index.all_counts(spark, full).collect()))
+
+
+def test_an_unfinished_build_is_not_read_and_not_in_the_way(spark, tmp_path):
+    index = _index(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        term_index.read_postings(spark, index)
+    os.makedirs(f"{index.path}/key_bucket=0/term_bucket=0")  # a build that was cut off
     with pytest.raises(FileNotFoundError):
         term_index.read_postings(spark, index)
-    os.makedirs(f"{index.path}/segment=0/term_bucket=0")  # a build that was cut off
     term_index.build_term_index(_docs(spark, [(1, "red")]), index)
-    segment = term_index.refresh_term_index(_docs(spark, [(1, "blue"), (2, "red")]), index, "x")
-    os.remove(f"{index.path}/segment={segment}/_SUCCESS")  # a refresh that was cut off
-    assert _search(spark, index)["red"] == [1]
-    assert term_index.refresh_term_index(_docs(spark, [(3, "red")]), index, "y") == segment + 1
+    os.remove(f"{index.layout.counts}/_SUCCESS")  # the counts were cut off
+    term_index.refresh_term_index(_docs(spark, [(3, "red")]), index)
     assert _search(spark, index)["red"] == [1, 3]
-    assert term_index.refresh_term_index(_docs(spark, [(1, "blue"), (2, "red")]), index, "x") == segment
-    assert _search(spark, index)["red"] == [2, 3]
-
-
-def test_a_lookup_groups_only_what_it_finds(spark, tmp_path):
-    """One hit in an index that a stream keeps: the registry is cut down to the hit's key."""
-    index = _index(tmp_path)
-    rows = spark.range(20_000).selectExpr("id", "concat('w', id) as text")
-    term_index.build_term_index(rows.where("id < 10"), index)
-    term_index.refresh_term_index(rows, index, 1)
-    term_index.refresh_term_index(_docs(spark, [(5, "w7 again")]), index, 2)
-    requests = ask.plain(spark, {"q": "w7"}, "simple")
-    found = match.matches(requests, match.Lookup(index))
-    assert sorted(r.doc_id for r in found.collect()) == [5, 7]
-    nodes = found._jdf.queryExecution().executedPlan().toString()
-    assert "LeftSemi" in nodes and "BroadcastExchange" in nodes
-    registry = segments._newest(segments._table(spark, index.layout)[0], index.layout,
-                                spark.createDataFrame([(7,)], "doc_id long"))
-    assert registry.count() == 1
+    assert {r.term: r.n for r in term_index.all_counts(spark, index).collect()} == {"": 2, "red": 2}
 
 
 def test_counts_are_those_of_the_entries_asked_for(spark, tmp_path):
@@ -203,7 +270,7 @@ def test_path_index_refresh(spark, tmp_path):
 
     index = path_index.PathIndex(str(tmp_path / "p"), "id", "v", 4)
     path_index.build_path_index(rows((1, '{"a":[{"b":1,"c":2}]}'), (2, '{"a":1}'), (3, "[1]")), index)
-    path_index.refresh_path_index(rows((2, '{"z":1}'), (4, '{"a":[{"b":1},{"c":2}]}')), index, 1)
+    path_index.refresh_path_index(rows((2, '{"z":1}'), (4, '{"a":[{"b":1},{"c":2}]}')), index)
     now = rows((1, '{"a":[{"b":1,"c":2}]}'), (2, '{"z":1}'), (3, "[1]"),
                (4, '{"a":[{"b":1},{"c":2}]}'))
     requests = json_search.patterns(spark, {
@@ -225,15 +292,15 @@ def test_path_index_sync(spark, tmp_path):
 
     index = path_index.PathIndex(str(tmp_path / "p"), "id", "v", 4)
     values = {1: '{"a":1,"b":2}', 2: '{"a":1}', 3: "[1]", 4: None}
-    assert path_index.sync_path_index(rows(values), index) == 0
-    assert path_index.sync_path_index(rows(values | {1: '{"b":2, "a":1}'}), index) is None
+    assert path_index.sync_path_index(rows(values), index)
+    assert not path_index.sync_path_index(rows(values | {1: '{"b":2, "a":1}'}), index)
     later = values | {2: '{"z":1}', 5: '{"a":1}'}
-    assert path_index.sync_path_index(rows(later), index) == 1
-    assert path_index.sync_path_index(rows(later), index) is None
+    assert path_index.sync_path_index(rows(later), index)
+    assert not path_index.sync_path_index(rows(later), index)
     requests = json_search.patterns(spark, {"a": '{"a":1}', "z": '{"z":1}', "one": "1"})
     found = json_search.json_matches(requests, json_search.JsonLookup(index, rows(later)))
     assert by_query(found.collect(), "row_id") == {"a": [1, 5], "z": [2], "one": [3]}
-    assert path_index.sync_path_index(rows({k: v for k, v in later.items() if k not in (3, 5)}), index) == 2
+    assert path_index.sync_path_index(rows({k: v for k, v in later.items() if k not in (3, 5)}), index)
     found = json_search.json_matches(requests, json_search.JsonLookup(index, rows(later)))
     assert by_query(found.collect(), "row_id") == {"a": [1], "z": [2]}
 
@@ -249,8 +316,8 @@ def test_lookup_reads_its_buckets_with_a_pushed_filter(spark, tmp_path):
     term_index.build_term_index(_docs(spark, [(n, f"w{n}") for n in range(50)]), index)
     requests = ask.plain(spark, {"q": "w7"}, "simple")
     plan = _plan(match.matches(requests, match.Lookup(index)))
-    bucket = [d for d in os.listdir(f"{index.path}/segment=0") if d.startswith("term_bucket")]
-    assert len(bucket) == 4
+    folders = {d for k in range(4) for d in os.listdir(f"{index.path}/key_bucket={k}")}
+    assert len(folders) == 4
     assert "PartitionFilters: [isnotnull(term_bucket" in plan or "PartitionFilters: [(term_bucket" \
         in plan or "PartitionFilters: [term_bucket" in plan
     assert "EqualTo(term,w7)" in plan

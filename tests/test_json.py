@@ -196,13 +196,93 @@ def test_rechecks_compare_numbers_as_spark_reads_them(spark, tmp_path, monkeypat
     want = {"long": [0], "exponent": [1], "two": [1], "flat": [0]}
     for corpus in (json_search.JsonScan(df, "id", "v"), json_search.JsonLookup(index, df)):
         found = json_search.json_matches(requests, corpus)
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        assert ("ArrowEvalPython" in plan) == (compiled == 0)
+        assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
         assert by_query(found.collect(), "row_id") == want
     for q, pattern in asked.items():
         assert [r["id"] for r in df.where(jsonb.contains("v", pattern)).collect()] == want.get(q, [])
 
 
+OUTER = {
+    "flat": '{"a":1,"b":{"c":[1,2.0,"x"],"d":{}},"e":null}', "elements": '{"a":[{"n":1,"m":2},{"n":3,"k":[1,[2]]}],"z":0}',
+    "array": '["x",1,{"y":[true]},[]]', "scalar": '"x"', "empty": "{}", "deep": '{"a":[[{"n":1},{"m":2}],[5]]}'}
+INNER = ['{"a":1}', '{"b":{"c":["x",2]}}', '{"b":{"d":{}}}', '{"b":{"d":{"q":1}}}', '{"e":null,"a":1.0}', '{"a":"1"}', "{}", "[]",
+         '"x"', "1", "2", "null", '["x"]', '[{"y":[]}]', '[{"y":[true,true]},1]', '[[]]', '{"a":[]}', '{"a":[{"n":1}]}',
+         '{"a":[{"n":1,"k":[1]}]}', '{"a":[{"n":1},{"n":3,"k":[[2]]},{"n":3}],"z":0}', '{"a":[{}]}', '{"a":[[{"n":1,"m":2}]]}',
+         '{"a":[[{"n":1},{"m":2}]]}', '{"a":[[5],[{"m":2}]]}', '{"a":[[{"n":1},5]]}', '{"b":{"c":[[]]}}', '{"b":{"c":[1,1,1]}}']
+
+
+def _plain_contains(left, right):
+    if isinstance(right, dict):
+        return isinstance(left, dict) and all(k in left and _plain_contains(left[k], r) for k, r in right.items())
+    if isinstance(right, list):
+        return isinstance(left, list) and all(any(_plain_contains(x, r) for x in left) for r in right)
+    number = (int, float)
+    alike = type(left) is type(right) or all(isinstance(x, number) and not isinstance(x, bool) for x in (left, right))
+    return alike and left == right
+
+
+@pytest.mark.parametrize("compiled", [200, 0])
+def test_contained_by_in_batches_and_through_the_index(spark, tmp_path, monkeypatch, compiled):
+    monkeypatch.setattr(json_search, "COMPILED", compiled)
+    df = spark.createDataFrame(list(enumerate(INNER)) + [(99, None)], "id long, j string").selectExpr(
+        "id", "parse_json(j) as v")
+    index = path_index.PathIndex(str(tmp_path / "x"), "id", "v", 4)
+    path_index.build_path_index(df, index)
+    want = {}
+    for q, outer in OUTER.items():
+        left = json.loads(outer)
+        for i, inner in enumerate(INNER):
+            right = json.loads(inner)
+            bare = isinstance(left, list) and not isinstance(right, (dict, list))
+            if _plain_contains(left, right) or bare and any(_plain_contains(x, right) for x in left):
+                want.setdefault(q, []).append(i)
+    table = spark.createDataFrame(list(OUTER.items()), "query_id string, pattern string")
+    for asked in (OUTER, table):
+        for corpus in (json_search.JsonScan(df, "id", "v"), json_search.JsonLookup(index, df)):
+            found = json_search.json_matches(json_search.containers(spark, asked), corpus)
+            assert by_query(found.collect(), "row_id") == want
+    for q, outer in OUTER.items():
+        assert sorted(r["id"] for r in df.where(jsonb.contained_by("v", outer)).collect()) == want.get(q, [])
+
+
+def test_contained_by_reads_only_the_literals_buckets(spark, tmp_path):
+    df = spark.range(300).selectExpr("id", """parse_json(concat('{"a":', id % 50, ',"b":', id % 7, '}')) as v""")
+    index = path_index.PathIndex(str(tmp_path / "x"), "id", "v", 16)
+    path_index.build_path_index(df, index)
+    found = json_search.json_matches(json_search.containers(spark, {"q": '{"a":3,"b":3,"c":[1]}'}),
+                                     json_search.JsonLookup(index, df.where("false")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "path_bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert "LeftSemi" in plan and "parse_json" not in plan
+    assert sorted(r.row_id for r in found.collect()) == [i for i in range(300) if i % 50 == 3 and i % 7 == 3]
+
+
+def test_same_element_is_decided_by_positions(spark, tmp_path):
+    rows = ['{"a":[{"n":1,"m":[{"x":1},{"y":2}]},{"n":2,"m":[{"x":1,"y":2}]}]}', '{"a":[{"n":1,"m":[{"x":1,"y":2}]},{"n":2}]}',
+            '{"a":[[1,2],[3]],"b":[[1],[2]]}', '{"a":[[1],[2,3]]}', '{"a.b":[{"c[]":[{"d\\"e":1,"f":2}]}]}', "[]", "1"]
+    asked = {"one": '{"a":[{"n":1,"m":[{"x":1,"y":2}]}]}', "two": '{"a":[{"n":2,"m":[{"y":2,"x":1}]},{"n":1}]}',
+             "pair": '{"a":[[1,2]]}', "apart": '{"a":[[1],[3]]}', "keys": '{"a.b":[{"c[]":[{"f":2,"d\\"e":1.0}]}]}',
+             "empties": '{"a":[{"m":[{}]}]}', "repeated": '{"a":[[2],[2],[3]]}', "none": '{"a":[{"n":1,"x":1}]}'}
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, j string").selectExpr("id", "parse_json(j) as v")
+    index = path_index.PathIndex(str(tmp_path / "x"), "id", "v", 4)
+    path_index.build_path_index(df, index)
+    want = {}
+    for q, pattern in asked.items():
+        ids = [i for i, row in enumerate(rows) if _plain_contains(json.loads(row), json.loads(pattern))]
+        want |= {q: ids} if ids else {}
+    assert len(want) == 7
+    many = asked | {f"many{n}": '{"a":[{"n":%d,"m":[{"x":1}]}]}' % n for n in range(300)}
+    want |= {"many1": [0, 1], "many2": [0]}
+    table = spark.createDataFrame(list(many.items()), "query_id string, pattern string")
+    for given in (many, table):
+        for corpus in (json_search.JsonScan(df, "id", "v"), json_search.JsonLookup(index, df.where("false"))):
+            found = json_search.json_matches(json_search.patterns(spark, given), corpus)
+            assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+            got = by_query(found.collect(), "row_id")
+            want["many1"] = [i for i, r in enumerate(rows) if _plain_contains(json.loads(r), json.loads(many["many1"]))]
+            assert got == want
+
+
 def test_requests_from_tables_and_text_keys(spark, tmp_path):
     rows = [("aa1", '{"x":1,"y":2}'), ("aa2", '{"x":1}'), ("b1", '["y"]'), ("c", "null")]
     df = spark.createDataFrame(rows, "id string, j string").selectExpr("id", "parse_json(j) as v", "id as name")
@@ -216,7 +296,9 @@ def test_requests_from_tables_and_text_keys(spark, tmp_path):
         assert by_query(found.collect(), "row_id") == {1: ["aa1"], 2: ["aa1", "b1"]}
         found = json_search.json_matches(json_search.keys(spark, asked, False), corpus)
         assert by_query(found.collect(), "row_id") == {1: ["aa1", "aa2", "b1"], 2: ["aa1", "b1"]}
-    lists = json_search.name_lists(found, df, "id", "name").collect()
+    whole = json_search.name_lists(found, df, "id", "name").collect()
+    assert sorted(map(tuple, whole)) == [(1, ["aa1", "aa2", "b1"]), (2, ["aa1", "b1"])]
+    lists = json_search.name_lists(found, df, "id", "name", 1000).collect()
     assert sorted((r.query_id, r.chunk, r.names) for r in lists) == [
         (1, "aa", ["aa1", "aa2"]), (1, "b1", ["b1"]), (2, "aa", ["aa1"]), (2, "b1", ["b1"])]
 

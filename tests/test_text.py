@@ -249,3 +249,42 @@ def test_headline_without_a_hit_shows_the_first_words(spark, notes):
     matched = match.matches(requests, match.Scan(notes, "id", FIELDS))
     rows = headlines(requests, matched, notes, "id", "body", min_words=2).collect()
     assert [r["headline"] for r in rows] == ["Lamp and"]
+
+
+def test_long_and_deep_strict_requests(spark):
+    start = time.perf_counter()
+    top, items, steps, groups = ask._strict_tree(" & ".join(f"w{n}" for n in range(20_000)), "simple")
+    assert (top, len(items), len(steps), len(groups), len(groups[0])) == ("and", 20_000, 20_001, 1, 20_000)
+    top, items, steps, groups = ask._strict_tree(" | ".join(f"w{n}" for n in range(20_000)), "simple")
+    assert (top, len(items), len(steps), len(groups)) == ("or", 20_000, 20_001, 20_000)
+    nested = "(" * 1000 + "a" + ")" * 1000 + "\n&\n" + "".join(f"(b{n} | !(c{n} & " for n in range(1000)) + "d" + "))" * 1000
+    top, items, steps, _ = ask._strict_tree(nested, "simple")
+    assert (top, len(items)) == ("and", 2002) and len(steps) == 2002 + 1 + 3000
+    groups = " <-> ".join(f"(a{n} | b{n})" for n in range(30))
+    top, items, steps, _ = ask._strict_tree(groups, "simple")
+    assert (top, len(items), steps) == ("phrase", 1, [("item", 0)])
+    assert time.perf_counter() - start < 5
+    text = " ".join(f"{'ab'[n % 2]}{n}" for n in range(30))
+    docs = spark.createDataFrame([(1, text), (2, text.replace("b7 ", "a7 ")), (3, text.replace("b7 ", "c7 "))], "id long, text string")
+    requests = ask.strict(spark, {"q": groups, "r": "a0 <->\n(b1 | zz) <-> a2"}, "simple")
+    assert by_query(match.matches(requests, match.Scan(docs, "id", [("text", "D")])).collect(), "doc_id") == {
+        "q": [1, 2], "r": [1, 2, 3]}
+    with pytest.raises(ValueError, match="too many"):
+        ask._strict_tree(" <-> ".join(f"(a <-> b | c{n})" for n in range(30)), "simple")
+
+
+ALTERNATIVES = {
+    "rail <-> (bridge | bed | zzz)": [2, 4], "(night | rail) <-> (ferry | bed)": [2, 3, 4], "(rail | the) <-> bed": [2, 4],
+    "(the | of) <-> rail <-> bed": [2, 4], "(rail-bed | harbour) <-> (drainage | need)": [1, 2], "rail <-> (zzz | yyy)": [],
+    "!(rail <-> (bridge | bed)) & rail": [], "(bolts | welds) <-> (welds | rail <-> bed)": [2], "bed <-> (repair | after)": [4]}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_alternatives_inside_phrases(spark, notes, index, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr("trawl.plans.requests.SMALL_TERMS", 0)
+    requests = ask.strict(spark, {q: q for q in ALTERNATIVES})
+    assert requests.small == small
+    for corpus in (match.Scan(notes, "id", FIELDS), match.Lookup(index)):
+        found = match.matches(requests, corpus).collect()
+        assert by_query(found, "doc_id") == expected(ALTERNATIVES)

@@ -6,21 +6,23 @@ from trawl.functions.analysis import let
 from trawl.functions.jsonb import ARRAY, OBJECT, get, number_text
 
 KEY = "key"  # path and type of the entries that key tests look for
+LEAVES = "leaves"  # type of the entry, with an empty path, whose value is a row's number of leaf entries
+EMPTY = "empty"  # type of the entry of an empty container; its value is the container's kind
 
-
-USUAL_DEPTH = 8
+USUAL_DEPTH = 8  # levels that the first fold opens
 
 
 def nodes(value: str) -> str:
-    """SQL for ``array<struct<path, vtype, value, leaf>>`` of all nodes of a variant.
+    """SQL for ``array<struct<path, vtype, value, leaf, at>>`` of all nodes of a variant.
 
-    Array positions are left out of paths: ``$."tags"[]``. ``leaf`` marks scalars and empty
-    containers. Each step of the fold opens one level, so nothing is exchanged or read twice. A
-    document that is not done after ``USUAL_DEPTH`` levels is opened further with as many steps as
-    its text has characters, which no nesting exceeds.
+    Array positions are left out of paths: ``$."tags"[]``; they are in ``at``, outermost first, so path
+    and ``at`` together name a node. ``leaf`` marks scalars and empty containers. Each step of the fold
+    opens one level, so nothing is exchanged or read twice. A document that is not done after
+    ``USUAL_DEPTH`` levels is opened further with as many steps as its text has opening brackets, which
+    no nesting exceeds; steps after the last level do nothing.
     """
-    node = "array<struct<path:string,vtype:string,value:string,leaf:boolean>>"
-    opened = f"""transform(state.open, n -> named_struct('path', n.path, 'v', n.v,
+    node = "array<struct<path:string,vtype:string,value:string,leaf:boolean,at:array<int>>>"
+    opened = f"""transform(state.open, n -> named_struct('path', n.path, 'at', n.at, 'v', n.v,
         'object', {get('n.v', '$', OBJECT)}, 'array', {get('n.v', '$', ARRAY)}))"""
     kind = """case when n.object is not null then 'object' when n.array is not null then 'array'
         when stored = 'VOID' then 'null' when stored = 'BOOLEAN' then 'boolean'
@@ -30,21 +32,22 @@ def nodes(value: str) -> str:
     scalar_type = "if(n.object is null and n.array is null, schema_of_variant(n.v), '')"
     described = let("stored", scalar_type, let("kind", kind, f"""named_struct(
         'path', n.path, 'vtype', kind, 'value', coalesce({text}, ''),
-        'leaf', coalesce(cardinality(n.object), cardinality(n.array), 0) <= 0)"""))
+        'leaf', coalesce(cardinality(n.object), cardinality(n.array), 0) <= 0, 'at', n.at)"""))
     key = r"""concat('."', replace(replace(m.key, r'\', r'\\'), '"', r'\"'), '"')"""
     children = f"""coalesce(
         transform(map_entries(n.object), m ->
-            named_struct('path', concat(n.path, {key}), 'v', m.value)),
-        transform(n.array, x -> named_struct('path', concat(n.path, '[]'), 'v', x)),
-        cast(array() as array<struct<path:string,v:variant>>))"""
+            named_struct('path', concat(n.path, {key}), 'at', n.at, 'v', m.value)),
+        transform(n.array, (x, i) -> named_struct('path', concat(n.path, '[]'), 'at', array_append(n.at, i), 'v', x)),
+        cast(array() as array<struct<path:string,at:array<int>,v:variant>>))"""
     level = let("ns", opened, f"""named_struct(
         'seen', concat(state.seen, transform(ns, n -> {described})),
         'open', flatten(transform(ns, n -> {children})))""")
     fold = f"(state, step) -> if(size(state.open) = 0, state, {level})"
     first = f"""aggregate(sequence(1, {USUAL_DEPTH}),
         named_struct('seen', cast(array() as {node}),
-                     'open', array(named_struct('path', '$', 'v', {value}))), {fold})"""
-    rest = f"aggregate(sequence(1, length(to_json({value}))), begun, {fold}, state -> state.seen)"
+                     'open', array(named_struct('path', '$', 'at', cast(array() as array<int>), 'v', {value}))), {fold})"""
+    brackets = f"greatest(1, regexp_count(to_json({value}), r'[\\[{{]'))"
+    rest = f"aggregate(sequence(1, {brackets}), begun, {fold}, state -> state.seen)"
     return f"""if({value} is null, cast(array() as {node}),
         {let("begun", first, f"if(size(begun.open) = 0, begun.seen, {rest})")})"""
 
@@ -61,10 +64,33 @@ def keys(value: str) -> str:
 
 
 def entries(value: str) -> str:
-    """SQL for ``array<struct<path, vtype, value>>`` of nodes and keys, with repetitions."""
-    return f"""concat(
-        transform({nodes(value)}, n -> struct(n.path, n.vtype, n.value)),
-        transform({keys(value)}, k -> named_struct('path', '{KEY}', 'vtype', '{KEY}', 'value', k)))"""
+    """SQL for ``array<struct<path, vtype, value, at>>`` of nodes and keys, with repetitions.
+
+    An empty container has a second entry of type ``EMPTY``, and one entry of type ``LEAVES`` tells how many
+    different leaf entries (scalars and those) there are.
+    """
+    empty = f"named_struct('path', n.path, 'vtype', '{EMPTY}', 'value', n.vtype, 'at', n.at)"
+    own = "struct(n.path, n.vtype, n.value, n.at)"
+    alike = "size(array_distinct(transform(leaves, e -> struct(e.path, e.vtype, e.value))))"
+    count = f"named_struct('path', '', 'vtype', '{LEAVES}', 'value', cast({alike} as string), 'at', cast(array() as array<int>))"
+    leaf = f"if(n.vtype in ('object', 'array'), {empty}, {own})"
+    leaves = let("leaves", f"transform(filter(ns, n -> n.leaf), n -> {leaf})", f"""concat(
+        transform(ns, n -> {own}), filter(leaves, e -> e.vtype = '{EMPTY}'), if(size(ns) > 0, array({count}),
+        cast(array() as array<struct<path:string,vtype:string,value:string,at:array<int>>>)))""")
+    return f"""concat({let("ns", nodes(value), leaves)},
+        transform({keys(value)}, k -> named_struct('path', '{KEY}', 'vtype', '{KEY}', 'value', k,
+            'at', cast(array() as array<int>))))"""
+
+
+def within_entries(value: str) -> str:
+    """SQL for ``array<struct<path, vtype, value>>``: the leaf entries that a variant which is contained
+    in this one may have."""
+    may = f"""if(n.vtype in ('object', 'array'), named_struct('path', n.path, 'vtype', '{EMPTY}', 'value', n.vtype),
+        struct(n.path, n.vtype, n.value))"""
+    # A bare scalar is also contained in a top-level array that has it as an element.
+    bare = "filter(ns, n -> n.path = '$[]' and n.vtype not in ('object', 'array'))"
+    return let("ns", nodes(value), f"""array_distinct(concat(transform(ns, n -> {may}),
+        transform({bare}, n -> named_struct('path', '$', 'vtype', n.vtype, 'value', n.value))))""")
 
 
 def entry_text(e: str) -> str:

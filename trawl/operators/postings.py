@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from trawl.functions.analysis import document_entry, grouped, with_entries
+from trawl.functions.analysis import ANY_DOCUMENT, document_entry, grouped, with_entries
 
 
 def text_tokens(df: DataFrame, key: str, text: str, config: str = "simple") -> DataFrame:
@@ -13,16 +14,22 @@ def text_tokens(df: DataFrame, key: str, text: str, config: str = "simple") -> D
             .selectExpr(f"`{key}` as doc_id", "inline(entries)").select("doc_id", "pos", "term"))
 
 
-def text_postings(df: DataFrame, key: str, fields: list[tuple[str, str]],
-                  config: str = "english", with_documents: bool = False) -> DataFrame:
+def text_postings(df: DataFrame, key: str, fields: list[tuple[str, str]], config: str = "english",
+                  with_documents: bool = False, version: str | None = None) -> DataFrame:
     """(term, doc_id, weight, positions) of weighted text fields, without a shuffle.
 
-    ``with_documents`` adds the row that stands for the document itself.
+    ``with_documents`` adds the row that stands for the document itself, and ``version`` a column with
+    the document's version in that row.
     """
     columns = [name for name, _ in fields]
-    entries = with_entries(df.select(key, *columns), fields, config)
+    given = df.select(key, *columns) if version is None else df.select(key, *columns, F.col(version).alias("_version"))
+    entries = with_entries(given, fields, config)
     rows = grouped("entries")
     if with_documents:
         rows = f"array_append({rows}, {document_entry(fields, config)})"
-    return (entries.selectExpr(f"`{key}` as doc_id", f"inline({rows})")
-            .select("term", "doc_id", "weight", "positions"))
+    if version is None:
+        return (entries.selectExpr(f"`{key}` as doc_id", f"inline({rows})")
+                .select("term", "doc_id", "weight", "positions"))
+    own = f"if(term = '{ANY_DOCUMENT}', _version, null)"
+    return (entries.selectExpr(f"`{key}` as doc_id", "_version", f"inline({rows})")
+            .selectExpr("term", "doc_id", "weight", "positions", f"{own} as version"))

@@ -5,21 +5,21 @@ A request set is one small table, one row per request::
     query_id, top_op, items array<struct<item_id, terms array<struct<offset, term>>>>,
     steps array<struct<op, n>>, groups array<array<int>>, terms array, leads array
 
+An item is a word or a phrase; terms of a phrase with the same offset are alternatives at that place.
 ``steps`` is the request's tree in postfix order: ``item`` n, ``not``, and ``and`` or ``or`` of the last
 n results. It is as long as the request; nothing is multiplied out. A document that holds a request
-has an item of one of its ``groups`` at least; item -1 stands for every document. ``leads`` has one
-term per group: the longest, which tends to be the rarest, until an index gives exact counts.
+has an item of one of its ``groups`` at least; item -1 stands for every document. ``leads`` has the terms
+of one place per group: the longest, which tends to be the rarest, until an index gives exact counts.
 Request words go through the same analysis as documents.
 """
 
 from __future__ import annotations
 
-import ast
 import re
+from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import partial
-from itertools import product
 
 import pandas as pd
 import pyarrow as pa
@@ -45,17 +45,34 @@ class Requests:
     phrases: bool
     head: pa.Table | None = None
 
+    @property
+    def alternatives(self) -> bool:
+        """Whether a phrase has alternatives at a place."""
+        return any(len({t["offset"] for t in i["terms"]}) < len(i["terms"])
+                   for row in self.head["items"].to_pylist() for i in row)
+
+    @property
+    def flat(self) -> bool:
+        """Whether every request wants all its items."""
+        return all(op == "item" or op == "and" and at == len(row) - 1 - tail or op == "or" and n == 1
+                   for row in ([(s["op"], s["n"]) for s in steps] for steps in self.head["steps"].to_pylist())
+                   for tail in [row[-1] == ("or", 1)] for at, (op, n) in enumerate(row))
+
     @property
     def small(self) -> bool:
         return self.terms is not None
 
     def led_by(self, counts: dict[str, int]) -> Requests:
-        """The same requests with the rarest term of each group as its lead."""
+        """The same requests, each group led by its place with the fewest occurrences."""
         def lead(items, group):
-            terms = {t["term"] for i in items if i["item_id"] in group for t in i["terms"]}
-            return min(terms, key=lambda t: (counts.get(t, 0), t)) if terms else ANY_DOCUMENT
-
-        leads = [sorted({lead(items, g) for g in groups}) for items, groups in
+            places: dict[tuple, list[str]] = {}
+            for i in items:
+                if i["item_id"] in group:
+                    for t in i["terms"]:
+                        places.setdefault((i["item_id"], t["offset"]), []).append(t["term"])
+            return min(places.values(), key=lambda p: (sum(counts.get(t, 0) for t in p), p)) if places else [ANY_DOCUMENT]
+
+        leads = [sorted({t for g in groups for t in lead(items, g)}) for items, groups in
                  zip(self.head["items"].to_pylist(), self.head["groups"].to_pylist())]
         return replace(self, rows=with_column(self.rows, self.head, "leads", leads),
                        leads=tuple(sorted({t for row in leads for t in row})))
@@ -95,23 +112,28 @@ def web(spark: SparkSession, requests, config: str = "english") -> Requests:
 def strict(spark: SparkSession, requests, config: str = "english") -> Requests:
     """Written with ``&``, ``|``, ``!``, ``<->`` and parentheses. ``requests``: dict or DataFrame."""
     asked = _asked(spark, requests)
+    kind = asked.schema["query_id"].dataType.simpleString()
     if isinstance(requests, DataFrame):
         ship_package(spark)
-        kind = asked.schema["query_id"].dataType.simpleString()
         trees = asked.mapInPandas(partial(_read_trees, config=config), f"query_id {kind}, {TREE}")
     else:
-        kind = asked.schema["query_id"].dataType.simpleString()
         read = [(q, *_strict_tree(text, config)) for q, text in requests.items()]
         trees = spark.createDataFrame([r for r in read if r[1]], f"query_id {kind}, {TREE}")
     trees = stored(trees, "request-trees")
-    texts = trees.selectExpr("query_id", "posexplode(texts) as (item_id, text)")
-    words = with_entries(texts, [("text", "D")], config).selectExpr(
-        "query_id", "0 as clause_id", "item_id", "explode(entries) as entry", "false as negated")
-    items = _items(words).selectExpr("query_id", f"{ITEMS} as items")
+    texts = trees.selectExpr("query_id", "posexplode(texts) as (item_id, t)")
+    item = ["query_id", "0 as clause_id", "item_id"]
+    words = with_entries(texts.selectExpr("query_id", "item_id", "t.text"), [("text", "D")], config).selectExpr(
+        *item, "explode(entries) as entry", "false as negated")
+    others = texts.selectExpr("query_id", "item_id", "inline(t.others)")
+    others = with_entries(others, [("text", "D")], config).selectExpr(
+        *item, "explode(transform(entries, e -> named_struct('term', e.term, 'weight', e.weight, 'pos', pos))) as entry",
+        "false as negated")
+    items = _items(words.unionByName(others)).selectExpr("query_id", f"{ITEMS} as items")
     return _requests(asked, items.join(trees.drop("texts"), "query_id"), config)
 
 
-TREE = "top_op string, texts array<string>, steps array<struct<op:string,n:int>>, groups array<array<int>>"
+TREE = ("top_op string, texts array<struct<text:string,others:array<struct<pos:int,text:string>>>>, "
+        "steps array<struct<op:string,n:int>>, groups array<array<int>>")
 ITEMS = "transform(parts, p -> named_struct('item_id', p.item_id, 'terms', p.terms))"
 
 
@@ -119,7 +141,7 @@ def _items(words: DataFrame) -> DataFrame:
     """(query_id, parts): each request's items in order, a request's words being few."""
     part = ["query_id", "clause_id", "item_id", "negated"]
     items = (words.repartition("query_id").groupBy(*part)
-             .agg(F.expr("sort_array(collect_list(struct(entry.pos, entry.term)))").alias("at"))
+             .agg(F.expr("sort_array(collect_set(struct(entry.pos, entry.term)))").alias("at"))
              .selectExpr(*part, """transform(at, t ->
                  named_struct('offset', t.pos - at[0].pos, 'term', t.term)) as terms"""))
     return items.groupBy("query_id").agg(F.expr(
@@ -148,12 +170,14 @@ def _in_clauses(words: DataFrame) -> DataFrame:
 
 def _requests(asked: DataFrame, rows: DataFrame, config: str) -> Requests:
     """Add each request's terms and leads, and fetch the requests where they are small."""
-    lead = f"""if(array_contains(g, {ANY_ITEM}), '{ANY_DOCUMENT}', array_max(flatten(transform(
-        filter(items, i -> array_contains(g, i.item_id)),
-        i -> transform(i.terms, t -> struct(length(t.term) as n, t.term as term))))).term)"""
+    place = """transform(array_distinct(transform(i.terms, t -> t.offset)), o -> transform(
+        filter(i.terms, t -> t.offset = o), t -> t.term))"""
+    lead = f"""if(array_contains(g, {ANY_ITEM}), array('{ANY_DOCUMENT}'), array_max(flatten(transform(
+        filter(items, i -> array_contains(g, i.item_id)), i -> transform({place}, p -> struct(
+            -size(p) as few, array_min(transform(p, t -> length(t))) as n, p as terms))))).terms)"""
     rows = rows.selectExpr(
         "query_id", "top_op", "items", "steps", "groups",
-        f"array_distinct(array_compact(transform(groups, g -> {lead}))) as leads").selectExpr(
+        f"array_distinct(flatten(array_compact(transform(groups, g -> {lead})))) as leads").selectExpr(
         "*", f"""array_distinct(concat(flatten(transform(items, i -> i.terms.term)),
             if(array_contains(leads, '{ANY_DOCUMENT}'), array('{ANY_DOCUMENT}'),
                cast(array() as array<string>)))) as terms""")
@@ -168,7 +192,30 @@ def _requests(asked: DataFrame, rows: DataFrame, config: str) -> Requests:
     return Requests(asked, table, config, tuple(sorted(terms)), tuple(sorted(leads)), phrases, head)
 
 
-# ---- the strict notation: its operators rank as Python's ~ >> & | do, so Python reads them
+# ---- the strict notation, read by operator precedence
+
+TOKEN = re.compile(r"\s+|(<->|[&|!()])|([^\s&|!()<>]+)")
+RANKS = {"|": 1, "&": 2, "<->": 3, "!": 4}
+NAMES = {"|": "or", "&": "and"}
+# A phrase may have so many forms that differ in their number of words; other alternatives are one form.
+MOST_FORMS = 4096
+
+
+@dataclass
+class _Part:
+    """What has been read so far of a request, as postfix steps; items in them are forms of phrases.
+
+    ``forms`` are the phrases that the part may stand for inside a phrase, each a list of places with
+    their alternative words, or None. ``holds`` and ``fails`` are groups of items, as in requests, of
+    documents that hold the part or do not; None stands for every document. No ``steps``: stop words.
+    """
+
+    op: str
+    steps: deque = field(default_factory=deque)
+    holds: list = field(default_factory=list)
+    fails: list = field(default_factory=list)
+    forms: list | None = None
+
 
 def _read_trees(batches: Iterator[pd.DataFrame], config: str) -> Iterator[pd.DataFrame]:
     names = ["query_id", "top_op", "texts", "steps", "groups"]
@@ -178,95 +225,179 @@ def _read_trees(batches: Iterator[pd.DataFrame], config: str) -> Iterator[pd.Dat
 
 
 def _strict_tree(text: str, config: str) -> tuple:
-    """(top_op, item texts, steps, groups) of one request; no top_op when it has no words."""
-    words: list[str] = []
-
-    def name(match):
-        words.append(match.group())
-        return f" w{len(words) - 1} "
-
-    bare = text.replace("<->", " ")
-    if "<" in bare or ">" in bare:
-        raise ValueError(f"not a valid request, only <-> joins words: {text!r}")
-    source = re.sub(r"[^\s&|!()<>]+", name, text.replace("<->", ">"))
-    source = source.replace("!", "~").replace(">", ">>").strip()
-    try:
-        node = ast.parse(source, mode="eval").body if source else None
-        tree = _tree(node, words, config) if node is not None else None
-    except (SyntaxError, RecursionError):
-        raise ValueError(f"not a valid request: {text!r}") from None
-    if tree is None:
+    """(top_op, items, steps, groups) of one request; no top_op when it has no words. An item is the
+    text of a phrase, and other words for some of its places."""
+    part = _parsed(text, config)
+    if part is None or not part.steps:
         return None, [], [], []
-    ids: dict[str, int] = {}
-    steps: list[tuple[str, int]] = []
-    _emit(tree, ids, steps)
-    top_op = "phrase" if tree[2] else "term" if tree[0] == "item" else tree[0]
-    return top_op, list(ids), steps, _groups(tree, ids, False)
+    ids: dict[tuple, int] = {}
+    steps = [("item", ids.setdefault(n, len(ids))) if op == "item" else (op, n) for op, n in part.steps]
+    groups = [[ANY_ITEM if i is None else ids[i] for i in g] for g in part.holds]
+    return part.op, [_item(form) for form in ids], steps, [sorted(set(g)) for g in groups]
+
+
+def _parsed(text: str, config: str) -> _Part | None:
+    parts: list[_Part] = []
+    waiting: list[str] = []
+    operand = True      # whether an operand has to come next
+    at = 0
+
+    def refuse():
+        raise ValueError(f"not a valid request: {text[:200]!r}")
+
+    def apply():
+        op = waiting.pop()
+        if op == "(":
+            refuse()
+        right = parts.pop()
+        parts.append(_negated(right, config) if op == "!" else _joined(op, parts.pop(), right, config))
+
+    while at < len(text):
+        found = TOKEN.match(text, at)
+        if found is None:
+            raise ValueError(f"not a valid request, only <-> joins words: {text[:200]!r}")
+        at = found.end()
+        token, word = found.groups()
+        if word is not None or token in ("!", "("):
+            if not operand:
+                refuse()
+            if word is not None:
+                parts.append(_Part("term", forms=[[[word]]]))
+                operand = False
+            else:
+                waiting.append(token)
+        elif token is not None:
+            if operand:
+                refuse()
+            if token == ")":
+                while waiting and waiting[-1] != "(":
+                    apply()
+                if not waiting:
+                    refuse()
+                waiting.pop()
+            else:
+                while waiting and waiting[-1] != "(" and RANKS[waiting[-1]] >= RANKS[token]:
+                    apply()
+                waiting.append(token)
+                operand = True
+    if not parts and not waiting:
+        return None
+    if operand:
+        refuse()
+    while waiting:
+        apply()
+    return _settled(parts[0], config)
+
+
+def _lexemes(text: str) -> list[str]:
+    """Words that analysis makes of a text: a word with hyphens and its parts are several."""
+    found = re.findall(r"[^\W_]+(?:-[^\W_]+)*", text.lower())
+    return [w for word in found for w in ([word, *word.split("-")] if "-" in word else [word])]
 
 
-def _blank(text: str, config: str) -> bool:
-    """Whether nothing of the text is left after analysis."""
-    found = re.findall(r"[^\W_]+(?:-[^\W_]+)*", text.lower())
+def _blank(word: str, config: str) -> bool:
+    """Whether nothing of a word is left after analysis."""
+    found = _lexemes(word)
     return not found or (config == "english" and all(w in STOP_WORDS for w in found))
 
 
-def _phrases(node, words: list[str]) -> list[str]:
-    """The texts a phrase operand stands for; alternatives inside a phrase multiply out."""
-    if isinstance(node, ast.Name):
-        return [words[int(node.id[1:])]]
-    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.RShift):
-        pairs = product(_phrases(node.left, words), _phrases(node.right, words))
-        return [f"{a} {b}" for a, b in pairs]
-    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
-        return _phrases(node.left, words) + _phrases(node.right, words)
-    raise ValueError("a phrase may hold words and alternatives only")
-
-
-def _tree(node, words: list[str], config: str):
-    """(``item``, text, is a phrase), (``not``, child, _), or (``and`` or ``or``, children, from a
-    phrase). None when only stop words were meant, which drop out with their operator."""
-    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Invert):
-        child = _tree(node.operand, words, config)
-        return child and ("not", child, False)
-    if isinstance(node, ast.Name) or isinstance(node, ast.BinOp) and isinstance(node.op, ast.RShift):
-        phrase = not isinstance(node, ast.Name)
-        items = [("item", t, phrase) for t in _phrases(node, words) if not _blank(t, config)]
-        return (items[0] if len(items) == 1 else ("or", items, True)) if items else None
-    if not isinstance(node, ast.BinOp) or not isinstance(node.op, (ast.BitAnd, ast.BitOr)):
-        raise SyntaxError
-    sides, kind = [], type(node.op)
-    while isinstance(node, ast.BinOp) and type(node.op) is kind:  # a & b & c is one step
-        sides.append(node.right)
-        node = node.left
-    children = [_tree(side, words, config) for side in (node, *reversed(sides))]
-    children = [c for c in children if c is not None]
-    if len(children) < 2:
-        return children[0] if children else None
-    return "and" if kind is ast.BitAnd else "or", children, False
-
-
-def _emit(tree, ids: dict[str, int], steps: list[tuple[str, int]]) -> None:
-    op, content, _ = tree
-    if op == "item":
-        steps.append(("item", ids.setdefault(content, len(ids))))
-        return
-    children = [content] if op == "not" else content
-    for child in children:
-        _emit(child, ids, steps)
-    steps.append((op, len(children)))
-
-
-def _groups(tree, ids: dict[str, int], negated: bool) -> list[list[int]]:
-    """Groups of items of which a document that holds the tree has one."""
-    op, content, _ = tree
-    if op == "item":
-        return [[ANY_ITEM if negated else ids[content]]]
-    if op == "not":
-        return _groups(content, ids, not negated)
-    sides = [_groups(child, ids, negated) for child in content]
-    if (op == "and") != negated:  # all sides hold: their single groups together are one
-        single = sorted({i for s in sides if len(s) == 1 and s != [[ANY_ITEM]] for i in s[0]})
-        return [single] if single else min(sides, key=lambda s: (s == [[ANY_ITEM]], len(s)))
-    if [[ANY_ITEM]] in sides:
-        return [[ANY_ITEM]]
-    return [g for s in sides for g in s]
+def _settled(part: _Part, config: str) -> _Part:
+    """A part whose steps are written out: those of a word or phrase are its forms, of which one holds."""
+    if part.op not in ("term", "phrase") or part.steps:
+        return part
+    forms = []
+    for form in part.forms:
+        kept = [[w for w in place if not _blank(w, config)] or place[:1] for place in form]
+        if any(not _blank(w, config) for place in kept for w in place):
+            forms.append(tuple(map(tuple, kept)))
+    forms = list(dict.fromkeys(forms))
+    part.steps.extend(("item", form) for form in forms)
+    if len(forms) > 1:
+        part.steps.append(("or", len(forms)))
+    part.holds, part.fails = [[form] for form in forms], [[None]]
+    return part
+
+
+def _negated(part: _Part, config: str) -> _Part:
+    part = _settled(part, config)
+    if part.steps:
+        part.steps.append(("not", 1))
+    return _Part("not", part.steps, part.fails, part.holds)
+
+
+def _joined(op: str, left: _Part, right: _Part, config: str) -> _Part:
+    if op == "<->":
+        if left.forms is None or right.forms is None:
+            raise ValueError("a phrase may hold words and alternatives only")
+        if len(left.forms) * len(right.forms) > MOST_FORMS:
+            raise ValueError("a phrase has too many alternatives that differ in their number of words")
+        if len(right.forms) == 1 and len(left.forms) == 1:
+            left.forms[0].extend(right.forms[0])
+            return _Part("phrase", forms=left.forms)
+        return _Part("phrase", forms=[[*a, *b] for a in left.forms for b in right.forms])
+    forms = _alternatives(left, right) if op == "|" else None
+    left, right = _settled(left, config), _settled(right, config)
+    if not left.steps or not right.steps:
+        out = left if left.steps else right
+        return _Part(out.op, out.steps, out.holds, out.fails, forms)
+    name = NAMES[op]
+    sides = 2
+    if left.op == name:  # a & b & c is one step
+        sides += left.steps.pop()[1] - 1
+    if len(left.steps) < len(right.steps):
+        right.steps.extendleft(reversed(left.steps))
+        steps = right.steps
+    else:
+        left.steps.extend(right.steps)
+        steps = left.steps
+    steps.append((name, sides))
+    both, one = (left.holds, right.holds), (left.fails, right.fails)
+    if name == "and":
+        return _Part(name, steps, _all_of(*both), _one_of(*one), forms)
+    return _Part(name, steps, _one_of(*both), _all_of(*one), forms)
+
+
+def _alternatives(left: _Part, right: _Part) -> list | None:
+    """The forms of either part; single words that stay single in analysis are one form."""
+    if left.forms is None or right.forms is None:
+        return None
+
+    def single(forms):
+        return len(forms) == 1 and len(forms[0]) == 1 and all(len(_lexemes(w)) == 1 for w in forms[0][0][-1:])
+
+    if single(left.forms) and single(right.forms):
+        mine, other = left.forms[0][0], right.forms[0][0]
+        if left.op != "or":
+            return [[mine + other]]
+        mine.extend(other)  # its steps are written out already
+        return left.forms
+    return left.forms + right.forms
+
+
+def _all_of(left: list, right: list) -> list:
+    """Both sides hold: their single groups together are one, of which any may lead."""
+    single = [g for g in (left, right) if len(g) == 1 and g != [[None]]]
+    if len(single) == 2:
+        if len(left[0]) < len(right[0]):
+            left, right = right, left
+        left[0].extend(right[0])
+        return left
+    return single[0] if single else min(left, right, key=lambda g: (g == [[None]], len(g)))
+
+
+def _one_of(left: list, right: list) -> list:
+    if left == [[None]] or right == [[None]]:
+        return [[None]]
+    if len(left) < len(right):
+        return [*left, *right]
+    left.extend(right)
+    return left
+
+
+def _item(form: tuple) -> tuple[str, list[tuple[int, str]]]:
+    """A phrase's text, of the first word of each place, and the other words with their positions."""
+    pos, others = 1, []
+    for place in form:
+        others += [(pos, word) for word in place[1:]]
+        pos += len(_lexemes(place[0]))
+    return " ".join(place[0] for place in form), others

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from trawl.functions.analysis import text_list
 from trawl.functions.jsonb import parsed
-from trawl.sources.segments import one_per_key, path_exists
+from trawl.sources.buckets import one_per_key, path_exists
 
 ARTICLES = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("title", T.StringType()),
@@ -39,12 +39,13 @@ def load_if_empty(df: DataFrame, path: str) -> bool:
 
 
 def load_new(df: DataFrame, path: str, key: str, order: str | None = None) -> None:
-    """Append the rows whose key the target does not have. Of new rows with the same key the last
-    one by the column ``order`` is loaded; without one, such rows are refused."""
+    """Append the rows whose key the target does not have; null is a key like any other. Of new rows
+    with the same key the last one by the column ``order`` is loaded; without one, such rows are
+    refused."""
     spark = df.sparkSession
     if path_exists(spark, path):
-        df = df.join(read_table(spark, path, df.schema).select(key), key, "left_anti") \
-            .select(*df.columns)
+        known = read_table(spark, path, df.schema).select(F.col(key).alias("_known"))
+        df = df.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
     one_per_key(df, key, order).write.mode("append").parquet(path)
 
 

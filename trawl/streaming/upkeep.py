@@ -1,4 +1,4 @@
-"""Indexes kept up with an append-only or update stream, one segment per micro-batch."""
+"""Indexes kept up with an append-only or update stream."""
 
 from __future__ import annotations
 
@@ -13,17 +13,15 @@ def keep_index(stream: DataFrame, index: TermIndex | PathIndex, checkpoint: str,
                **trigger) -> StreamingQuery:
     """Start indexing a stream of rows. ``trigger``: as for ``DataStreamWriter.trigger``.
 
-    Each batch becomes a segment; a batch replayed after a failure writes the same segment again,
-    so the index holds every row once. Of a key's rows in one batch the last by the column
-    ``order`` counts, and a later batch replaces an earlier one's. A stream is known by the id in its
-    checkpoint, so other streams, refreshes and syncs of the index get segments of their own.
+    A batch that is replayed after a failure replaces the rows of its keys by the same rows. With
+    ``order``, a key's newest version by that column stays, whatever batch it came in; without one, a
+    later batch replaces an earlier one's rows. One stream at a time keeps an index.
     """
     refresh = refresh_term_index if isinstance(index, TermIndex) else refresh_path_index
 
     def add(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            writer = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
-            refresh(batch, index, batch_id, writer, order)
+            refresh(batch, index, order)
 
     return (stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
