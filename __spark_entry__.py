@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from trawl.functions import jsonb  # noqa: E402
 from trawl.functions.analysis import STOP_WORDS  # noqa: E402
 from trawl.operators import headline, json_search, match, postings, rank  # noqa: E402
+from trawl.plans import display  # noqa: E402
 from trawl.plans import requests as ask  # noqa: E402
 from trawl.session import ship_package, spread, work_folder  # noqa: E402
 from trawl.sources import path_index, tables, term_index  # noqa: E402
@@ -96,6 +97,8 @@ PHRASE = {"two": "thintion <-> ofonrereer", "common": "of <-> the", "word_twice"
           "hyphen": "by-nc"}
 NESTED = {"nested": "(worthless | pathetic) & !(ingre & the)",
           "phrase_or": "license <-> (version | agreement) | worthless <-> ingre"}
+ALTERNATIVES = {"two": "(thintion | worthless) <-> (ofonrereer | ingre | the)", "three": "of <->\n(the | and) <-> (to | ingre)",
+                "not": "license & !(under <-> (the | a))"}
 PLAIN = {"plain": "Ingre, onanshat!", "hot": "the of and to"}
 WEB = {"web": '"thintion ofonrereer" the', "exclude": "license -version -\"under the\"",
        "either": "worthless OR ingre the"}
@@ -307,6 +310,31 @@ def _json_contained_by(spark: SparkSession, sf: str) -> DataFrame:
         "terms": {"price": None, "level": "1-URGENT"}, "other": 1})).select("o_orderkey")
 
 
+def _json_contained_by_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders within one document, through the path index."""
+    orders = _priced(spark, sf)
+    index = path_index.PathIndex(work_folder(spark, "orders"), "o_orderkey", "v", 8)
+    path_index.build_path_index(orders, index)
+    outer = json_search.containers(spark, {"urgent": '{"terms":{"price":null,"level":"1-URGENT"},"other":1}'})
+    return json_search.json_matches(outer, json_search.JsonLookup(index, orders))
+
+
+def _json_contained_by_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """One document for each category found in the table, by scan and by index."""
+    products = _small_products(spark, sf)
+    kinds = _table(spark, sf, "part").select(F.col("p_type").alias("query_id")).distinct()
+    marks = F.expr("""array(named_struct('k', 'stars', 'n', 1), named_struct('k', 'stars', 'n', 3))""")
+    outer = kinds.select("query_id", F.to_json(F.struct(
+        F.col("query_id").alias("category"), F.array(*map(F.lit, WITHIN_SMALL["tags"])).alias("tags"),
+        marks.alias("marks"), F.lit(1).alias("x"))).alias("pattern"))
+    index = path_index.PathIndex(work_folder(spark, "small"), "p_partkey", "attrs", 8)
+    path_index.build_path_index(products, index)
+    asked = json_search.containers(spark, outer)
+    scanned = json_search.json_matches(asked, json_search.JsonScan(products, "p_partkey", "attrs"))
+    looked_up = json_search.json_matches(asked, json_search.JsonLookup(index, products))
+    return scanned.withColumn("by", F.lit("scan")).unionByName(looked_up.withColumn("by", F.lit("index")))
+
+
 def _path_index(spark: SparkSession, products: DataFrame) -> path_index.PathIndex:
     index = path_index.PathIndex(work_folder(spark, "paths"), "p_partkey", "attrs", 16)
     path_index.build_path_index(products, index)
@@ -367,6 +395,32 @@ def _json_names(spark: SparkSession, sf: str) -> DataFrame:
     return lists.select("query_id", "chunk", F.concat_ws(",", "names").alias("names"))
 
 
+def _json_name_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The names of each pattern's rows as one list."""
+    products = _products(spark, sf)
+    found = json_search.json_matches(json_search.patterns(spark, PATTERNS),
+                                     json_search.JsonScan(products, "p_partkey", "attrs"))
+    lists = json_search.name_lists(found, products, "p_partkey", "p_name")
+    return lists.select("query_id", F.concat_ws(",", "names").alias("names"))
+
+
+def _plan_facts(plan: DataFrame, name: str, bucket: str) -> DataFrame:
+    """Whether an index is read by its buckets, with the entry filter pushed into the files."""
+    return display.plan_scans(plan).select(
+        F.lit(name).alias("plan"), F.col("partition_filters").contains(bucket).alias("buckets_pruned"),
+        F.col("pushed_filters").rlike("(In|EqualTo)\\((term|path),").alias("entry_pushed")).where(
+        "buckets_pruned").distinct()
+
+
+def _plan_display(spark: SparkSession, sf: str) -> DataFrame:
+    """What the plans of a text and of a JSON lookup read."""
+    terms = match.matches(ask.plain(spark, {"one": "worthless"}, "simple"), match.Lookup(_index(spark, _docs(spark, sf))))
+    products = _products(spark, sf)
+    paths = json_search.json_matches(json_search.patterns(spark, {"one": '{"brand":"Brand#2"}'}),
+                                     json_search.JsonLookup(_path_index(spark, products), products))
+    return _plan_facts(terms, "terms", "term_bucket").unionByName(_plan_facts(paths, "paths", "path_bucket"))
+
+
 # ---- loading and upkeep ---------------------------------------------------------------------
 
 def _load_new(spark: SparkSession, sf: str) -> DataFrame:
@@ -454,6 +508,19 @@ def _index_stream_updates(spark: SparkSession, sf: str) -> DataFrame:
                                             "not": "!la"}, "simple"), match.Lookup(index))
 
 
+def _index_stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Old versions of all documents come late, and newer ones of the French."""
+    index = term_index.TermIndex(work_folder(spark, "terms"), "doc_id", tuple(TEXT), "simple", 16)
+    docs = _docs(spark, sf).withColumn("version", F.lit(2))
+    term_index.build_term_index(docs, index, "version")
+    schema = _table(spark, sf, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    late = stream.withColumn("version", F.when(F.col("lang") == "fr", 3).otherwise(1)).withColumn("text", F.col("source"))
+    keep_index(late, index, work_folder(spark, "stream"), "version", availableNow=True).awaitTermination()
+    return match.matches(ask.strict(spark, {"fr": "la & des", "de": "der & die", "src": "src0 | src3",
+                                            "not": "!la"}, "simple"), match.Lookup(index))
+
+
 def _path_upkeep(stream: bool) -> Callable:
     """Orders change their price, arrive and go in a path index."""
     def run(spark: SparkSession, sf: str) -> DataFrame:
@@ -517,6 +584,12 @@ def _postings_english_all(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("term", "doc_id", "weight", F.concat_ws(",", "positions").alias("positions"))
 
 
+def _positions_english(spark: SparkSession, sf: str) -> DataFrame:
+    """Where English postings of all titles and bodies are, whatever their stems."""
+    found = postings.text_postings(_articles(spark, sf), "doc_id", TITLE_BODY, "english")
+    return found.select("doc_id", "weight", F.explode("positions").alias("pos"))
+
+
 def _phrase_requests(spark: SparkSession, sf: str) -> ask.Requests:
     """Ten phrases of three words out of every document: many thousands of requests."""
     words = F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)")
@@ -643,6 +716,13 @@ def _search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "json_stored": _json_stored,
         "json_deep": _json_deep,
         "json_batch_objects": _json_batch_objects,
+        "json_contained_by_indexed": _json_contained_by_indexed,
+        "json_contained_by_batch": _json_contained_by_batch,
+        "json_name_lists": _json_name_lists,
+        "index_stream_late": _index_stream_late,
+        "text_positions_english": _positions_english,
+        "plan_display": _plan_display,
+        "search_alternatives": _search(ask.strict, ALTERNATIVES),
     }
 
 
@@ -980,6 +1060,23 @@ def _search_sql() -> dict[str, str]:
                 regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS q FROM benchmark), {WORDS}
             SELECT query_id, doc_id FROM items JOIN words ON len(q) > 2 AND list_contains(ws, q[1])
             AND (list_contains(ws, q[2]) OR NOT list_contains(ws, q[3]))""",
+        "json_contained_by_indexed": """SELECT 'urgent' AS query_id, o_orderkey AS row_id FROM orders
+            WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'""",
+        "json_contained_by_batch": f"""SELECT p_type AS query_id, p_partkey AS row_id, how AS "by"
+            FROM part, (VALUES ('scan'), ('index')) AS t(how) WHERE p_size % 5 IN (1, 3) AND len(list_filter(
+            {TAGS}, lambda t: NOT list_contains(['ring', 'red', 'small', 'blue', 'widget'], t))) = 0""",
+        "json_name_lists": f"""SELECT query_id, string_agg(p_name, ',' ORDER BY row_id) AS names
+            FROM ({JSON_BATCH}) JOIN part ON p_partkey = row_id GROUP BY ALL""",
+        "index_stream_late": f"WITH {STREAMED} " + _any_of({
+            "fr": _has_word("la", "des"), "de": _has_word("der", "die"),
+            "src": "list_has_any(ws, ['src0', 'src3'])", "not": f"NOT {_has_word('la')}"}),
+        "text_positions_english": f"WITH {ENGLISH_TOKENS} SELECT doc_id, weight, pos::INTEGER AS pos FROM tokens",
+        "plan_display": """SELECT "plan", true AS buckets_pruned, true AS entry_pushed
+            FROM (VALUES ('terms'), ('paths')) AS t("plan")""",
+        "search_alternatives": f"WITH {TOKENS} " + _any_of({
+            "two": " OR ".join(_has_phrase(a, b) for a in ("thintion", "worthless") for b in ("ofonrereer", "ingre", "the")),
+            "three": " OR ".join(_has_phrase("of", a, b) for a in ("the", "and") for b in ("to", "ingre")),
+            "not": f"{_has_word('license')} AND NOT ({_has_phrase('under', 'the')} OR {_has_phrase('under', 'a')})"}),
         "json_keys_table": """SELECT b AS query_id, p_partkey AS row_id FROM part, (SELECT DISTINCT p_brand AS b
             FROM part) WHERE length(b) > 7 AND p_size % 3 = 0""",
     }

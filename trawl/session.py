@@ -91,13 +91,14 @@ def with_column(df: DataFrame, head: pa.Table, name: str, values: list) -> DataF
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table's rows out to all cores, for a file that Spark reads in fewer splits.
+    """Deal a table's rows out to all cores, for files that Spark reads in few splits.
 
-    Row-wise text work is CPU bound, and a file with one row group is one task however long its
-    texts are. The operators never move texts by themselves; this is for their callers.
+    Row-wise text work is CPU bound, and a file with one row group is one task, however many splits
+    its bytes make. Tables of many more splits than cores are left alone. The operators never move
+    texts by themselves; this is for their callers.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() > 4 * cores else df.repartition(cores)
 
 
 def ship_package(spark: SparkSession) -> None:
