@@ -68,3 +68,42 @@ def test_few_rows_repeated_and_null_ids_and_empty_table(spark):
         slots = sorted(r["slot"] for r in found if r["shard"] == shard)
         assert slots == list(range(len(slots)))
     assert sharding.shard_rows(df.limit(0), 8).count() == 0
+
+
+def test_one_null_id_and_text_in_half_of_the_rows(spark):
+    given = [(None, "the same text", 1, "s", 2, 3)] * 2000 + [(i, f"text {i} of its own", 1, "s", 2, 3) for i in range(2000)]
+    found = sharding.shard_rows(spark.createDataFrame(given, SCHEMA).repartition(5), 8).collect()
+    assert len(found) == 4000
+    sums = [sum(r["size"] for r in found if r["shard"] == s) for s in range(8)]
+    assert max(sums) - min(sums) <= 0.01 * sum(sums) / 8 + 40
+    for s in range(8):
+        slots = sorted(r["slot"] for r in found if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_one_hot_id_is_spread_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 20)
+    given = [(7, f"text {i}", 1, "s", 2, 3) for i in range(3000)]
+    found = sharding.shard_rows(spark.createDataFrame(given, SCHEMA), 4).collect()
+    sums = [sum(r["size"] for r in found if r["shard"] == s) for s in range(4)]
+    assert max(sums) - min(sums) <= 0.01 * sum(sums) / 4 + 20
+
+
+def plain_placement(demands, shards):
+    """Largest first by bytes; the shard with the highest weighted dot product of demand and what is left."""
+    totals = [sum(d[k] for d in demands) for k in range(3)]
+    left = [[1 / shards] * 3 for _ in range(shards)]
+    out = [0] * len(demands)
+    for u in sorted(range(len(demands)), key=lambda u: (-demands[u][0] / totals[0], u)):
+        share = [demands[u][k] / totals[k] for k in range(3)]
+        dots = [sum(e * a * b for e, a, b in zip((16, 1, 1), share, row)) for row in left]
+        out[u] = max(range(shards), key=lambda s: (round(dots[s], 12), -s))
+        left[out[u]] = [a - b for a, b in zip(left[out[u]], share)]
+    return out
+
+
+def test_packing_is_that_of_a_plain_loop():
+    rng = np.random.default_rng(4)
+    for n, shards in ((40, 3), (200, 8), (5, 8)):
+        demands = rng.integers(1, 1000, (n, 3)).astype(float)
+        assert sharding.place(demands, shards).tolist() == plain_placement(demands.tolist(), shards)

@@ -7,7 +7,7 @@ these few units, largest first, on the shard whose residual capacity has the hig
 with the unit's demand. Rows are then numbered inside cells of a bounded number of rows.
 
 A group that alone is larger than a fair shard cannot be kept whole without breaking the balance;
-it is dealt by id into pieces, and only such a group is.
+its rows are dealt into pieces, and only such a group's are.
 """
 
 from __future__ import annotations
@@ -51,15 +51,16 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
     """One row per input row: (id_col, size, text_crc32, tokens, shard, slot).
 
     ``size`` is the text's UTF-8 bytes plus 1, null text counts as empty. ``slot`` numbers the rows
-    of a shard from 0 without gaps, ordered by packing unit and then by id (null ids first, equal
-    ids in no stated order). Repeated rows are rows of their own. Columns of other names are
-    ignored; an empty table gives an empty result.
+    of a shard from 0 without gaps, ordered by packing unit, in cells of a bounded number of rows, and
+    then by id (null ids first, equal ids in no stated order). Ids do not decide where rows go, so
+    null and repeated ones keep the balance. Repeated rows are rows of their own, and long texts are
+    measured where they are. Columns of other names are ignored; an empty table gives an empty result.
     """
     text = text_or_empty(text_col)
     rows = stored(docs.select(
         F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_hash"),
-        n_words(text).alias("tokens")), "shard-rows")
+        n_words(text).alias("tokens"), F.monotonically_increasing_id().alias("_row")), "shard-rows")
     group = ["_hash", "text_crc32", "size"]
     totals = rows.agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"),
                       F.count("*").alias("n")).first()
@@ -73,14 +74,14 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
     demands["shard"] = place(demands[DEMANDS].to_numpy(dtype=np.float64), shards).astype("int32")
     demands["_salts"] = np.maximum(1, np.ceil(demands["n"] / CELL_ROWS)).astype("int32")
     placed = docs.sparkSession.createDataFrame(demands[["_unit", "_piece", "shard", "_salts"]])
-    salt = F.pmod(F.xxhash64("_id", "_hash"), F.col("_salts")).cast("int")
+    salt = F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int")
     cell = ["shard", "_unit", "_piece", "_salt"]
     dealt = units.join(F.broadcast(placed), ["_unit", "_piece"]).withColumn("_salt", salt)
     before = Window.partitionBy("shard").orderBy("_unit", "_piece", "_salt").rowsBetween(
         Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*cell).agg(F.count("*").alias("_n")).withColumn(
         "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("_id")) - 1
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("_id", "_row")) - 1
     return dealt.withColumn("_at", inside).join(starts.drop("_n"), cell).select(
         F.col("_id").alias(id_col), "size", "text_crc32", "tokens", "shard",
         (F.col("_start") + F.col("_at")).cast("long").alias("slot"))
@@ -101,6 +102,6 @@ def _with_units(rows: DataFrame, group: list[str], totals, shards: int) -> DataF
     schema = "_hash long, text_crc32 long, size long, _large long, _pieces long"
     table = rows.sparkSession.createDataFrame(known, schema)
     unit = F.coalesce("_large", F.pmod("_hash", F.lit(UNITS)).cast("long"))
-    piece = F.pmod(F.xxhash64("_id"), F.coalesce("_pieces", F.lit(1).cast("long")))
+    piece = F.pmod(F.xxhash64("_row", F.lit(1)), F.coalesce("_pieces", F.lit(1).cast("long")))
     return rows.join(F.broadcast(table), group, "left").select(
         *rows.columns, unit.alias("_unit"), piece.alias("_piece"))
