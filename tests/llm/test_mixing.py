@@ -2,6 +2,7 @@ import collections
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from trawl.llm import mixing
 
@@ -83,3 +84,77 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c", None)], "doc_id long, text string, source string")
     assert mixing.mix(df, most_repeats=1).rows.count() == 3
     assert mixing.mix(df.limit(0), most_repeats=2).rows.count() == 0
+
+
+def test_many_sources_stay_a_table(spark, monkeypatch):
+    sizes = {f"s{n}": [5] * (1 + n % 4) for n in range(60)}
+    few = mixing.mix(docs(spark, sizes), most_repeats=1.5)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 10)
+    many = mixing.mix(docs(spark, sizes), most_repeats=1.5)
+    assert many.weights == {} and many.exponent == few.exponent
+    assert {r["_source"]: r["_weight"] for r in many.sources.collect()} == few.weights
+    tokens = {s: sum(n) for s, n in sizes.items()}
+    assert few.exponent == pytest.approx(mixing.exponent_for(tokens, most_repeats=1.5))
+    assert few.weights == pytest.approx(mixing.weights(tokens, few.exponent))
+
+    def placed(m):
+        return sorted((r["doc_id"], r["mix_epoch"], r["mix_place"]) for r in m.rows.collect())
+
+    assert placed(many) == placed(few)
+
+
+def test_rows_of_one_id_are_dealt_into_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 40)
+    rows = [(None, f"a{n} b c d", "s") for n in range(400)]
+    mixture = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    found = mixture.rows.collect()
+    assert sorted(r["text"] for r in found) == sorted(t for _, t, _ in rows)
+    assert len({round(r["mix_place"], 6) for r in found}) > 390
+
+
+def plain_mix(spark, rows, budgets, block_tokens, seed=7):
+    """The mixture by plain loops; only the seeded hashes are Spark's."""
+    def hashes(values, schema, *columns):
+        df = spark.createDataFrame(values, schema)
+        return [r[0] for r in df.select(F.xxhash64(*columns)).collect()]
+
+    out = []
+    for source in {s for _, _, s in rows}:
+        mine = [(i, t or "") for i, t, s in rows if s == source]
+        size = [len(t.split()) for _, t in mine]
+        total, budget = sum(size), budgets[source]
+        n_blocks = max(1, math.ceil(total / block_tokens))
+        text = hashes([(t,) for _, t in mine], "t string", "t")
+        keys = hashes([(i, h) for (i, _), h in zip(mine, text)], "i long, h long", "i", "h", F.lit(seed))
+        of = [k % n_blocks for k in keys]
+        spent, epoch = 0, 0
+        while spent < budget - 1e-9 * budget or epoch == 0:
+            order = hashes([(b, epoch) for b in range(n_blocks)], "b int, e int", "b", "e", F.lit(seed))
+            key = hashes([(i, h, epoch) for (i, _), h in zip(mine, text)], "i long, h long, e int", "i", "h", "e", F.lit(seed))
+            for b in sorted(range(n_blocks), key=lambda b: (order[b], b)):
+                inside = [k for k in range(len(mine)) if of[k] == b]
+                n = sum(size[k] for k in inside)
+                spare = 1e-9 * budget
+                if not inside or not (spent < budget - spare or n == 0 and spent <= budget + spare):
+                    continue
+                at = spent
+                for k in sorted(inside, key=lambda k: (key[k], mine[k][0], text[k])):
+                    if spent + n <= budget + spare:
+                        out.append((mine[k][0], epoch, (spent + n * (key[k] / 2**64 + 0.5)) / max(budget, 1)))
+                    elif at < budget - spare:
+                        out.append((mine[k][0], epoch, at / max(budget, 1)))
+                    at += size[k]
+                spent += n
+            epoch += 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("options", [{"most_repeats": 2.5}, {"target_entropy": 0.95, "budget": 900}, {}])
+def test_blocks_epochs_and_places_are_those_of_plain_loops(spark, monkeypatch, options):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 70)
+    rows = [(len(s) * 1000 + n, " ".join(["w"] * (n % 13)), s) for s, m in (("a", 150), ("bb", 40), ("ccc", 9)) for n in range(m)]
+    mixture = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), **options)
+    found = sorted((r["doc_id"], r["mix_epoch"], r["mix_place"]) for r in mixture.rows.collect())
+    wanted = plain_mix(spark, rows, mixture.budgets, 70)
+    assert [f[:2] for f in found] == [w[:2] for w in wanted]
+    assert [f[2] for f in found] == pytest.approx([w[2] for w in wanted])

@@ -20,22 +20,28 @@ from trawl.session import stored
 
 BLOCK_TOKENS = 1 << 18
 BISECTIONS = 60
-# Sources are a stated, small set; their table is what the driver sees.
-MOST_SOURCES = 100_000
+# The tables of so many sources are broadcast and given as dicts; larger ones stay tables.
+FEW_SOURCES = 100_000
 
 
-def weights(tokens: dict, exponent: float) -> dict:
-    """Shares to the power of ``exponent``, normalised; a source without tokens has weight 0."""
-    total = sum(tokens.values())
+def weights(tokens: dict, exponent: float, times: dict | None = None) -> dict:
+    """Shares to the power of ``exponent``, normalised; a source without tokens has weight 0.
+
+    Sources of equal size may be given once, with their number in ``times``; so in the functions below.
+    """
+    times = times or dict.fromkeys(tokens, 1)
+    total = sum(n * times[s] for s, n in tokens.items())
     raw = {s: (n / total) ** exponent if n else 0.0 for s, n in tokens.items()} if total else {}
-    whole = sum(raw.values())
+    whole = sum(x * times[s] for s, x in raw.items())
     return {s: x / whole for s, x in raw.items()} if whole else dict.fromkeys(tokens, 0.0)
 
 
-def entropy(shares: dict) -> float:
+def entropy(shares: dict, times: dict | None = None) -> float:
     """Natural-log entropy divided by its largest possible value, 0 to 1."""
-    some = [x for x in shares.values() if x > 0]
-    return -sum(x * math.log(x) for x in some) / math.log(len(some)) if len(some) > 1 else 1.0
+    times = times or dict.fromkeys(shares, 1)
+    some = [(x, times[s]) for s, x in shares.items() if x > 0]
+    n = sum(t for _, t in some)
+    return -sum(t * x * math.log(x) for x, t in some) / math.log(n) if n > 1 else 1.0
 
 
 def repeats(tokens: dict, shares: dict, budget: float | None) -> float:
@@ -50,7 +56,7 @@ def whole_budget(tokens: dict, shares: dict) -> float:
 
 
 def exponent_for(tokens: dict, target_entropy: float | None = None, most_repeats: float | None = None,
-                 budget: float | None = None) -> float:
+                 budget: float | None = None, times: dict | None = None) -> float:
     """The largest exponent with at least the target entropy, or the smallest within the limit.
 
     With both, the limit comes first. 1 keeps the sources' own shares, 0 makes all equal.
@@ -67,22 +73,24 @@ def exponent_for(tokens: dict, target_entropy: float | None = None, most_repeats
     if target_entropy is None and most_repeats is None:
         return 1.0
     if target_entropy is None:
-        return bisect(lambda x: repeats(tokens, weights(tokens, x), budget) <= most_repeats)
-    flat = 1.0 if entropy(weights(tokens, 1.0)) >= target_entropy else 1.0 - bisect(
-        lambda y: entropy(weights(tokens, 1.0 - y)) >= target_entropy)
+        return bisect(lambda x: repeats(tokens, weights(tokens, x, times), budget) <= most_repeats)
+    flat = 1.0 if entropy(weights(tokens, 1.0, times), times) >= target_entropy else 1.0 - bisect(
+        lambda y: entropy(weights(tokens, 1.0 - y, times), times) >= target_entropy)
     if most_repeats is None:
         return flat
-    return max(flat, exponent_for(tokens, most_repeats=most_repeats, budget=budget))
+    return max(flat, exponent_for(tokens, most_repeats=most_repeats, budget=budget, times=times))
 
 
 @dataclass
 class Mixture:
-    """The realised mixture: the exponent, each source's weight and budget, and the rows."""
+    """The realised mixture: the exponent, a table (_source, _total, _blocks, _weight, _budget) of all
+    sources, the rows, and the weights and budgets as dicts, empty for more than ``FEW_SOURCES``."""
 
     exponent: float
+    sources: DataFrame
+    rows: DataFrame
     weights: dict
     budgets: dict
-    rows: DataFrame
 
 
 def mix(docs: DataFrame, target_entropy: float | None = None, most_repeats: float | None = None,
@@ -98,30 +106,37 @@ def mix(docs: DataFrame, target_entropy: float | None = None, most_repeats: floa
 
     Null sources are one source of their own. Rows without words (null or empty text) cost nothing:
     they are in every epoch whose blocks they belong to, and a source of only such rows is used
-    once. Repeated rows are rows of their own. Columns named mix_* are replaced. An empty table
-    gives an empty result.
+    once. A text is counted and moved in whole, however long; one longer than a block makes its block
+    longer. Rows are dealt into blocks by id and text, so rows that share an id, or have none, are dealt
+    like others; repeated rows are rows of their own and lie in one block. Of rows in a cut block with
+    equal ids that with the smaller text hash comes first. Columns named mix_* are replaced. An empty
+    table gives an empty result.
     """
     given = quoted([c for c in docs.columns if not c.startswith("mix_")])
+    text = text_or_empty(text_col)
     rows = docs.select(F.struct(*given).alias("_row"), F.col(source_col).cast("string").alias("_s"),
-                       F.col(id_col).alias("_id"), n_words(text_or_empty(text_col)).alias("mix_tokens"))
-    found = rows.groupBy("_s").agg(F.sum("mix_tokens").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    tokens = {r["_s"]: r["n"] for r in found}
-    exponent = exponent_for(tokens, target_entropy, most_repeats, budget)
-    shares = weights(tokens, exponent)
+                       F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), n_words(text).alias("mix_tokens"))
+    found = stored(rows.groupBy(F.col("_s").alias("_source")).agg(F.sum("mix_tokens").alias("_total")), "mix-sources")
+    # Sources of one size have one weight; there are far fewer sizes than sources.
+    sizes = {r["_total"]: r["count"] for r in found.groupBy("_total").count().collect()}
+    tokens = {n: n for n in sizes}
+    exponent = exponent_for(tokens, target_entropy, most_repeats, budget, sizes)
+    shares = weights(tokens, exponent, sizes)
     total = whole_budget(tokens, shares) if budget is None else budget
-    budgets = {s: total * w for s, w in shares.items()}
-    return Mixture(exponent, shares, budgets, _realised(rows, tokens, budgets, seed))
-
-
-def _realised(rows: DataFrame, tokens: dict, budgets: dict, seed: int) -> DataFrame:
-    spark = rows.sparkSession
-    schema = "_source string, _total long, _blocks int, _budget double"
-    plan = spark.createDataFrame([(s, int(n), max(1, math.ceil(n / BLOCK_TOKENS)), float(budgets[s]))
-                                  for s, n in tokens.items()], schema)
-    blocked = rows.join(F.broadcast(plan), F.col("_s").eqNullSafe(F.col("_source"))).withColumn(
-        "_block", F.pmod(F.xxhash64("_id", F.lit(seed)), F.col("_blocks")).cast("int"))
+    plan = docs.sparkSession.createDataFrame(
+        [(int(n), max(1, math.ceil(n / BLOCK_TOKENS)), float(w), float(total * w)) for n, w in shares.items()],
+        "_total long, _blocks int, _weight double, _budget double")
+    plan = stored(found.join(F.broadcast(plan), "_total").select(
+        "_source", "_total", "_blocks", "_weight", "_budget"), "mix-plan")
+    few = sum(sizes.values()) <= FEW_SOURCES
+    listed = plan.collect() if few else []
+    return Mixture(exponent, plan, _realised(rows, F.broadcast(plan) if few else plan, seed),
+                   {r["_source"]: r["_weight"] for r in listed}, {r["_source"]: r["_budget"] for r in listed})
+
+
+def _realised(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    blocked = rows.join(plan, F.col("_s").eqNullSafe(F.col("_source"))).withColumn(
+        "_block", F.pmod(F.xxhash64("_id", "_hash", F.lit(seed)), F.col("_blocks")).cast("int"))
     blocks = stored(blocked.groupBy("_source", "_block", "_total", "_budget").agg(
         F.sum("mix_tokens").alias("_n")), "mix-blocks")
     spare = 1e-9 * F.col("_budget")  # rounding must not ask for a row more than whole epochs
@@ -137,12 +152,12 @@ def _realised(rows: DataFrame, tokens: dict, budgets: dict, seed: int) -> DataFr
     use = turns.select("_source", "_block", "_epoch", "_start", "_n", "_budget", whole.alias("_whole"))
     placed = blocked.drop("_budget").withColumnRenamed("_source", "_from").withColumnRenamed("_block", "_in").join(
         use, (F.col("_from").eqNullSafe(F.col("_source"))) & (F.col("_in") == F.col("_block")))
-    key = F.xxhash64("_id", F.col("_epoch"), F.lit(seed))
+    key = F.xxhash64("_id", "_hash", F.col("_epoch"), F.lit(seed))
     size = F.greatest("_budget", F.lit(1.0))
     taken = placed.where("_whole").select(
         "_row.*", "mix_tokens", F.col("_epoch").alias("mix_epoch"),
         ((F.col("_start") + F.col("_n") * (key / F.lit(2.0**64) + 0.5)) / size).alias("mix_place"))
-    inside = Window.partitionBy("_from", "_in").orderBy(key, "_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_from", "_in").orderBy(key, "_id", "_hash").rowsBetween(Window.unboundedPreceding, -1)
     cut = placed.where("not _whole").withColumn(
         "_at", F.col("_start") + F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0)))
     cut = cut.where(F.col("_at") < F.col("_budget") - spare).select(
