@@ -90,11 +90,11 @@ def test_likeness_is_corrected_for_chance():
     common = rng.integers(0, 2**63, 6000, dtype=np.uint64)
     other = rng.integers(0, 2**63, 4000, dtype=np.uint64)
     hashes = np.concatenate([common, common[:4000], other])
-    mins = minhash.minima(hashes, np.array([0, 6000, 14000]))
+    mins = minhash.minima(hashes, np.array([0, 6000, 14000]), 125)
     signature = minhash.packed(mins).view(np.uint64)
     bits = signature[0] ^ signature[1]
     lanes = (bits | bits >> np.uint64(1)) & np.uint64(0x5555555555555555)
-    same = 1 - np.bitwise_count(lanes).sum() / (minhash.BANDS * minhash.ROWS)
+    same = 1 - np.bitwise_count(lanes).sum() / 125
     assert (same - 0.25) / 0.75 == pytest.approx(4000 / 10000, abs=0.15)
 
 
@@ -103,3 +103,19 @@ def test_components_of_a_long_chain_and_a_star(spark):
     found = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert found == {i: 100 for i in range(100, 161)} | {i: 7 for i in (7, *range(200, 260))} | {5: 5}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bands_follow_the_threshold():
+    assert minhash.shape_for(85) == minhash.Shape(25, 5)
+    for percent in (10, 30, 50, 70, 80, 85, 90, 99, 100):
+        shape = minhash.shape_for(percent)
+        assert (1 - (percent / 100) ** shape.rows) ** shape.bands <= minhash.MISS
+        assert shape.minima <= minhash.MOST_MINIMA or shape.rows == 1
+    assert minhash.shape_for(80).minima <= 125
+
+
+def test_a_very_long_text_and_its_near_copy_are_linked(spark):
+    words = [f"w{n}" for n in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1000])), (3, " ".join(words[::-1]))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 3}

@@ -14,14 +14,17 @@
    meet all its blocks.
 5. Components follow from the confirmed links by star steps.
 
-A pair at the threshold shares no band with probability (1 - 0.85^5)^25 = 4e-7, and its signature
-is below the margin by more than six standard deviations.
+Bands follow the threshold t: as many of ``rows`` minima that a pair at the threshold shares none with
+probability (1 - t^rows)^bands = ``MISS`` at most. The signature of such a pair is below the margin by
+more than six standard deviations.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -35,52 +38,83 @@ from trawl.llm.common import maybe_wanted
 from trawl.llm.components import components
 from trawl.session import stored
 
-BANDS, ROWS = 25, 5
+MISS = 4.4e-7
+MOST_MINIMA = 128   # and more only where bands of one minimum need them
+MOST_ROWS = 5
 BITS = 2
 LANES = 32  # of two bits in a long
-WORDS_OF_SIGNATURE = -(-BANDS * ROWS // LANES)
-MARGIN = 0.23
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20  # of a list that one task decides
 HUBS = 64
-PROFILE = ("_id long, n_shingles long, node long, bands array<long>, "
-           + ", ".join(f"s{i} long" for i in range(WORDS_OF_SIGNATURE)))
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Shape:
+    """Number of bands and of minima in a band."""
+
+    bands: int
+    rows: int
+
+    @property
+    def minima(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def signature(self) -> list[str]:
+        """Names of the longs that hold the low bits of all minima."""
+        return [f"s{i}" for i in range(-(-self.minima // LANES))]
+
+    def margin(self, threshold: float) -> float:
+        """How far below the threshold the estimate from a signature may lie: six standard deviations."""
+        chance = 1 / 2**BITS
+        same = threshold + (1 - threshold) * chance
+        return 6 * math.sqrt(same * (1 - same) / self.minima) / (1 - chance)
+
+
+def shape_for(percent: int) -> Shape:
+    """The shape with the most minima in a band that misses a pair at the threshold with ``MISS`` at most."""
+    threshold = percent / 100
+    for rows in range(MOST_ROWS, 0, -1):
+        share = threshold**rows
+        bands = 1 if share >= 1 else math.ceil(math.log(MISS) / math.log1p(-share))
+        if bands * rows <= MOST_MINIMA or rows == 1:
+            return Shape(bands, rows)
+
+
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    n = BANDS * ROWS
     return (rng.integers(0, 2**31, n, dtype=np.uint32) * 2 + 1,
             rng.integers(0, 2**32, n, dtype=np.uint32))
 
 
-def minima(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """uint32 minima, one row per non-empty document and one column per permutation."""
+def minima(hashes: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
+    """n uint32 minima, one row per non-empty document and one column per permutation."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     starts = bounds[:-1][np.diff(bounds) > 0]
-    out = np.empty((len(starts), BANDS * ROWS), dtype=np.uint32)
+    out = np.empty((len(starts), n), dtype=np.uint32)
     if len(starts):
-        for i, (a, b) in enumerate(zip(*_permutations(), strict=True)):
+        for i, (a, b) in enumerate(zip(*_permutations(n), strict=True)):
             out[:, i] = np.minimum.reduceat(x * a + b, starts)
     return out
 
 
-def band_hashes(mins: np.ndarray) -> np.ndarray:
+def band_hashes(mins: np.ndarray, shape: Shape) -> np.ndarray:
     """int64 hash of each band's minima, different for each band."""
-    out = np.empty((len(mins), BANDS), dtype=np.uint64)
-    for band in range(BANDS):
+    out = np.empty((len(mins), shape.bands), dtype=np.uint64)
+    for band in range(shape.bands):
         h = np.full(len(mins), band + 1, dtype=np.uint64)
-        for i in range(ROWS):
-            h = bytewords.mixed(h * np.uint64(0x9E3779B97F4A7C55) + mins[:, band * ROWS + i])
+        for i in range(shape.rows):
+            h = bytewords.mixed(h * np.uint64(0x9E3779B97F4A7C55) + mins[:, band * shape.rows + i])
         out[:, band] = h
     return out.view(np.int64)
 
 
 def packed(mins: np.ndarray) -> np.ndarray:
     """The two low bits of each minimum, 32 to an int64."""
-    lanes = np.zeros((len(mins), WORDS_OF_SIGNATURE * LANES), dtype=np.uint64)
+    width = -(-mins.shape[1] // LANES)
+    lanes = np.zeros((len(mins), width * LANES), dtype=np.uint64)
     lanes[:, :mins.shape[1]] = mins & np.uint32(3)
     shifts = np.arange(LANES, dtype=np.uint64) * np.uint64(BITS)
-    words = lanes.reshape(len(mins), WORDS_OF_SIGNATURE, LANES) << shifts
+    words = lanes.reshape(len(mins), width, LANES) << shifts
     return np.bitwise_or.reduce(words, axis=2).view(np.int64)
 
 
@@ -98,24 +132,24 @@ def _digest(shingles: bytes) -> bytes:
     return hashlib.blake2b(shingles, digest_size=16).digest()
 
 
-def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], width: int, shape: Shape) -> Iterator[pa.RecordBatch]:
+    names = shape.signature
     for batch in batches:
         for rows, hashes, bounds in document_sets(batch.column(1), width):
             counts = np.diff(bounds)
             full = np.flatnonzero(counts)
-            mins = minima(hashes, bounds)
+            mins = minima(hashes, bounds, shape.minima)
             digests = [_digest(hashes[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            signature = np.zeros((len(counts), WORDS_OF_SIGNATURE), dtype=np.int64)
+            signature = np.zeros((len(counts), len(names)), dtype=np.int64)
             signature[full] = packed(mins)
             places = np.zeros(len(counts) + 1, dtype=np.int32)
-            np.cumsum(np.where(counts > 0, BANDS, 0), out=places[1:])
+            np.cumsum(np.where(counts > 0, shape.bands, 0), out=places[1:])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)[rows.start:rows.stop], pa.array(counts),
                  pa.array(np.frombuffer(b"".join(d[:8] for d in digests), dtype=np.int64)),
-                 pa.ListArray.from_arrays(pa.array(places), pa.array(band_hashes(mins).ravel())),
-                 *(pa.array(signature[:, i]) for i in range(WORDS_OF_SIGNATURE))],
-                names=["_id", "n_shingles", "node", "bands",
-                       *(f"s{i}" for i in range(WORDS_OF_SIGNATURE))])
+                 pa.ListArray.from_arrays(pa.array(places), pa.array(band_hashes(mins, shape).ravel())),
+                 *(pa.array(signature[:, i]) for i in range(len(names)))],
+                names=["_id", "n_shingles", "node", "bands", *names])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -130,11 +164,11 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 class _List:
     """Classes of one list, or of blocks of it, and the components found among them so far."""
 
-    def __init__(self, rows: pa.Table) -> None:
+    def __init__(self, rows: pa.Table, shape: Shape) -> None:
+        self.shape = shape
         self.node = rows.column("node").to_numpy()
         self.size = rows.column("n_shingles").to_numpy()
-        self.signature = np.stack([rows.column(f"s{i}").to_numpy() for i in range(WORDS_OF_SIGNATURE)],
-                                  axis=1).view(np.uint64)
+        self.signature = np.stack([rows.column(s).to_numpy() for s in shape.signature], axis=1).view(np.uint64)
         sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in rows.column("shingles")]
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         self.starts = np.concatenate([[0], np.cumsum(self.size)])
@@ -146,7 +180,7 @@ class _List:
         """Estimated Jaccard similarity to every class: equal lanes, less those equal by chance."""
         bits = self.signature ^ self.signature[x]
         lanes = (bits | bits >> np.uint64(1)) & np.uint64(0x5555555555555555)
-        same, chance = 1 - np.bitwise_count(lanes).sum(axis=1) / (BANDS * ROWS), 1 / 2**BITS
+        same, chance = 1 - np.bitwise_count(lanes).sum(axis=1) / self.shape.minima, 1 / 2**BITS
         return (same - chance) / (1 - chance)
 
     def ask(self, x: int, percent: int) -> list[int]:
@@ -156,7 +190,7 @@ class _List:
         fits = (self.root != self.root[x]) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
         if not fits.any():
             return []
-        others = np.flatnonzero(fits & (self.likeness(x) >= percent / 100 - MARGIN))
+        others = np.flatnonzero(fits & (self.likeness(x) >= percent / 100 - self.shape.margin(percent / 100)))
         own = self.ids[self.starts[x]:self.starts[x + 1]]
         self.marks[own] = True
         common = np.array([np.count_nonzero(self.marks[self.ids[self.starts[y]:self.starts[y + 1]]])
@@ -183,11 +217,11 @@ class _List:
         return int(np.bincount(self.root).argmax())
 
 
-def _decided(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _decided(batches: Iterator[pa.RecordBatch], percent: int, shape: Shape) -> Iterator[pa.RecordBatch]:
     """Links (a, b) found within each list; rows come sorted by list, its classes by ``place``."""
     for _, rows in sorted_groups(batches, 3):
         if rows.num_rows > 1:
-            found = _List(rows)
+            found = _List(rows, shape)
             links = list(found.links(percent, rows.column("asking").to_numpy(zero_copy_only=False)))
             if links:
                 a, b = zip(*links, strict=True)
@@ -203,12 +237,16 @@ def near_duplicates(docs: DataFrame, percent: int, width: int, id_col: str = "do
     shingles; a shorter text is one shingle of all its words. Null, empty and blank texts have no
     shingles and are linked with nothing. ``component_id`` is the smallest id reachable, ``kept``
     marks its row (of rows with equal ids and texts, all). Rows without an id are never the smallest
-    and never kept. An empty table gives an empty result. Equal sets are known by 64 bits of their
-    digest.
+    and never kept. Whole texts are cut into shingles, however long. Of classes with equal company the
+    one with the larger hash is a bucket's centre, which changes no result. Other columns are ignored,
+    whatever their names. An empty table gives an empty result. Equal sets are known by 64 bits of
+    their digest.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    profile = stored(rows.mapInArrow(partial(_profile, width=width), PROFILE), "minhash-profiles")
-    signature = [f"s{i}" for i in range(WORDS_OF_SIGNATURE)]
+    shape = shape_for(percent)
+    signature = shape.signature
+    fields = "_id long, n_shingles long, node long, bands array<long>, " + ", ".join(f"{s} long" for s in signature)
+    profile = stored(rows.mapInArrow(partial(_profile, width=width, shape=shape), fields), "minhash-profiles")
     classes = profile.where("n_shingles > 0").groupBy("node").agg(
         F.min(F.col("_id")).alias("least"), F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in signature))
@@ -220,10 +258,10 @@ def near_duplicates(docs: DataFrame, percent: int, width: int, id_col: str = "do
                    "minhash-classes")
     lists = stored(_lists(entries, known), "minhash-lists")
     sets = stored(_whole_sets(rows, known, width), "minhash-sets")
-    links = stored(_links(_blocks(lists), known, sets, percent), "minhash-links")
+    links = stored(_links(_blocks(lists), known, sets, percent, shape), "minhash-links")
     roots = stored(components(links), "minhash-roots")
     if not lists.where("blocks > 1").isEmpty():
-        more = _links(_outsiders(lists, roots), known, sets, percent)
+        more = _links(_outsiders(lists, roots), known, sets, percent, shape)
         links = stored(roots.toDF("a", "b").union(more), "minhash-links")
         roots = stored(components(links), "minhash-roots")
     # By classes: a class of very many copies is one row here.
@@ -296,12 +334,12 @@ def _outsiders(lists: DataFrame, roots: DataFrame) -> DataFrame:
         F.max("asking").alias("asking"))
 
 
-def _links(dealt: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(dealt: DataFrame, known: DataFrame, sets: DataFrame, percent: int, shape: Shape) -> DataFrame:
     """Links found in the lists' parts (centre, x, y), each decided in one task."""
-    signature = [f"s{i}" for i in range(WORDS_OF_SIGNATURE)]
+    signature = shape.signature
     whole = dealt.join(known.select("node", "n_shingles", *signature), "node").join(sets, "node")
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = whole.select("centre", "x", "y", "node", "company", "root", "asking", "n_shingles", *signature,
                          "shingles").repartition(parts, "centre", "x", "y")
     whole = whole.sortWithinPartitions("centre", "x", "y", F.desc("company"), "node")
-    return whole.mapInArrow(partial(_decided, percent=percent), "a long, b long")
+    return whole.mapInArrow(partial(_decided, percent=percent, shape=shape), "a long, b long")
