@@ -66,3 +66,32 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert fingerprints.fingerprint_pairs(df.limit(0)).count() == 0
     one = fingerprints.fingerprint_pairs(df.where("doc_id = 2")).first()
     assert one["edited_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("hot", [None, 7, 10**6])
+def test_a_hot_id_is_dealt_over_ranges_of_their_share(spark, hot):
+    rows = [(i, f"own {i}") for i in range(2000)] + [(hot, f"hot {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, _text string").repartition(5)
+    dealt, order = fingerprints.in_ranges(df, "doc_id", ["_text"])
+    assert dealt.count() < 4000 + 30
+    sizes = [r["count"] for r in dealt.groupBy("_range").count().collect()]
+    assert max(sizes) < 2 * 4000 / 16
+    paired = dealt.withColumn("_next", F.lead("_text").over(order)).where("_guest = 0").collect()
+    after = {r["_text"]: r["_next"] for r in paired}
+    ids = {t: -1 if i is None else i for i, t in rows}
+    assert len(after) == 4000 and set(after.values()) == set(after)
+    at, seen = max(after, key=lambda t: ids[t]), set()
+    while at not in seen:  # one round through all rows, going up in ids once only
+        seen.add(at)
+        at = after[at]
+    assert len(seen) == 4000
+    assert sum(ids[b] > ids[a] for a, b in after.items()) == 1
+
+
+def test_copies_of_one_row_are_dealt_over_ranges(spark):
+    df = spark.createDataFrame([(None, "same words here")] * 3000 + [(i, f"t {i}") for i in range(500)],
+                               "doc_id long, text string").repartition(4)
+    dealt, _ = fingerprints.in_ranges(df, "doc_id", ["text"])
+    assert max(r["count"] for r in dealt.groupBy("_range").count().collect()) < 2 * 3500 / 16
+    found = fingerprints.fingerprint_pairs(df).collect()
+    assert len(found) == 3500 and all(r["edited_sha256"] for r in found)

@@ -8,10 +8,13 @@ without words (or null) has an empty sketch.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trawl.llm.common import BLANKS, text_or_empty
+from trawl.session import stored
 
 K = 256
 WIDTH = 5
@@ -88,14 +91,29 @@ def in_ranges(docs: DataFrame, id_col: str, ties: list[str], per_partition: int
     The order is by descending id; after the last row comes the first again. Ranges lie between
     quantiles of the id, which are ids themselves. A row at the upper end of a range is also sent to
     the range above, as a guest (``_guest`` = 1) that ends its list, so that no window holds more than
-    one range. Null ids come last; rows with the same id follow each other in the order of ``ties``.
-    One row alone is its own next.
+    one range. Null ids come last; rows with the same id follow each other in the order of ``ties``,
+    but those of an id that more rows share than a range should have are dealt over several ranges and
+    follow each other in no stated order. One row alone is its own next.
     """
     n = per_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.withColumn("_key", F.coalesce(F.col(id_col), F.lit(-2**63).cast("long")))
     found = keyed.agg(F.percentile_approx("_key", [i / n for i in range(1, n + 1)], 20 * n).alias("q"),
                       F.max("_key").alias("top")).first()
     ends = sorted({*(found["q"] or []), found["top"] or 0})
+    hot = {end: times for end, times in Counter(found["q"] or []).items() if times > 1}
+    if hot:
+        return _in_split_ranges(keyed, ties, ends, hot)
+    ranged, at_end = _ranged(keyed, ends)
+    own = F.struct(F.col("_range").alias("_range"), F.lit(0).alias("_guest"))
+    above = F.struct(((F.col("_range") + 1) % len(ends)).alias("_range"), F.lit(1).alias("_guest"))
+    copies = F.when(at_end, F.array(own, above)).otherwise(F.array(own))
+    dealt = ranged.withColumn("_copy", F.explode(copies)).drop("_range").select("*", "_copy.*").drop("_copy")
+    return dealt, Window.partitionBy("_range").orderBy("_guest", F.col("_key").desc(), *ties)
+
+
+def _ranged(keyed: DataFrame, ends: list[int]) -> tuple[DataFrame, Column]:
+    """The rows with ``_range``, the number of the first end that is not below their key, and whether
+    the key is that end."""
     # Two levels of boundaries keep the search per row at the square root of their number.
     width = max(1, round(len(ends) ** 0.5))
     blocks = [ends[i:i + width] for i in range(0, len(ends), width)]
@@ -104,12 +122,35 @@ def in_ranges(docs: DataFrame, id_col: str, ties: list[str], per_partition: int
     ranged = keyed.withColumn("_block", F.size(F.filter(lasts, lambda e: e < F.col("_key"))))
     at = F.size(F.filter(F.get(inner, F.col("_block")), lambda e: e < F.col("_key")))
     ranged = ranged.withColumn("_range", (F.col("_block") * width + at).cast("int"))
-    at_end = F.get(F.get(inner, F.col("_block")), at) == F.col("_key")
+    last = F.get(F.expr(_longs(ends)), F.col("_range"))
+    return ranged.drop("_block"), last == F.col("_key")
+
+
+def _in_split_ranges(keyed: DataFrame, ties: list[str], ends: list[int],
+                     hot: dict[int, int]) -> tuple[DataFrame, WindowSpec]:
+    """As ``in_ranges``, with the rows of a hot id dealt over as many ranges as quantiles fell on it.
+
+    The rows are stored first, as their numbers decide. Only the first row of a range goes to the
+    range above as a guest.
+    """
+    spark = keyed.sparkSession
+    rows = stored(keyed.withColumn("_salt", F.monotonically_increasing_id()).withColumn("_tie", F.xxhash64(*ties)), "hot-ids")
+    ranged, at_end = _ranged(rows, ends)
+    before = [sum(hot.get(e, 0) for e in ends[:i]) for i in range(len(ends))]
+    shift = F.get(F.expr(_longs(before)), F.col("_range"))
+    pieces = F.get(F.expr(_longs([hot.get(e, 0) for e in ends])), F.col("_range"))
+    piece = F.when(at_end & (pieces > 0), 1 + F.pmod(F.xxhash64("_salt"), F.greatest(pieces, F.lit(1)))).otherwise(0)
+    ranged = ranged.withColumn("_range", (F.col("_range") + shift + piece).cast("int"))
+    first = F.min(F.struct(F.bitwise_not("_key").alias("k"), "_tie", "_salt")).alias("first")
+    firsts = sorted((r["_range"], r["first"]["_salt"]) for r in ranged.groupBy("_range").agg(first).collect())
+    above = [(salt, firsts[(i + 1) % len(firsts)][0]) for i, (_, salt) in enumerate(firsts)]
+    guests = spark.createDataFrame(above, "_salt long, _above int")
     own = F.struct(F.col("_range").alias("_range"), F.lit(0).alias("_guest"))
-    above = F.struct(((F.col("_range") + 1) % len(ends)).alias("_range"), F.lit(1).alias("_guest"))
-    copies = F.when(at_end, F.array(own, above)).otherwise(F.array(own))
-    dealt = ranged.withColumn("_copy", F.explode(copies)).drop("_range", "_block").select("*", "_copy.*").drop("_copy")
-    return dealt, Window.partitionBy("_range").orderBy("_guest", F.col("_key").desc(), *ties)
+    guest = F.struct(F.col("_above").alias("_range"), F.lit(1).alias("_guest"))
+    copies = F.when(F.col("_above").isNotNull(), F.array(own, guest)).otherwise(F.array(own))
+    dealt = ranged.join(F.broadcast(guests), "_salt", "left").withColumn("_copy", F.explode(copies)).drop(
+        "_range", "_above").select("*", "_copy.*").drop("_copy")
+    return dealt, Window.partitionBy("_range").orderBy("_guest", F.col("_key").desc(), "_tie", "_salt")
 
 
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,8 +158,9 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or
     all) of the next document's, in descending id order, the first document following the last.
-    Null texts count as empty; see ``in_ranges`` for ties and null ids; an empty table gives an
-    empty result. Texts move through one shuffle, together with their neighbours.
+    Null texts count as empty; see ``in_ranges`` for ties and null ids; repeated rows are rows of their
+    own. Whole texts are sketched, however long. Other columns are ignored, whatever their names. An
+    empty table gives an empty result. Texts move through one shuffle, together with their neighbours.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
