@@ -17,7 +17,7 @@ from trawl.functions.analysis import STOP_WORDS  # noqa: E402
 from trawl.operators import headline, json_search, match, postings, rank  # noqa: E402
 from trawl.plans import display  # noqa: E402
 from trawl.plans import requests as ask  # noqa: E402
-from trawl.session import ship_package, spread, work_folder  # noqa: E402
+from trawl.session import ship_package, spread, stored, work_folder  # noqa: E402
 from trawl.sources import path_index, tables, term_index  # noqa: E402
 from trawl.streaming.upkeep import keep_index  # noqa: E402
 
@@ -150,6 +150,19 @@ def _matching_rows(spark: SparkSession, sf: str) -> DataFrame:
     return match.matching_rows(docs, "doc_id", found).select("doc_id", "lang", "n_chars")
 
 
+def _clustered_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Matched rows with headlines out of a table that is clustered by its key."""
+    path = work_folder(spark, "clustered")
+    docs = _docs(spark, sf)
+    tables.cluster_table(docs, path, "doc_id")
+    held = tables.read_table(spark, path, docs.schema)
+    requests = ask.web(spark, HEADLINE, "simple")
+    found = match.matches(requests, match.Lookup(_index(spark, held)))
+    shown = headline.headlines(requests, found, held, "doc_id", "text")
+    rows = match.matching_rows(held, "doc_id", found).select("doc_id", "lang", "n_chars")
+    return shown.join(rows, "doc_id").select("query_id", "doc_id", "lang", "n_chars", "headline")
+
+
 def _english_indexed(spark: SparkSession, sf: str) -> DataFrame:
     requests = ask.strict(spark, ENGLISH, "english")
     index = _index(spark, _docs(spark, sf), config="english")
@@ -565,7 +578,7 @@ def _web_ranked_indexed(spark: SparkSession, sf: str) -> DataFrame:
     articles = _articles(spark, sf)
     index = _index(spark, articles, TITLE_BODY, "english")
     requests = ask.web(spark, WEB_RANKED, "english")
-    scored = rank.ranked(requests, match.Lookup(index)).withColumn("rank", F.round("rank", 6))
+    scored = stored(rank.ranked(requests, match.Lookup(index)).withColumn("rank", F.round("rank", 6)), "scored")
     shown = headline.headlines(requests, scored, articles, "doc_id", "body")
     return scored.join(shown, ["query_id", "doc_id"]).join(articles.select("doc_id", "title"), "doc_id").select(
         "query_id", "doc_id", "title", "rank", "headline")
@@ -722,6 +735,7 @@ def _search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "index_stream_late": _index_stream_late,
         "text_positions_english": _positions_english,
         "plan_display": _plan_display,
+        "search_rows_clustered": _clustered_rows,
         "search_alternatives": _search(ask.strict, ALTERNATIVES),
     }
 
@@ -938,6 +952,8 @@ def _search_sql() -> dict[str, str]:
             SELECT query_id, count(doc_id) AS n_docs FROM asked
             LEFT JOIN words ON list_has_all(ws, terms) AND len(terms) > 0 GROUP BY query_id""",
         "search_indexed": f"WITH {TOKENS} {_any_of(WEB_SQL)}",
+        "search_rows_clustered": f"""SELECT query_id, doc_id, lang, n_chars, headline
+            FROM ({_headline_sql()}) JOIN documents USING (doc_id)""",
         "search_rows": f"""WITH {WORDS} SELECT doc_id, lang, n_chars FROM documents
             WHERE doc_id IN (SELECT doc_id FROM ({_any_of(PLAIN_SQL)}))""",
         "search_english": f"WITH {TOKENS} {_any_of(ENGLISH_SQL)}",

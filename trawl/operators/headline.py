@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.analysis import let, with_lexemes
 from trawl.plans.requests import Requests
-from trawl.session import stored
+from trawl.session import rows_of, stored
 
 WORD_AND_GAP = r"([\p{L}\p{N}]+)([^\p{L}\p{N}]*)"
 
@@ -18,12 +18,14 @@ def headlines(requests: Requests, matched: DataFrame, df: DataFrame, key: str, t
     """(query_id, doc_id, headline): the first window of ``max_words`` words that holds the
     most distinct request terms, or the first ``min_words`` words where none occurs.
 
-    Only matched documents are taken up again, and each one's words stay within its row. The
-    matches are stored first: their size then decides whether they are broadcast, instead of
-    all texts being shuffled to meet a few matches.
+    Only matched documents are taken up again, from the row groups that hold them where the table is
+    clustered by its key, and each one's words stay within its row. The matches are stored first:
+    their size then decides whether they are broadcast, instead of all texts being shuffled to meet
+    a few matches.
     """
     matched = stored(matched.select("query_id", "doc_id"), "matched")
-    docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
+    docs = rows_of(df.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")), "doc_id",
+                   matched.select("doc_id"), "headline-keys")
     rows = matched.join(docs, "doc_id")
     asked = requests.rows.selectExpr("query_id", "terms as _terms")
     rows = rows.join(F.broadcast(asked) if requests.small else asked, "query_id")

@@ -22,7 +22,7 @@ from trawl.operators.pairing import pairs
 from trawl.operators.postings import text_postings
 from trawl.operators.shared_items import decided, steps_hold
 from trawl.plans.requests import Requests
-from trawl.session import stored
+from trawl.session import rows_of, stored
 from trawl.sources.buckets import few
 from trawl.sources.term_index import TermIndex, all_counts, find_postings, read_postings, term_counts
 
@@ -161,10 +161,6 @@ def counts(requests: Requests, matched: DataFrame) -> DataFrame:
 
 
 def matching_rows(df: DataFrame, key: str, matched: DataFrame) -> DataFrame:
-    """The rows of a base table that any request matched.
-
-    The matches are stored first: their size then decides whether they are broadcast, instead
-    of the base table being shuffled to meet a few rows.
-    """
-    keys = stored(matched.select(F.col("doc_id").alias(key)).distinct(), "matched")
-    return df.join(keys, key, "left_semi")
+    """The rows of a base table that any request matched; a table clustered by its key is read where
+    they are only."""
+    return rows_of(df, key, matched.select("doc_id"), "matched")

@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
-from functools import lru_cache
+from functools import lru_cache, reduce
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A request set is fetched and sent to every executor only up to this many bytes and terms; the
 # bytes are added up by Spark before any row is fetched.
@@ -90,6 +93,45 @@ def with_column(df: DataFrame, head: pa.Table, name: str, values: list) -> DataF
     return df.sparkSession.createDataFrame(changed, df.schema)
 
 
+# Keys of wanted rows become so many ranges at most, which a table's files are pruned by.
+MOST_RANGES = 64
+
+
+def key_ranges(keys: pa.Array, most: int = MOST_RANGES) -> list[tuple]:
+    """(first, last) of at most ``most`` ranges that hold all keys: parted at the widest gaps, or, where
+    keys cannot be subtracted, into equal numbers of keys."""
+    ordered = pc.unique(keys.drop_null())
+    ordered = ordered.take(pc.sort_indices(ordered))
+    n = len(ordered)
+    if not n:
+        return []
+    if pa.types.is_integer(ordered.type):
+        values = ordered.to_numpy()
+        gaps = np.diff(values.astype(np.float64))
+        cuts = np.sort(np.argsort(-gaps, kind="stable")[:most - 1]) + 1
+    else:
+        cuts = np.unique(np.linspace(0, n, min(most, n) + 1).astype(int))[1:-1]
+    edges = [0, *cuts.tolist(), n]
+    return [(ordered[a].as_py(), ordered[b - 1].as_py()) for a, b in zip(edges[:-1], edges[1:])]
+
+
+def rows_of(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of a table whose key is among the one column of ``keys``.
+
+    Few keys are fetched and become ranges, which Spark pushes into the files: of a table that is
+    clustered by its key, only the row groups that hold them are read. The keys themselves then decide
+    by a join, which broadcasts them where they are small.
+    """
+    wanted = keys.toDF("_wanted").distinct()
+    table, head = pinned(wanted, name)
+    if head is not None and head.num_rows:
+        given = head.column(0).combine_chunks()
+        tests = [F.col(key).between(a, b) for a, b in key_ranges(given)]
+        tests += [F.col(key).isNull()] if given.null_count else []
+        df = df.where(reduce(Column.__or__, tests))
+    return df.join(table, F.col(key).eqNullSafe(F.col("_wanted")), "left_semi")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a table's rows out to all cores, for files that Spark reads in few splits.
 

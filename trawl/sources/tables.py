@@ -49,6 +49,11 @@ def load_new(df: DataFrame, path: str, key: str, order: str | None = None) -> No
     one_per_key(df, key, order).write.mode("append").parquet(path)
 
 
+def cluster_table(df: DataFrame, path: str, key: str) -> None:
+    """Write a table in the order of its key, so that rows fetched by key are read from few row groups."""
+    df.repartitionByRange(key).sortWithinPartitions(key).write.mode("errorifexists").parquet(path)
+
+
 def split_rejects(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with all required columns, and the rows that lack one."""
     missing = F.lit(False)
