@@ -150,6 +150,15 @@ def _matching_rows(spark: SparkSession, sf: str) -> DataFrame:
     return match.matching_rows(docs, "doc_id", found).select("doc_id", "lang", "n_chars")
 
 
+def _phrase_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases of frequent words, from an index that has postings of pairs of these."""
+    docs = _docs(spark, sf)
+    frequent = postings.frequent_terms(docs, "doc_id", TEXT, "simple")
+    index = term_index.TermIndex(work_folder(spark, "terms"), "doc_id", tuple(TEXT), "simple", 16, frequent=frequent)
+    term_index.build_term_index(docs, index)
+    return match.matches(ask.strict(spark, PHRASE, "simple"), match.Lookup(index))
+
+
 def _clustered_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Matched rows with headlines out of a table that is clustered by its key."""
     path = work_folder(spark, "clustered")
@@ -736,6 +745,7 @@ def _search_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "text_positions_english": _positions_english,
         "plan_display": _plan_display,
         "search_rows_clustered": _clustered_rows,
+        "search_phrase_pairs": _phrase_pairs,
         "search_alternatives": _search(ask.strict, ALTERNATIVES),
     }
 
@@ -952,6 +962,7 @@ def _search_sql() -> dict[str, str]:
             SELECT query_id, count(doc_id) AS n_docs FROM asked
             LEFT JOIN words ON list_has_all(ws, terms) AND len(terms) > 0 GROUP BY query_id""",
         "search_indexed": f"WITH {TOKENS} {_any_of(WEB_SQL)}",
+        "search_phrase_pairs": f"WITH {TOKENS} {_any_of(PHRASE_SQL)}",
         "search_rows_clustered": f"""SELECT query_id, doc_id, lang, n_chars, headline
             FROM ({_headline_sql()}) JOIN documents USING (doc_id)""",
         "search_rows": f"""WITH {WORDS} SELECT doc_id, lang, n_chars FROM documents

@@ -1,4 +1,5 @@
 import os
+import random
 import time
 from types import SimpleNamespace
 
@@ -7,7 +8,8 @@ from conftest import by_query
 from pyspark.sql import functions as F
 
 from trawl.functions import jsonb
-from trawl.operators import json_search, match
+from trawl.operators import json_search, match, rank
+from trawl.operators.postings import frequent_terms
 from trawl.plans import requests as ask
 from trawl.session import drop_work, work_folder
 from trawl.sources import buckets, path_index, tables, term_index
@@ -350,6 +352,35 @@ def test_frequent_terms_are_split_over_files_and_lookups_cut_them_down(spark, tm
     assert "LeftSemi" in _plan(match.matches(rare, match.Lookup(index)))
 
 
+def test_phrases_of_frequent_words_read_the_postings_of_pairs(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(n, " ".join(rng.choices(["of", "the", "and", "red", f"w{n % 9}"], weights=[6, 8, 4, 1, 1], k=25))) for n in range(200)]
+    docs = _docs(spark, rows)
+    frequent = frequent_terms(docs, "id", list(TEXT), "simple", share=0.5)
+    assert set(frequent) >= {"of", "the", "and"} and not any(t.startswith("w") for t in frequent)
+    frequent = ("of", "the", "and")
+    plain_index, index = _index(tmp_path), term_index.TermIndex(
+        str(tmp_path / "pairs"), "id", TEXT, "simple", 4, frequent=frequent)
+    for where in (plain_index, index):
+        term_index.build_term_index(docs, where)
+    asked = ask.strict(spark, {
+        "a": "of <-> the", "b": "of <-> the <-> and", "c": "the <-> red <-> of <-> the", "d": "red <-> of", "e": "the",
+        "f": "!(of <-> the) & red", "g": "the <-> the <-> the", "h": "of <-> (the | red) <-> and", "i": "(of <-> the) | w3"}, "simple")
+    found = [by_query(match.matches(asked, match.Lookup(i)).collect(), "doc_id") for i in (plain_index, index)]
+    assert found[0] == found[1] == by_query(match.matches(asked, match.Scan(docs, "id", list(TEXT))).collect(), "doc_id")
+    one = ask.strict(spark, {"a": "of <-> the"}, "simple")
+    plan = _plan(match.matches(one, match.Lookup(index)))
+    assert "EqualTo(term,of the)" in plan and "positions" not in plan.split("ReadSchema")[1].split("\n")[0]
+    ranked = [sorted(map(tuple, rank.ranked(one, match.Lookup(i)).collect())) for i in (plain_index, index)]
+    assert ranked[0] == ranked[1] and ranked[0]
+    term_index.refresh_term_index(_docs(spark, [(3, "and of the end"), (500, "the of")]), index)
+    later = by_query(match.matches(one, match.Lookup(index)).collect(), "doc_id")["a"]
+    assert 3 in later and 500 not in later
+    assert not term_index.sync_term_index(_docs(spark, [(n, t) for n, t in rows if n != 3] + [(3, "and of the end"), (500, "the of")]), index)
+    other = term_index.TermIndex(index.path, "id", TEXT, "simple", 4, frequent=("of",))
+    assert term_index.sync_term_index(_docs(spark, rows), other)  # read in another way
+
+
 def test_scan_matches_without_a_shuffle(spark, tmp_path):
     path = str(tmp_path / "docs")
     spark.range(60_000).selectExpr("id", "repeat(concat('red green ', uuid()), 3) as text").write.parquet(path)

@@ -94,6 +94,8 @@ def matches(requests: Requests, corpus: Scan | Lookup, detail: bool = False,
     """
     if not requests.small:
         return _many_matches(requests, corpus, detail, per_document or {})
+    if isinstance(corpus, Lookup) and corpus.index.frequent and not detail and requests.phrases:
+        requests = requests.paired(corpus.index.frequent)
     positions = detail or requests.phrases
     requests, documents = corpus.documents(requests, positions)
     documents = _with_terms(documents, per_document or {})

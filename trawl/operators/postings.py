@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.functions.analysis import ANY_DOCUMENT, document_entry, grouped, with_entries
+from trawl.functions.analysis import ANY_DOCUMENT, document_entry, grouped, text_list, with_entries
 
 
 def text_tokens(df: DataFrame, key: str, text: str, config: str = "simple") -> DataFrame:
@@ -14,19 +14,46 @@ def text_tokens(df: DataFrame, key: str, text: str, config: str = "simple") -> D
             .selectExpr(f"`{key}` as doc_id", "inline(entries)").select("doc_id", "pos", "term"))
 
 
+def read_as(config: str, frequent: tuple[str, ...]) -> str:
+    """How a document's text was read, for its digest."""
+    return " ".join([config, *frequent]) if frequent else config
+
+
+def _pairs(frequent: tuple[str, ...]) -> str:
+    """SQL for the entries of pairs of frequent words."""
+    before, known = "entries[greatest(i - 1, 0)]", text_list(frequent)
+    pair = f"""if(i > 0 and e.pos = {before}.pos + 1 and e.term in ({known}) and {before}.term in ({known}),
+        named_struct('term', concat({before}.term, ' ', e.term), 'weight', {before}.weight, 'pos', {before}.pos), null)"""
+    return f"array_compact(transform(entries, (e, i) -> {pair}))"
+
+
+def frequent_terms(df: DataFrame, key: str, fields: list[tuple[str, str]], config: str = "english",
+                   share: float = 0.1, most: int = 64) -> tuple[str, ...]:
+    """The terms that at least a share of all documents have, the most frequent first, ``most`` at most."""
+    rows = text_postings(df, key, fields, config, with_documents=True).select("term", "doc_id").distinct()
+    counts = rows.groupBy("term").agg(F.count("*").alias("n"))
+    documents = counts.where(f"term = '{ANY_DOCUMENT}'").select(F.col("n").alias("_all"))
+    found = counts.where(f"term <> '{ANY_DOCUMENT}'").join(F.broadcast(documents)).where(F.col("n") >= share * F.col("_all"))
+    return tuple(r["term"] for r in found.orderBy(F.desc("n"), "term").limit(most).collect())
+
+
 def text_postings(df: DataFrame, key: str, fields: list[tuple[str, str]], config: str = "english",
-                  with_documents: bool = False, version: str | None = None) -> DataFrame:
+                  with_documents: bool = False, version: str | None = None,
+                  frequent: tuple[str, ...] = ()) -> DataFrame:
     """(term, doc_id, weight, positions) of weighted text fields, without a shuffle.
 
     ``with_documents`` adds the row that stands for the document itself, and ``version`` a column with
-    the document's version in that row.
+    the document's version in that row. Two words after each other that are both ``frequent`` also
+    have postings together, as one term with a space, at the first one's position and weight.
     """
     columns = [name for name, _ in fields]
     given = df.select(key, *columns) if version is None else df.select(key, *columns, F.col(version).alias("_version"))
     entries = with_entries(given, fields, config)
     rows = grouped("entries")
+    if frequent:
+        rows = f"concat({rows}, {grouped(_pairs(frequent))})"
     if with_documents:
-        rows = f"array_append({rows}, {document_entry(fields, config)})"
+        rows = f"array_append({rows}, {document_entry(fields, read_as(config, frequent))})"
     if version is None:
         return (entries.selectExpr(f"`{key}` as doc_id", f"inline({rows})")
                 .select("term", "doc_id", "weight", "positions"))

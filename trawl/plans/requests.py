@@ -78,6 +78,52 @@ class Requests:
                        leads=tuple(sorted({t for row in leads for t in row})))
 
 
+    def paired(self, frequent: tuple[str, ...]) -> Requests:
+        """The same requests with two frequent words after each other in a phrase as one term.
+
+        Words inside such pairs are left out; they are covered by them. Phrases with alternatives
+        stay as they are.
+        """
+        known, items = set(frequent), []
+        for row in self.head["items"].to_pylist():
+            items.append([{"item_id": i["item_id"], "terms": _paired_terms(i["terms"], known)} for i in row])
+        terms = [sorted({t["term"] for i in row for t in i["terms"]} | ({ANY_DOCUMENT} & set(was)))
+                 for row, was in zip(items, self.head["terms"].to_pylist())]
+        places = [_longest_leads(row, groups) for row, groups in zip(items, self.head["groups"].to_pylist())]
+        head = self.head
+        for name, values in (("items", items), ("terms", terms), ("leads", places)):
+            at = head.column_names.index(name)
+            head = head.set_column(at, name, pa.array(values, head.schema.field(name).type))
+        return replace(self, rows=self.rows.sparkSession.createDataFrame(head, self.rows.schema), head=head,
+                       terms=tuple(sorted({t for row in terms for t in row})),
+                       leads=tuple(sorted({t for row in places for t in row})),
+                       phrases=any(len(i["terms"]) > 1 for row in items for i in row))
+
+
+def _paired_terms(terms: list[dict], known: set[str]) -> list[dict]:
+    at = {t["offset"]: t["term"] for t in terms}
+    if len(at) < len(terms):
+        return terms
+    pairs = {o: f"{w} {at[o + 1]}" for o, w in at.items() if w in known and at.get(o + 1) in known}
+    covered = {o for first in pairs for o in (first, first + 1)}
+    left = pairs | {o: w for o, w in at.items() if o not in covered}
+    return [{"offset": o, "term": left[o]} for o in sorted(left)]
+
+
+def _longest_leads(items: list[dict], groups: list[list[int]]) -> list[str]:
+    """The terms of one place of each group, until an index gives exact counts."""
+    leads = set()
+    for group in groups:
+        places: dict[tuple, list[str]] = {}
+        for i in items:
+            if i["item_id"] in group:
+                for t in i["terms"]:
+                    places.setdefault((i["item_id"], t["offset"]), []).append(t["term"])
+        best = max(places.values(), key=lambda p: (-len(p), min(map(len, p)), p)) if places else [ANY_DOCUMENT]
+        leads.update([ANY_DOCUMENT] if ANY_ITEM in group else best)
+    return sorted(leads)
+
+
 def _asked(spark: SparkSession, requests) -> DataFrame:
     if isinstance(requests, DataFrame):
         return requests.select("query_id", "text")

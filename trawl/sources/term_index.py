@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.functions.analysis import ANY_DOCUMENT, document_entry, text_list
-from trawl.operators.postings import text_postings
+from trawl.operators.postings import read_as, text_postings
 from trawl.session import local_table
 from trawl.sources import buckets
 
@@ -19,7 +19,8 @@ BUCKET = "term_bucket"
 @dataclass(frozen=True)
 class TermIndex:
     """Where an index is and how its text was read. Choose buckets for files of 100+ MB, and key
-    buckets so that a change touches few: it rewrites whole ones."""
+    buckets so that a change touches few: it rewrites whole ones. Phrases read the postings of pairs of
+    ``frequent`` terms in place of the long ones of both (see ``frequent_terms``)."""
 
     path: str
     key: str
@@ -28,6 +29,7 @@ class TermIndex:
     buckets: int = 64
     key_type: str = "bigint"
     key_buckets: int = 4
+    frequent: tuple[str, ...] = ()
 
     @property
     def layout(self) -> buckets.Layout:
@@ -39,7 +41,8 @@ class TermIndex:
 
 def _rows(df: DataFrame, index: TermIndex, order: str | None) -> DataFrame:
     given = df.withColumn("_version", buckets.version(df, order))
-    return text_postings(given, index.key, list(index.fields), index.config, with_documents=True, version="_version")
+    return text_postings(given, index.key, list(index.fields), index.config, with_documents=True, version="_version",
+                         frequent=index.frequent)
 
 
 def build_term_index(df: DataFrame, index: TermIndex, order: str | None = None) -> None:
@@ -73,7 +76,7 @@ def sync_term_index(df: DataFrame, index: TermIndex, order: str | None = None) -
         build_term_index(df, index, order)
         return True
     df = buckets.one_per_key(df, index.key, order)
-    digest = F.expr(f"{document_entry(list(index.fields), index.config)}.positions")
+    digest = F.expr(f"{document_entry(list(index.fields), read_as(index.config, index.frequent))}.positions")
     known = read_postings(spark, index, at.registry).select(
         F.col("doc_id").alias("_known"), F.col("positions").alias("_digest"))
     found = buckets.changes(df, index.key, digest, known)
