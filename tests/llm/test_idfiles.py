@@ -54,3 +54,22 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     found = sorted(idfiles.encoded(df, ENCODING).collect(), key=lambda r: r["start"])
     assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in found] == [(None, 0, 2), (0, 2, 1), (1, 3, 2), (1, 5, 2)]
     assert idfiles.encoded(df.limit(0), ENCODING).count() == 0
+
+
+def test_an_id_that_all_rows_share_is_written_by_several_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(None, f"text number {i}") for i in range(2000)], "doc_id long, text string")
+    path = str(tmp_path / "ids")
+    idfiles.write_ids(df, path, ENCODING)
+    sizes = [sum(len(r["doc_ids"]) for r in rows) for rows in _by_part(spark.read.parquet(path).collect()).values()]
+    assert sum(sizes) == 2000 and len(sizes) == 4 and max(sizes) < 1000
+    found = idfiles.read_documents(spark, path).collect()
+    assert len(found) == 2000
+    spans = sorted((r["start"], r["n_tokens"]) for r in found)
+    assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[0][0] == 0
+
+
+def _by_part(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["part"], []).append(r)
+    return out

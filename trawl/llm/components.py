@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Links may repeat, point either way or join a node to itself; they are read twice and should be
     a written table. Every round writes its links to the shared folder. A node's neighbours are never
-    gathered into one row or task: the smallest is an aggregate and the others are joined to it.
+    gathered into one row: the smallest is an aggregate, and the others are joined to it. A node with very
+    many neighbours is one key of that join, whose large side Spark's skew join may split.
     """
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))

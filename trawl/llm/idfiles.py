@@ -150,12 +150,15 @@ def write_ids(docs: DataFrame, path: str, encoding: Encoding, id_col: str = "doc
     """Encode all texts and write their blocks in ascending id order.
 
     Null texts count as empty and give the end id alone; null ids come first. Rows with the same
-    id follow each other by text. An empty table writes no block. Other columns are left out.
+    id follow each other by a hash of the text, and may lie in several ranges. An empty table writes no
+    block. Other columns are left out.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
-    # Ranges of ids alone: their bounds are sampled, and no text goes to the driver.
-    ordered = rows.repartitionByRange(parts, "_id").sortWithinPartitions("_id", "_text")
+    # Bounds of ranges are sampled, so that no text is part of them; an id that many rows share is split.
+    order = ["_id", "_hash", "_row"]
+    keyed = rows.withColumn("_hash", F.xxhash64("_text")).withColumn("_row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("_id", "_text")
     ordered.mapInArrow(partial(_blocks, encoding=encoding), SCHEMA).write.parquet(path)
 
 
