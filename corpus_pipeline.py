@@ -7,7 +7,10 @@
    document is used; rows come in the mixture's order, and a repeated document is repeated rows.
 4. pieces: merge-dropout piece ids of each text.
 
-Null and empty texts pass through all stages as empty texts; an empty table gives an empty result.
+Null and empty texts pass through all stages as empty texts; an empty table gives an empty result. Texts
+are read in whole, however long, and repeated rows without an id are rows of their own. Of documents in
+a group the smallest id stays; rows of the mixture with equal places come in no stated order. Other
+columns of ``documents`` are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
