@@ -53,7 +53,8 @@ def scan(docs: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame
     text (null texts count as empty; an empty text has no licence). ``known`` has a few dozen
     rows of (license, digest) with one licence per digest; it is joined by hash for whole texts and
     looked up in a map for lines, so that rows never move. Columns with the names of the result's
-    are replaced. Repeated rows stay.
+    are replaced. Repeated rows stay; an empty table gives an empty result. Texts are hashed in whole,
+    line by line and together, inside their row, however long they are.
     """
     listed = [(r["digest"], r["license"]) for r in known.distinct().collect()]
     by_digest = F.create_map(*(F.lit(x) for pair in listed for x in pair))

@@ -209,8 +209,9 @@ def score(docs: DataFrame, forest: Forest, text_col: str = "text", keep: list[st
     """All rows of ``docs`` with ``quality_score``, the probability of label 1.
 
     ``keep`` names the columns to return with it, by default all. Null and empty texts have all-zero
-    statistics and are scored by them. A column of that name is replaced. Repeated rows stay; an
-    empty table gives an empty result.
+    statistics and are scored by them. Statistics are those of whole texts, however long; equal texts
+    have equal scores. A column of that name is replaced. Repeated rows stay; an empty table gives an
+    empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(forest)
     kept = [c for c in keep or docs.columns if c != "quality_score"]
