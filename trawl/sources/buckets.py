@@ -113,13 +113,15 @@ def _placed(rows: DataFrame, at: Layout) -> DataFrame:
 
 def _write(rows: DataFrame, at: Layout, path: str, dynamic: bool) -> None:
     """Write rows to their folders, sorted by entry; ``dynamic`` replaces only folders that have rows.
+    Counts are few and have folders by key bucket only.
 
     The rebalance brings a folder's rows together to keep files few, and splits them again where a
     frequent entry makes them large, so no task or file grows with the frequency of one entry.
     """
     order = [KEY_BUCKET, at.bucket, *at.entry, *([at.key] if at.key in rows.columns else [])]
-    (rows.hint("rebalance", KEY_BUCKET, at.bucket).sortWithinPartitions(*order)
-     .write.partitionBy(KEY_BUCKET, at.bucket).mode("overwrite")
+    by = [KEY_BUCKET] if path == at.counts else [KEY_BUCKET, at.bucket]
+    (rows.hint("rebalance", *by).sortWithinPartitions(*order)
+     .write.partitionBy(*by).mode("overwrite")
      .option("partitionOverwriteMode", "dynamic" if dynamic else "static").parquet(path))
 
 
