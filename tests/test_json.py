@@ -1,11 +1,12 @@
 import json
 import random
+import time
 
 import pytest
 from conftest import by_query
 from pyspark.sql import functions as F
 
-from trawl.functions import jsonb
+from trawl.functions import jsonb, jsonpaths
 from trawl.functions.jsonpaths import nodes
 from trawl.operators import json_search
 from trawl.operators.json_search import _contains
@@ -335,3 +336,24 @@ def test_bad_json_defaults_and_repeated_keys(spark):
         df.select(tables.json_value("j")).collect()
     with pytest.raises(Exception, match="not a JSON value"):
         json_search.patterns(spark, {"q": '{"a":1} x'})
+
+
+def test_wide_document_of_many_levels_is_not_copied_per_bracket(spark):
+    """Ten levels around 12,000 small arrays: levels are opened, not as many steps as there are brackets."""
+    text = "[" * 10 + ",".join("[1]" for _ in range(12_000)) + "]" * 10
+    began = time.monotonic()
+    row = spark.createDataFrame([(text,)], "t string").select(F.expr(
+        f"size(filter({jsonpaths.nodes('parse_json(t)')}, n -> n.vtype = 'number'))").alias("n")).first()
+    assert row["n"] == 12_000
+    assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("value", ["a]b", "[[[[", 'x"]}', "\\"])
+def test_brackets_in_strings_do_not_change_the_depth(spark, value):
+    document = {value: 1, "s": value}
+    for k in range(30):
+        document = [document, value] if k % 2 else {value: document}
+    rows = spark.createDataFrame([(json.dumps(document),)], "t string").select(F.expr(
+        f"filter({jsonpaths.nodes('parse_json(t)')}, n -> n.leaf)").alias("ns")).first()["ns"]
+    assert len(rows) == 2 + 15
+    assert sum(n["vtype"] == "number" for n in rows) == 1
