@@ -7,7 +7,7 @@ from conftest import by_query
 
 from trawl.functions.analysis import STOP_WORDS, with_entries
 from trawl.functions.stemming import stem
-from trawl.operators import match, postings, rank
+from trawl.operators import match, postings, rank, shared_items
 from trawl.operators.headline import headlines
 from trawl.plans import requests as ask
 from trawl.sources import term_index
@@ -288,3 +288,24 @@ def test_alternatives_inside_phrases(spark, notes, index, monkeypatch, small):
     for corpus in (match.Scan(notes, "id", FIELDS), match.Lookup(index)):
         found = match.matches(requests, corpus).collect()
         assert by_query(found, "doc_id") == expected(ALTERNATIVES)
+
+
+def test_large_sets_of_phrases_are_found_as_sequences(spark, no_broadcast, monkeypatch):
+    """Phrases of all lengths, with gaps, alternatives and a shared or absent key, against plain loops;
+    no document meets a phrase on one frequent word alone."""
+    words = [["a", "b", "a", "b", "c", "d", "a"], ["b", "a", "c"], ["a", "b", "c", "d", "a", "b", "e", "f"], ["a"] * 5, ["a", "b", "x", "c"]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)] + [(None, "a b c")], "id long, text string")
+    phrases = sorted({" ".join(w[i:i + n]) for w in words for n in range(1, 8) for i in range(len(w)) if len(w[i:i + n]) == n}) + ["a c a", "zz a"]
+    asked = spark.createDataFrame([(p, f'"{p}"') for p in phrases], "query_id string, text string")
+    met = []
+    joined = shared_items._term_hits
+    monkeypatch.setattr(shared_items, "_term_hits", lambda items, *a: met.append(
+        items.where("size(terms) > 1").count()) or joined(items, *a))
+    found = match.matches(ask.web(spark, asked, "simple"), match.Scan(docs, "id", [("text", "D")])).where("doc_id is not null").collect()
+    assert sorted((r["query_id"], r["doc_id"]) for r in found) == sorted(
+        (p, i) for p in phrases for i, w in enumerate(words) if f" {p} " in f" {' '.join(w)} ")
+    assert met == [0]
+    twice = docs.unionByName(spark.createDataFrame([(3, "c d")], docs.schema))
+    again = match.matches(ask.web(spark, asked, "simple"), match.Scan(twice, "id", [("text", "D")]))
+    got = {(r["query_id"], r["doc_id"]) for r in again.collect()}
+    assert {(r["query_id"], r["doc_id"]) for r in found} | {("c d", 3), ("d", 3)} <= got
