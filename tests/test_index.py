@@ -4,6 +4,7 @@ import time
 from types import SimpleNamespace
 
 import pytest
+import __spark_entry__ as entry
 from conftest import by_query
 from pyspark.sql import functions as F
 
@@ -449,3 +450,29 @@ def test_work_is_dropped_on_demand(spark, tmp_path, monkeypatch):
     spark.range(3).write.parquet(folder)
     drop_work(spark)
     assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("folder", [False, True])
+@pytest.mark.parametrize("query", ["index_stream", "index_stream_updates", "index_stream_late", "path_index_stream"])
+def test_streams_read_tables_that_are_files_or_folders(spark, tmp_path, query, folder):
+    rows = [(i, f"the of and to la des {i}", ("fr", "en")[i % 2], f"src{i % 4}") for i in range(12)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    orders = spark.createDataFrame([(i, "OFP"[i % 3], 1.5 * i, ("1-URGENT", "5-LOW")[i % 2]) for i in range(12)],
+                                   "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    for name, table in (("documents", texts), ("orders", orders)):
+        if folder:
+            table.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+        else:
+            table.toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    found = entry.queries()[query](spark, str(tmp_path)).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r["query_id"], set()).add(r[1])
+    if query == "index_stream":
+        assert by == {"hot": set(range(12))}
+    elif query == "path_index_stream":
+        assert by["urgent"] == {i for i in range(12) if i % 2 == 0}
+        assert by["low"] == {i for i in range(12) if i % 2 == 1} and "old" not in by
+    else:
+        assert by["src"] == {0, 4, 8}
+        assert by["fr"] == set(range(1, 12, 2))
