@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.stemming import stem_all
-from trawl.session import ship_package
+from trawl.session import ship_package, small_batches
 
 # Runs of letters and digits, optionally joined by hyphens.
 WORD = r"[\p{L}\p{N}]++(?:-[\p{L}\p{N}]++)*+"
@@ -71,6 +71,7 @@ def with_entries(df: DataFrame, fields: list[tuple[str, str]], config: str,
                          for column, (field, weight) in zip(columns, fields)})
     if config == "english":
         ship_package(df.sparkSession)
+        small_batches(df.sparkSession)
         df = df.withColumns({f"{c}_stems": stem_all(F.col(f"{c}.term")) for c in columns})
         df = df.withColumns({c: F.expr(f"""zip_with({c}, {c}_stems, (e, s) ->
             named_struct('term', s, 'weight', e.weight, 'pos', e.pos))""") for c in columns})
@@ -114,6 +115,7 @@ def with_lexemes(df: DataFrame, raw: str, config: str, to: str) -> DataFrame:
     """Add the lexeme of each word of a string array, in place: a stop word becomes ``''``."""
     if config == "english":
         ship_package(df.sparkSession)
+        small_batches(df.sparkSession)
         kept = F.expr(f"""transform({raw}, w ->
             if(lower(w) in ({text_list(STOP_WORDS)}), '', lower(w)))""")
         return df.withColumn(to, stem_all(kept))
