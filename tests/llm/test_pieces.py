@@ -36,6 +36,11 @@ def test_without_dropout_ids_are_the_models(text):
     assert segments(text, 0.0).tolist() == sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text)
 
 
+@pytest.mark.parametrize("text", ["\r", "x;\r", "}\r", " {\r\n", "\r\r", " \r", "a\r", " }\r b", "\r ", "();\r\n\tx\r y"])
+def test_carriage_returns_belong_to_pieces(text):
+    assert segments(text, 0.0).tolist() == sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text)
+
+
 def test_the_agenda_and_the_rounds_agree(monkeypatch):
     rng = random.Random(2)
     words = [" " + "".join(rng.choice("abcdethingo") for _ in range(rng.randrange(1, 60))) for _ in range(200)]

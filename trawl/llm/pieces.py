@@ -5,8 +5,9 @@ adjacent pair that is a piece is merged (highest score, leftmost of equals), aga
 candidate is skipped when a hash of (seed, id, unit's place, unit, place in unit, piece) falls below the
 dropout rate. Characters without a piece become byte pieces, so decoding returns every text exactly.
 
-No piece reaches from a letter into following white space, so a text is encoded in units: a run of
-spaces with the word behind it, or one other white space character. Every occurrence of a unit draws
+No piece reaches from a letter into a following space, so a text is encoded in units: a run of spaces
+with the word behind it, or one other white space character, unless longer pieces have it, as some do
+a carriage return; then it belongs to the word. Every occurrence of a unit draws
 for itself. What merging gives depends only on the unit and on which of its possible candidates are
 skipped, so a worker merges each distinct (unit, set of skipped candidates) once, many new ones
 together: every round merges the best pair of each unit. Units of more than ``LONG`` characters go
@@ -55,6 +56,7 @@ class Vocabulary:
     longest: int            # characters of the longest piece
     data: np.ndarray        # the pieces' text, white space as spaces, one after another
     offsets: np.ndarray
+    alone: np.ndarray       # by byte: whether it is white space, no space, that no longer piece has
 
 
 @lru_cache(maxsize=1)
@@ -81,10 +83,12 @@ def vocabulary(model: str) -> Vocabulary:
     order = {score: r for r, score in enumerate(sorted({sp.get_score(i) for i in ids.values()}, reverse=True))}
     rows = [(ids[name[:k]] << 32 | ids[name[k:]], i, order[sp.get_score(i)])
             for name, i in ids.items() for k in range(1, len(name)) if name[:k] in ids and name[k:] in ids]
+    joined = {c for name in ids if len(name) > 1 for c in name}
+    alone = np.array([9 <= b <= 13 and chr(b) not in joined for b in range(256)])
     return Vocabulary(symbols, *_pair_table(np.array(rows, dtype=np.int64).reshape(-1, 3)), byte_ids,
                       max(map(len, ids)),
                       np.frombuffer(b"".join(texts), dtype=np.uint8),
-                      np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+                      np.concatenate([[0], np.cumsum([len(t) for t in texts])]), alone)
 
 
 def _slot(pairs: np.ndarray) -> np.ndarray:
@@ -282,14 +286,14 @@ class Units:
     hashes: np.ndarray
 
 
-def units(texts: pa.Array) -> Iterator[Units]:
-    """The units of a batch of texts; a text that is not empty gets a leading space."""
+def units(texts: pa.Array, alone: np.ndarray) -> Iterator[Units]:
+    """The units of a batch of texts; a text that is not empty gets a leading space. Bytes that are
+    ``alone`` are units of their own."""
     for rows, raw, offsets in bytewords.chunks(texts):
         full = np.diff(offsets) > 0
         data = np.insert(raw, offsets[:-1][full], 32)
         at = offsets + np.concatenate([[0], np.cumsum(full)])
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
-        other = blank & (data != 32)
+        other = alone[data]
         first = other.copy()
         if len(data):
             first[1:] |= other[:-1]
@@ -310,7 +314,7 @@ class Encoder:
     def encode(self, texts: pa.Array, ids: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """(rows, piece ids of these rows one after another, number of ids per row)."""
         numbers = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        for found in units(texts):
+        for found in units(texts, self.v.alone):
             n, of = len(found.starts), np.diff(found.bounds)
             own = keys = found.hashes
             if self.dropout > 0:
