@@ -476,3 +476,20 @@ def test_streams_read_tables_that_are_files_or_folders(spark, tmp_path, query, f
     else:
         assert by["src"] == {0, 4, 8}
         assert by["fr"] == set(range(1, 12, 2))
+
+
+def test_frequent_terms_count_documents_without_postings(spark, monkeypatch):
+    """Rows that share a key, null too, are one document; no postings are made or shuffled to find out."""
+    def refused(*_, **__):
+        raise AssertionError("postings are not needed")
+
+    monkeypatch.setattr("trawl.operators.postings.text_postings", refused)
+    rows = [(1, "a b a", "c"), (2, "a", None), (3, "b-x", "a"), (4, None, "z")]
+    fields = [("t", "A"), ("u", "B")]
+    once = spark.createDataFrame(rows, "id long, t string, u string")
+    assert frequent_terms(once, "id", fields, "simple", share=0.25) == ("a", "b", "b-x", "c", "x", "z")
+    assert frequent_terms(once, "id", fields, "simple", share=0.6) == ("a",)
+    again = [(1, "b", "c"), (1, "a", "c"), (None, "b", "q"), (None, "q", "q")]
+    twice = spark.createDataFrame(rows + again, "id long, t string, u string")
+    assert frequent_terms(twice, "id", fields, "simple", share=0.4) == ("a", "b")
+    assert frequent_terms(twice, "id", fields, "simple", share=0.2, most=3) == ("a", "b", "b-x")

@@ -29,8 +29,16 @@ def _pairs(frequent: tuple[str, ...]) -> str:
 
 def frequent_terms(df: DataFrame, key: str, fields: list[tuple[str, str]], config: str = "english",
                    share: float = 0.1, most: int = 64) -> tuple[str, ...]:
-    """The terms that at least a share of all documents have, the most frequent first, ``most`` at most."""
-    rows = text_postings(df, key, fields, config, with_documents=True).select("term", "doc_id").distinct()
+    """The terms that at least a share of all documents have, the most frequent first, ``most`` at most.
+
+    Terms are made distinct inside their row, so that only counts are shuffled. Rows that share a key are one
+    document: where there are any, their terms are made distinct once more, by key.
+    """
+    entries = with_entries(df.select(key, *[name for name, _ in fields]), fields, config)
+    terms = f"array_append(array_distinct(transform(entries, e -> e.term)), '{ANY_DOCUMENT}')"
+    rows = entries.selectExpr(f"`{key}` as doc_id", f"explode({terms}) as term")
+    if not df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        rows = rows.distinct()
     counts = rows.groupBy("term").agg(F.count("*").alias("n"))
     documents = counts.where(f"term = '{ANY_DOCUMENT}'").select(F.col("n").alias("_all"))
     found = counts.where(f"term <> '{ANY_DOCUMENT}'").join(F.broadcast(documents)).where(F.col("n") >= share * F.col("_all"))
