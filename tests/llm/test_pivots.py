@@ -85,3 +85,16 @@ def test_lists_of_a_vector_are_pivots_or_pairs_with_a_large_list(spark):
     pairs = {(min(p, q) + 1 << pivots.PAIR_KEY) + max(p, q) for p in (9, 0) for q in range(10) if p != q}
     assert found == sorted({5, 3, 1, 7, 2, 8, 4} | pairs)
     assert rows.selectExpr(pivots._list_keys([])).first()[0] == [1, 2, 3, 4, 5, 7, 8, 9]
+
+
+def test_large_lists_keep_pairs_that_share_only_their_pivot(spark, monkeypatch):
+    """With prefixes of one pivot no pair of vectors shares a second one."""
+    monkeypatch.setattr(pivots, "PREFIX", 1)
+    monkeypatch.setattr(pivots, "NEAREST", 1)
+    monkeypatch.setattr(pivots, "BLOCK", 7)
+    df = spark.createDataFrame([(i, v, 1, "r", 2) for i, v in enumerate(vectors())], EXTRA)
+    whole = sorted(pivots.near_vectors(df, 0.9).collect())
+    assert sum(r["n_links"] for r in whole) > 100
+    for large in (1, 5):
+        monkeypatch.setattr(pivots, "LARGE", large)
+        assert sorted(pivots.near_vectors(df, 0.9).collect()) == whole

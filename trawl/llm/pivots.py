@@ -1,9 +1,10 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Every vector is described by the ordered list of its ``PREFIX`` nearest of ``m`` pivots. A pivot's inverted
-list has the vectors that count it among their ``NEAREST`` first; a list of more than ``LARGE`` vectors is
-kept per second shared pivot instead, over whole prefixes, so vectors meet there when they share at
-least two. Each pair is decided once, in the first list that both are in, by its cosine in double precision.
+list has the vectors that count it among their ``NEAREST`` first. A list of more than ``LARGE`` vectors is
+also kept per second shared pivot, over whole prefixes, so that pairs with a pivot beyond the nearest meet as
+well. All lists meet whole, however large: blocks bound the memory, and the work of a list grows with its
+square. Each pair is decided once, in the first list that both are in, by its cosine in double precision.
 
 Pivots are chosen, far apart, from a sample of ``SAMPLE`` vectors at most; every vector is indexed.
 ``m`` grows with the square root of the number of vectors and is at most ``MOST_PIVOTS``, so the
@@ -222,7 +223,7 @@ def near_vectors(vectors: DataFrame, least: float, id_col: str = "vec_id",
 
 
 def _list_keys(large: list[int]) -> str:
-    """SQL for the lists of a vector, in order: its nearest pivots, and pairs of pivots with a large list."""
+    """SQL for its nearest pivots without a large list, and the pairs of pivots with one, in order."""
     one = f"slice(pivots, 1, {NEAREST})"
     if not large:
         return f"sort_array(transform({one}, p -> cast(p as long)))"
@@ -234,13 +235,21 @@ def _list_keys(large: list[int]) -> str:
     return f"sort_array(concat({single}, {pairs}))"
 
 
+def _all_keys(large: list[int]) -> str:
+    """SQL for all lists of a vector, in order: the large lists themselves come before the pairs with them."""
+    if not large:
+        return _list_keys(large)
+    whole = f"filter(slice(pivots, 1, {NEAREST}), p -> array_contains(array({', '.join(map(str, large))}), p))"
+    return f"sort_array(concat(transform({whole}, p -> cast(p as long)), {_list_keys(large)}))"
+
+
 def _links(classes: DataFrame, pivots: np.ndarray, least: float, kind: str) -> DataFrame:
     """(node, n, root) for each meeting in which a class of equal vectors has links."""
     described = stored(classes.mapInArrow(partial(_described, pivots=pivots, kind=kind),
                                           "node long, copies long, vector binary, pivots array<int>"), "vector-described")
     sizes = described.select(F.explode(F.slice("pivots", 1, NEAREST)).alias("p")).groupBy("p").count()
     large = sorted(r["p"] for r in sizes.where(F.col("count") > LARGE).collect())
-    described = described.withColumn("keys", F.expr(_list_keys(large)))
+    described = described.withColumn("keys", F.expr(_all_keys(large)))
     entries = described.select("node", F.explode("keys").alias("key"))
     lists = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn(
         "blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
