@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trawl.functions import jsonb
 from trawl.operators import json_search, match, rank
 from trawl.operators.postings import frequent_terms
+from trawl.plans.display import plan_text
 from trawl.plans import requests as ask
 from trawl.session import drop_work, work_folder
 from trawl.sources import buckets, path_index, tables, term_index
@@ -493,3 +494,57 @@ def test_frequent_terms_count_documents_without_postings(spark, monkeypatch):
     twice = spark.createDataFrame(rows + again, "id long, t string, u string")
     assert frequent_terms(twice, "id", fields, "simple", share=0.4) == ("a", "b")
     assert frequent_terms(twice, "id", fields, "simple", share=0.2, most=3) == ("a", "b", "b-x")
+
+
+@pytest.mark.parametrize("make, name", [(entry._small_products, "part"), (entry._priced, "orders")])
+def test_json_of_a_table_in_one_split_is_made_on_all_cores(spark, tmp_path, make, name):
+    rows = {"part": "id as p_partkey, 'a b' as p_name, 'SMALL' as p_type, id as p_size",
+            "orders": "id as o_orderkey, 'O' as o_orderstatus, id as o_totalprice, '5-LOW' as o_orderpriority"}
+    given = spark.range(0, 50, 1, 1).selectExpr(*rows[name].split(", "))
+    given.write.parquet(str(tmp_path / f"{name}.parquet"))
+    made = make(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and made.count() == 50
+
+
+def test_arriving_rows_are_dealt_out_to_all_cores(spark, tmp_path):
+    spark.range(0, 50, 1, 1).write.parquet(str(tmp_path / "orders.parquet"))
+    seen = []
+    (entry._arriving(spark, str(tmp_path), "orders").writeStream
+     .foreachBatch(lambda batch, _: seen.append((batch.rdd.getNumPartitions(), batch.count())))
+     .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination())
+    assert seen == [(spark.sparkContext.defaultParallelism, 50)]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_rows_stay_where_they_are_when_few_keys_change(spark, tmp_path, monkeypatch, small):
+    docs = _docs(spark, [(i, f"a{i} b") for i in range(20)] + [(None, "c")])
+    index = _index(tmp_path)
+    term_index.build_term_index(docs, index)
+    monkeypatch.setattr(buckets, "LEAD_BYTES", buckets.LEAD_BYTES if small else 0)
+    joined, dealt, whole = [], [], buckets.without
+    kind = type(docs)
+    hint = kind.hint
+
+    def without(*args):
+        joined.append((args[-1], plan_text(whole(*args))))
+        return whole(*args)
+
+    def watched(self, name, *args):
+        dealt.append(name)
+        return hint(self, name, *args)
+
+    monkeypatch.setattr(buckets, "without", without)
+    monkeypatch.setattr(kind, "hint", watched)
+    changed = _docs(spark, [(3, "new b"), (None, "d")])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        term_index.refresh_term_index(changed, index)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert [s for s, _ in joined] == [small] and ("BroadcastHashJoin" in joined[0][1]) == small
+    assert dealt.count("rebalance") == 2  # staged rows and counts; what was staged is in its folders already
+    now = _index(tmp_path, "now")
+    term_index.build_term_index(docs.where("id <> 3").unionByName(changed), now)
+    for read in (term_index.read_postings, term_index.all_counts):
+        assert sorted(map(str, read(spark, index).collect())) == sorted(map(str, read(spark, now).collect()))
