@@ -47,8 +47,8 @@ def path_entries(df: DataFrame, key: str, column: str, with_rows: bool = False,
     stands for the row itself, and ``version`` a column with the row's version in that entry.
 
     ``ats`` are the positions of the array elements around each occurrence. An entry occurs several
-    times in arrays only; a row's entries are together, so they are grouped there, by sorting, and
-    nothing is exchanged.
+    times in arrays only; a row's entries are together, so those are grouped there, by sorting, and
+    nothing is exchanged. Paths show arrays, so entries outside them have no equal and are left as they are.
     """
     found = entries(f"`{column}`")
     if with_rows:
@@ -59,8 +59,11 @@ def path_entries(df: DataFrame, key: str, column: str, with_rows: bool = False,
     runs = let("firsts", starts, """transform(firsts, (first, k) -> named_struct('path', es[first].path,
         'vtype', es[first].vtype, 'value', es[first].value, 'ats', array_distinct(transform(
             slice(es, first + 1, coalesce(get(firsts, k + 1), size(es)) - first), e -> e.at))))""")
-    once = "transform(es, e -> named_struct('path', e.path, 'vtype', e.vtype, 'value', e.value, 'ats', array(e.at)))"
-    grouped = let("es", f"sort_array({found})", f"if(exists(es, e -> size(e.at) > 0), {runs}, {once})")
+    once = """transform(filter(found, e -> size(e.at) = 0), e ->
+        named_struct('path', e.path, 'vtype', e.vtype, 'value', e.value, 'ats', array(e.at)))"""
+    several = let("es", "sort_array(filter(found, e -> size(e.at) > 0))", f"""if(size(es) > 0, {runs},
+        cast(array() as array<struct<path:string,vtype:string,value:string,ats:array<array<int>>>>))""")
+    grouped = let("found", found, f"concat({once}, {several})")
     if version is None:
         return df.selectExpr(f"`{key}` as row_id", f"inline({grouped})").select(*ENTRY, "ats", "row_id")
     return df.selectExpr(f"`{key}` as row_id", f"`{version}` as _version", f"inline({grouped})").selectExpr(
