@@ -171,6 +171,70 @@ def test_held_out_texts_beat_an_interpolated_bigram(spark):
         assert rows[0] / rows[1] > log / n
 
 
+def test_pairs_that_are_not_held_count_as_well(spark, monkeypatch):
+    """What is sent to every task decides about memory, not about scores."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(n)}" for n in rng.zipf(1.5, 30) % 300) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:20])), "doc_id long, text string").repartition(3)
+
+    def scores():
+        return {r["doc_id"]: (r["score"], r["base_score"]) for r in lm.score(df, F.col("doc_id") % 5 == 0).collect()}
+
+    whole = scores()
+    for held in (lm.HELD, 20):   # 20: most words share their features
+        monkeypatch.setattr(lm, "HELD", held)
+        monkeypatch.setattr(lm, "PAIRS", 1 << 21)
+        monkeypatch.setattr(lm, "HELD_FROM", 1)
+        most = scores()
+        monkeypatch.setattr(lm, "PAIRS", 1)
+        few = scores()
+        for i, (score, base) in most.items():
+            assert few[i] == (pytest.approx(score, abs=2e-3), pytest.approx(base, rel=1e-9))
+        if held != 20:
+            assert whole == {i: pytest.approx(x, abs=2e-3) for i, x in most.items()}
+    again = np.mean([whole[i][0] - whole[i][1] for i in range(200, 220) if i % 5 and (i - 200) % 5])
+    once = np.mean([whole[i][0] - whole[i][1] for i in range(20, 200) if i % 5])
+    assert again > once + 1     # texts that occur twice have pairs that do
+
+
+def test_probabilities_sum_to_one_with_shared_features(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HELD", 40)
+    names = [f"w{n}{'abcdefg'[n % 7]}" for n in range(60)]
+    found = next(lm.tokens(pa.array([" ".join(names)])))
+    times = {w: max(1, i - 20) for i, w in enumerate(names)}
+    counts = spark.createDataFrame([(int(h), int(f), times[w]) for w, h, f in zip(names, found.hashes, found.suffixes)]
+                                   + [(lm.END, 0, 40)], "token long, suffix long, n long")
+    vocabulary, _, _ = lm._vocabulary(counts)
+    assert lm.FREQUENT < len(vocabulary.tokens) < 45
+    rng = np.random.default_rng(3)
+    known = np.flatnonzero(vocabulary.uses)
+    keys = np.unique(lm.pair_keys(rng.choice(known, 900), rng.choice(known[known != vocabulary.start], 900)))
+    pairs = lm.successors(keys, rng.normal(0, 2, len(keys)).astype(np.float32), vocabulary)
+    weights = rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
+
+    def logs(text, place):
+        found = next(lm.tokens(pa.array([text])))
+        kinds, at = lm.classes(found, vocabulary)
+        number = lm.numbers(found, at, vocabulary)
+        weight = pairs.of_pairs(lm.words_before(found, number, vocabulary), number)[0][place]
+        log = lm.token_logs(found, kinds, at, vocabulary, pairs, weights)[place]
+        return log, weight / np.log(10) if at[place] < 0 else 0, kinds[place], at[place]
+
+    for history in ("", names[0], f"{names[55]} {names[1]}"):
+        place = len(history.split())
+        whole = 10 ** logs(history, place)[0] * 41
+        for word in names:
+            log, weight, _, _ = logs(f"{history} {word}", place)
+            whole += 10 ** (log + weight) * (times[word] + 1)
+        unseen = {}
+        for n in range(3000):
+            log, _, kind, _ = logs(f"{history} x{n}", place)
+            unseen.setdefault(kind, 10 ** log)
+            if len(unseen) == lm.SUFFIXES:
+                break
+        assert whole + sum(unseen.values()) == pytest.approx(1, abs=1e-4)
+
+
 def test_group_sums():
     rng = np.random.default_rng(2)
     values, groups = rng.normal(size=(500, 3)).astype(np.float32), rng.integers(0, 40, 500)
